@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fenmark.llm import decontam, linededup, mixing, quality, simhash, substring
+from fenmark.llm import decontam, linededup, mixing, quality, simhash, substring, warc
 from fenmark.llm.runtime import table
 
 
@@ -14,6 +14,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicated(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_warc": op4_warc,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_mixing": op7_mixing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
@@ -45,6 +50,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), '%s', '%s'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % (_UPPER, _LOWER)
 
+#: The 160 bits of a SHA-1 in 32 groups of five, as base 32.
+_SHA1_BITS = "array_to_string([substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (instr('0123456789abcdef', substr(sha1(coalesce(html, '')), i, 1)) - 1) + 1, 4) FOR i IN range(1, 41)], '')"
+_BASE32 = "array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_sum([CAST(substr(bits, 5 * g + b, 1) AS INTEGER) * (1 << (5 - b)) FOR b IN range(1, 6)]) AS INTEGER) + 1, 1) FOR g IN range(0, 32)], '')"
+
 SQL: dict[str, str] = {
     "op3_line_dedup": f"""
         WITH l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id) AS i, line,
@@ -54,6 +63,14 @@ SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE last <> doc_id) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE last IS NULL OR last = doc_id), '')) AS kept_sha256
         FROM l LEFT JOIN o USING (key) GROUP BY doc_id""",
+    "op4_warc": f"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, {_BASE32} AS payload_digest
+                   FROM (SELECT *, {_SHA1_BITS} AS bits FROM pages)),
+        l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM l""",
     "op8_benchmark_decontamination": f"""
         WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark WHERE item_id IS NOT NULL),
