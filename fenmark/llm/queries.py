@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fenmark.llm import decontam, langid, linededup, mixing, quality, secrets, simhash, substring, warc
+from fenmark.llm import decontam, langid, licenses, linededup, mixing, quality, secrets, simhash, substring, warc
 from fenmark.llm.runtime import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(spark, sf_dir, "documents")).drop("findings")
 
@@ -47,6 +51,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_secret_scan": op2_secret_scan,
     "op3_line_dedup": op3_line_dedup,
     "op4_warc": op4_warc,
@@ -60,11 +65,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), '%s', '%s'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % (_UPPER, _LOWER)
 
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+#: Licenses by brute force: each template's shingles in every window that starts at a stride.
+_TEMPLATES = ", ".join(f"({k}, {_quoted(i)}, {_quoted(c)}, {_quoted(t)})" for k, (i, c, t) in enumerate(licenses.TEMPLATES))
+_WORDS = "[x FOR x IN string_split_regex(lower(text), '[^a-z0-9]+') IF x <> '']"
+
 #: The 160 bits of a SHA-1 in 32 groups of five, as base 32.
 _SHA1_BITS = "array_to_string([substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (instr('0123456789abcdef', substr(sha1(coalesce(html, '')), i, 1)) - 1) + 1, 4) FOR i IN range(1, 41)], '')"
 _BASE32 = "array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_sum([CAST(substr(bits, 5 * g + b, 1) AS INTEGER) * (1 << (5 - b)) FOR b IN range(1, 6)]) AS INTEGER) + 1, 1) FOR g IN range(0, 32)], '')"
 
 SQL: dict[str, str] = {
+    "op1_license_scan": f"""
+        WITH t AS (SELECT k, license, category, {_WORDS} AS w FROM (VALUES {_TEMPLATES}) AS v(k, license, category, text)),
+        ts AS (SELECT DISTINCT k, array_to_string(w[i:i + 4], ' ') AS shingle FROM t, unnest(range(1, len(w) - 3)) AS u(i)),
+        tn AS (SELECT k, license, category, len(w) - 4 AS n, greatest(1, (len(w) - 4) // 4) AS stride, (SELECT count(*) FROM ts WHERE ts.k = t.k) AS all_n FROM t),
+        d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+        ds AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS shingle FROM d, unnest(range(1, len(w) - 3)) AS u(i)),
+        hits AS (SELECT doc_id, k, pos, shingle FROM ds JOIN ts USING (shingle)),
+        wins AS (SELECT doc_id, k, win, count(DISTINCT shingle) / max(all_n) AS containment
+                 FROM hits JOIN tn USING (k), unnest(range(greatest(0, (pos - n) // stride - 1), pos // stride + 2)) AS u(win)
+                 WHERE pos >= win * stride - stride AND pos < win * stride + n + stride GROUP BY doc_id, k, win),
+        best AS (SELECT doc_id, k, max(containment) AS containment FROM wins WHERE containment >= 0.8 GROUP BY doc_id, k),
+        named AS (SELECT doc_id, count(*) AS n_templates, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
+                         string_agg(DISTINCT category, ',' ORDER BY category) AS categories, max(containment) AS best_containment
+                  FROM best JOIN tn USING (k) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_templates, 0) AS n_templates, coalesce(licenses, '') AS licenses,
+               coalesce(categories, '') AS categories, CAST(coalesce(best_containment, 0) AS DOUBLE) AS best_containment
+        FROM documents LEFT JOIN named USING (doc_id)""",
     "op3_line_dedup": f"""
         WITH l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id) AS i, line,
                           translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS key
