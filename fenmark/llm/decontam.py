@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fenmark.llm import kernels as K
-from fenmark.llm.runtime import core, written
+from fenmark.llm.runtime import core, numbered, place, written
 
 WINDOW, SHINGLE, BLOCK_WINDOWS = 13, 5, 100_000
 #: A document is contaminated if hits make up 1 / RATIO of its words.
@@ -164,10 +164,11 @@ def _counter(shingles: dict[int, np.ndarray]):
 def build(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", item_text: str = "text", text: str = "text", block_windows: int = BLOCK_WINDOWS) -> list[Broadcast]:
     """The benchmark's blocks, with rarity counted over all rows of docs."""
     spark = docs.sparkSession
-    named = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
+    items = numbered(benchmark)
+    named = items.select(F.col(place(benchmark, item)).cast("string").alias("item"), F.col(place(benchmark, item_text)).cast("string").alias("text")).where("item is not null")
     windows = written(named.mapInArrow(_item_windows, _WINDOWS), "windows")
     n_blocks = max(1, -(-windows.count() // block_windows))
-    texts, blocks = docs.select(F.col(text).cast("string").alias("text")), []
+    texts, blocks = numbered(docs).select(F.col(place(docs, text)).cast("string").alias("text")), []
     for k in range(n_blocks):
         rows = windows.where(F.pmod("w1", F.lit(n_blocks)) == k).collect()
         sizes: dict[int, set[int]] = {}
@@ -215,12 +216,12 @@ def judged(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, all columns unchanged, that aren't contaminated."""
-    blocks = build(docs, benchmark, text=text)
+    blocks, own, at = build(docs, benchmark, text=text), numbered(docs), place(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in K.chunks(batch.column(text), lower=True):
+            for chunk in K.chunks(batch.column(at), lower=True):
                 n, hit, _ = _judge(chunk, blocks)
                 yield batch.slice(chunk.rows.start, chunk.n).filter(pa.array(~((hit > 0) & (RATIO * hit >= n))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)

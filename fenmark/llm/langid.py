@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fenmark.llm.runtime import core
+
 UNKNOWN, PROFILE, PROFILE_DOCS, LENGTHS = "und", 300, 2000, (1, 2, 3)
 _BOUNDARY = 1
 
@@ -99,7 +101,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", profile: int = PROFILE, profile_docs: int = PROFILE_DOCS) -> Profiles:
     """Profiles of the languages of docs, without the rows held out."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(key).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    rows = core(docs, key, text, lang=lang).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out()).withColumn("id", F.col("doc_id").cast("string"))
     share = {r.lang: min(1.0, profile_docs / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
         return Profiles({})
@@ -129,5 +131,5 @@ def identified(docs: DataFrame, profiles: Profiles | None = None, key: str = "do
             found = [predict(t.as_py(), known) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out"), F.col(text).cast("string").alias("text"))
+    own = core(docs, key, text).select("doc_id", held_out().alias("held_out"), "text")
     return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

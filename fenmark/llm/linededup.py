@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fenmark.llm import kernels as K
-from fenmark.llm.runtime import core, identity, written
+from fenmark.llm.runtime import core, identity, numbered, place, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SHARD_KEYS, BROADCAST_BYTES = 50_000, 32 << 20
@@ -276,6 +276,30 @@ def _rebuilt(min_chars: int):
     return run
 
 
+def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs, all columns, with their repeated lines gone; a text without any stays as it is (a null text too)."""
+    own, at, names = numbered(docs), place(docs, text), docs.columns
+    known, uid = identity(own, place(docs, key), at)
+    keyed = known.select(F.col(place(docs, key)).cast("long").alias("doc_id"), F.col(uid).alias("uid"), F.col(at).cast("string").alias("text"))
+    lost = LineIndex.of(keyed, min_chars, min_docs).dropped(keyed).select(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), F.col("keys").alias("_keys"))
+    match = F.col(place(docs, key)).cast("long").eqNullSafe(F.col("_d")) & (F.col(uid) == F.col("_u"))
+    with_keys = known.join(lost, match, "left").select(*own.columns, "_keys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old, new = batch.column(at), []
+            for t, keys in zip(old, batch.column("_keys"), strict=True):
+                if not keys.is_valid or not t.is_valid:
+                    new.append(t.as_py())
+                    continue
+                gone = set(keys.as_py())
+                new.append(b"\n".join(x for x in t.as_py().encode().split(b"\n") if not (long_enough(k := line_key(x), min_chars) and digest(k) in gone)).decode())
+            kept = [c for c in batch.schema.names if c != "_keys"]
+            yield pa.RecordBatch.from_arrays([pa.array(new, old.type) if c == at else batch.column(c) for c in kept], kept)
+
+    return with_keys.mapInArrow(run, own.schema).toDF(*names)
+
+
 def keyed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     known, uid = identity(core(docs, key, text), "doc_id", "text")
     return known.select("doc_id", F.col(uid).alias("uid"), "text")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fenmark.llm import kernels as K
-from fenmark.llm.runtime import written
+from fenmark.llm.runtime import core, written
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 BLOCK, SHARD_BLOCKS, FANOUT, SEED = 64, 20_000, 64, 11
@@ -86,8 +86,7 @@ def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
                 own = K.span_hashes(chunk.data, chunk.offsets[:-1], chunk.offsets[1:], K._BYTES[2]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([ids, src, pa.array(n), pa.array(own)], ["doc_id", "source", "size", "digest"])
 
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, source string, size long, digest long").withColumn("row", F.monotonically_increasing_id())
+    return core(docs, key, text, source=source).mapInArrow(run, "doc_id long, source string, size long, digest long").withColumn("row", F.monotonically_increasing_id())
 
 
 def _deal(group: pd.DataFrame) -> pd.DataFrame:
@@ -173,8 +172,9 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     rows, blocks = plan(docs, key, text, source)
     drawn = blocks.groupBy("row").agg(F.collect_list(F.struct("block", "words")).alias("drawn"))
     planned = rows.join(drawn, "row", "left").where("passes > 0 or drawn is not null").select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), "row", "source", "shard", "passes", "drawn")
-    texts = sized_texts(docs, key, text)
-    once = texts.dropDuplicates(["doc_id", "digest"])
+    once = sized_texts(docs, key, text)
+    if core(docs, key, text).groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).limit(1).count():
+        once = once.dropDuplicates(["doc_id", "digest"])
     return planned.join(once, planned["_d"].eqNullSafe(once.doc_id) & (planned["_g"] == once.digest)).select("doc_id", "source", "shard", "passes", "drawn", "text").mapInArrow(_passes, "doc_id long, source string, shard long, pass int, rank long, n_words long, text string")
 
 
@@ -187,7 +187,7 @@ def sized_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
                 own = K.span_hashes(chunk.data, chunk.offsets[:-1], chunk.offsets[1:], K._BYTES[2]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.rows.start, chunk.n), pa.array(own), batch.column("text").slice(chunk.rows.start, chunk.n)], ["doc_id", "digest", "text"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, digest long, text string")
+    return core(docs, key, text).mapInArrow(run, "doc_id long, digest long, text string")
 
 
 def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

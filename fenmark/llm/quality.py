@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fenmark.llm import kernels as K
-from fenmark.llm.runtime import core
+from fenmark.llm.runtime import core, numbered, place
 
 GOOD, ABSTAIN, BAD = 0, 1, 2
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, text: str = "text") -> VoteModel:
                 code, n = np.unique(patterns(features(chunk)), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"pattern": code, "n": n.astype(np.int64)})
 
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
+    found = numbered(docs).select(F.col(place(docs, text)).cast("string")).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
     return fit_votes(found["pattern"].to_numpy(np.int64), found["n"].to_numpy(float))
 
 
@@ -250,13 +250,13 @@ def scored(docs: DataFrame, model: VoteModel | None = None, key: str = "doc_id",
 
 def accepted(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns unchanged, that quality rules keep."""
-    model = fit(docs, text)
+    model, own, at = fit(docs, text), numbered(docs), place(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in K.chunks(batch.column(text)):
+            for chunk in K.chunks(batch.column(at)):
                 f = features(chunk)
                 keep = ~base_failed(f) & (model.posterior(patterns(f)) >= threshold)
                 yield batch.slice(chunk.rows.start, chunk.n).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)

@@ -7,7 +7,7 @@ import itertools
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _RUN, _SERIAL, _WRITTEN = uuid.uuid4().hex[:12], itertools.count(), []
@@ -61,10 +61,21 @@ def identity(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     return docs.withColumn("_uid", F.xxhash64(text) if doubtful else F.lit(0).cast("long")), "_uid"
 
 
-def core(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Only the key (as bigint) and the text, under names of our own: extra columns can't clash."""
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1, ...: no name of theirs can clash with ours, or with each other but for case."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
 
-def sha256_hex(value: str | Column) -> Column:
-    return F.sha2(F.col(value) if isinstance(value, str) else value, 256)
+def place(docs: DataFrame, name: str) -> str:
+    """numbered()'s name of a column."""
+    return f"c{docs.columns.index(name)}"
+
+
+def core(docs: DataFrame, key: str, text: str, **more: str) -> DataFrame:
+    """Only the key (as bigint doc_id), the text and more columns (ours=theirs, as strings), under names of our own."""
+    own = numbered(docs)
+    return own.select(
+        F.col(place(docs, key)).cast("long").alias("doc_id"),
+        F.col(place(docs, text)).cast("string").alias("text"),
+        *(F.col(place(docs, theirs)).cast("string").alias(ours) for ours, theirs in more.items()),
+    )

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fenmark.llm.runtime import written
+from fenmark.llm.runtime import core, written
 
 BASE = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
@@ -96,8 +96,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: s
             kind = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.binary()), ("base", pa.bool_()), ("random", pa.bool_())])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("repo"), batch.column("owner"), pa.array(found, pa.list_(kind))], ["doc_id", "repo", "owner", "found"])
 
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), F.col(text).cast("string").alias("text"))
-    return own.mapInArrow(run, _FOUND)
+    return core(docs, key, text, repo=repo, owner=owner).mapInArrow(run, _FOUND)
 
 
 def ownership(each: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from fenmark.llm import kernels as K
 from fenmark.llm.components import components
-from fenmark.llm.runtime import core, written
+from fenmark.llm.runtime import core, numbered, place, written
 
 SHINGLE, SEED, RADIUS, PAIR_LIMIT = 3, 42, 2, 32
 
@@ -115,9 +115,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns, that are their component's least doc_id; one row of a repeated id stays."""
+    """The rows of docs, all columns, that stand for their component: its least doc_id, once.
+
+    Of rows that repeat an id, those of one text count once, and those of different texts stay.
+    """
+    own, at = numbered(docs), place(docs, key)
     found = near_duplicates(docs, key, text, size, radius)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs[key].eqNullSafe(keep["_keep"]), "left_semi")
-    twice = docs.groupBy(key).count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([key]) if twice else kept
+    kept = own.join(keep, F.col(at).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    twice = own.groupBy(at).count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates([at, place(docs, text)]) if twice else kept).toDF(*docs.columns)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fenmark.llm.runtime import written
+from fenmark.llm.runtime import core, written
 
 ARCHIVE_BYTES, READ_BYTES = 8 << 20, 64 << 10
 VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -155,7 +155,7 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def archives(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """(archive, records, content): the rows of pages as WARC archives."""
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8").alias("payload")).withColumn("sha", F.sha1("payload"))
+    rows = core(pages, key, payload, url=url).select(F.col("doc_id").alias("page_id"), "url", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload")).withColumn("sha", F.sha1("payload"))
     last = rows.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("_sha"), "last")
     revisit = F.col("_sha").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     told = rows.join(last, rows.sha == last["_sha"], "left").withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("last")))
