@@ -33,6 +33,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/fenmark-{_RUN}/{next(_SERIAL)}-{name}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append((df.sparkSession, path))
+    # Spark removes the shuffle files of a finished plan once the driver's JVM has collected the plan.
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -129,14 +129,19 @@ def repeated_spans(keyed: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) -
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
     paths = keyed.mapInArrow(_paths(size, anchor), _PATHS)
     often = paths.groupBy("mini").agg(F.count("*").alias("n")).where("n > 1").select("mini")
+    # Each aggregate is written before a join with it: the join then deals both sides anew, so that AQE may split
+    # frequent keys, and the shuffle files behind the aggregate are free to go.
+    often = written(often, "often")
     shared = written(paths.join(often, "mini"), "paths")
     groups = shared.groupBy("mini").agg((F.min("path") != F.max("path")).alias("branches"), F.min(place).alias("earliest"))
+    groups = written(groups, "groups")
     judged = shared.join(groups, "mini")
     whole = judged.where(~F.col("branches") & (place != F.col("earliest"))).select("doc_id", "uid", "start", (F.col("edges") + (size - 1)).alias("length"))
     packed = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("edges").cast("long"))
     open_ = judged.where("branches").groupBy("doc_id", "uid").agg(F.collect_list(packed).alias("spans"))
     edges = written(_with(keyed, open_, "inner").mapInArrow(_edges(size), "edge long, check long, doc_id long, uid long, start int"), "edges")
     first = edges.groupBy("edge", "check").agg(F.count("*").alias("n"), F.min(place).alias("earliest")).where("n > 1")
+    first = written(first, "first")
     single = edges.join(first, ["edge", "check"]).where(place != F.col("earliest")).select("doc_id", "uid", "start", F.lit(size).alias("length"))
     return whole.unionByName(single)
 
