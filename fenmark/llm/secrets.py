@@ -61,7 +61,7 @@ def looks_random(value: str) -> bool:
 
 
 def _mixed(value: str) -> bool:
-    return bool(re.search("[a-z]", value) and re.search("[A-Z]", value) and re.search("[0-9]", value))
+    return len(re.findall("[0-9]", value)) >= 3 and len(re.findall("[A-Za-z]", value)) >= 3
 
 
 def find(text: str) -> list[tuple[int, int, int, str, bool]]:
