@@ -30,6 +30,9 @@ SHINGLE, ROWS, BANDS, CONTAINMENT = 5, 2, 32, 0.8
 #: Windows of a template of n shingles start every max(1, n / STRIDES).
 STRIDES = 4
 
+# Words that many texts have.
+COMMON = ("a", "all", "an", "and", "any", "are", "as", "at", "be", "by", "copy", "for", "free", "from", "general", "if", "in", "included", "is", "it", "not", "of", "on", "or", "person", "persons", "public", "required", "rights", "source", "subject", "terms", "that", "the", "this", "to", "under", "was", "with", "without", "work", "writing", "you")
+
 # The notices by which licenses ask to be named (id, category, text).
 TEMPLATES = (
     ("MIT", "permissive", "Released under the MIT License."),
@@ -68,14 +71,16 @@ def shingle_texts(own: Column) -> Column:
     return F.array_distinct(F.transform(places, lambda i: F.concat_ws(" ", F.slice(own, i, SHINGLE))))
 
 
-def signature(hashes: Column) -> Column:
-    """ROWS * BANDS MinHash values of an array of shingle hashes."""
-    return F.transform(F.sequence(F.lit(0), F.lit(ROWS * BANDS - 1)), lambda j: F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, j))))
+def bands(hashes: str) -> Column:
+    """(band, key) of a column of shingle hashes: a band's key is a hash of its ROWS MinHash values.
+
+    It takes a column's name: an expression would be evaluated anew for each value, as lambdas hold no results.
+    """
 
+    def least(j: Column) -> Column:
+        return F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, j)))
 
-def bands(values: Column) -> Column:
-    """(band, key) of a signature."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(*(F.element_at(values, b * ROWS + k + 1) for k in range(ROWS))).alias("key")))
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(*(least(b * ROWS + k) for k in range(ROWS))).alias("key")))
 
 
 def templates(spark: SparkSession, known: tuple = TEMPLATES) -> DataFrame:
@@ -87,11 +92,14 @@ def templates(spark: SparkSession, known: tuple = TEMPLATES) -> DataFrame:
 
 
 def attained(t: DataFrame) -> DataFrame:
-    """(template, n, stride, hash, gate): the shingles at which the templates' MinHash values are attained, each with its longest word."""
+    """(template, n, stride, hash, gate): the shingles at which the templates' MinHash values are attained, each with one of its words.
+
+    Any word would do; the longest that isn't among COMMON lets the fewest other texts pass.
+    """
     least = F.transform(F.sequence(F.lit(0), F.lit(ROWS * BANDS - 1)), lambda j: F.array_min(F.transform("hashes", lambda x: F.struct(F.xxhash64(x, j), x.alias("hash"))))["hash"])
     each = t.select("template", "n", "stride", "own", "hashes", F.explode(F.array_distinct(least)).alias("hash"))
     at = F.array_position("hashes", F.col("hash")).cast("int")
-    longest = F.array_max(F.transform(F.slice("own", at, SHINGLE), lambda w: F.struct(F.length(w), w.alias("word"))))["word"]
+    longest = F.array_max(F.transform(F.slice("own", at, SHINGLE), lambda w: F.struct(~w.isin(*COMMON), F.length(w), w.alias("word"))))["word"]
     return each.select("template", "n", "stride", "hash", longest.alias("gate"))
 
 
@@ -109,16 +117,16 @@ def matches(keyed: DataFrame, known: tuple = TEMPLATES) -> DataFrame:
     texts = keyed.where("text is not null").select("doc_id", "uid", words(F.col("text")).alias("own")).where(F.arrays_overlap("own", gates))
     cut = texts.withColumn("hashes", shingle_hashes(F.col("own")))
     hits = F.filter(F.transform("hashes", lambda h, i: F.struct(i.alias("at"), h.alias("hash"))), lambda x: x["hash"].isin(hashes))
-    hit = cut.select("doc_id", "uid", "own", F.explode(hits).alias("x")).select("doc_id", "uid", "own", "x.at", "x.hash")
+    hit = cut.select("doc_id", "uid", "own", "hashes", F.explode(hits).alias("x")).select("doc_id", "uid", "own", "hashes", "x.at", "x.hash")
     n, stride, at = F.col("n"), F.col("stride"), F.col("at")
     first = F.greatest(F.lit(0), F.ceil((at - n + 1) / stride).cast("int"))
     window = hit.join(F.broadcast(classes), "hash").withColumn("window", F.explode(F.sequence(first, F.floor(at / stride).cast("int"))))
     start = F.col("window") * stride
     low = F.greatest(F.lit(0), start - stride)
-    window = window.select("doc_id", "uid", "n", "stride", start.alias("start"), F.slice("own", start + 1, n + (SHINGLE - 1)).alias("inner"), F.slice("own", low + 1, start - low + n + stride + (SHINGLE - 1)).alias("region")).dropDuplicates(["doc_id", "uid", "n", "start"])
+    window = window.select("doc_id", "uid", "n", "stride", start.alias("start"), F.slice("hashes", start + 1, n).alias("inner"), F.slice("own", low + 1, start - low + n + stride + (SHINGLE - 1)).alias("region")).dropDuplicates(["doc_id", "uid", "n", "start"])
 
-    t_bands = t.select("template", "n", F.explode(bands(signature(F.col("hashes")))).alias("b")).select("template", "n", "b.band", "b.key")
-    w_bands = window.select("doc_id", "uid", "n", "start", "region", F.explode(bands(signature(shingle_hashes(F.col("inner"))))).alias("b")).select("doc_id", "uid", "n", "start", "region", "b.band", "b.key")
+    t_bands = t.select("template", "n", F.explode(bands("hashes")).alias("b")).select("template", "n", "b.band", "b.key")
+    w_bands = window.select("doc_id", "uid", "n", "start", "region", F.explode(bands("inner")).alias("b")).select("doc_id", "uid", "n", "start", "region", "b.band", "b.key")
     met = w_bands.join(F.broadcast(t_bands), ["n", "band", "key"]).dropDuplicates(["doc_id", "uid", "template", "start"]).drop("n", "band", "key")
 
     texts_of = t.select("template", "license", "category", shingle_texts(F.col("own")).alias("shingles"))
