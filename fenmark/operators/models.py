@@ -39,7 +39,7 @@ def class_weight(y: np.ndarray) -> float:
     return max(n / p, 1.0) if p and n else 1.0
 
 
-def _task(rows: pd.DataFrame, keys: Sequence[str], names: Sequence[str], seed: int, tuned: bool):
+def _task(rows: pd.DataFrame, keys: Sequence[str], seed: int, tuned: bool):
     rows = rows.sort_values("sample_id", kind="stable").reset_index(drop=True)
     first = rows.iloc[0]
     train = (rows["is_train"] == 1).to_numpy()
@@ -48,7 +48,8 @@ def _task(rows: pd.DataFrame, keys: Sequence[str], names: Sequence[str], seed: i
     positive = class_weight(y[train])
     algorithm = first["algorithm"]
     setting = kernels.tune(algorithm, x[train], y[train], positive, own) if tuned else None
-    ec = list(names).index("EC") if "EC" in names else None
+    names = list(first["feature_names"])
+    ec = names.index("EC") if "EC" in names else None
     model = kernels.fit(algorithm, x[train], y[train], positive, own, setting, ec)
     return {k: first[k] for k in keys}, rows, train, x, y, model, setting
 
@@ -57,15 +58,15 @@ def _setting(x) -> str:
     return "" if x is None else "_".join(map(str, x)) if isinstance(x, tuple) else str(x)
 
 
-def predictions(tasks: DataFrame, keys: Sequence[str], names: Sequence[str], seed: int = 20260531, tuned: bool = False) -> DataFrame:
+def predictions(tasks: DataFrame, keys: Sequence[str], seed: int = 20260531, tuned: bool = False) -> DataFrame:
     """Test rows of each task: keys.., sample_id, true_label, predicted_probability, predicted_label, hyperparameters.
 
-    tasks: keys.. (with algorithm, repeat_index and fold_index), sample_id, true_label, is_train, features (array, in the order of names).
+    tasks: keys.. (with algorithm, repeat_index and fold_index), sample_id, true_label, is_train, feature_names and features (arrays).
     """
     kinds = dict(tasks.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        head, rows, train, x, y, model, setting = _task(rows, keys, names, seed, tuned)
+        head, rows, train, x, y, model, setting = _task(rows, keys, seed, tuned)
         p = model.predict(x[~train])
         return pd.DataFrame({**head, "sample_id": rows["sample_id"][~train], "true_label": y[~train].astype(int), "predicted_probability": p, "predicted_label": (p >= 0.5).astype(int), "hyperparameters": _setting(setting)})
 
@@ -73,12 +74,13 @@ def predictions(tasks: DataFrame, keys: Sequence[str], names: Sequence[str], see
     return tasks.groupBy(*keys).applyInPandas(run, schema)
 
 
-def attributions(tasks: DataFrame, keys: Sequence[str], names: Sequence[str], seed: int = 20260531, tuned: bool = False) -> DataFrame:
+def attributions(tasks: DataFrame, keys: Sequence[str], seed: int = 20260531, tuned: bool = False) -> DataFrame:
     """shap_values: keys.., sample_id, feature_name, feature_value (scaled), attribution, base_value of each test row."""
-    kinds, names = dict(tasks.dtypes), list(names)
+    kinds = dict(tasks.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        head, rows, train, x, y, model, _ = _task(rows, keys, names, seed, tuned)
+        head, rows, train, x, y, model, _ = _task(rows, keys, seed, tuned)
+        names = list(rows.iloc[0]["feature_names"])
         a, n = kernels.attributions(model, x[~train]), int((~train).sum())
         return pd.DataFrame({**head, "sample_id": np.repeat(rows["sample_id"][~train].to_numpy(), len(names)), "feature_name": names * n, "feature_value": x[~train].ravel(), "attribution": a.ravel(), "base_value": model.base})
 
