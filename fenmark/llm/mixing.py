@@ -190,16 +190,27 @@ def sized_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return core(docs, key, text).mapInArrow(run, "doc_id long, digest long, text string")
 
 
+_MIXED = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("shard", pa.int64()), ("pass", pa.int32()), ("rank", pa.int64()), ("n_words", pa.int64()), ("text", pa.string())])
+
+
 def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each pass; a few rows at a time, so that few texts are Python objects at once."""
     for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            own = (r["text"] or "").encode().split()
-            parts = [(k, len(own), r["text"] or "") for k in range(r["passes"])]
+        out, size = [], 0
+        for k in range(batch.num_rows):
+            r = {c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}
+            text = r["text"] or ""
+            own = text.encode().split()
+            parts = [(k, len(own), text) for k in range(r["passes"])]
             if r["drawn"]:
                 words = [w for x in sorted(r["drawn"], key=lambda x: x["block"]) for w in own[x["block"] * BLOCK : x["block"] * BLOCK + x["words"]]]
                 parts.append((r["passes"], len(words), b" ".join(words).decode()))
-            for k, n, text in parts:
-                rank = hashlib.sha256(repr((SEED, r["doc_id"], k)).encode()).digest()[:8]
-                out.append({"doc_id": r["doc_id"], "source": r["source"], "shard": r["shard"], "pass": k, "rank": int.from_bytes(rank, "big", signed=True), "n_words": n, "text": text})
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("shard", pa.int64()), ("pass", pa.int32()), ("rank", pa.int64()), ("n_words", pa.int64()), ("text", pa.string())]))
+            for number, n, part in parts:
+                rank = hashlib.sha256(repr((SEED, r["doc_id"], number)).encode()).digest()[:8]
+                out.append({"doc_id": r["doc_id"], "source": r["source"], "shard": r["shard"], "pass": number, "rank": int.from_bytes(rank, "big", signed=True), "n_words": n, "text": part})
+                size += len(part)
+            if size > K.CHUNK_BYTES:
+                yield pa.RecordBatch.from_pylist(out, _MIXED)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _MIXED)

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 _RUN, _SERIAL, _WRITTEN = uuid.uuid4().hex[:12], itertools.count(), []
 
 
@@ -64,7 +66,13 @@ def identity(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with its columns named c0, c1, ...: no name of theirs can clash with ours, or with each other but for case."""
+    """docs with its columns named c0, c1, ...: no name of theirs can clash with ours, or with each other but for case.
+
+    Every operator reads its rows through here, so this is where the batches that Python workers get are bounded:
+    by rows and by bytes, as texts may be long (one longer than that is a batch of its own).
+    """
+    for name, value in BATCH.items():
+        docs.sparkSession.conf.set(name, value)
     return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
 
