@@ -68,6 +68,8 @@ class Rule:
 
 
 INF = float("inf")
+#: The prior chances of the votes good, abstain and bad in the good and in the bad class, and the share of all documents that they weigh.
+PRIOR_CHANCE, PRIOR_SHARE = np.array([[0.9, 0.5], [0.09, 0.2], [0.01, 0.3]]), 0.03
 RULES = (
     Rule("length", "n_words", None, 50, INF, MIN_WORDS, INF),
     Rule("symbols", "n_symbols", "n_words", 0, 0.05, -INF, 0.2),
@@ -182,32 +184,33 @@ class VoteModel:
         return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
 
 
-def fit_votes(codes: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-9) -> VoteModel:
+def fit_votes(codes: np.ndarray, counts: np.ndarray, rounds: int = 300, tolerance: float = 1e-7) -> VoteModel:
     """Expectation-maximisation over counted vote patterns.
 
-    Starts from the balance of votes (bad votes are rarer, so one counts as
-    two).  Each rule has, for either class, the chances of its three votes; a
-    bad vote may not speak for the good class, nor a good one for the bad, which
-    fixes the classes' meaning.
+    Each rule has, for either class, the chances of its three votes.  These have a prior, ``PRIOR_CHANCE`` with the weight of
+    ``PRIOR_SHARE`` of all documents: what a rule's author believes of it.  It keeps a small kind of bad documents,
+    which few rules see, from being taken for good ones because another kind is more frequent; as it grows with the corpus,
+    a corpus and ten copies of it give one model.  A bad vote may not speak for the good class,
+    nor a good one for the bad, which fixes the classes' meaning.  Documents start as bad if two rules say so.
     """
     if not len(codes):
         codes, counts = np.zeros(1, np.int64), np.ones(1)
     votes, weight = unpacked(codes), counts / counts.sum()
-    total = counts.sum()
-    good = 1 / (1 + np.exp(-((votes == GOOD).sum(1) * 0.5 - 2.0 * (votes == BAD).sum(1))))
+    good = np.array([0.95, 0.5, 0.05])[np.minimum((votes == BAD).sum(1), 2)]
     rules, log_odds, prior = range(votes.shape[1]), np.zeros((votes.shape[1], 3)), 0.0
     for _ in range(rounds):
-        mass = np.array([(weight * good).sum(), (weight * (1 - good)).sum()]) * total
+        mass = np.array([(weight * good).sum(), (weight * (1 - good)).sum()])
         chance = np.empty((votes.shape[1], 3, 2))
         for k in rules:
             for v in range(3):
-                own = weight * (votes[:, k] == v) * total
-                chance[k, v] = (own @ good + 1) / (mass[0] + 3), (own @ (1 - good) + 1) / (mass[1] + 3)
+                own = weight * (votes[:, k] == v)
+                seen = np.array([own @ good, own @ (1 - good)])
+                chance[k, v] = (seen + PRIOR_SHARE * PRIOR_CHANCE[v]) / (mass + PRIOR_SHARE)
         before, log_odds = log_odds, np.log(chance[:, :, 0] / chance[:, :, 1])
         log_odds[:, GOOD] = np.maximum(log_odds[:, GOOD], 0)
         log_odds[:, BAD] = np.minimum(log_odds[:, BAD], 0)
         log_odds[:, ABSTAIN] = 0
-        prior = float(np.log((mass[0] + 1) / (mass[1] + 1)))
+        prior = float(np.log((mass[0] + PRIOR_SHARE) / (mass[1] + PRIOR_SHARE)))
         good = VoteModel(prior, log_odds, chance[:, 0, 0]).posterior(codes)
         if np.abs(log_odds - before).max() < tolerance:
             break

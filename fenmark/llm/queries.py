@@ -97,9 +97,9 @@ SQL: dict[str, str] = {
                coalesce(categories, '') AS categories, CAST(coalesce(best_containment, 0) AS DOUBLE) AS best_containment
         FROM documents LEFT JOIN named USING (doc_id)""",
     "op3_line_dedup": f"""
-        WITH l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id) AS i, line,
-                          translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS key
-                   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+        WITH l AS (SELECT doc_id, i, lines[i] AS line,
+                          translate(regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS key
+                   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS t(i)),
         o AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE last <> doc_id) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE last IS NULL OR last = doc_id), '')) AS kept_sha256

@@ -51,7 +51,7 @@ def _paths(size: int, anchor: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, uids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "uid"))
+            ids, uids = batch.column("doc_id"), batch.column("uid")
             for chunk in K.chunks(batch.column("text")):
                 words = chunk.words(~K.SPACE)
                 at = words.windows(size)
@@ -66,8 +66,9 @@ def _paths(size: int, anchor: int):
                 edges = np.diff(np.append(first, len(at)))
                 start, row = at[first], row[first]
                 path = K.window_hashes(words.hashes(1), start, edges + size - 1, 1)
+                own = pa.array(row + chunk.rows.start)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (mini[place[first]].view(np.int64), path.view(np.int64), ids[chunk.rows][row], uids[chunk.rows][row], (start - words.first[row]).astype(np.int32), edges.astype(np.int32))],
+                    [pa.array(mini[place[first]].view(np.int64)), pa.array(path.view(np.int64)), ids.take(own), uids.take(own), pa.array((start - words.first[row]).astype(np.int32)), pa.array(edges.astype(np.int32))],
                     ["mini", "path", "doc_id", "uid", "start", "edges"],
                 )
 
@@ -79,7 +80,7 @@ def _edges(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, uids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "uid"))
+            ids, uids = batch.column("doc_id"), batch.column("uid")
             for chunk in K.chunks(batch.column("text")):
                 words = chunk.words(~K.SPACE)
                 spans = batch.column("spans").slice(chunk.rows.start, chunk.n)
@@ -88,8 +89,9 @@ def _edges(size: int):
                     continue
                 at = np.repeat(words.first[row] + low - np.cumsum(count) + count, count) + np.arange(count.sum())
                 row = np.repeat(row, count)
+                own = pa.array(row + chunk.rows.start)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (*(K.window_hashes(words.hashes(s), at, size, s).view(np.int64) for s in (1, 2)), ids[chunk.rows][row], uids[chunk.rows][row], (at - words.first[row]).astype(np.int32))],
+                    [*(pa.array(K.window_hashes(words.hashes(s), at, size, s).view(np.int64)) for s in (1, 2)), ids.take(own), uids.take(own), pa.array((at - words.first[row]).astype(np.int32))],
                     ["edge", "check", "doc_id", "uid", "start"],
                 )
 
