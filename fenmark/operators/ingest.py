@@ -17,7 +17,10 @@ def quoted(name: str) -> str:
 
 
 def with_index(df: DataFrame, id_col: str = "SampleID") -> DataFrame:
-    """Rows with ``original_row_index`` in input order and an id; rows of a table without ids are ROW_0001, ..."""
+    """Rows with ``original_row_index`` in input order and an id; rows of a table without ids are ROW_0001, ...
+
+    df is a scan: its partitions are the same each time, which those of a shuffle need not be.
+    """
     out = df.withColumn("_at", F.monotonically_increasing_id())
     sizes = out.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
     before, total = {}, 0
@@ -105,12 +108,12 @@ def feature_matrix(measurements: DataFrame, features: Sequence[str]) -> DataFram
     """One row a sample with the features asked for; ratios are computed from their analytes."""
     base = sorted({*(f for f in features if f not in C.DERIVED), *(("Na", "Cl", "Mg", "Ca", "HCO3") if any(f in C.DERIVED for f in features) else ())})
     wide = to_wide(measurements, base)
-    made = S.derived({c: F.col(c) for c in base}) if any(f in C.DERIVED for f in features) else {}
+    made = S.derived({c: F.col(quoted(c)) for c in base}) if any(f in C.DERIVED for f in features) else {}
     return wide.select("sample_id", *(S.finite(made[f]).alias(f) if f in made else F.col(quoted(f)) for f in features))
 
 
 def thresholds_frame(spark: SparkSession, known: Sequence[C.Threshold]) -> DataFrame:
-    return spark.createDataFrame([(t.name, t.column, t.unit, t.threshold_value, t.threshold_source, t.exceedance_direction, t.notes) for t in known], "target_contaminant string, source_column string, unit string, threshold_value double, threshold_source string, exceedance_direction string, notes string")
+    return spark.createDataFrame([(t.name, t.column, t.unit, None if t.threshold_value is None else float(t.threshold_value), t.threshold_source, t.exceedance_direction, t.notes) for t in known], "target_contaminant string, source_column string, unit string, threshold_value double, threshold_source string, exceedance_direction string, notes string")
 
 
 def labels(samples: DataFrame, measurements: DataFrame, thresholds: DataFrame) -> DataFrame:

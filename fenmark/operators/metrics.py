@@ -135,11 +135,11 @@ def threshold_sweep(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     k = F.floor(F.col("p") * 100)
     k = k + F.when(F.col("p") >= (k + 1) / 100, 1).when(F.col("p") < k / 100, -1).otherwise(0)
-    hist = df.groupBy(*keys, F.least(F.lit(CUTOFFS), F.greatest(F.lit(0), k)).cast("int").alias("k")).agg(F.sum("y").cast("long").alias("p1"), F.sum(1 - F.col("y")).cast("long").alias("p0"))
-    all_ = hist.groupBy(*keys).agg(F.sum("p1").alias("pos"), F.sum("p0").alias("neg"), F.collect_list(F.struct("k", "p1", "p0")).alias("h"))  # a hundred cells at most
-    grid = all_.withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(CUTOFFS))))
-    above = lambda f: F.aggregate(F.filter("h", lambda x: x["k"] >= F.col("c")), F.lit(0).cast("long"), lambda s, x: s + x[f])
-    counted = grid.select(*keys, (F.col("c") / 100).alias("probability_cutoff"), above("p1").alias("tp"), above("p0").alias("fp"), "pos", "neg").withColumn("fn", F.col("pos") - F.col("tp")).withColumn("tn", F.col("neg") - F.col("fp"))
+    hist = df.groupBy(*keys, F.least(F.lit(CUTOFFS), F.greatest(F.lit(0), k)).cast("int").alias("_k")).agg(F.sum("y").cast("long").alias("p1"), F.sum(1 - F.col("y")).cast("long").alias("p0"))
+    all_ = hist.groupBy(*keys).agg(F.sum("p1").alias("pos"), F.sum("p0").alias("neg"), F.collect_list(F.struct("_k", "p1", "p0")).alias("_h"))  # a hundred cells at most
+    grid = all_.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(CUTOFFS))))
+    above = lambda f: F.aggregate(F.filter("_h", lambda x: x["_k"] >= F.col("_c")), F.lit(0).cast("long"), lambda s, x: s + x[f])
+    counted = grid.select(*keys, (F.col("_c") / 100).alias("probability_cutoff"), above("p1").alias("tp"), above("p0").alias("fp"), "pos", "neg").withColumn("fn", F.col("pos") - F.col("tp")).withColumn("tn", F.col("neg") - F.col("fp"))
     r = rates()
     return counted.select(*keys, "probability_cutoff", *(r[n].alias(n) for n in ("sensitivity", "specificity", "precision", "f1_score", "f2_score")), F.col("fn").alias("false_negatives_count"), F.col("fp").alias("false_positives_count"))
 

@@ -25,6 +25,21 @@ def hash_position(df: DataFrame, groups: Sequence[str], hash_hex: Column, tie: s
     return keyed.withColumn("_inside", inside).join(offsets, [*groups, "_bucket"]).withColumn(name, F.col("_inside") + F.col("_before")).drop("_hash", "_bucket", "_inside", "_before")
 
 
+def number_position(df: DataFrame, by: str, name: str = "position", buckets: int = 4096) -> DataFrame:
+    """0-based positions of rows in the order of a distinct, fairly even number such as a row's index.
+
+    As hash_position, with the number's range cut to equal buckets.
+    """
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    width = max(1, ((high or 0) - (low or 0)) // buckets + 1)
+    keyed = df.withColumn("_bucket", F.floor((F.col(by) - F.lit(low or 0)) / width))
+    totals = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over the few buckets
+    offsets = totals.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(by)) - 1
+    return keyed.withColumn("_inside", inside).join(offsets, "_bucket").withColumn(name, F.col("_inside") + F.col("_before")).drop("_bucket", "_inside", "_before")
+
+
 def top_k(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, ties: bool = False) -> DataFrame:
     """The first k rows of each group; with ties, all rows ranked up to k.  (Spark prunes groups before the shuffle.)"""
     w = Window.partitionBy(*groups).orderBy(*order)

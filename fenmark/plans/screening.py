@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fenmark import config as C
 from fenmark.functions import scalars as S
-from fenmark.operators import folds, ingest, leakage, metrics, models, spatial
+from fenmark.operators import folds, ingest, leakage, metrics, models, ranks, spatial
 from fenmark.plans import reports
 from fenmark.sources import readers, sinks
 from fenmark.sources.store import TABLES, Store
@@ -71,7 +71,7 @@ def ingest_study(store: Store, csv: str, run: C.RunConfig, thresholds: C.Thresho
 def cluster(store: Store, known: C.SpatialConfig) -> None:
     order = store.read("raw_samples").select("sample_id", F.col("original_row_index").alias("_row"))
     points = ingest.coordinates(store.read("cleaned_measurements"), known.latitude_column, known.longitude_column).join(order, "sample_id")
-    dense = ingest.with_index(points.orderBy("_row"), "sample_id").select("sample_id", "lat", "lon", "original_row_index").cache()
+    dense = ranks.number_position(points, "_row", "original_row_index").select("sample_id", "lat", "lon", "original_row_index").cache()
     k = known.number_of_spatial_clusters or spatial.choose_k(dense, known.max_clusters)
     assigned, _, _ = spatial.kmeans(dense, k)
     m = spatial.metadata(assigned)
