@@ -34,28 +34,40 @@ def finite(x: Column) -> Column:
     return F.when(is_finite(x), x)
 
 
+def cell_parts(raw: Column) -> dict[str, Column]:
+    """What parse_parts looks at, by name: the trimmed cell, and the numbers of it and of what follows its first character.
+
+    As columns of a frame they are computed once a row; inside one expression they would be repeated wherever they are used.
+    """
+    t = trimmed(F.coalesce(raw, F.lit("")))
+    return {"_cell": t, "_plain": parse_float(t), "_below": parse_float(trimmed(F.substr(t, F.lit(2))))}
+
+
+def parse_parts(cell: Column, plain: Column, below: Column, limit: Column) -> dict[str, Column]:
+    """value, is_bdl, is_err and rule of a cell; see parse_censored."""
+    low = F.lower(cell)
+    marker = low.isin("bdl", "nd", "n.d.", "<dl", "bl") | (cell == "-")
+    usable = is_finite(limit) & (limit > 0)
+    less = cell.startswith("<")
+    return {
+        "value": F.when(cell == "", None).when(marker, F.when(usable, limit / SQRT2)).when(less, below / SQRT2).otherwise(plain),
+        "is_bdl": ((cell != "") & (marker | less)).cast("int"),
+        "is_err": ((cell != "") & ~marker & F.when(less, below.isNull()).otherwise(plain.isNull())).cast("int"),
+        "rule": F.when(cell == "", None)
+        .when(marker, F.when(usable, F.lit("substituted_as_limit_div_sqrt2")).otherwise(F.lit("bdl_stored_as_missing_no_limit")))
+        .when(less, F.when(below.isNotNull(), F.lit("substituted_as_reported_limit_div_sqrt2")).otherwise(F.lit("failed_bdl_limit_parse"))),
+    }
+
+
 def parse_censored(raw: Column, limit: Column | None = None) -> Column:
     """(value, is_bdl, is_err, rule) of a cell; limit is its variable's detection limit, if there is one.
 
     A marker of no detection takes limit / sqrt(2), "<X" takes X / sqrt(2), and what is neither
     these nor a number is an error.  A blank cell has no value and is no error.
     """
-    limit = F.lit(None).cast("double") if limit is None else limit
-    t = trimmed(F.coalesce(raw, F.lit("")))
-    low = F.lower(t)
-    marker = low.isin("bdl", "nd", "n.d.", "<dl", "bl") | (t == "-")
-    usable = is_finite(limit) & (limit > 0)
-    below = parse_float(trimmed(F.substr(t, F.lit(2))))
-    less = t.startswith("<")
-    value = F.when(t == "", None).when(marker, F.when(usable, limit / SQRT2)).when(less, below / SQRT2).otherwise(parse_float(t))
-    rule = (
-        F.when(t == "", None)
-        .when(marker, F.when(usable, F.lit("substituted_as_limit_div_sqrt2")).otherwise(F.lit("bdl_stored_as_missing_no_limit")))
-        .when(less, F.when(below.isNotNull(), F.lit("substituted_as_reported_limit_div_sqrt2")).otherwise(F.lit("failed_bdl_limit_parse")))
-    )
-    is_bdl = (t != "") & (marker | less)
-    is_err = (t != "") & ~marker & F.when(less, below.isNull()).otherwise(parse_float(t).isNull())
-    return F.struct(value.alias("value"), is_bdl.cast("int").alias("is_bdl"), is_err.cast("int").alias("is_err"), rule.alias("rule"))
+    parts = cell_parts(raw)
+    made = parse_parts(*parts.values(), F.lit(None).cast("double") if limit is None else limit)
+    return F.struct(*(c.alias(n) for n, c in made.items()))
 
 
 def sigmoid(x: Column) -> Column:

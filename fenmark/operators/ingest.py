@@ -47,9 +47,9 @@ def to_long(rows: DataFrame, id_col: str = "SampleID", skip: Sequence[str] = ("L
 
 def min_detected(long: DataFrame) -> DataFrame:
     """(variable_name, min_detected): least value above 0 of cells that are plain numbers."""
-    p = S.parse_censored(F.col("raw_value_text"))
-    found = long.select("variable_name", p.alias("p")).where("p.is_bdl = 0 and p.is_err = 0").where(S.is_finite(F.col("p.value")) & (F.col("p.value") > 0))
-    return found.groupBy("variable_name").agg(F.min("p.value").alias("min_detected"))
+    cell = S.trimmed(F.col("raw_value_text"))
+    found = long.select("variable_name", S.parse_float(cell).alias("v")).where(S.is_finite(F.col("v")) & (F.col("v") > 0))
+    return found.groupBy("variable_name").agg(F.min("v").alias("min_detected"))
 
 
 def configured_limits(spark: SparkSession, limits: dict[str, float]) -> DataFrame:
@@ -69,23 +69,25 @@ def clean(long: DataFrame, limits: DataFrame, method: str = "limit_div_sqrt2", u
     fallback = F.col("min_detected") if use_min_detected else F.lit(None).cast("double")
     usable = F.when(S.is_finite(F.col("configured_limit")) & (F.col("configured_limit") > 0), F.col("configured_limit"))
     limit = F.lit(None).cast("double") if method == "none" else F.coalesce(usable, fallback)
-    p = S.parse_censored(F.col("raw_value_text"), limit)
-    raw = S.trimmed(F.coalesce("raw_value_text", F.lit("")))
+    raw = F.col("_cell")
+    parsed = with_limits.withColumns(S.cell_parts(F.col("raw_value_text")) | {"_limit": limit, "_no_limit": usable.isNull()})
+    parsed = parsed.withColumns({f"_{n}": c for n, c in S.parse_parts(raw, F.col("_plain"), F.col("_below"), F.col("_limit")).items()})
+    blank = raw == ""
     note = (
         F.when(blank, F.lit("empty_value"))
-        .when(F.col("p.is_err") == 1, F.lit("failed_numeric_parse"))
-        .when(F.col("p.rule") == "bdl_stored_as_missing_no_limit", F.lit("bdl_stored_as_missing"))
-        .when((F.col("p.is_bdl") == 1) & raw.startswith("<"), F.lit("bdl_substituted_reported_limit"))
-        .when((F.col("p.is_bdl") == 1) & usable.isNull(), F.lit("bdl_substituted_min_detected"))
-        .when(F.col("p.is_bdl") == 1, F.lit("bdl_substituted_configured_limit"))
+        .when(F.col("_is_err") == 1, F.lit("failed_numeric_parse"))
+        .when(F.col("_rule") == "bdl_stored_as_missing_no_limit", F.lit("bdl_stored_as_missing"))
+        .when((F.col("_is_bdl") == 1) & raw.startswith("<"), F.lit("bdl_substituted_reported_limit"))
+        .when((F.col("_is_bdl") == 1) & F.col("_no_limit"), F.lit("bdl_substituted_min_detected"))
+        .when(F.col("_is_bdl") == 1, F.lit("bdl_substituted_configured_limit"))
         .otherwise(F.lit(""))
     )
     units = F.create_map(*(F.lit(x) for c in (*C.SPECIAL_UNITS, *C.MEASURED_IN_MG_L) for x in (c, C.measurement_unit(c))))
     unit = F.when(~blank, F.coalesce(F.element_at(units, F.col("variable_name")), F.lit("unknown")))
-    value = F.when(F.isnan("p.value"), None).otherwise(F.col("p.value"))
-    return with_limits.withColumn("p", p).select(
-        "sample_id", "variable_name", "raw_value_text", value.alias("cleaned_value_real"), unit.alias("unit"), F.col("p.is_bdl").alias("bdl_flag"),
-        F.when(~blank, F.coalesce("p.rule", F.lit(""))).alias("bdl_rule"), ((F.col("p.is_err") == 1) | value.isNull()).cast("int").alias("missing_flag"), note.alias("cleaning_note"),
+    value = F.when(F.isnan("_value"), None).otherwise(F.col("_value"))
+    return parsed.select(
+        "sample_id", "variable_name", "raw_value_text", value.alias("cleaned_value_real"), unit.alias("unit"), F.col("_is_bdl").alias("bdl_flag"),
+        F.when(~blank, F.coalesce("_rule", F.lit(""))).alias("bdl_rule"), ((F.col("_is_err") == 1) | value.isNull()).cast("int").alias("missing_flag"), note.alias("cleaning_note"),
     )
 
 
