@@ -157,6 +157,8 @@ def archives(pages: DataFrame, key: str = "page_id", url: str = "url", payload:
     """(archive, records, content): the rows of pages as WARC archives."""
     rows = core(pages, key, payload, url=url).select(F.col("doc_id").alias("page_id"), "url", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload")).withColumn("sha", F.sha1("payload"))
     last = rows.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("_sha"), "last")
+    # Written first, so that the join deals both sides anew and AQE may split a payload that very many rows share.
+    last = written(last, "payloads")
     revisit = F.col("_sha").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     told = rows.join(last, rows.sha == last["_sha"], "left").withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("last")))
     # A revisit needs no payload: it is dropped before the rows go to Python.
