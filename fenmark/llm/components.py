@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star contraction.
 
-Each round replaces edges by edges to least neighbours (aggregates of min and
-equi-joins only, so a vertex with very many neighbours is no single task's
-work) and is written to the shared folder, which cuts the lineage.  The number
+Each round replaces edges by edges to least neighbours.  The aggregates are minima, and they are written before
+edges are joined with them, so that AQE may split the edges of a vertex with very many neighbours: it is no single
+task's work.  A round's edges are written to the shared folder, which cuts the lineage.  The number
 of rounds grows with the logarithm of the longest chain.  Nothing but two sums is
 brought to the driver.
 """
@@ -38,11 +38,12 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Links each larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(written(least, "least"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links each smaller neighbour of a node, and the node, to the least of them; edges are (larger, smaller)."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(least, "least")
     moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()

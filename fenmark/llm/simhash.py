@@ -90,7 +90,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, pair_limit: int = PAIR_LIMI
     tables = F.array(*(F.struct(F.lit(v).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for v, m in enumerate(kept)))
     keyed = distinct.select("fp", F.explode(tables).alias("x")).select("x.t", "x.k", "fp")
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(keyed.join(sizes, ["t", "k"]), "buckets")
+    met = written(keyed.join(written(sizes, "sizes"), ["t", "k"]), "buckets")
     few = met.where(F.col("n") <= pair_limit)
     a, b = few.select("t", "k", F.col("fp").alias("a")), few.select("t", "k", F.col("fp").alias("b"))
     pairs = a.join(b, ["t", "k"]).where("a > b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
@@ -99,7 +99,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, pair_limit: int = PAIR_LIMI
     near = met.where(F.col("n") > pair_limit).select("fp", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip"))
     near = near.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value")).distinct()
     centres = near.groupBy("value").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    stars = near.join(centres, "value").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    stars = near.join(written(centres, "centres"), "value").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return pairs.unionByName(stars).distinct()
 
 
