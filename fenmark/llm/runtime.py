@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import itertools
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/fenmark-{_RUN}/{next(_SERIAL)}-{name}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append((df.sparkSession, path))
-    # Spark removes the shuffle files of a finished plan once the driver's JVM has collected the plan.
+    # Spark removes the shuffle files of a finished plan once the driver's JVM has collected the plan,
+    # which Spark's listeners still hold for a moment.
+    time.sleep(0.15)
     df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -9,11 +9,11 @@ its first size - 1 words to its last).  Edges are not shuffled one by one:
     is about one path per (size - anchor + 2) / 2 words.
 2.  Minimizers are counted; a path whose minimizer occurs once holds no
     repeated edge and is dropped by a join.
-3.  If all paths of a minimizer are one and the same word sequence, nothing
-    branches: the path is compacted and resolved as a whole, its earliest
-    source coordinates (document, first word) taken by an aggregate.
-4.  Where paths of a minimizer differ (a branch), their edges are spelled out
-    from the text at their source coordinates and resolved one by one.
+3.  A path is compacted: its copies are one word sequence, and all but the one of the
+    earliest source coordinates (document, first word; an aggregate) repeat all of its edges.
+4.  Where a minimizer has paths of several sequences (a branch), the first copies of these
+    may share some edges.  Only their edges are spelled out, from the text at their
+    source coordinates, and resolved one by one.
 5.  Words covered by a repeated edge that has an earlier coordinate go.
 
 Sequences count as equal if two independent 64-bit hashes agree (minimizer and
@@ -135,12 +135,14 @@ def repeated_spans(keyed: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) -
     # frequent keys, and the shuffle files behind the aggregate are free to go.
     often = written(often, "often")
     shared = written(paths.join(often, "mini"), "paths")
-    groups = shared.groupBy("mini").agg((F.min("path") != F.max("path")).alias("branches"), F.min(place).alias("earliest"))
-    groups = written(groups, "groups")
-    judged = shared.join(groups, "mini")
-    whole = judged.where(~F.col("branches") & (place != F.col("earliest"))).select("doc_id", "uid", "start", (F.col("edges") + (size - 1)).alias("length"))
+    sequences = written(shared.groupBy("mini", "path").agg(F.min(place).alias("earliest")), "distinct")
+    branching = written(sequences.groupBy("mini").agg(F.count("*").alias("n")).where("n > 1").select("mini"), "branching")
+    later = F.col("place") != F.col("earliest")
+    judged = written(shared.withColumn("place", place).join(sequences, ["mini", "path"]).select("mini", "doc_id", "uid", "start", "edges", later.alias("later")), "judged")
+    # A later copy of a path repeats all of its edges.  The first of each path stays, unless edges of it are on other paths, too.
+    whole = judged.where("later").select("doc_id", "uid", "start", (F.col("edges") + (size - 1)).alias("length"))
     packed = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("edges").cast("long"))
-    open_ = judged.where("branches").groupBy("doc_id", "uid").agg(F.collect_list(packed).alias("spans"))
+    open_ = judged.where("not later").join(branching, "mini").groupBy("doc_id", "uid").agg(F.collect_list(packed).alias("spans"))
     edges = written(_with(keyed, open_, "inner").mapInArrow(_edges(size), "edge long, check long, doc_id long, uid long, start int"), "edges")
     first = edges.groupBy("edge", "check").agg(F.count("*").alias("n"), F.min(place).alias("earliest")).where("n > 1")
     first = written(first, "first")
