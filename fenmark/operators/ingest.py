@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fenmark import config as C
 from fenmark.functions import scalars as S
+from fenmark.operators.ranks import quantiles
 from fenmark.operators.upsert import last_write_wins
 
 
@@ -186,8 +187,10 @@ def validation(rows: DataFrame, required: Sequence[str]) -> DataFrame:
 
 def summary(measurements: DataFrame) -> DataFrame:
     """Per variable: counts of valid, censored and missing cells, and min, max and median of the valid ones (rounded to 3)."""
-    value = F.when((F.col("bdl_flag") == 0), F.col("cleaned_value_real"))
-    return measurements.groupBy("variable_name").agg(
-        F.count(value).alias("n_valid"), F.sum("bdl_flag").cast("long").alias("n_bdl"), F.sum(F.when((F.col("bdl_flag") == 0) & F.col("cleaned_value_real").isNull(), 1).otherwise(0)).cast("long").alias("n_missing"),
-        F.round(F.min(value), 3).alias("min_value"), F.round(F.max(value), 3).alias("max_value"), F.round(F.median(value), 3).alias("median_value"),
+    own = measurements.withColumn("_value", F.when(F.col("bdl_flag") == 0, F.col("cleaned_value_real")))
+    g = own.groupBy("variable_name").agg(
+        F.count("_value").alias("n_valid"), F.sum("bdl_flag").cast("long").alias("n_bdl"), F.sum(F.when((F.col("bdl_flag") == 0) & F.col("cleaned_value_real").isNull(), 1).otherwise(0)).cast("long").alias("n_missing"),
+        F.round(F.min("_value"), 3).alias("min_value"), F.round(F.max("_value"), 3).alias("max_value"),
     )
+    medians = quantiles(own, ["variable_name"], "_value", {"median_value": 0.5})
+    return g.join(medians, "variable_name", "left").withColumn("median_value", F.round("median_value", 3))

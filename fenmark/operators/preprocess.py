@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fenmark.functions.scalars import finite
+from fenmark.operators.ranks import quantiles
 
 MIN_SD = 1e-8
 
 
 def medians(long: DataFrame, keys: Sequence[str] = ("fold_index",)) -> DataFrame:
     """(keys.., feature, median): of finite training values, 0 if there is none."""
-    v = F.when(F.col("is_train") == 1, finite(F.col("value")))
-    return long.groupBy(*keys, "feature").agg(F.coalesce(F.median(v), F.lit(0.0)).alias("median"))
+    groups = [*keys, "feature"]
+    found = quantiles(long.where("is_train = 1").withColumn("value", finite(F.col("value"))), groups, "value", {"median": 0.5})
+    return long.select(*groups).distinct().join(found, groups, "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
 
 
 def imputed(long: DataFrame, keys: Sequence[str] = ("fold_index",)) -> DataFrame:

@@ -40,6 +40,37 @@ def number_position(df: DataFrame, by: str, name: str = "position", buckets: int
     return keyed.withColumn("_inside", inside).join(offsets, "_bucket").withColumn(name, F.col("_inside") + F.col("_before")).drop("_bucket", "_inside", "_before")
 
 
+def average_ranks(df: DataFrame, column: str, name: str = "rank", buckets: int = 4096) -> DataFrame:
+    """(column, name): each distinct number's average 1-based rank.
+
+    Distinct values are counted, cut to equal ranges, and numbered within these; no task sorts the whole column.
+    """
+    low, high = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
+    width = ((high or 0.0) - (low or 0.0)) / buckets or 1.0
+    counts = df.groupBy(column).agg(F.count("*").alias("_c")).withColumn("_bucket", F.floor((F.col(column) - F.lit(low or 0.0)) / width))
+    first = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over the few buckets
+    offsets = counts.groupBy("_bucket").agg(F.sum("_c").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(first), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_c").over(Window.partitionBy("_bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("_inside", inside).join(offsets, "_bucket").select(column, (F.col("_before") + F.col("_inside") + (F.col("_c") + 1) / 2).alias(name))
+
+
+def quantiles(df: DataFrame, groups: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
+    """(groups.., names): exact quantiles with linear interpolation, of values that aren't null.
+
+    Values are counted first; what is then sorted within a group can spill, which the values inside an aggregate can't.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*groups)
+    placed = counts.withColumn("_end", F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    here = lambda i: F.max(F.when((F.col("_end") > i) & (F.col("_end") - F.col("_c") <= i), F.col("_v")))
+    parts = []
+    for name, q in at.items():
+        h = (F.col("_n") - 1) * q
+        parts += [here(F.floor(h)).alias(f"_lo_{name}"), here(F.ceil(h)).alias(f"_hi_{name}"), F.max(h - F.floor(h)).alias(f"_w_{name}")]
+    g = placed.groupBy(*groups).agg(*parts)
+    return g.select(*groups, *((F.col(f"_lo_{n}") * (1 - F.col(f"_w_{n}")) + F.col(f"_hi_{n}") * F.col(f"_w_{n}")).alias(n) for n in at))
+
+
 def top_k(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, ties: bool = False) -> DataFrame:
     """The first k rows of each group; with ties, all rows ranked up to k.  (Spark prunes groups before the shuffle.)"""
     w = Window.partitionBy(*groups).orderBy(*order)

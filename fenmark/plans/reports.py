@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fenmark.functions import scalars as S
 from fenmark.operators import metrics
-from fenmark.operators.ranks import top_k
+from fenmark.operators.ranks import average_ranks, top_k
 
 Tables = Mapping[str, DataFrame]
 RUN = ("run_id", "target_contaminant", "predictor_tier", "algorithm", "cv_mode")
@@ -138,14 +138,12 @@ def top_features(values: DataFrame, keys: Sequence[str], k: int = 10, ties: bool
 def spearman(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, rho) over rows that have all columns: the correlation of average ranks.
 
-    Ranks come from counts of distinct values, so a window sorts those and not the rows.
+    Ranks come from counts of distinct values.
     """
     full = wide.dropna("any", subset=list(columns)).select(*columns)
     ranked = full
     for c in columns:
-        counts = full.groupBy(c).agg(F.count("*").alias("_c"))
-        before = F.coalesce(F.sum("_c").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = ranked.join(counts.select(c, (before + (F.col("_c") + 1) / 2).alias(f"_r_{c}")), c)
+        ranked = ranked.join(average_ranks(full, c, f"_r_{c}"), c)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     one = ranked.agg(*(F.corr(f"_r_{a}", f"_r_{b}").alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
     rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("rho")) for k, (a, b) in enumerate(pairs)))

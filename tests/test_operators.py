@@ -134,6 +134,16 @@ def test_hash_positions_are_dense(spark):
         assert (r.a, r.b, r.n) == (0, 2499, 2500)
 
 
+def test_quantiles_and_ranks_are_exact(spark):
+    rng = np.random.default_rng(9)
+    v = np.round(rng.normal(size=301), 1)
+    df = spark.createDataFrame([(int(i % 2), float(x)) for i, x in enumerate(v)] + [(0, None), (7, None)], "g int, x double")
+    for r in ranks.quantiles(df, ["g"], "x", {"a": 0.5, "b": 0.025, "c": 1.0}).collect():
+        assert [r.a, r.b, r.c] == pytest.approx(np.percentile(v[r.g :: 2], [50, 2.5, 100]))
+    got = {r.x: r["rank"] for r in ranks.average_ranks(df.where("x is not null"), "x").collect()}
+    assert all(got[x] == pytest.approx((v < x).sum() + ((v == x).sum() + 1) / 2) for x in v)
+
+
 def test_preprocessing_uses_training_rows_alone(spark):
     rows = [(0, "f", "a", 1.0, 1), (0, "f", "b", 3.0, 1), (0, "f", "c", 1000.0, 0), (0, "f", "d", None, 0), (0, "g", "a", None, 1), (0, "g", "b", float("nan"), 1), (0, "g", "c", 5.0, 0)]
     long = spark.createDataFrame(rows, "fold_index int, feature string, sample_id string, value double, is_train int")
