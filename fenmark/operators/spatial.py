@@ -16,13 +16,23 @@ def _nearest(centroids: Centroids) -> F.Column:
     return F.array_min(F.array(*each))
 
 
-def kmeans(points: DataFrame, k: int, max_iter: int = 200, tries: int = 0) -> tuple[DataFrame, Centroids, float]:
+def kmeans(points: DataFrame, k: int, max_iter: int = 200) -> tuple[DataFrame, Centroids, float]:
     """Clusters of points (sample_id, lat, lon, original_row_index from 0): the assigned points, centroids and inertia (sum of squared km).
 
     Starts from evenly spaced rows, keeps an empty cluster's centroid, and stops before
     centroids move if no point changes.  Each round is one aggregate over the points; only its
     k sums reach the driver.
     """
+    own = not points.is_cached
+    points = points.cache()
+    try:
+        return _kmeans(points, k, max_iter)
+    finally:
+        if own:
+            points.unpersist()
+
+
+def _kmeans(points: DataFrame, k: int, max_iter: int) -> tuple[DataFrame, Centroids, float]:
     n = points.count()
     k = min(k, n)
     if not k:
@@ -47,11 +57,13 @@ def kmeans(points: DataFrame, k: int, max_iter: int = 200, tries: int = 0) -> tu
 
 def choose_k(points: DataFrame, max_k: int = 8, max_iter: int = 100) -> int:
     """The elbow: the first k whose next cluster lowers inertia by under a tenth of the whole range."""
+    points = points.cache()
     n = points.count()
     if n <= 3:
         return min(2, n)
     max_k = max(2, min(max_k, n // 2))
     inertia = {k: kmeans(points, k, max_iter)[2] for k in range(2, max_k + 1)}
+    points.unpersist()
     span = inertia[2] - inertia[max_k]
     if span < 1e-6:
         return 3
