@@ -114,14 +114,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns, that stand for their component: its least doc_id, once.
+def representatives(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is their component_id in found, once.
 
     Of rows that repeat an id, those of one text count once, and those of different texts stay.
     """
     own, at = numbered(docs), place(docs, key)
-    found = near_duplicates(docs, key, text, size, radius)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     kept = own.join(keep, F.col(at).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
     twice = own.groupBy(at).count().where("count > 1").limit(1).count()
     return (kept.dropDuplicates([at, place(docs, text)]) if twice else kept).toDF(*docs.columns)
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, all columns, that stand for their component: its least doc_id, once (see ``representatives``)."""
+    return representatives(docs, near_duplicates(docs, key, text, size, radius), key, text)

@@ -554,3 +554,69 @@ def test_repeated_rows_and_ids_have_defined_results(spark):
 
 def test_empty_benchmark_contaminates_nothing(spark, docs, benchmark):
     assert decontam.judged(docs, benchmark.limit(0)).where("contaminated or n_hit > 0").count() == 0
+
+
+# Similarity of shingle sets (the pipeline's near-dedup)
+
+
+def plain_similar(texts):
+    """The least id of each text's component under a five-word Jaccard similarity of 0.8."""
+    sets = {}
+    for i, t in texts.items():
+        own = WORD.findall(lower(t or ""))
+        sets[i] = {" ".join(own[k : k + 5]) for k in range(max(1, len(own) - 4))} if own else {None}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def near_copies(seed=8):
+    """Chains of texts, each a few words from the one before, and unlike texts that share a passage."""
+    rng = random.Random(seed)
+    say = lambda k: [f"w{rng.randrange(5000)}" for _ in range(k)]
+    rows, passage = [], say(60)
+    for _ in range(3):
+        own = say(200)
+        for _ in range(20):
+            own = list(own)
+            for _ in range(rng.randint(1, 5)):
+                own[rng.randrange(len(own))] = "changed%d" % rng.randrange(9)
+            rows.append(" ".join(own).upper() if rng.random() < 0.2 else "\n".join(own))
+    rows += [" ".join(say(90) + passage + say(rng.randint(0, 60))) for _ in range(30)] + ["", None, "two words", "Two\twords", "five words of one text", "five words of one text"]
+    rng.shuffle(rows)
+    return [(i, t, "x", "a", 1) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("limit", [1, 4, 32])
+def test_similar_sets_equal_brute_force(spark, docs, texts, limit):
+    from fenmark.llm import neardup
+
+    rows = near_copies()
+    want = plain_similar({r[0]: r[1] for r in rows})
+    assert 5 < len(set(want.values())) < len(rows) - 20
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows), pair_limit=limit).collect()} == want
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, pair_limit=limit).collect()} == plain_similar(texts)
+
+
+def test_near_dedup_stage_finds_copies_with_changed_words(spark):
+    import corpus_pipeline
+
+    own = [f"word{k}" for k in range(300)]
+    rows = [(1, " ".join(own), "x", "a", 1), (2, " ".join("other" if k in (30, 90, 150, 210, 270) else w for k, w in enumerate(own)), "x", "a", 1), (3, " ".join(reversed(own)), "x", "a", 1)]
+    assert (simhash.fingerprint(rows[0][1].encode()) ^ simhash.fingerprint(rows[1][1].encode())).bit_count() > simhash.RADIUS
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()) == [1, 3]
+    df = frame(spark, ODD)
+    assert corpus_pipeline.near_dedup(spark, df, "").columns == df.columns and corpus_pipeline.near_dedup(spark, df.limit(0), "").collect() == []
+    # The empty texts 1, 2 and 3 are one, and the two rows of id 5; those of id 6 differ and stay.
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == ["1", "4", "5", "6", "6", "7", "8", "9", "None"]
