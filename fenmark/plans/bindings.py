@@ -136,7 +136,7 @@ def store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 # Coordinates and a feature matrix: vectors.
-FEATURES = 6
+FEATURES = 64
 POINTS_SQL = "points AS (SELECT CAST(vec_id AS VARCHAR) AS sample_id, vec_id AS original_row_index, CAST(embedding[1] AS DOUBLE) * 20 AS lat, CAST(embedding[2] AS DOUBLE) * 40 AS lon, CAST(label AS INTEGER) AS spatial_cluster_id FROM embeddings)"
 LONG_SQL = f"""long AS (SELECT CAST(vec_id AS VARCHAR) AS sample_id, CAST(label = 0 AS INTEGER) AS true_label, CAST(vec_id % 3 AS INTEGER) AS own, 'e' || f AS feature,
     CASE WHEN (vec_id + f) % 11 = 0 THEN NULL ELSE CAST(embedding[f] AS DOUBLE) END AS raw FROM embeddings, unnest(range(1, {FEATURES + 1})) AS t(f)),

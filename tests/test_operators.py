@@ -198,3 +198,13 @@ def test_predictions_do_not_depend_on_partitions(spark):
     keys = ["algorithm", "repeat_index", "fold_index"]
     a, b = (sorted(map(tuple, models.predictions(d, keys).collect())) for d in (df, df.repartition(9)))
     assert a == b and len(a) == 60
+
+
+def test_feature_queries_bind_whole_vectors(spark):
+    from fenmark.plans import bindings as B
+
+    sf = "/root/testdata/sf0.001"
+    whole = {str(r.vec_id): [float(v) for v in r.embedding] for r in B.table(spark, sf, "embeddings").collect()}
+    tasks = B.tasks(spark, sf, "RandomForest").collect()
+    assert {r.sample_id: r.features for r in tasks} == whole and {len(r.features) for r in tasks} == {len(r.feature_names) for r in tasks} == {64}
+    assert B.long_rows(spark, sf).select("feature").distinct().count() == 64
