@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fenmark.operators import metrics
 
 DRAWS = 2000
+PENALTY_C = 1e6
 
 
 def pick(draw: Column, slot: Column, n: Column, salt: str) -> Column:
@@ -44,7 +47,47 @@ def intervals(drawn: DataFrame, cutoff: float = 0.5) -> DataFrame:
     both = drawn.groupBy("draw").agg(F.min("y").alias("a"), F.max("y").alias("b")).where("a < b").select("draw")
     ok = drawn.join(both, "draw", "left_semi")
     per = average_precision(ok, ["draw"]).join(metrics.roc_auc(ok, ["draw"]), "draw").join(metrics.point_metrics(ok, ["draw"], cutoff), "draw").join(metrics.brier(ok, ["draw"]), "draw")
-    long = per.select("draw", "average_precision", "roc_auc", F.col("sensitivity").alias("recall"), "f2_score", "brier_score").unpivot("draw", ["average_precision", "roc_auc", "recall", "f2_score", "brier_score"], "metric", "value")
+    return _summed_up(per.select("draw", "average_precision", "roc_auc", F.col("sensitivity").alias("recall"), "f2_score", "brier_score"))
+
+
+def logistic_line(x: np.ndarray, n: np.ndarray, s: np.ndarray, c: float = PENALTY_C) -> tuple[float, float]:
+    """Slope and intercept of the converged logistic fit to s positives of n at each x, the slope's penalty being slope ** 2 / (2 c): damped Newton steps."""
+    loss = lambda b: float((n * np.logaddexp(0, b[0] * x + b[1]) - s * (b[0] * x + b[1])).sum() + b[0] ** 2 / (2 * c))
+    b = np.zeros(2)
+    for _ in range(200):
+        p = np.exp(-np.logaddexp(0, -(b[0] * x + b[1])))
+        w = n * p * (1 - p)
+        slope = np.array([((n * p - s) * x).sum() + b[0] / c, (n * p - s).sum()])
+        step = np.linalg.lstsq(np.array([[(w * x * x).sum() + 1 / c, (w * x).sum()], [(w * x).sum(), w.sum()]]), slope, rcond=None)[0]
+        now = loss(b)
+        while loss(b - step) > now and np.abs(step).max() > 1e-12:
+            step = step / 2
+        b = b - step
+        if np.abs(step).max() < 1e-10:
+            break
+    return float(b[0]), float(b[1])
+
+
+def calibration_lines(drawn: DataFrame) -> DataFrame:
+    """(draw, calibration_slope, calibration_intercept) of the draws that hold both classes, each fitted until it converges (unlike ``metrics.calibration``)."""
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        n, s, p = g["n"].to_numpy(float), g["s"].to_numpy(float), np.clip(g["p"].to_numpy(float), 1e-6, 1 - 1e-6)
+        lines = [(g["draw"].iloc[0], *logistic_line(np.log(p / (1 - p)), n, s))] if 0 < s.sum() < n.sum() else []
+        return pd.DataFrame(lines, columns=["draw", "calibration_slope", "calibration_intercept"])
+
+    cells = drawn.groupBy("draw", "p").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+    return cells.groupBy("draw").applyInPandas(fit, "draw long, calibration_slope double, calibration_intercept double")
+
+
+def calibration_intervals(drawn: DataFrame) -> DataFrame:
+    """(metric, median, lower_ci, upper_ci) of calibration slope and intercept over draws that hold both classes."""
+    return _summed_up(calibration_lines(drawn))
+
+
+def _summed_up(per: DataFrame) -> DataFrame:
+    """The intervals of every column of per but draw."""
+    long = per.unpivot("draw", [c for c in per.columns if c != "draw"], "metric", "value")
     q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975)))
     return long.groupBy("metric").agg(q.alias("q")).select("metric", F.col("q")[0].alias("median"), F.col("q")[1].alias("lower_ci"), F.col("q")[2].alias("upper_ci"))
 

@@ -615,7 +615,7 @@ def pooled_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Resampling: the draws are hashes, so SQL can draw the same.
 
 
-DRAWS = 100
+DRAWS = resample.DRAWS
 _BOOT = f"""WITH pr AS (SELECT doc_id AS sample_id, CAST(r AS INTEGER) AS repeat_index, quality AS y, ((doc_id * 37 + r * 11) % 101) / 101 AS p FROM labels, range(2) AS t(r)),
     wells AS (SELECT sample_id, count(*) AS repeats, max(y) AS y, row_number() OVER (ORDER BY sample_id) - 1 AS pos FROM pr GROUP BY sample_id), n AS (SELECT count(*) AS n FROM wells),
     slots AS (SELECT draw, slot, ('0x' || substr(md5('well:' || draw || ':' || slot), 1, 8))::BIGINT % n AS pos FROM n, range({DRAWS}) AS t(draw), (SELECT unnest(range((SELECT n FROM n))) AS slot)),
@@ -629,10 +629,18 @@ _BOOT = f"""WITH pr AS (SELECT doc_id AS sample_id, CAST(r AS INTEGER) AS repeat
 
 @query(f"{_BOOT} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(quantile_cont({m}, 0.5), 6) AS median, round(quantile_cont({m}, 0.025), 6) AS lower_ci, round(quantile_cont({m}, 0.975), 6) AS upper_ci FROM v" for m in ("average_precision", "roc_auc", "recall", "f2_score", "brier_score")))
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws are a parameter of the method (2000 by default); the wells are all labelled documents."""
+    """All draws of the method; the wells are all labelled documents.  The calibration metrics of the same draws are ``bootstrap_calibration``."""
+    return rounded(resample.intervals(resample.bootstrap(_labelled_predictions(spark, sf_dir), DRAWS)))
+
+
+@query()
+def bootstrap_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(resample.calibration_intervals(resample.bootstrap(_labelled_predictions(spark, sf_dir), DRAWS)))
+
+
+def _labelled_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = B.table(spark, sf_dir, "labels")
-    pr = lab.withColumn("repeat_index", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.col("doc_id").alias("sample_id"), "repeat_index", F.col("quality").alias("y"), (((F.col("doc_id") * 37 + F.col("repeat_index") * 11) % 101) / 101).alias("p"))
-    return rounded(resample.intervals(resample.bootstrap(pr, DRAWS)))
+    return lab.withColumn("repeat_index", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.col("doc_id").alias("sample_id"), "repeat_index", F.col("quality").alias("y"), (((F.col("doc_id") * 37 + F.col("repeat_index") * 11) % 101) / 101).alias("p"))
 
 
 # Joins and the like on plain tables.

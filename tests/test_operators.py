@@ -208,3 +208,27 @@ def test_feature_queries_bind_whole_vectors(spark):
     tasks = B.tasks(spark, sf, "RandomForest").collect()
     assert {r.sample_id: r.features for r in tasks} == whole and {len(r.features) for r in tasks} == {len(r.feature_names) for r in tasks} == {64}
     assert B.long_rows(spark, sf).select("feature").distinct().count() == 64
+
+
+def test_bootstrap_draws_and_calibration(spark):
+    from fenmark.operators import resample
+    from fenmark.plans import queries
+
+    assert queries.DRAWS == resample.DRAWS == 2000
+    rng = np.random.default_rng(6)
+    rows = [(f"s{i:02d}", r, int(i % 3 == 0), float(rng.integers(0, 9) / 8)) for i in range(12) for r in (0, 1)]
+    drawn = resample.bootstrap(spark.createDataFrame(rows, "sample_id string, repeat_index int, y int, p double"), 40).cache()
+    own = {}
+    for r in drawn.collect():
+        own.setdefault(r.draw, []).append((r.y, r.p))
+    own = {d: np.array(v) for d, v in own.items() if len({y for y, _ in v}) == 2}
+    got = {r.draw: (r.calibration_slope, r.calibration_intercept) for r in resample.calibration_lines(drawn).collect()}
+    assert set(got) == set(own) and len(own) > 20
+    for d, v in own.items():
+        y, q = v[:, 0], np.clip(v[:, 1], 1e-6, 1 - 1e-6)
+        x = np.log(q / (1 - q))
+        e = 1 / (1 + np.exp(-(got[d][0] * x + got[d][1]))) - y
+        assert abs((e * x).sum() + got[d][0] / 1e6) < 1e-6 and abs(e.sum()) < 1e-6  # the loss is convex: here it is least
+    ends = {r.metric: (r.median, r.lower_ci, r.upper_ci) for r in resample.calibration_intervals(drawn).collect()}
+    for k, m in enumerate(("calibration_slope", "calibration_intercept")):
+        assert ends[m] == pytest.approx(np.percentile([v[k] for v in got.values()], [50, 2.5, 97.5]))
