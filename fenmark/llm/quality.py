@@ -118,14 +118,12 @@ def features(chunk: K.Chunk) -> dict[str, np.ndarray]:
 
 def _lines(chunk: K.Chunk, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lines with a word, and those of them that equal an earlier line of their row."""
-    ends = np.union1d(np.flatnonzero(chunk.data == 0x0A), chunk.offsets[1:])
-    starts = np.zeros(len(ends), np.int64)
-    starts[1:] = ends[:-1]
-    starts += (starts < len(chunk.data)) & ~np.isin(starts, chunk.offsets)  # past the newline, if one ended the line before
+    starts = np.union1d(chunk.offsets[:-1], np.flatnonzero(chunk.data == 0x0A) + 1)
+    ends = np.append(starts[1:], len(chunk.data))
+    ends[:-1] -= chunk.data[starts[1:] - 1] == 0x0A  # short of the newline, if one ended the line
     row = np.searchsorted(chunk.offsets, starts, "right") - 1
     held = np.zeros(len(in_word) + 1, np.int64)
     np.cumsum(in_word, out=held[1:])
-    ends = np.maximum(starts, ends)
     full = held[ends] > held[starts]
     starts, ends, row = starts[full], ends[full], row[full]
     own = _by_row(K.span_hashes(chunk.data, starts, ends, K._BYTES[0]), row)

@@ -620,3 +620,13 @@ def test_near_dedup_stage_finds_copies_with_changed_words(spark):
     assert corpus_pipeline.near_dedup(spark, df, "").columns == df.columns and corpus_pipeline.near_dedup(spark, df.limit(0), "").collect() == []
     # The empty texts 1, 2 and 3 are one, and the two rows of id 5; those of id 6 differ and stay.
     assert sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == ["1", "4", "5", "6", "6", "7", "8", "9", "None"]
+
+
+def test_lines_of_texts_that_begin_or_end_with_newlines():
+    import pyarrow as pa
+
+    texts = ["\nfoo\nfoo", "", "foo\n", "\n\nfoo\n\nfoo\nbar\n", "\n", "foo", "foo\nfoo", "\n \n \nfoo"]
+    (chunk,) = kernels.chunks(pa.array(texts))
+    f = quality.features(chunk)
+    assert f["n_dup_lines"].tolist() == [plain_quality(t)[3] for t in texts] == [1, 0, 0, 1, 0, 0, 1, 0]
+    assert f["n_lines"].tolist() == [2, 0, 1, 3, 0, 1, 2, 1]
