@@ -558,7 +558,7 @@ def kmeans_haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def choose_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(spatial.choose_k(B.points(spark, sf_dir), 6, 20),)], "k int")
+    return spark.createDataFrame([(spatial.choose_k(B.points(spark, sf_dir)),)], "k int")
 
 
 # Models

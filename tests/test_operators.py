@@ -210,6 +210,15 @@ def test_feature_queries_bind_whole_vectors(spark):
     assert B.long_rows(spark, sf).select("feature").distinct().count() == 64
 
 
+def test_choose_k_query_tries_all_clusters_until_they_converge(spark, monkeypatch):
+    from fenmark.plans import queries
+
+    tried = []
+    monkeypatch.setattr(spatial, "kmeans", lambda points, k, max_iter: tried.append((k, max_iter)) or (points, [], 10.0 - k))
+    assert queries.QUERIES["choose_k"](spark, "/root/testdata/sf0.001").first().k == 8
+    assert tried == [(k, 100) for k in range(2, 9)]
+
+
 def test_bootstrap_draws_and_calibration(spark):
     from fenmark.operators import resample
     from fenmark.plans import queries
