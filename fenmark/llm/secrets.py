@@ -4,7 +4,8 @@ Base findings (assign, access, hex) are fixed patterns, each matched leftmost an
 without overlap.  Further kinds (``MORE``) are candidates.  Every finding's value is hashed;
 over the whole corpus the distinct repositories and owners of each hash are counted.
 A value that many owners hold is a widely copied example; one that few hold and that looks random
-is live.  Base findings always stay; a candidate becomes a finding only if it is live.
+is live.  Owners alone decide that; the count of repositories is only reported, so a value in many documents of one
+owner may be live, and one that three owners mirror is an example.  Base findings always stay; a candidate becomes a finding only if it is live.
 
 Positions are code points, ends exclusive.  A null or empty text has no findings; repeated
 rows are each reported and count as one repository; a null owner is an owner of its own.
