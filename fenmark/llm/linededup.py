@@ -8,17 +8,19 @@ lower-cased; it is kept as its 128-bit MD5.  The index has three parts:
 *filters* (shard, filter)       per shard of the key space a cuckoo filter of the
                                 keys found in at least ``min_docs`` documents
 
-``insert`` and ``delete`` change postings and references by equi-joins on the keys
-they touch, and bring each touched shard's filter up to date by cuckoo insertions
-and deletions of the keys whose count crossed ``min_docs``.  Filters can err only
-by letting a key through: the lines they pass are looked up in the exact
-references.  They are broadcast if their measured size is within ``BROADCAST_BYTES``; else
-every line is looked up exactly, with the same result.
+``insert`` and ``delete`` write what they change and no more: the new postings or the deleted ids, the references of the keys they
+touch, and the filters of shards with a key whose count crossed ``min_docs`` (by cuckoo insertions
+and deletions).  Frames of the index put the latest of these over the older ones; ``compacted`` writes them as one again.
+
+*Lookup.*  Postings are dealt to the filters by shard, whatever the filters' size: a shard's filter comes first in its partition and the postings
+stream past it, so a task holds one filter.  A shard whose most frequent key is in very many documents is dealt in several salts, each with a copy of the filter.  Filters can err only
+by letting a key through: the postings they pass are looked up in the exact references.
 
 Frequent keys are counted by partial aggregates and looked up by joins that AQE may
 split.  A null or empty text is one empty line; a document may repeat (same doc_id):
 its rows count as one document, and each row loses the same lines; null doc_ids
-count as one document that is the smallest.
+count as one document that is the smallest; an empty table gives an empty result; texts and lines of any length are taken whole.
+Keys are equal if their 128 bits are.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ from fenmark.llm import kernels as K
 from fenmark.llm.runtime import core, identity, numbered, place, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
-SHARD_KEYS, BROADCAST_BYTES = 50_000, 32 << 20
+#: Keys of a filter, and documents of a shard's most frequent key for each salt.
+SHARD_KEYS, SALT_DOCS = 50_000, 1 << 18
 _POSTINGS = "key binary, doc_id long, uid long"
 
 
@@ -96,8 +99,13 @@ class CuckooFilter:
         return False
 
     def __contains__(self, key: bytes) -> bool:
-        mark, one, two = self._places(key)
-        return bool((self.table[one] == mark).any() or (self.table[two] == mark).any())
+        return bool(self.holds(np.frombuffer(key, np.uint8).reshape(1, 16))[0])
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the keys (rows of 16 bytes) may be in the filter."""
+        mark = np.maximum(keys[:, :2].copy().view(">u2").ravel().astype(np.int64), 1)
+        one = keys[:, 4:8].copy().view(">u4").ravel().astype(np.int64) & (len(self.table) - 1)
+        return ((self.table[one] == mark[:, None]) | (self.table[self._other(one, mark)] == mark[:, None])).any(1)
 
     def to_bytes(self) -> bytes:
         return self.table.astype("<u2").tobytes()
@@ -109,10 +117,6 @@ class CuckooFilter:
         return out
 
 
-def shard_of(key: bytes, shards: int) -> int:
-    return int.from_bytes(key[12:16], "big") % shards
-
-
 def line_key(line: bytes) -> bytes:
     return line.strip().lower()
 
@@ -125,8 +129,8 @@ def digest(key: bytes) -> bytes:
     return hashlib.md5(key, usedforsecurity=False).digest()
 
 
-def postings(keyed: DataFrame, min_chars: int = MIN_CHARS, passes: CuckooShards | None = None) -> DataFrame:
-    """(key, doc_id, uid) of keyed (doc_id, uid, text): each row's distinct long keys (that the filters pass)."""
+def postings(keyed: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(key, doc_id, uid) of keyed (doc_id, uid, text): each row's distinct long keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +139,6 @@ def postings(keyed: DataFrame, min_chars: int = MIN_CHARS, passes: CuckooShards
                 keys, rows = [], []
                 for i in range(chunk.n):
                     own = {digest(k) for line in chunk.text(i).split(b"\n") if long_enough(k := line_key(line), min_chars)}
-                    own = [k for k in own if passes is None or k in passes]
                     keys += own
                     rows += [chunk.rows.start + i] * len(own)
                 at = pa.array(rows, pa.int64())
@@ -150,17 +153,6 @@ def references(of: DataFrame) -> DataFrame:
     return once.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
 
 
-class CuckooShards:
-    """All shards' filters, as the executors hold them."""
-
-    def __init__(self, filters: dict[int, bytes], shards: int) -> None:
-        self.filters, self.shards = {k: CuckooFilter.from_bytes(v) for k, v in filters.items()}, shards
-
-    def __contains__(self, key: bytes) -> bool:
-        own = self.filters.get(shard_of(key, self.shards))
-        return own is not None and key in own
-
-
 def _shard(key: str, shards: int) -> F.Column:
     return F.pmod(F.conv(F.hex(F.substring(key, 13, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int")
 
@@ -175,9 +167,27 @@ def build_filters(keys: DataFrame, shards: int) -> DataFrame:
     return keys.select(_shard("key", shards).alias("shard"), "key").groupBy("shard").applyInPandas(run, "shard int, filter binary")
 
 
+def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition of filters and postings, by shard and salt, a filter before its postings: the postings that their filter lets through."""
+    own, held = None, None
+    for batch in batches:
+        is_filter = batch.column("filter").is_valid().to_numpy(zero_copy_only=False)
+        shard, salt = (batch.column(c).to_numpy() for c in ("shard", "salt"))
+        cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1]) | is_filter[1:] | is_filter[:-1]) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if a == b:
+                continue
+            if is_filter[a]:
+                own, held = (shard[a], salt[a]), CuckooFilter.from_bytes(batch.column("filter")[a].as_py())
+            elif own == (shard[a], salt[a]):
+                rows = batch.slice(a, b - a)
+                keys = np.frombuffer(b"".join(rows.column("key").to_pylist()), np.uint8).reshape(-1, 16)
+                yield rows.select(["key", "doc_id", "uid"]).filter(pa.array(held.holds(keys)))
+
+
 @dataclass(frozen=True)
 class LineIndex:
-    """Postings, references and filters of the documents inserted so far (see the module)."""
+    """Postings, references and filters (shard, filter) of the documents inserted so far (see the module)."""
 
     postings: DataFrame
     references: DataFrame
@@ -187,42 +197,46 @@ class LineIndex:
     min_docs: int = MIN_DOCS
 
     @classmethod
-    def of(cls, keyed: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
+    def of(cls, keyed: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> LineIndex:
         """The index of keyed (doc_id, uid, text)."""
-        held = postings(keyed, min_chars)
+        held = written(postings(keyed, min_chars), "postings")
         refs = written(references(held), "references")
         often = refs.where(F.col("docs") >= min_docs)
-        shards = max(1, -(-often.count() // SHARD_KEYS))
+        shards = max(1, -(-often.count() // shard_keys))
         return cls(held, refs, written(build_filters(often.select("key"), shards), "filters"), shards, min_chars, min_docs)
 
     def insert(self, keyed: DataFrame) -> LineIndex:
         """With more documents; rows of a known doc_id add their lines to it."""
-        new = postings(keyed, self.min_chars)
+        new = written(postings(keyed, self.min_chars), "postings")
         return self._moved(self.postings.unionByName(new), new)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents named in the first column of doc_ids: as if they had never been inserted."""
-        gone = doc_ids.toDF("_gone", *doc_ids.columns[1:]).select("_gone").distinct()
+        gone = written(doc_ids.toDF("_gone", *doc_ids.columns[1:]).select("_gone").distinct(), "gone")
         match = F.col("doc_id").eqNullSafe(F.col("_gone"))
         return self._moved(self.postings.join(gone, match, "left_anti"), self.postings.join(gone, match, "left_semi"))
 
     def _moved(self, held: DataFrame, changed: DataFrame) -> LineIndex:
-        held = written(held, "postings")
-        touched = changed.select("key").distinct()
+        touched = written(changed.select("key").distinct(), "touched")
         fresh = written(references(held.join(touched, "key", "left_semi")), "references")
         before = self.references.select("key", F.col("docs").alias("was"))
         crossed = touched.join(before, "key", "left").join(fresh, "key", "left").select("key", (F.coalesce("was", F.lit(0)) >= self.min_docs).alias("was"), (F.coalesce("docs", F.lit(0)) >= self.min_docs).alias("now")).where("was <> now")
-        refs = written(self.references.join(touched, "key", "left_anti").unionByName(fresh), "references")
-        moves = crossed.select(_shard("key", self.shards).alias("shard"), "key", "now")
+        moves = written(crossed.select(_shard("key", self.shards).alias("shard"), "key", "now"), "moves")
+        refs = self.references.join(touched, "key", "left_anti").unionByName(fresh)
         updated = written(self._updated(moves), "filters")
         broken = updated.where(F.col("filter").isNull()).select("shard")
         keys = refs.where(F.col("docs") >= self.min_docs).select("key", _shard("key", self.shards).alias("shard"))
         rebuilt = build_filters(keys.join(broken, "shard", "left_semi").select("key"), self.shards)
-        filters = written(updated.where(F.col("filter").isNotNull()).unionByName(rebuilt), "filters")
+        fine = written(updated.where(F.col("filter").isNotNull()).unionByName(rebuilt), "filters")
+        filters = self.filters.join(moves.select("shard").distinct(), "shard", "left_anti").unionByName(fine)
         return LineIndex(held, refs, filters, self.shards, self.min_chars, self.min_docs)
 
+    def compacted(self) -> LineIndex:
+        """The same index, each of its tables written as one."""
+        return LineIndex(written(self.postings, "postings"), written(self.references, "references"), written(self.filters, "filters"), self.shards, self.min_chars, self.min_docs)
+
     def _updated(self, moves: DataFrame) -> DataFrame:
-        """Filters after deletions and insertions; null for a shard that overflowed."""
+        """The filters of the moves' shards after deletions and insertions; null for a shard that overflowed."""
 
         def run(key: tuple, old: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
             made = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else CuckooFilter(2)
@@ -233,21 +247,24 @@ class LineIndex:
                 return pd.DataFrame({"shard": [key[0]], "filter": [None]})
             return pd.DataFrame({"shard": [key[0]], "filter": [made.to_bytes()]})
 
-        old, new = self.filters.groupBy("shard"), moves.groupBy("shard")
+        old, new = self.filters.join(moves.select("shard").distinct(), "shard", "left_semi").groupBy("shard"), moves.groupBy("shard")
         return old.cogroup(new).applyInPandas(run, "shard int, filter binary")
 
-    def passing(self) -> CuckooShards | None:
-        """The filters for the executors, if they are small enough to be broadcast."""
-        size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-        if size > BROADCAST_BYTES:
-            return None
-        return CuckooShards({r.shard: bytes(r.filter) for r in self.filters.collect()}, self.shards)
-
-    def dropped(self, keyed: DataFrame) -> DataFrame:
-        """(doc_id, uid, keys): per row of keyed the keys whose lines go."""
-        maybe = postings(keyed, self.min_chars, self.passing())
+    def passing(self, some: DataFrame, salt_docs: int = SALT_DOCS) -> DataFrame:
+        """Those of some postings whose key the filter of its shard lets through."""
+        most = self.references.where(F.col("docs") >= self.min_docs).groupBy(_shard("key", self.shards).alias("shard")).agg(F.max("docs").alias("most"))
+        salts = (F.floor(F.col("most") / salt_docs) + 1).cast("int")
+        known = written(self.filters.join(most, "shard").withColumn("salts", salts).select("shard", "salts", "filter"), "dealt")
+        copies = known.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "filter", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("uid"))
+        rows = some.withColumn("shard", _shard("key", self.shards)).join(known.select("shard", "salts"), "shard")
+        rows = rows.select("shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(None).cast("binary").alias("filter"), "key", "doc_id", "uid")
+        dealt = copies.unionByName(rows).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+        return dealt.mapInArrow(_passed, _POSTINGS)
+
+    def dropped(self, salt_docs: int = SALT_DOCS) -> DataFrame:
+        """(doc_id, uid, keys): per row of the index the keys whose lines go."""
         exact = self.references.where(F.col("docs") >= self.min_docs).select("key", "last")
-        lost = maybe.join(exact, "key").where(~F.col("doc_id").eqNullSafe(F.col("last")))
+        lost = written(self.passing(self.postings, salt_docs), "passed").join(exact, "key").where(~F.col("doc_id").eqNullSafe(F.col("last")))
         return lost.groupBy("doc_id", "uid").agg(F.collect_set("key").alias("keys"))
 
 
@@ -281,7 +298,7 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars:
     own, at, names = numbered(docs), place(docs, text), docs.columns
     known, uid = identity(own, place(docs, key), at)
     keyed = known.select(F.col(place(docs, key)).cast("long").alias("doc_id"), F.col(uid).alias("uid"), F.col(at).cast("string").alias("text"))
-    lost = LineIndex.of(keyed, min_chars, min_docs).dropped(keyed).select(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), F.col("keys").alias("_keys"))
+    lost = written(LineIndex.of(keyed, min_chars, min_docs).dropped(), "lost").select(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), F.col("keys").alias("_keys"))
     match = F.col(place(docs, key)).cast("long").eqNullSafe(F.col("_d")) & (F.col(uid) == F.col("_u"))
     with_keys = known.join(lost, match, "left").select(*own.columns, "_keys")
 
@@ -308,6 +325,6 @@ def keyed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Per row: doc_id, n_lines, n_dropped, kept_sha256, kept_text (the lines that stay, joined by newlines)."""
     keyed = keyed_rows(docs, key, text)
-    lost = LineIndex.of(keyed, min_chars, min_docs).dropped(keyed).select(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), "keys")
+    lost = written(LineIndex.of(keyed, min_chars, min_docs).dropped(), "lost").select(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), "keys")
     with_keys = keyed.join(lost, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("uid") == F.col("_u")), "left").select("doc_id", "uid", "text", "keys")
     return with_keys.mapInArrow(_rebuilt(min_chars), "doc_id long, uid long, n_lines long, n_dropped long, kept_sha256 string, kept_text string").drop("uid")
