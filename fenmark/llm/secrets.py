@@ -3,12 +3,13 @@
 Base findings (assign, access, hex) are fixed patterns, each matched leftmost and
 without overlap.  Further kinds (``MORE``) are candidates.  Every finding's value is hashed;
 over the whole corpus the distinct repositories and owners of each hash are counted.
-A value that many owners hold is a widely copied example; one that few hold and that looks random
-is live.  Owners alone decide that; the count of repositories is only reported, so a value in many documents of one
-owner may be live, and one that three owners mirror is an example.  Base findings always stay; a candidate becomes a finding only if it is live.
+A value is a widely copied example if more than ``MAX_LIVE_REPOS`` repositories hold it, whoever owns them, or more than ``MAX_LIVE_OWNERS`` owners and
+more than ``MAX_MIRRORS`` repositories (so that a document which a few owners mirror doesn't make its secret an example); any other
+that looks random is live.  Base findings always stay; a candidate becomes a finding only if it is live.
 
 Positions are code points, ends exclusive.  A null or empty text has no findings; repeated
-rows are each reported and count as one repository; a null owner is an owner of its own.
+rows are each reported and count as one repository; a null owner is an owner of its own; an empty table gives an empty result;
+texts of any length are searched whole, in time that grows with the length and not with length times findings.
 Values are hashed before they leave the Python worker.  Hashes are counted by partial
 aggregates and looked up by joins that AQE may split, so a value in a third of all rows is no
 single task's work.
@@ -43,7 +44,7 @@ MORE = {
     "random": (re.compile(r"[A-Za-z0-9+/_-]{24,}"), 0, 24),
 }
 KINDS = (*BASE, *MORE)
-MAX_LIVE_OWNERS, MIN_ENTROPY = 2, 3.0
+MAX_LIVE_OWNERS, MAX_MIRRORS, MAX_LIVE_REPOS, MIN_ENTROPY = 2, 4, 24, 3.0
 #: Values that documentation uses.
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|your[_-]|xxxx|(.)\1{7}", re.I)
 
@@ -71,7 +72,7 @@ def find(text: str) -> list[tuple[int, int, int, str, bool]]:
     low = raw.lower()
     worded = any(w in low for w in _WORDS)
     marked = _LONG in raw.translate(_RUN) or any(m in raw for m in _MARKS)
-    out = []
+    out, taken = [], bytearray(len(text))
     for k, kind in enumerate(KINDS):
         if not (worded if kind == "assign" else marked):
             continue
@@ -79,8 +80,9 @@ def find(text: str) -> list[tuple[int, int, int, str, bool]]:
         for m in pattern.finditer(text):
             if m.end(group) - m.start(group) < least or (kind == "random" and not _mixed(m[0])):
                 continue
-            if kind in MORE and any(s < m.end() and m.start() < e for _, s, e, _, _ in out):
+            if kind in MORE and taken.find(1, m.start(), m.end()) >= 0:
                 continue
+            taken[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
             out.append((k, m.start(), m.end(), m[group], kind in BASE))
     return sorted(out, key=lambda x: (x[1], x[0]))
 
@@ -113,7 +115,7 @@ def _named(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", max_live_owners: int = MAX_LIVE_OWNERS) -> DataFrame:
+def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", max_live_owners: int = MAX_LIVE_OWNERS, max_mirrors: int = MAX_MIRRORS, max_live_repos: int = MAX_LIVE_REPOS) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, findings.
 
     findings: kind, start, end, repos, owners, verdict (live, example or unclear) of each span.
@@ -121,7 +123,8 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str
     found = written(candidates(docs, key, text, repo, owner).withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = found.select("row", "repo", "owner", F.explode("found").alias("x")).select("row", "repo", "owner", "x.*")
     owned = written(ownership(each.select("value", "repo", "owner")), "ownership")
-    verdict = F.when(F.col("owners") > max_live_owners, "example").when(F.col("random"), "live").otherwise("unclear")
+    copied = (F.col("repos") > max_live_repos) | ((F.col("owners") > max_live_owners) & (F.col("repos") > max_mirrors))
+    verdict = F.when(copied, "example").when(F.col("random"), "live").otherwise("unclear")
     judged = each.join(owned, "value").withColumn("verdict", verdict).where(F.col("base") | (F.col("verdict") == "live"))
     item = F.struct("start", "kind", "end", "base", "repos", "owners", "verdict")
     rows = judged.groupBy("row").agg(F.sort_array(F.collect_list(item)).alias("spans"))
