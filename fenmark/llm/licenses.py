@@ -14,7 +14,8 @@ the hash of a shingle they share.  So windows that hold none of the shingles at
 collide with no band; only the others get signatures.  Likewise only texts with a word of
 such a shingle are cut to shingles.  Neither loses a collision.
 
-A null or empty text, or one of fewer than five words, matches nothing; repeated rows match alike;
+A null or empty text, or one of fewer than five words, matches nothing; an empty table gives an empty result; texts of any length are scanned
+whole, at a cost that grows with their words and hits; repeated rows match alike;
 rows of one doc_id and different texts are kept apart; a document may match several templates, and
 each is reported with its best window (greatest containment, then first).
 """
@@ -108,22 +109,27 @@ def matches(keyed: DataFrame, known: tuple = TEMPLATES) -> DataFrame:
     spark = keyed.sparkSession
     t = templates(spark, known)
     sought = attained(t)
-    # Bounded by the fixed list of templates: at most ROWS * BANDS shingles of each.
-    found = sought.select("hash", "gate").distinct().collect()
+    # Bounded by the fixed list of templates: at most ROWS * BANDS shingles of each, and one class of windows.
+    found = sought.select("hash", "gate", "n", "stride").distinct().collect()
     gates = F.array(*(F.lit(g) for g in sorted({r.gate for r in found})))
-    hashes = sorted({r.hash for r in found})
-    classes = sought.select("hash", "n", "stride").distinct()
+    classes: dict[tuple[int, int], list[int]] = {}
+    for r in sorted(found):
+        classes.setdefault((r.n, r.stride), []).append(r.hash)
 
     texts = keyed.where("text is not null").select("doc_id", "uid", words(F.col("text")).alias("own")).where(F.arrays_overlap("own", gates))
     cut = texts.withColumn("hashes", shingle_hashes(F.col("own")))
-    hits = F.filter(F.transform("hashes", lambda h, i: F.struct(i.alias("at"), h.alias("hash"))), lambda x: x["hash"].isin(hashes))
-    hit = cut.select("doc_id", "uid", "own", "hashes", F.explode(hits).alias("x")).select("doc_id", "uid", "own", "hashes", "x.at", "x.hash")
-    n, stride, at = F.col("n"), F.col("stride"), F.col("at")
-    first = F.greatest(F.lit(0), F.ceil((at - n + 1) / stride).cast("int"))
-    window = hit.join(F.broadcast(classes), "hash").withColumn("window", F.explode(F.sequence(first, F.floor(at / stride).cast("int"))))
-    start = F.col("window") * stride
-    low = F.greatest(F.lit(0), start - stride)
-    window = window.select("doc_id", "uid", "n", "stride", start.alias("start"), F.slice("hashes", start + 1, n).alias("inner"), F.slice("own", low + 1, start - low + n + stride + (SHINGLE - 1)).alias("region")).dropDuplicates(["doc_id", "uid", "n", "start"])
+    hits = F.filter(F.transform("hashes", lambda h, i: F.struct(i.alias("at"), h.alias("hash"))), lambda x: x["hash"].isin(sorted({r.hash for r in found})))
+    hit = cut.select("doc_id", "uid", "own", "hashes", hits.alias("hits")).where(F.size("hits") > 0)
+
+    def windows(n: int, stride: int, own: list[int]) -> Column:
+        """The windows of a class that hold one of its hits, each once, cut out of the document: no array of it is copied for a hit."""
+        mine = F.filter("hits", lambda x: x["hash"].isin(own))
+        span = lambda x: F.sequence(F.greatest(F.lit(0), F.ceil((x["at"] - (n - 1)) / stride).cast("int")), F.floor(x["at"] / stride).cast("int"))
+        starts = F.array_distinct(F.flatten(F.transform(mine, lambda x: F.transform(span(x), lambda w: w * stride))))
+        low = lambda s: F.greatest(F.lit(0), s - stride)
+        return F.transform(starts, lambda s: F.struct(F.lit(n).alias("n"), s.alias("start"), F.slice("hashes", s + 1, F.lit(n)).alias("inner"), F.slice("own", low(s) + 1, s - low(s) + (n + stride + SHINGLE - 1)).alias("region")))
+
+    window = hit.select("doc_id", "uid", F.explode(F.flatten(F.array(*(windows(n, stride, own) for (n, stride), own in sorted(classes.items()))))).alias("w")).select("doc_id", "uid", "w.*")
 
     t_bands = t.select("template", "n", F.explode(bands("hashes")).alias("b")).select("template", "n", "b.band", "b.key")
     w_bands = window.select("doc_id", "uid", "n", "start", "region", F.explode(bands("inner")).alias("b")).select("doc_id", "uid", "n", "start", "region", "b.band", "b.key")
