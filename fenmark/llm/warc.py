@@ -13,8 +13,9 @@ block; block and payload digests are verified.  A malformed archive raises ``War
 Revisits find their payload's length through the response that they refer to.
 
 A null html is an empty payload; repeated rows of the largest id are responses all;
-a null id comes before all others and refers like them.  Equal payloads are grouped by
-partial aggregates and joins that AQE may split, without their payloads.
+a null id comes before all others and refers like them; an empty table gives no archive and no record; a payload of any length is one record.
+Equal payloads are counted by a partial aggregate of their hashes.  Where the repeated hashes are too many to be broadcast, the pages are shuffled once, payloads and all, to
+meet them, in a join that AQE may split.  Archives are decompressed and verified once; the rest works on the records' slim columns.
 """
 
 from __future__ import annotations
@@ -192,7 +193,7 @@ def read(archives: DataFrame) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """records without payloads, revisits with the payload_bytes of their response."""
+    """records (a table of their slim columns, as it is read more than once), revisits with the payload_bytes of their response."""
     slim = records.drop("payload", "url")
     known = slim.where("record_type <> 'revisit'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("known")).withColumnRenamed("payload_digest", "_digest")
     revisits = slim.where("record_type = 'revisit'").join(known, F.col("payload_digest") == F.col("_digest"), "left").withColumn("payload_bytes", F.col("known")).select(*slim.columns)
@@ -201,7 +202,7 @@ def resolved(records: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Writes pages as archives, reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    records = read(written(archives(pages, key, url, payload), "warc"))
+    records = written(read(written(archives(pages, key, url, payload), "warc")).drop("payload"), "records")
     return resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
