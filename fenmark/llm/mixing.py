@@ -2,77 +2,119 @@
 
 *Targets.*  The sources, ordered by code point with null last, have weights
 that repeat ``WEIGHTS``; they share ``SHARE`` of all words by weight, none above ``MOST`` times
-its own words, the excess being shared again by weight.
+its own words, the excess being shared again by weight.  They are a table, and its rounds of sharing are aggregates.
 
 *Quotas.*  A source whose target is p whole passes and a rest takes each document p times,
-and of one more pass exactly the rest's number of words.  That rest is split down a tree over the output shards: each
-node deals its quota to up to ``FANOUT`` children by a multivariate
-hypergeometric draw from the words they hold, which is how a random sample without replacement
-would fall on them.  A node is a group of at most ``FANOUT`` rows, seeded by its
-place in the tree, so draws depend on neither partitioning nor retries.
-
-*Blocks.*  Documents go to shards by hash.  Within a shard and source, their blocks of ``BLOCK``
-words are permuted and taken, each once, until the quota is met; the last one is cut
-so that it is met exactly.  A shard holds about ``SHARD_BLOCKS`` blocks of a source
-however large the source is: large sources have more shards, and no task gathers one.
-
-Per source the driver holds a row (its words and its target), nothing per document.
+and of one more pass exactly the rest's number of words: as many whole blocks of ``BLOCK`` words as it holds, and the words left over.
+
+*Tree.*  The output shards are common to all sources, about ``SHARD_BLOCKS`` blocks each.  Documents go to them by hash, and each source's quota is split down a
+binary tree over the shards: a node deals its blocks to its two halves by a hypergeometric draw from the blocks they
+hold (and the few words left over likewise from the words that remain), which is how a random sample without replacement
+would fall on them.  Draws are exact at any size, by ratios of uniforms.  Each is seeded by its node's
+place, so they depend on neither partitioning nor retries.  A task takes ``LEVELS`` levels of the tree, of one source, at a time.
+
+*Blocks.*  Within a shard and source, documents stand in a random order, their words are cut into
+blocks, and the quota's number of them is drawn by a permutation; words left over come from the first blocks not drawn.  However
+large a source is, no task gathers more than its part of a shard.
+
 Null texts have size 0 and are taken 0 times; rows that repeat a document are documents of
-their own; null doc_ids are allowed; an empty table gives an empty mix.
+their own, in the same shard; null doc_ids are allowed; an empty table gives an empty mix; texts of any length are one document of one shard.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fenmark.llm import kernels as K
 from fenmark.llm.runtime import core, written
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-BLOCK, SHARD_BLOCKS, FANOUT, SEED = 64, 20_000, 64, 11
+BLOCK, SHARD_BLOCKS, LEVELS, SEED = 64, 1024, 12, 11
 
 
 def rng(*place: object) -> np.random.Generator:
     return np.random.default_rng(np.frombuffer(hashlib.sha256(repr((SEED, *place)).encode()).digest(), np.uint64))
 
 
-def targets(sizes: list[tuple[str | None, int]]) -> dict[str | None, float]:
-    """Targets of (source, words)."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: WEIGHTS[i % len(WEIGHTS)] for i, (s, _) in enumerate(order)}
-    words = dict(order)
-    left, free, out = SHARE * sum(words.values()), list(words), {}
-    while free:
-        total = sum(weight[s] for s in free)
-        full = [s for s in free if left * weight[s] / total > MOST * words[s]]
-        if not full:
-            out |= {s: left * weight[s] / total for s in free}
+def targets(sizes: DataFrame) -> DataFrame:
+    """(source, words) -> (source, words, target), one row a source."""
+    # Places in the order of code points, from the sorted parts' sizes: no task sees all sources.
+    parts = written(sizes.orderBy(F.col("source").isNull(), "source").withColumn("at", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("at", 33)
+    before = parts.groupBy(part.alias("part")).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in WEIGHTS)), (rank % len(WEIGHTS) + 1).cast("int"))
+    known = written(parts.withColumn("part", part).join(before, "part").select("source", "words", weight.alias("weight")), "weights")
+    # A source is full if its limit is below its part of what the others leave; each round finds more of them.
+    limit, left, total, full = F.col("words") * MOST, None, None, None
+    while True:
+        is_full = F.lit(False) if left is None else F.lit(left) * F.col("weight") / F.lit(total) > limit
+        r = known.agg(F.sum("words").alias("words"), F.coalesce(F.sum(F.when(is_full, limit)), F.lit(0)).alias("gone"), F.sum(F.when(~is_full, F.col("weight"))).alias("total"), F.count(F.when(is_full, 1)).alias("full")).first()
+        if full == r.full or not r.total:
             break
-        out |= {s: float(MOST * words[s]) for s in full}
-        left -= sum(MOST * words[s] for s in full)
-        free = [s for s in free if s not in out]
-    return out
-
-
-def split(quota: int, held: np.ndarray, draw: np.random.Generator) -> np.ndarray:
-    """A multivariate hypergeometric draw of quota from held; in steps of several words beyond NumPy's range."""
-    step = max(1, int(held.sum()) // 500_000_000)
-    whole = held // step
-    n = min(quota // step, int(whole.sum()))
-    out = draw.multivariate_hypergeometric(whole, n, method="marginals") * step
-    short = quota - int(out.sum())
-    for k in range(len(held)):  # what the steps leave over
-        more = min(short, int(held[k] - out[k]))
-        out[k] += more
-        short -= more
-    return out
+        left, total, full = SHARE * r.words - r.gone, r.total, r.full
+    if left is None:
+        return known.select("source", "words", limit.cast("double").alias("target"))
+    return known.select("source", "words", F.least(F.lit(left) * F.col("weight") / F.lit(total), limit.cast("double")).alias("target"))
+
+
+def _log_factorial_step(a: int, d: int) -> float:
+    """log((a + d)! / a!), without loss of digits where a is large."""
+    x = d / a if a else 1.0
+    if a < 1e6 or abs(x) > 1e-3:
+        return math.lgamma(a + d + 1) - math.lgamma(a + 1)
+    bend = x * x * (-0.5 + x * (1 / 3 + x * (-0.25 + x * 0.2)))  # log1p(x) - x
+    return d * math.log(a) + a * bend + (d + 0.5) * math.log1p(x) + (1 / (a + d) - 1 / a) / 12
+
+
+def hypergeometric(good: int, bad: int, n: int, draw: np.random.Generator) -> int:
+    """How many of n that are drawn without replacement from good + bad are good, at any size.
+
+    The ratio of uniforms (Stadlober): the hat of a unimodal distribution's square root, and exact acceptance by the chance's ratio to the mode's.
+    """
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    every = good + bad
+    mean = n * good / every
+    spread = mean * bad / every * (every - n) / max(1, every - 1)
+    width = 1.7155277699214135 * math.sqrt(spread + 0.5) + 0.8989161620588988  # 2 sqrt(2 / e), 3 - 2 sqrt(3 / e)
+    mode = min(max((n + 1) * (good + 1) // (every + 2), low), high)
+    while True:
+        u, v = 1 - draw.random(), draw.random()
+        x = mean + 0.5 + width * (v - 0.5) / u
+        if not low <= x < high + 1:
+            continue
+        k = int(x)
+        d = k - mode
+        ratio = -sum(_log_factorial_step(a, s * d) for a, s in ((mode, 1), (good - mode, -1), (n - mode, -1), (bad - n + mode, 1)))
+        if 2 * math.log(u) <= ratio:
+            return k
+
+
+def split(blocks: np.ndarray, words: np.ndarray, quota: tuple[int, int], levels: int, place: tuple) -> np.ndarray:
+    """The quota (blocks, words left over) of a node dealt to its 2 ** levels descendants, which hold these blocks and words.
+
+    place is (source, depth below the root, number among the nodes of that depth).
+    """
+    if not levels:
+        return np.array([quota], np.int64)
+    half, (source, depth, node), draw = 1 << (levels - 1), place, rng("node", *place)
+    held, rest = (int(x[:half].sum()) for x in (blocks, words))
+    b = hypergeometric(held, int(blocks.sum()) - held, quota[0], draw)
+    # What remains of either half's words once its blocks are gone.
+    over, other = rest - b * BLOCK, int(words.sum()) - rest - (quota[0] - b) * BLOCK
+    w = hypergeometric(over, other, quota[1], draw)
+    sides = ((blocks[:half], words[:half], (b, w), 2 * node), (blocks[half:], words[half:], (quota[0] - b, quota[1] - w), 2 * node + 1))
+    return np.concatenate([split(x, y, q, levels - 1, (source, depth + 1, n)) for x, y, q, n in sides])
 
 
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -83,99 +125,101 @@ def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
             for chunk in K.chunks(batch.column("text")):
                 n = chunk.words(~K.SPACE).counts.astype(np.int64)
                 ids, src = (batch.column(c).slice(chunk.rows.start, chunk.n) for c in ("doc_id", "source"))
-                own = K.span_hashes(chunk.data, chunk.offsets[:-1], chunk.offsets[1:], K._BYTES[2]).view(np.int64)
+                own = K.byte_hashes(chunk.data, chunk.offsets[:-1], chunk.offsets[1:]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([ids, src, pa.array(n), pa.array(own)], ["doc_id", "source", "size", "digest"])
 
     return core(docs, key, text, source=source).mapInArrow(run, "doc_id long, source string, size long, digest long").withColumn("row", F.monotonically_increasing_id())
 
 
-def _deal(group: pd.DataFrame) -> pd.DataFrame:
-    """The quota of a node, dealt to its children."""
-    group = group.sort_values("child", kind="stable")
-    source, level = group["source"].iloc[0], int(group["level"].iloc[0])
-    quota = split(int(group["quota"].iloc[0]), group["words"].to_numpy(np.int64), rng("node", source, level, int(group["parent"].iloc[0])))
-    return pd.DataFrame({"source": group["source"], "node": group["child"], "quota": quota})
-
-
-def _quotas(cells: DataFrame, plan: DataFrame, depth: int) -> DataFrame:
-    """(source, node, quota) of the shards: the tree's draws from the root down."""
-    node = F.col("shard")
-    quotas = plan.select("source", F.lit(0).cast("long").alias("node"), "quota")
-    for level in range(depth):
-        width = FANOUT ** (depth - level - 1)
-        children = cells.groupBy("source", F.floor(node / width).cast("long").alias("child")).agg(F.sum("words").alias("words"))
-        children = children.withColumn("parent", F.floor(F.col("child") / FANOUT).cast("long"))
-        q = quotas.select(F.col("source").alias("_s"), F.col("node").alias("_n"), "quota")
-        under = children.join(q, children.source.eqNullSafe(q["_s"]) & (F.col("parent") == F.col("_n"))).select("source", "child", "parent", "words", "quota", F.lit(level).alias("level"))
-        quotas = under.groupBy("source", "parent").applyInPandas(_deal, "source string, node long, quota long")
+def _dealer(depth: int, levels: int):
+    def deal(group: pd.DataFrame) -> pd.DataFrame:
+        """The quota of a node, dealt to its descendants ``levels`` levels below."""
+        first, parent = group.iloc[0], int(group["parent"].iloc[0])
+        blocks, words = np.zeros(1 << levels, np.int64), np.zeros(1 << levels, np.int64)
+        at = (group["child"] - (parent << levels)).to_numpy(np.int64)
+        blocks[at], words[at] = group["blocks"], group["words"]
+        source = None if pd.isna(first["source"]) else first["source"]
+        quota = split(blocks, words, (int(first["quota"]), int(first["over"])), levels, (source, depth, parent))[at]
+        return pd.DataFrame({"source": group["source"], "node": group["child"], "quota": quota[:, 0], "over": quota[:, 1]})
+
+    return deal
+
+
+def _quotas(cells: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(source, node, quota, over) of the shards: the tree's draws from the root down."""
+    quotas = roots.select("source", F.lit(0).cast("long").alias("node"), "quota", "over")
+    for level in range(0, max(depth, 1), LEVELS):
+        step = min(LEVELS, depth - level)
+        child = F.shiftright("shard", depth - level - step)
+        children = cells.groupBy("source", child.alias("child")).agg(F.sum("blocks").alias("blocks"), F.sum("words").alias("words")).withColumn("parent", F.shiftright("child", step))
+        q = quotas.withColumnsRenamed({"source": "_s", "node": "_n"})
+        under = children.join(q, children.source.eqNullSafe(q["_s"]) & (F.col("parent") == F.col("_n"))).drop("_s", "_n")
+        quotas = written(under.groupBy("source", "parent").applyInPandas(_dealer(level, step), "source string, node long, quota long, over long"), "quotas")
     return quotas
 
 
 def _draw(group: pd.DataFrame) -> pd.DataFrame:
-    """Blocks of a shard of one source, permuted and taken until the quota is met."""
-    group = group.sort_values(["doc_id", "digest", "size", "row"], kind="stable", na_position="last").reset_index(drop=True)
-    size, quota = group["size"].to_numpy(np.int64), int(group["quota"].iloc[0])
-    n = -(-size // BLOCK)
-    at = np.repeat(np.arange(len(group)), n)
-    number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    words = np.minimum(BLOCK, size[at] - number * BLOCK)
-    order = rng("shard", group["source"].iloc[0], int(group["shard"].iloc[0])).permutation(len(at))
-    before = np.cumsum(words[order]) - words[order]
-    take = np.clip(quota - before, 0, words[order])
-    used = take > 0
-    return pd.DataFrame({"row": group["row"].to_numpy()[at[order][used]], "source": group["source"].iloc[0], "shard": int(group["shard"].iloc[0]), "place": np.arange(used.sum()), "block": number[order][used], "words": take[used]})
+    """What a shard takes of one source: per row the spans of words drawn (first << 32 | number)."""
+    source = None if pd.isna(group["source"].iloc[0]) else group["source"].iloc[0]
+    draw = rng("shard", source, int(group["shard"].iloc[0]))
+    group = group.sort_values(["doc_id", "digest", "size", "row"], kind="stable", na_position="last").iloc[draw.permutation(len(group))]
+    size, quota, over = group["size"].to_numpy(np.int64), int(group["quota"].iloc[0]), int(group["over"].iloc[0])
+    taken = np.zeros(int(size.sum()), bool)
+    whole = len(taken) // BLOCK
+    taken[: whole * BLOCK].reshape(whole, BLOCK)[draw.permutation(whole)[:quota]] = True
+    taken[np.flatnonzero(~taken)[:over]] = True
+    ends = np.cumsum(size)
+    edge = np.zeros(len(taken) + 1, bool)
+    edge[np.append(0, ends)] = True  # spans end with their rows
+    now, last = np.append(taken, False), np.append(False, taken)
+    start, end = np.flatnonzero(now & (~last | edge)), np.flatnonzero(last & (~now | edge))
+    at = np.searchsorted(ends, start, "right")
+    spans = ((start - ends[at] + size[at]) << 32) | (end - start)
+    cut = np.flatnonzero(np.diff(np.append(-1, at)))
+    return pd.DataFrame({"row": group["row"].to_numpy()[at[cut]], "drawn": np.add.reduceat(end - start, cut) if len(cut) else [], "spans": np.split(spans, cut[1:]) if len(cut) else []})
 
 
 def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
-    """The sized rows with their source's numbers, and the blocks drawn from the rest of a pass.
+    """The sized rows with their source's numbers, and what is drawn of them for the rest of a pass.
 
-    rows: doc_id, source, size, digest, row, source_size, target, passes, shard, quota (of the shard)
-    blocks: row, source, shard, place (order within the shard), block (number within the document), words
+    rows: doc_id, source, size, digest, row, source_size, target, passes, shard, quota and over (blocks and words of the shard's part of the source)
+    drawn: row, drawn (words), spans (first << 32 | number of words)
     """
     rows = written(sized(docs, key, text, source), "sizes")
-    spark = docs.sparkSession
-    held = rows.groupBy("source").agg(F.sum("size").alias("words"), F.sum(F.ceil(F.col("size") / BLOCK)).alias("blocks")).collect()
-    goal = targets([(r.source, r.words) for r in held])
-    numbers = []
-    for r in held:
-        whole = min(MOST, int(goal[r.source] // r.words)) if r.words else 0
-        rest = min(max(0, round(goal[r.source] - whole * r.words)), r.words if whole < MOST else 0)
-        numbers.append((r.source, r.words, goal[r.source], whole, rest, max(1, -(-r.blocks // SHARD_BLOCKS))))
-    known = spark.createDataFrame(numbers, "_s string, source_size long, target double, passes int, rest long, shards long")
-    deepest = max([n[5] for n in numbers], default=1)
-    depth = 1
-    while FANOUT**depth < deepest:
-        depth += 1
-    placed = rows.join(known, rows.source.eqNullSafe(known["_s"])).drop("_s").withColumn("shard", F.pmod(F.xxhash64("doc_id", "digest", F.lit(SEED)), F.col("shards")))
-    cells = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"))
-    roots = known.select(F.col("_s").alias("source"), F.col("rest").alias("quota"))
-    q = _quotas(cells, roots, depth).select(F.col("source").alias("_s"), F.col("node").alias("_n"), "quota")
+    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("words")))
+    passes = F.when(F.col("words") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("words")))).otherwise(0).cast("int")
+    rest = F.when(F.col("passes") < MOST, F.least(F.col("words"), F.greatest(F.lit(0), F.round(F.col("target") - F.col("passes") * F.col("words"))))).otherwise(0).cast("long")
+    known = written(goal.withColumn("passes", passes).withColumn("rest", rest).select(F.col("source").alias("_s"), F.col("words").alias("source_size"), "target", "passes", "rest"), "targets")
+    shards = max(1, -(-(known.agg(F.sum("source_size")).first()[0] or 0) // (BLOCK * SHARD_BLOCKS)))
+    depth = (shards - 1).bit_length()
+    placed = rows.join(known, rows.source.eqNullSafe(known["_s"])).drop("_s").withColumn("shard", F.pmod(F.xxhash64("doc_id", "digest", F.lit(SEED)), F.lit(shards)))
+    cells = written(placed.groupBy("source", "shard").agg(F.sum("size").alias("words")).withColumn("blocks", F.floor(F.col("words") / BLOCK)), "cells")
+    held = cells.groupBy("source").agg(F.sum("blocks").alias("blocks"))
+    roots = held.join(known, held.source.eqNullSafe(known["_s"])).withColumn("quota", F.least("blocks", F.floor(F.col("rest") / BLOCK))).select("source", "quota", (F.col("rest") - F.col("quota") * BLOCK).alias("over"))
+    q = _quotas(cells, roots, depth).withColumnsRenamed({"source": "_s", "node": "_n"})
     placed = written(placed.join(q, placed.source.eqNullSafe(q["_s"]) & (F.col("shard") == F.col("_n"))).drop("_s", "_n"), "placed")
-    blocks = placed.where("quota > 0 and size > 0").groupBy("source", "shard").applyInPandas(_draw, "row long, source string, shard long, place long, block long, words long")
-    return placed, blocks
+    drawn = placed.where("quota + over > 0 and size > 0").groupBy("source", "shard").applyInPandas(_draw, "row long, drawn long, spans array<long>")
+    return placed, drawn
 
 
 def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Per row: doc_id, size, source_size, target, taken (words of it that the mix takes, repeats counted)."""
-    rows, blocks = plan(docs, key, text, source)
-    drawn = blocks.groupBy("row").agg(F.sum("words").alias("drawn"))
-    found = rows.join(drawn, "row", "left")
-    return found.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.coalesce("drawn", F.lit(0))).alias("taken"))
+    rows, drawn = plan(docs, key, text, source)
+    return rows.join(drawn.select("row", "drawn"), "row", "left").select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.coalesce("drawn", F.lit(0))).alias("taken"))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: doc_id, source, shard, pass, text, n_words; one row per document and pass that takes some of it.
 
-    A whole pass has the document's text; the rest's pass has the words of the blocks
+    A whole pass has the document's text; the rest's pass has the words
     drawn, in the document's order.  Shards are shuffled by ``rank``, a hash of document and pass.
     """
-    rows, blocks = plan(docs, key, text, source)
-    drawn = blocks.groupBy("row").agg(F.collect_list(F.struct("block", "words")).alias("drawn"))
-    planned = rows.join(drawn, "row", "left").where("passes > 0 or drawn is not null").select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), "row", "source", "shard", "passes", "drawn")
+    rows, drawn = plan(docs, key, text, source)
+    planned = rows.join(drawn, "row", "left").where("passes > 0 or drawn is not null").select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), "row", "source", "shard", "passes", "spans")
     once = sized_texts(docs, key, text)
     if core(docs, key, text).groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).limit(1).count():
         once = once.dropDuplicates(["doc_id", "digest"])
-    return planned.join(once, planned["_d"].eqNullSafe(once.doc_id) & (planned["_g"] == once.digest)).select("doc_id", "source", "shard", "passes", "drawn", "text").mapInArrow(_passes, "doc_id long, source string, shard long, pass int, rank long, n_words long, text string")
+    return planned.join(once, planned["_d"].eqNullSafe(once.doc_id) & (planned["_g"] == once.digest)).select("doc_id", "source", "shard", "passes", "spans", "text").mapInArrow(_passes, "doc_id long, source string, shard long, pass int, rank long, n_words long, text string")
 
 
 def sized_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -184,7 +228,7 @@ def sized_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in K.chunks(batch.column("text")):
-                own = K.span_hashes(chunk.data, chunk.offsets[:-1], chunk.offsets[1:], K._BYTES[2]).view(np.int64)
+                own = K.byte_hashes(chunk.data, chunk.offsets[:-1], chunk.offsets[1:]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.rows.start, chunk.n), pa.array(own), batch.column("text").slice(chunk.rows.start, chunk.n)], ["doc_id", "digest", "text"])
 
     return core(docs, key, text).mapInArrow(run, "doc_id long, digest long, text string")
@@ -202,8 +246,8 @@ def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = r["text"] or ""
             own = text.encode().split()
             parts = [(k, len(own), text) for k in range(r["passes"])]
-            if r["drawn"]:
-                words = [w for x in sorted(r["drawn"], key=lambda x: x["block"]) for w in own[x["block"] * BLOCK : x["block"] * BLOCK + x["words"]]]
+            if r["spans"]:
+                words = [w for x in r["spans"] for w in own[x >> 32 : (x >> 32) + (x & 0xFFFFFFFF)]]
                 parts.append((r["passes"], len(words), b" ".join(words).decode()))
             for number, n, part in parts:
                 rank = hashlib.sha256(repr((SEED, r["doc_id"], number)).encode()).digest()[:8]
