@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fenmark.llm.runtime import written
+from fenmark.llm.runtime import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         after = written(_small_star(_large_star(now)), "links")
         reached = _state(after)
+        discard(now)
         if reached == state:
             break
         now, state = after, reached

@@ -1,9 +1,13 @@
-"""NumPy kernels over Arrow string columns: tokens, rolling hashes, windows.
+"""NumPy kernels over Arrow string columns: words, their hashes, and hashes of windows of words.
 
 A column of texts is read as one byte buffer plus row offsets, so that finding
-words and hashing them costs a few vector operations per byte and no Python
+words and hashing them costs a few vector operations per word and no Python
 object per word.  Work is cut into chunks of about ``CHUNK_BYTES`` (a longer
 text is a chunk of its own), which bounds memory by the chunk, not the batch.
+
+*Hashes.*  A word's bytes are taken eight at a time through a mixing function of 64 bits (words beyond ``BLOCKS`` such
+steps through XXH3), a run's hash is that of a tree over its words' hashes.  No step is linear, so sequences of few
+letters or words (Thue-Morse words, periods) collide no more often than others.  Seeds give hashes that are independent of each other.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1 << 20
 
@@ -26,7 +31,12 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_M64 = (1 << 64) - 1
+#: Words of more than so many times eight bytes are hashed by XXH3.
+BLOCKS = 4
+_SEEDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F))
+_ODD = tuple(np.uint64(x) for x in (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
+#: Marks of the first k bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,40 +47,68 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class Powers:
-    """Powers of an odd multiplier and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            self.up, self.down = (self._grow(b, size) for b in (self.base, self.inverse))
-        return self.up, self.down
-
-    @staticmethod
-    def _grow(base: int, size: int) -> np.ndarray:
-        out = np.ones(1, np.uint64)
-        with np.errstate(over="ignore"):
-            while len(out) < size:
-                out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
-        return out
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the pairs (a, b); for either of them fixed, a bijection of the other."""
+    with np.errstate(over="ignore"):
+        return mix(a * _ODD[0] ^ (b + _ODD[1]))
 
 
-_BYTES = [Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95), Powers(0xA0761D6478BD642F)]
-_WORDS = [Powers(0xE7037ED1A0B428DB), Powers(0x8EBC6AF09C88C6E3), Powers(0x589965CC75374CC3)]
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH3 of data[s:e] for each span: for lines and whole texts, which are few."""
+    view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(view[s:e], seed) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    """A hash of values[s:e] for each span, by prefix sums; independent of where the span lies."""
-    up, down = powers.get(len(values) + 1)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of data[s:e] for each span; for spans of words, which are short."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8 * BLOCKS + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 8 * BLOCKS,), "<u8", padded, strides=(1,))
+    size = ends - starts
     with np.errstate(over="ignore"):
-        sums = np.empty(len(values) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+        out = mix((eight[starts] & _FIRST[np.minimum(size, 8)]) ^ _SEEDS[seed])
+        for k in range(1, BLOCKS):
+            more = np.flatnonzero(size > 8 * k)
+            if not len(more):
+                break
+            out[more] = joined(out[more], eight[starts[more] + 8 * k] & _FIRST[np.minimum(size[more] - 8 * k, 8)])
+        out = mix(out + size.astype(np.uint64) * _ODD[2])
+    long = np.flatnonzero(size > 8 * BLOCKS)
+    if len(long):
+        out[long] = byte_hashes(data, starts[long], ends[long], int(_SEEDS[seed]))
+    return out
+
+
+class Runs:
+    """Hashes of runs of consecutive values: of 1, 2, 4, ... values by a tree, of other sizes by their binary digits."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.levels = [values]
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(joined(last[:-half], last[half:]) if len(last) > half else last[:0])
+        return self.levels[k]
+
+    def at(self, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+        """The hashes of values[s : s + size]; size is one number or one for each start."""
+        if np.ndim(size):
+            out = np.zeros(len(starts), np.uint64)
+            for n in np.unique(size).tolist():
+                own = np.flatnonzero(size == n)
+                out[own] = self.at(starts[own], n)
+            return out
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        out, done = None, 0
+        for k in reversed(range(size.bit_length())):
+            if size >> k & 1:
+                part = self._level(k)[starts + done]
+                out, done = part if out is None else joined(out, part), done + (1 << k)
+        return out
 
 
 class Chunk:
@@ -111,7 +149,10 @@ class Words:
         return np.repeat(np.arange(self.chunk.n), self.counts)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        return span_hashes(self.chunk.data, self.starts, self.ends, _BYTES[seed])
+        return word_hashes(self.chunk.data, self.starts, self.ends, seed)
+
+    def runs(self, seed: int = 0) -> Runs:
+        return Runs(self.hashes(seed))
 
     def windows(self, size: int) -> np.ndarray:
         """First words of the windows of ``size`` words that lie within one row."""
@@ -120,10 +161,6 @@ class Words:
         return at[at + size <= last]
 
 
-def window_hashes(hashes: np.ndarray, starts: np.ndarray, size: int | np.ndarray, seed: int = 0) -> np.ndarray:
-    return span_hashes(hashes, starts, starts + size, _WORDS[seed])
-
-
 def cover(length: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Marks of the positions inside any of the spans."""
     steps = np.zeros(length + 1, np.int64)

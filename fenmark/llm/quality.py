@@ -7,7 +7,8 @@ documents.  A document's verdict is its posterior probability of being good,
 so no single rule decides.  The counts cover every document of the input.
 
 Null and empty texts have no words and fail the base rule; an empty table gives
-an empty result; repeated rows are judged alike, each on its own.
+an empty result; repeated rows are judged alike, each on its own; texts of any length are counted
+whole.  Lines and windows of a text are compared by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fenmark.llm import kernels as K
-from fenmark.llm.runtime import core, numbered, place
+from fenmark.llm.runtime import core, ddl, numbered, place, written
 
 GOOD, ABSTAIN, BAD = 0, 1, 2
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
+#: The contract's counts.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -126,7 +129,7 @@ def _lines(chunk: K.Chunk, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     np.cumsum(in_word, out=held[1:])
     full = held[ends] > held[starts]
     starts, ends, row = starts[full], ends[full], row[full]
-    own = _by_row(K.span_hashes(chunk.data, starts, ends, K._BYTES[0]), row)
+    own = _by_row(K.byte_hashes(chunk.data, starts, ends), row)
     _, first = np.unique(own, return_index=True)
     n, distinct = np.bincount(row, minlength=chunk.n), np.bincount(row[first], minlength=chunk.n)
     return n, n - distinct
@@ -141,7 +144,7 @@ def _repeats(words: K.Words, hashes: np.ndarray) -> np.ndarray:
     at = words.windows(WINDOW)
     if not len(at):
         return np.zeros(words.chunk.n, np.int64)
-    own = _by_row(K.window_hashes(hashes, at, WINDOW), words.rows()[at])
+    own = _by_row(K.Runs(hashes).at(at, WINDOW), words.rows()[at])
     order = np.sort(own)
     twice = np.unique(order[1:][order[1:] == order[:-1]])
     if not len(twice):
@@ -217,47 +220,59 @@ def fit_votes(codes: np.ndarray, counts: np.ndarray, rounds: int = 300, toleranc
     return VoteModel(prior, log_odds, np.array([r / max(v.sum(), 1e-300) for r, v in zip(right, voted, strict=True)]))
 
 
-def fit(docs: DataFrame, text: str = "text") -> VoteModel:
-    """The vote model of all rows of docs."""
+def judged_by(patterns: DataFrame) -> VoteModel:
+    """The vote model of the rows' patterns (column pattern); at most 3 ** rules counts reach the driver."""
+    found = patterns.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()
+    return fit_votes(found["pattern"].to_numpy(np.int64), found["n"].to_numpy(float))
+
+
+def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: doc_id, the base counts, base_failed and pattern (of votes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in K.chunks(batch.column(0)):
-                code, n = np.unique(patterns(features(chunk)), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"pattern": code, "n": n.astype(np.int64)})
+            for chunk in K.chunks(batch.column("text")):
+                f = features(chunk)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.rows.start, chunk.n), *(pa.array(f[c].astype(np.int64)) for c in COUNTS), pa.array(base_failed(f)), pa.array(patterns(f))], ["doc_id", *COUNTS, "base_failed", "pattern"])
 
-    found = numbered(docs).select(F.col(place(docs, text)).cast("string")).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
-    return fit_votes(found["pattern"].to_numpy(np.int64), found["n"].to_numpy(float))
+    return core(docs, key, text).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, pattern long")
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> VoteModel:
+    """The vote model of all rows of docs."""
+    return judged_by(counted(docs, key, text))
 
 
 def scored(docs: DataFrame, model: VoteModel | None = None, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Per row: the base counts, base_failed, posterior and kept."""
-    model = model or fit(docs, text)
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, posterior double, kept boolean"
+    """Per row: the base counts, base_failed, posterior and kept.  Texts are read once: counts and votes are written, and judged from there."""
+    rows = written(counted(docs, key, text), "votes")
+    model = model or judged_by(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in K.chunks(batch.column("text")):
-                f = features(chunk)
-                failed, good = base_failed(f), model.posterior(patterns(f))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[chunk.rows.start : chunk.rows.stop], *(pa.array(f[c].astype(np.int64)) for c in counts), pa.array(failed), pa.array(good), pa.array(~failed & (good >= threshold))],
-                    ["doc_id", *counts, "base_failed", "posterior", "kept"],
-                )
+            good = model.posterior(batch.column("pattern").to_numpy())
+            kept = ~batch.column("base_failed").to_numpy(zero_copy_only=False) & (good >= threshold)
+            own = [c for c in batch.schema.names if c != "pattern"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(good), pa.array(kept)], [*own, "posterior", "kept"])
 
-    return core(docs, key, text).mapInArrow(run, schema)
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, posterior double, kept boolean")
 
 
 def accepted(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns unchanged, that quality rules keep."""
-    model, own, at = fit(docs, text), numbered(docs), place(docs, text)
+    """The rows of docs, all columns unchanged, that quality rules keep.  Texts are counted once: rows are written with their votes, and kept by these."""
+    own, at = numbered(docs), place(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in K.chunks(batch.column(at)):
-                f = features(chunk)
-                keep = ~base_failed(f) & (model.posterior(patterns(f)) >= threshold)
-                yield batch.slice(chunk.rows.start, chunk.n).filter(pa.array(keep))
-
-    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
+                f, rows = features(chunk), batch.slice(chunk.rows.start, chunk.n)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(base_failed(f)), pa.array(patterns(f))], [*rows.schema.names, "_failed", "_pattern"])
+
+    voted = written(own.mapInArrow(run, f"{ddl(own)}, _failed boolean, _pattern long"), "votes")
+    counts = voted.groupBy(F.col("_pattern").alias("pattern")).agg(F.count("*").alias("n")).orderBy("pattern").toPandas()
+    codes = counts["pattern"].to_numpy(np.int64)
+    good = codes[fit_votes(codes, counts["n"].to_numpy(float)).posterior(codes) >= threshold].tolist() if len(codes) else []
+    # At most 3 ** rules patterns.
+    known = docs.sparkSession.createDataFrame([(c,) for c in good], "_good long")
+    kept = voted.where(~F.col("_failed")).join(F.broadcast(known), F.col("_pattern") == F.col("_good"), "left_semi")
+    return kept.select(*own.columns).toDF(*docs.columns)

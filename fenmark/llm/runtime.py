@@ -6,7 +6,6 @@ import atexit
 import itertools
 import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,10 @@ from pyspark.sql import functions as F
 
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
-_RUN, _SERIAL, _WRITTEN = uuid.uuid4().hex[:12], itertools.count(), []
+#: Spark's setting by which a plan's shuffle files are removed when it has run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_RUN, _SERIAL, _WRITTEN = uuid.uuid4().hex[:12], itertools.count(), {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,26 +35,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/fenmark-{_RUN}/{next(_SERIAL)}-{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((df.sparkSession, path))
-    # Spark removes the shuffle files of a finished plan once the driver's JVM has collected the plan,
-    # which Spark's listeners still hold for a moment.
-    time.sleep(0.15)
-    df.sparkSession._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written to the shared folder and read back: cuts the lineage, survives lost executors.
+
+    The plan's shuffle files go as soon as the table stands (CLEANUP, set for this write alone).
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/fenmark-{_RUN}/{next(_SERIAL)}-{name}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the tables behind frames of written(); what reads them can't be used afterwards."""
+    for frame in frames:
+        _remove(frame._written_at)
 
 
 def discard_written() -> None:
-    """Removes the tables of written(); frames that read them can't be used afterwards."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session has ended, and its gateway with it
-            return
+    """Removes all tables of written() that are left: at the interpreter's end, or between the jobs of a long session."""
+    for path in list(_WRITTEN):
+        _remove(path)
+
+
+def _remove(path: str) -> None:
+    spark = _WRITTEN.pop(path)
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session has ended, and its gateway with it
+        return
 
 
 atexit.register(discard_written)
@@ -93,3 +115,8 @@ def core(docs: DataFrame, key: str, text: str, **more: str) -> DataFrame:
         F.col(place(docs, text)).cast("string").alias("text"),
         *(F.col(place(docs, theirs)).cast("string").alias(ours) for ours, theirs in more.items()),
     )
+
+
+def ddl(df: DataFrame) -> str:
+    """The columns of df as a schema string."""
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)

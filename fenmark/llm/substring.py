@@ -57,7 +57,7 @@ def _paths(size: int, anchor: int):
                 at = words.windows(size)
                 if not len(at):
                     continue
-                mini = K.window_hashes(words.hashes(0), np.arange(len(words) - anchor + 1), anchor, 0)
+                mini = words.runs(0).at(np.arange(len(words) - anchor + 1), anchor)
                 place = at + np.lib.stride_tricks.sliding_window_view(mini, reach)[at].argmin(1)
                 row = words.rows()[at]
                 new = np.ones(len(at), bool)
@@ -65,7 +65,7 @@ def _paths(size: int, anchor: int):
                 first = np.flatnonzero(new)
                 edges = np.diff(np.append(first, len(at)))
                 start, row = at[first], row[first]
-                path = K.window_hashes(words.hashes(1), start, edges + size - 1, 1)
+                path = words.runs(1).at(start, edges + size - 1)
                 own = pa.array(row + chunk.rows.start)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(mini[place[first]].view(np.int64)), pa.array(path.view(np.int64)), ids.take(own), uids.take(own), pa.array((start - words.first[row]).astype(np.int32)), pa.array(edges.astype(np.int32))],
@@ -91,7 +91,7 @@ def _edges(size: int):
                 row = np.repeat(row, count)
                 own = pa.array(row + chunk.rows.start)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(K.window_hashes(words.hashes(s), at, size, s).view(np.int64)) for s in (1, 2)), ids.take(own), uids.take(own), pa.array((at - words.first[row]).astype(np.int32))],
+                    [*(pa.array(words.runs(s).at(at, size).view(np.int64)) for s in (1, 2)), ids.take(own), uids.take(own), pa.array((at - words.first[row]).astype(np.int32))],
                     ["edge", "check", "doc_id", "uid", "start"],
                 )
 

@@ -109,12 +109,45 @@ def test_words_and_hashes_are_those_of_plain_python():
         assert found == [WORD.findall(t or "") for t in texts]
 
 
-def test_span_hashes_depend_on_content_alone():
+def test_run_hashes_depend_on_content_alone():
     x = np.array([5, 6, 7, 5, 6, 7, 8], np.uint64)
-    h = kernels.span_hashes(x, np.array([0, 3, 3, 1]), np.array([3, 6, 7, 3]), kernels._WORDS[0])
+    h = kernels.Runs(x).at(np.array([0, 3, 3, 1]), np.array([3, 3, 4, 2]))
     assert h[0] == h[1] and len(set(h.tolist())) == 3
 
 
+def thue_morse(k, a="a", b="b"):
+    """The word of 2 ** k letters that sums of powers, taken modulo a power of two, can't tell from its complement."""
+    return [b if bin(i).count("1") % 2 else a for i in range(1 << k)]
+
+
+def test_hashes_tell_words_and_runs_of_two_letters_apart():
+    import pyarrow as pa
+
+    words = ["".join(f) for k in range(1, 13) for f in (thue_morse(k), thue_morse(k, "b", "a"))]
+    words += ["a" * n for n in range(1, 99)] + ["a" * n + "\0" for n in range(1, 40)]
+    (chunk,) = kernels.chunks(pa.array([" ".join(words)]), limit=1 << 30)
+    own = chunk.words(~kernels.SPACE)
+    for seed in range(3):
+        assert len(set(own.hashes(seed).tolist())) == len(set(words))
+    for k in range(1, 13):
+        x = np.array([ord(c) for w in (thue_morse(k), thue_morse(k, "b", "a")) for c in w], np.uint64)
+        one, two = kernels.Runs(x).at(np.array([0, 1 << k]), 1 << k)
+        assert one != two
+
+
+def test_words_of_two_letters_are_told_apart_by_every_operator(spark):
+    own = [f"w{i}" for i in range(19)]
+    one, two = "".join(thue_morse(10)), "".join(thue_morse(10, "b", "a"))
+    rows = [(1, " ".join([*own, one]), "x", "a", 1), (2, " ".join([*own, two]), "x", "a", 1), (3, f"{one}\n{two}\n{one}", "x", "a", 1), (4, " ".join([*own[:7], one, *own[:7], two]), "x", "a", 1)]
+    df = frame(spark, rows)
+    assert {r.doc_id: r.n_removed for r in substring.deduplicated(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    items = spark.createDataFrame([(1, " ".join([*own[:12], one]))], "item_id long, text string")
+    assert decontam.judged(frame(spark, [(1, " ".join([*own[:12], two]), "x", "a", 1)]), items).first().n_hit == 0
+    got = by_id(quality.scored(df))
+    assert got[3].n_dup_lines == 1 and got[4].n_repeat_words == 0
+    assert len({r.digest for r in mixing.sized(df).collect()}) == 4
+
+
 # 1 licenses
 
 
@@ -200,20 +233,27 @@ def test_line_dedup_equals_brute_force(docs, texts):
 
 def test_line_index_inserts_and_deletes_reversibly(docs):
     keyed = linededup.keyed_rows(docs)
-    state = lambda i: (sorted((bytes(r.key), r.docs, r["last"]) for r in i.references.collect()), {k for k in _members(i)})
 
-    def _members(index):
-        often = [bytes(r.key) for r in index.references.where(F.col("docs") >= index.min_docs).collect()]
-        shards = index.passing()
-        assert all(k in shards for k in often)  # no false negatives
-        return often
+    def state(index):
+        often = {bytes(r.key) for r in index.references.where(F.col("docs") >= index.min_docs).collect()}
+        passed = {bytes(r.key) for r in index.passing(index.postings).collect()}
+        assert often <= passed  # no false negatives
+        return sorted((bytes(r.key), r.docs, r["last"]) for r in index.references.collect()), often, sorted((r.doc_id, sorted(map(bytes, r["keys"]))) for r in index.dropped().collect())
 
     whole = linededup.LineIndex.of(keyed)
     part = linededup.LineIndex.of(keyed.where("doc_id < 100"))
     more = part.insert(keyed.where("doc_id >= 100"))
     assert state(more) == state(whole)
     back = more.delete(keyed.where("doc_id >= 100").select("doc_id"))
-    assert state(back) == state(part)
+    assert state(back) == state(part) == state(back.compacted())
+
+
+def test_line_filters_of_many_shards_and_salts_give_the_same(docs):
+    keyed = linededup.keyed_rows(docs)
+    one, many = linededup.LineIndex.of(keyed), linededup.LineIndex.of(keyed, shard_keys=2)
+    assert one.shards == 1 and many.shards > 1
+    found = [sorted((r.doc_id, sorted(map(bytes, r["keys"]))) for r in x.collect()) for x in (one.dropped(), many.dropped(salt_docs=3))]
+    assert found[0] == found[1] and found[0]
 
 
 def test_cuckoo_filter_has_no_false_negatives_and_deletes():
@@ -367,9 +407,26 @@ def test_ngrams_have_word_boundaries():
 # 7 mixing
 
 
+def plain_targets(sizes):
+    """Targets of (source, words)."""
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, (s, _) in enumerate(order)}
+    words = dict(order)
+    left, free, out = 1.5 * sum(words.values()), list(words), {}
+    while free:
+        total = sum(weight[s] for s in free)
+        full = [s for s in free if left * weight[s] / total > 2 * words[s]]
+        out |= {s: left * weight[s] / total for s in free} if not full else {s: 2.0 * words[s] for s in full}
+        if not full:
+            break
+        left -= sum(2 * words[s] for s in full)
+        free = [s for s in free if s not in out]
+    return out
+
+
 def test_mix_meets_its_targets(spark, docs, texts, monkeypatch):
-    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 3)
-    monkeypatch.setattr(mixing, "BLOCK", 8)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 8)
+    monkeypatch.setattr(mixing, "LEVELS", 3)
     got = mixing.taken(docs).collect()
     again = mixing.taken(docs.repartition(7)).collect()
     assert sorted(got) == sorted(again)
@@ -380,29 +437,63 @@ def test_mix_meets_its_targets(spark, docs, texts, monkeypatch):
         held[source[r.doc_id]] += r["size"]
         took[source[r.doc_id]] += r.taken
         target[source[r.doc_id]] = r.target
-    assert all(abs(took[s] - target[s]) <= 0.5 for s in held) and all(target[s] <= 2 * held[s] for s in held)
-    assert sum(target.values()) == pytest.approx(1.5 * sum(held.values())) and set(held) == {None, "s0", "s1", "s2"}
-    words = Counter()
+    assert target == pytest.approx(plain_targets(held.items())) and set(held) == {None, "s0", "s1", "s2"}
+    assert all(abs(took[s] - target[s]) <= 0.5 for s in held)
+    words, shards = Counter(), defaultdict(set)
     for r in mixing.mixed(docs).collect():
         assert r.n_words == len(WORD.findall(r.text))
         words[r.doc_id] += r.n_words
+        shards[r.shard].add(r.source)
     assert {r.doc_id: r.taken for r in got if r.taken} == dict(words)
+    # More levels than a task takes, and shards that all sources share.
+    assert len(shards) > 8 and sum(len(x) >= 3 for x in shards.values()) > len(shards) / 2
 
 
-def test_targets_share_out_what_full_sources_leave():
-    t = mixing.targets([("a", 100), ("b", 1000), ("c", 1000), (None, 10)])
+def test_targets_share_out_what_full_sources_leave(spark):
+    def found(sizes):
+        return {r.source: r.target for r in mixing.targets(spark.createDataFrame(sizes, "source string, words long").repartition(3)).collect()}
+
+    t = found([("a", 100), ("b", 1000), ("c", 1000), (None, 10)])
     assert t["a"] == 200 and t[None] == 20 and sum(t.values()) == pytest.approx(1.5 * 2110)
     assert t["b"] == pytest.approx(2945 * 2 / 3) and t["c"] == pytest.approx(2945 / 3)
-    assert mixing.targets([]) == {} and mixing.targets([("a", 0)]) == {"a": 0.0}
+    assert found([]) == {} and found([("a", 0)]) == {"a": 0.0}
+    rng = random.Random(4)
+    many = [(f"s{rng.randrange(10**6)}é" if i else None, int(10 ** rng.uniform(0, 6))) for i in range(60)]
+    assert found(many) == pytest.approx(plain_targets(many))
+
 
+def test_draws_are_hypergeometric():
+    from math import comb
 
-def test_quotas_are_split_exactly():
     rng = np.random.default_rng(1)
-    for held in ([5, 0, 7], [10**10, 3 * 10**10, 5], [1]):
-        held = np.array(held)
-        for q in (0, 1, int(held.sum()) // 2, int(held.sum())):
-            out = mixing.split(q, held, rng)
-            assert out.sum() == q and (out <= held).all() and (out >= 0).all()
+    for good, bad, n in ((5, 7, 6), (40, 3, 20), (1000, 2000, 60), (3, 4, 7)):
+        drawn = Counter(mixing.hypergeometric(good, bad, n, rng) for _ in range(20_000))
+        want = {k: comb(good, k) * comb(bad, n - k) / comb(good + bad, n) * 20_000 for k in range(min(good, n) + 1)}
+        often = [k for k, x in want.items() if x >= 8]
+        assert set(drawn) <= {k for k, x in want.items() if x}
+        assert sum((drawn[k] - want[k]) ** 2 / want[k] for k in often) < len(often) + 5 * len(often) ** 0.5 + 8
+    # Far beyond what fits a table: mean and variance, and words that a large sibling must not swallow.
+    for good, bad, n in ((10**13, 10**13, 10**12), (10**5, 10**13, 10**12)):
+        x = np.array([mixing.hypergeometric(good, bad, n, rng) for _ in range(4000)], float)
+        p, every = good / (good + bad), good + bad
+        var = n * p * (1 - p) * (every - n) / (every - 1)
+        assert abs(x.mean() - n * p) < 5 * (var / 4000) ** 0.5 and 0.88 < x.var() / var < 1.12
+
+
+def test_tree_splits_quotas_exactly():
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 10_000, 64)
+    blocks = words // mixing.BLOCK
+    total = np.zeros(64)
+    for k in range(300):
+        q = mixing.split(blocks, words, (2000, 77), 6, (f"s{k}", 0, 0))
+        assert q[:, 0].sum() == 2000 and q[:, 1].sum() == 77 and (q >= 0).all() and (q[:, 0] <= blocks).all() and (q[:, 0] * mixing.BLOCK + q[:, 1] <= words).all()
+        total += q[:, 0]
+    assert np.abs(total / 300 - 2000 * blocks / blocks.sum()).max() < 2
+    # The same draws, if the tree's lower levels are dealt in tasks of their own.
+    upper = mixing.split(blocks.reshape(8, 8).sum(1), words.reshape(8, 8).sum(1), (2000, 77), 3, ("s", 0, 0))
+    lower = [mixing.split(blocks[8 * k : 8 * k + 8], words[8 * k : 8 * k + 8], tuple(map(int, upper[k])), 3, ("s", 3, k)) for k in range(8)]
+    assert (np.concatenate(lower) == mixing.split(blocks, words, (2000, 77), 6, ("s", 0, 0))).all()
 
 
 # 8 decontamination
@@ -422,17 +513,16 @@ def plain_hits(text, items):
     return len(words), len(hit), len(found), sha(",".join(sorted(found))), len(hit) > 0 and 20 * len(hit) >= len(words)
 
 
-@pytest.mark.parametrize("block", [100_000, 3])
-def test_decontamination_equals_brute_force(monkeypatch, docs, texts, benchmark, block):
-    import functools
-
-    monkeypatch.setattr(decontam, "build", functools.partial(decontam.build, block_windows=block))
+@pytest.mark.parametrize("most_bits", [decontam.MAX_BITS, 1 << 8])
+def test_decontamination_equals_brute_force(monkeypatch, docs, texts, benchmark, most_bits):
+    """Also with bit tables so small that every place passes them."""
+    monkeypatch.setattr(decontam, "_PIECE", min(decontam._PIECE, most_bits))
     items = [(r.item_id, r.text) for r in benchmark.collect() if r.item_id is not None]
-    got = by_id(decontam.judged(docs, benchmark))
+    got = by_id(decontam.judged(docs, benchmark, most_bits=most_bits))
     want = {i: plain_hits(t, items) for i, t in texts.items()}
     assert sum(w[4] for w in want.values()) >= 1 and sum(w[1] > 0 for w in want.values()) > 1
     assert {i: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for i, r in got.items()} == want
-    assert {r.doc_id for r in decontam.clean(docs, benchmark).collect()} == {i for i, w in want.items() if not w[4]}
+    assert {r.doc_id for r in decontam.clean(docs, benchmark, most_bits=most_bits).collect()} == {i for i, w in want.items() if not w[4]}
 
 
 # 9 quality
