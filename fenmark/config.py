@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -19,6 +20,20 @@ TIERS = {
     "Tier3_Full": ("pH", "Temp.", "EC", "Dx", "Dy", "Na", "K", "Mg", "Ca", "Cl", "HCO3", "SO4", "CO3", "NO3", "F", "B", "Na_Cl_ratio", "Mg_Ca_ratio", "HCO3_Cl_ratio", "SAR", "Ca_Mg_ratio"),
 }
 DERIVED = ("Na_Cl_ratio", "Mg_Ca_ratio", "HCO3_Cl_ratio", "SAR", "Ca_Mg_ratio")
+#: What the derived variables are computed by, and their units.
+DERIVED_FORMULAS = {
+    "Na_Cl_ratio": ("Na/Cl", "mg/L ratio"),
+    "Mg_Ca_ratio": ("Mg/Ca", "mg/L ratio"),
+    "HCO3_Cl_ratio": ("HCO3/Cl", "mg/L ratio"),
+    "SAR": ("Na/sqrt(0.5*(Ca+Mg))", "(meq/L)^0.5"),
+    "Ca_Mg_ratio": ("Ca/Mg", "mg/L ratio"),
+}
+DERIVED_NOTE = "Derived ratio computed post-ingestion"
+#: A target's variants have the middle tier's features.
+VARIANT_TIER = "Tier2_Reduced"
+VARIANT_TIERS = ("Tier2_Reduced_TDS_EC_inclusive", "Tier2_Reduced_TDS_EC_strict")
+HYPERPARAMETERS = {"LogisticRegression": "C", "RandomForest": "n_estimators_depth", "GradientBoostedTrees": "n_estimators_lr"}
+FILE_ROLES = ("raw_groundwater_csv", "manuscript_outline", "thresholds_yaml", "leakage_rules_yaml", "runtime_config_yaml")
 CV_MODES = ("Stratified_Nested_CV", "Spatial_Group_CV")
 ALGORITHMS = ("DummyMajority", "DummyStratified", "EcOnlyLogistic", "LogisticRegression", "RandomForest", "GradientBoostedTrees")
 SPECIAL_UNITS = {"pH": "dimensionless", "Temp.": "°C", "EC": "µS/cm", "Dx": "decimal_degrees_lon", "Dy": "decimal_degrees_lat"}
@@ -122,6 +137,9 @@ def _yaml(path: str | Path) -> dict[str, Any]:
 
 
 def _known(cls: type, given: dict[str, Any] | None) -> Any:
+    """Of a mapping what the class knows; other keys are told and left out."""
+    if other := sorted(set(given or {}) - set(cls.__dataclass_fields__)):
+        logging.getLogger(__name__).warning("%s: unknown keys %s are left out", cls.__name__, other)
     return cls(**{k: v for k, v in (given or {}).items() if k in cls.__dataclass_fields__})
 
 

@@ -100,11 +100,12 @@ def priority_class(p: Column) -> Column:
 
 
 def priority_reason(klass: Column) -> Column:
+    # The reasons.
     return (
-        F.when(klass == "Very_High", F.lit("Screening probability >= 0.75: sample first"))
-        .when(klass == "High", F.lit("Screening probability 0.50-0.75: sample soon"))
-        .when(klass == "Moderate", F.lit("Screening probability 0.25-0.50: routine sampling"))
-        .otherwise(F.lit("Screening probability < 0.25: low priority"))
+        F.when(klass == "Very_High", F.lit("Urgent confirmatory laboratory testing recommended"))
+        .when(klass == "High", F.lit("Confirmatory testing recommended"))
+        .when(klass == "Moderate", F.lit("Monitor or retest seasonally"))
+        .otherwise(F.lit("Lower immediate priority; routine monitoring"))
     )
 
 

@@ -74,13 +74,14 @@ def clean(long: DataFrame, limits: DataFrame, method: str = "limit_div_sqrt2", u
     parsed = with_limits.withColumns(S.cell_parts(F.col("raw_value_text")) | {"_limit": limit, "_no_limit": usable.isNull()})
     parsed = parsed.withColumns({f"_{n}": c for n, c in S.parse_parts(raw, F.col("_plain"), F.col("_below"), F.col("_limit")).items()})
     blank = raw == ""
+    # The notes.
     note = (
         F.when(blank, F.lit("empty_value"))
         .when(F.col("_is_err") == 1, F.lit("failed_numeric_parse"))
         .when(F.col("_rule") == "bdl_stored_as_missing_no_limit", F.lit("bdl_stored_as_missing"))
-        .when((F.col("_is_bdl") == 1) & raw.startswith("<"), F.lit("bdl_substituted_reported_limit"))
-        .when((F.col("_is_bdl") == 1) & F.col("_no_limit"), F.lit("bdl_substituted_min_detected"))
-        .when(F.col("_is_bdl") == 1, F.lit("bdl_substituted_configured_limit"))
+        .when((F.col("_is_bdl") == 1) & raw.startswith("<"), F.lit("bdl_substituted_using_reported_detection_limit"))
+        .when((F.col("_is_bdl") == 1) & F.col("_no_limit"), F.lit("bdl_substituted_using_min_detected_fallback"))
+        .when(F.col("_is_bdl") == 1, F.lit("bdl_substituted_using_configured_detection_limit"))
         .otherwise(F.lit(""))
     )
     units = F.create_map(*(F.lit(x) for c in (*C.SPECIAL_UNITS, *C.MEASURED_IN_MG_L) for x in (c, C.measurement_unit(c))))
@@ -99,12 +100,15 @@ def to_wide(measurements: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 
 def derived_rows(measurements: DataFrame) -> DataFrame:
-    """(sample_id, variable_name, cleaned_value_real) of the derived variables that are finite."""
+    """Measurements of the derived variables that are finite; their text is their formula."""
     base = ("Na", "Cl", "Mg", "Ca", "HCO3")
     wide = to_wide(measurements, base)
     made = S.derived({c: F.col(c) for c in base})
     long = wide.select("sample_id", *(e.alias(n) for n, e in made.items())).unpivot("sample_id", list(made), "variable_name", "cleaned_value_real")
-    return long.where(S.is_finite(F.col("cleaned_value_real")))
+    told = F.create_map(*(x for n, (formula, unit) in C.DERIVED_FORMULAS.items() for x in (F.lit(n), F.struct(F.lit(formula).alias("formula"), F.lit(unit).alias("unit")))))
+    own = F.element_at(told, F.col("variable_name"))
+    rows = long.where(S.is_finite(F.col("cleaned_value_real"))).withColumn("_told", own)
+    return rows.select("sample_id", "variable_name", F.col("_told.formula").alias("raw_value_text"), "cleaned_value_real", F.col("_told.unit").alias("unit"), F.lit(0).alias("bdl_flag"), F.lit(0).alias("missing_flag"), F.lit(C.DERIVED_NOTE).alias("cleaning_note"))
 
 
 def feature_matrix(measurements: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -137,10 +141,18 @@ def eligibility(labelled: DataFrame, min_positive: int = 5) -> DataFrame:
     g = g.withColumn("n_negative", F.col("n_samples") - F.col("n_positive"))
     p, n = F.col("n_positive"), F.col("n_negative")
     status = F.when(F.col("threshold_value").isNull(), "no_threshold").when(p < 3, "descriptive_only").when((p < min_positive) | (n < min_positive), "exploratory_only").otherwise("modelled")
+    # The notes.
+    note = (
+        F.when(F.col("ml_status") == "no_threshold", F.lit("Threshold not configured — cannot generate labels"))
+        .when(p < 3, F.format_string("Only %d positive cases; insufficient for any ML", p))
+        .when(p < min_positive, F.format_string(f"%d positive cases < minimum {min_positive} for standard CV", p))
+        .when(n < min_positive, F.format_string("Class distribution too extreme for reliable CV (n_pos=%d, n_neg=%d)", p, n))
+        .otherwise(F.format_string("%d positive, %d negative — ML feasible", p, n))
+    )
     return g.withColumn("ml_status", status).select(
         "target_contaminant", "n_samples", "n_positive", "n_negative", F.when(F.col("n_samples") > 0, p / F.col("n_samples")).otherwise(F.lit(0.0)).alias("prevalence"),
         ((p >= min_positive) & (n >= min_positive)).cast("int").alias("cv_feasible"), "ml_status", F.when(F.col("ml_status") == "modelled", "Main text").otherwise("Supplement").alias("reporting_level"),
-        F.format_string("%d positive and %d negative samples", p, n).alias("eligibility_note"),
+        note.alias("eligibility_note"),
     )
 
 

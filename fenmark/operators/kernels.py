@@ -336,15 +336,19 @@ def fit(algorithm: str, x: np.ndarray, y: np.ndarray, positive: float, seed: int
     raise ValueError(f"no algorithm {algorithm!r}")
 
 
+def tunable(algorithm: str, n: int, k: int) -> bool:
+    """Whether n rows are enough to tune an algorithm that has settings; else it gets its default."""
+    return algorithm not in DEFAULTS or n >= 2 * k
+
+
 def tune(algorithm: str, x: np.ndarray, y: np.ndarray, positive: float, seed: int, k: int = 3):
     """The setting of the best mean inner area, the first of equally good ones; scaling and weight are the outer fold's."""
     grid = {"LogisticRegression": LOGISTIC_GRID, "RandomForest": FOREST_GRID, "GradientBoostedTrees": BOOSTING_GRID}.get(algorithm)
     if not grid:
         return None
-    try:
-        fold = inner_folds(y, k, seed)
-    except ValueError:
+    if not tunable(algorithm, len(y), k):
         return DEFAULTS[algorithm]
+    fold = inner_folds(y, k, seed)
     best = (-1.0, DEFAULTS[algorithm])
     for setting in grid:
         score = np.mean([average_area(y[fold == i], fit(algorithm, x[fold != i], y[fold != i], positive, seed, setting).predict(x[fold == i])) for i in range(k)])

@@ -44,6 +44,12 @@ def audit(features: DataFrame, rules: DataFrame) -> DataFrame:
     return grid.select("target_contaminant", "variant", "tier_name", "feature_name", F.when(F.col("reason").isNull(), "included").otherwise("excluded").alias("action"), "reason")
 
 
+def stored(audited: DataFrame, variant_tier: str = C.VARIANT_TIER) -> DataFrame:
+    """leakage_rules_applied of an audit: a target's variants only in the middle tier, under the names of both."""
+    own = audited.where(F.col("variant").isNull() | (F.col("tier_name") == variant_tier)).withColumn("tier_name", F.concat_ws("_", "tier_name", "variant"))
+    return own.select("target_contaminant", "tier_name", "feature_name", "action", "reason", F.lit("leakage_rules").alias("rule_source"))
+
+
 def counts(audited: DataFrame) -> DataFrame:
     """Retained features per target, variant and tier."""
     return audited.where("action = 'included'").groupBy("target_contaminant", "variant", "tier_name").agg(F.countDistinct("feature_name").alias("n_features"))

@@ -39,7 +39,10 @@ def class_weight(y: np.ndarray) -> float:
     return max(n / p, 1.0) if p and n else 1.0
 
 
-def _task(rows: pd.DataFrame, keys: Sequence[str], seed: int, tuned: bool):
+INNER_FOLDS = 3
+
+
+def _task(rows: pd.DataFrame, keys: Sequence[str], seed: int, tuned: bool, inner_folds: int = INNER_FOLDS):
     rows = rows.sort_values("sample_id", kind="stable").reset_index(drop=True)
     first = rows.iloc[0]
     train = (rows["is_train"] == 1).to_numpy()
@@ -47,7 +50,7 @@ def _task(rows: pd.DataFrame, keys: Sequence[str], seed: int, tuned: bool):
     own = (seed + int(first.get("repeat_index", 0)) * SEED_STEP + int(first.get("fold_index", 0))) % (1 << 63)
     positive = class_weight(y[train])
     algorithm = first["algorithm"]
-    setting = kernels.tune(algorithm, x[train], y[train], positive, own) if tuned else None
+    setting = kernels.tune(algorithm, x[train], y[train], positive, own, inner_folds) if tuned else None
     names = list(first["feature_names"])
     ec = names.index("EC") if "EC" in names else None
     model = kernels.fit(algorithm, x[train], y[train], positive, own, setting, ec)
@@ -55,7 +58,23 @@ def _task(rows: pd.DataFrame, keys: Sequence[str], seed: int, tuned: bool):
 
 
 def _setting(x) -> str:
-    return "" if x is None else "_".join(map(str, x)) if isinstance(x, tuple) else str(x)
+    return "" if x is None else "_".join(f"{v:g}" for v in (x if isinstance(x, tuple) else (x,)))
+
+
+def fitted(tasks: DataFrame, keys: Sequence[str], seed: int = 20260531, tuned: bool = False, inner_folds: int = INNER_FOLDS) -> DataFrame:
+    """All that one fit of each task gives, a row a test row: what predictions() and attributions() give, these as arrays, and is_default (too few rows to tune)."""
+    kinds = dict(tasks.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        head, rows, train, x, y, model, setting = _task(rows, keys, seed, tuned, inner_folds)
+        algorithm, names, test = rows.iloc[0]["algorithm"], list(rows.iloc[0]["feature_names"]), x[~train]
+        p, dummy = model.predict(test), algorithm.startswith("Dummy")
+        out = pd.DataFrame({**head, "sample_id": rows["sample_id"][~train], "true_label": y[~train].astype(int), "predicted_probability": p, "predicted_label": (p >= 0.5).astype(int), "hyperparameters": _setting(setting)})
+        a = np.zeros((len(test), 0)) if dummy else kernels.attributions(model, test)
+        return out.assign(is_default=tuned and not kernels.tunable(algorithm, int(train.sum()), inner_folds), base_value=None if dummy else float(model.base), feature_names=[[] if dummy else names] * len(test), feature_values=list(test), attributions=list(a))
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", sample_id {kinds['sample_id']}, true_label int, predicted_probability double, predicted_label int, hyperparameters string, is_default boolean, base_value double, feature_names array<string>, feature_values array<double>, attributions array<double>"
+    return tasks.groupBy(*keys).applyInPandas(run, schema)
 
 
 def predictions(tasks: DataFrame, keys: Sequence[str], seed: int = 20260531, tuned: bool = False) -> DataFrame:

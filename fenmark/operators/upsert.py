@@ -27,6 +27,17 @@ def replace_groups(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
 
 
+def merge(old: DataFrame, new: DataFrame, keys: Sequence[str], weak: Column) -> DataFrame:
+    """old and new, one row a key: a row of new takes the place of what was there, but a weak one only comes where there was none.
+
+    old and new have each key once.
+    """
+    weak = F.coalesce(weak, F.lit(False))
+    strong = new.where(~weak)
+    kept = old.join(strong.select(*keys), list(keys), "left_anti")
+    return kept.unionByName(strong).unionByName(new.where(weak).join(old.select(*keys), list(keys), "left_anti"))
+
+
 def insert_missing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """old, and the rows of new whose keys old lacks."""
     return old.unionByName(new.join(old.select(*keys), list(keys), "left_anti"))

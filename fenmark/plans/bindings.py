@@ -51,11 +51,11 @@ CLEAN_SQL = f"""{CELLS_SQL}, {LIMITS_SQL},
                       CASE WHEN t = '' THEN NULL WHEN marker THEN CASE WHEN lim IS NOT NULL THEN 'substituted_as_limit_div_sqrt2' ELSE 'bdl_stored_as_missing_no_limit' END
                            WHEN less THEN CASE WHEN below IS NOT NULL THEN 'substituted_as_reported_limit_div_sqrt2' ELSE 'failed_bdl_limit_parse' END END AS rule
                FROM formed),
-    cleaned AS (SELECT sample_id, variable_name, raw_value_text, CASE WHEN isnan(value) THEN NULL ELSE value END AS cleaned_value_real, bdl_flag,
+    cleaned AS (SELECT sample_id, variable_name, raw_value_text, CASE WHEN isnan(value) THEN NULL ELSE value END AS cleaned_value_real, CASE WHEN t <> '' THEN 'unknown' END AS unit, bdl_flag,
                        CASE WHEN t <> '' THEN coalesce(rule, '') END AS bdl_rule, CAST(is_err = 1 OR value IS NULL OR isnan(value) AS INTEGER) AS missing_flag,
                        CASE WHEN t = '' THEN 'empty_value' WHEN is_err = 1 THEN 'failed_numeric_parse' WHEN rule = 'bdl_stored_as_missing_no_limit' THEN 'bdl_stored_as_missing'
-                            WHEN bdl_flag = 1 AND less THEN 'bdl_substituted_reported_limit' WHEN bdl_flag = 1 AND configured_limit IS NULL THEN 'bdl_substituted_min_detected'
-                            WHEN bdl_flag = 1 THEN 'bdl_substituted_configured_limit' ELSE '' END AS cleaning_note
+                            WHEN bdl_flag = 1 AND less THEN 'bdl_substituted_using_reported_detection_limit' WHEN bdl_flag = 1 AND configured_limit IS NULL THEN 'bdl_substituted_using_min_detected_fallback'
+                            WHEN bdl_flag = 1 THEN 'bdl_substituted_using_configured_detection_limit' ELSE '' END AS cleaning_note
                 FROM parsed)"""
 
 # Thresholds on the events' types.
@@ -100,7 +100,7 @@ STORE_SQL = f"""{PREDICTIONS_SQL},
     model_runs AS (SELECT DISTINCT run_id, target_contaminant, predictor_tier, algorithm, cv_mode FROM predictions),
     fold_metrics AS (SELECT run_id, repeat_index, fold_index, avg(l_tax) * 10 AS roc_auc, avg(p) AS pr_auc, avg(p * l_tax) AS balanced_accuracy, avg(y) AS recall_sensitivity, avg(1 - y) AS specificity,
         avg(p * y) AS f1_score, avg(p * (1 - y)) AS f2_score, avg((y - p) * (y - p)) AS brier_score, sum(y) AS n_test_pos, sum(1 - y) AS n_test_neg FROM predictions GROUP BY ALL),
-    shap_values AS (SELECT run_id, sample_id, repeat_index, fold_index, 'f' || l_linenumber AS feature_name, l_tax - 0.04 AS shap_value FROM predictions),
+    shap_values AS (SELECT run_id, sample_id, repeat_index, fold_index, 'f' || l_linenumber AS feature_name, l_tax - 0.04 AS shap_value, l_tax AS feature_cleaned_value FROM predictions),
     places AS (SELECT 's' || c_custkey AS sample_id, c_acctbal / 200 AS latitude, CAST(c_custkey % 360 - 180 AS DOUBLE) AS longitude, CAST(c_nationkey AS INTEGER) AS spatial_cluster_id, c_name || ', ' || c_mktsegment AS location FROM customer)"""
 PERFORMANCE_SQL = f"""{STORE_SQL},
     performance AS (SELECT run_id, target_contaminant, predictor_tier, algorithm, cv_mode, avg(roc_auc) AS mean_roc_auc, avg(pr_auc) AS mean_pr_auc, avg(balanced_accuracy) AS mean_bal_acc, avg(recall_sensitivity) AS mean_recall,
@@ -128,7 +128,7 @@ def store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "model_runs": p.select("run_id", "target_contaminant", "predictor_tier", "algorithm", "cv_mode").distinct(),
         "fold_metrics": metrics,
         "well_predictions": p.withColumnsRenamed({"y": "true_label", "p": "predicted_probability"}),
-        "shap_values": p.select("run_id", "sample_id", "repeat_index", "fold_index", F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("feature_name"), (F.col("l_tax") - 0.04).alias("shap_value")),
+        "shap_values": p.select("run_id", "sample_id", "repeat_index", "fold_index", F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("feature_name"), (F.col("l_tax") - 0.04).alias("shap_value"), F.col("l_tax").alias("feature_cleaned_value")),
         "sample_spatial_assignment": c.select(sample, (F.col("c_acctbal") / 200).alias("latitude"), (F.col("c_custkey") % 360 - 180).cast("double").alias("longitude"), F.col("c_nationkey").cast("int").alias("spatial_cluster_id")),
         "raw_samples": c.select(sample, F.to_json(F.struct(F.concat_ws(", ", "c_name", "c_mktsegment").alias("Location"))).alias("raw_json")),
     }

@@ -22,16 +22,16 @@ def parser() -> argparse.ArgumentParser:
         q = sub.add_parser(name)
         q.add_argument("--store", required=name != "validate-inputs")
         for o in options:
-            q.add_argument(f"--{o}", required=o not in ("outline", "variant", "out"))
+            q.add_argument(f"--{o}", required=o not in ("outline", "variant", "out") and not (o == "rules" and name == "ingest-inputs") and not (o == "config" and name.startswith("run-")))
         return q
 
     command("validate-inputs", "csv", "config", "thresholds", "rules")
     command("init-db")
-    command("ingest-inputs", "csv", "config", "thresholds", "outline")
+    command("ingest-inputs", "csv", "config", "thresholds", "outline", "rules")
     command("audit-leakage", "rules")
     one = command("run-target", "config")
     one.add_argument("--target", required=True, choices=C.TARGETS)
-    one.add_argument("--tier", required=True, choices=(*C.TIERS, "TDS_EC_inclusive", "TDS_EC_strict"))
+    one.add_argument("--tier", required=True, choices=(*C.TIERS, *C.VARIANT_TIERS))
     one.add_argument("--cv-mode", required=True, choices=C.CV_MODES)
     command("run-pipeline", "config", "out")
     command("export-r", "out")
@@ -39,6 +39,11 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _config(store: Store, path: str | None) -> C.RunConfig:
+    """The run configuration, by default the one registered at ingest."""
+    return C.read_run_config((path or screening.registered(store, "runtime_config_yaml")).removeprefix("file:"))
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("fenmark").getOrCreate()
@@ -49,16 +54,18 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     elif a.command == "init-db":
         store.create_all()
     elif a.command == "ingest-inputs":
-        screening.ingest_study(store, a.csv, C.read_run_config(a.config), C.read_thresholds(a.thresholds), a.outline)
+        screening.ingest_study(store, a.csv, C.read_run_config(a.config), C.read_thresholds(a.thresholds), a.outline, {"runtime_config_yaml": a.config, "thresholds_yaml": a.thresholds, **({"leakage_rules_yaml": a.rules} if a.rules else {})})
     elif a.command == "audit-leakage":
+        screening.register(store, {"leakage_rules_yaml": a.rules})
         screening.audit_leakage(store, C.read_leakage_rules(a.rules))
     elif a.command == "run-target":
-        print(screening.run_models(store, C.read_run_config(a.config), [a.target], [a.tier], [a.cv_mode]))
+        print(screening.run_models(store, _config(store, a.config), [a.target], [a.tier], [a.cv_mode]))
     elif a.command == "run-pipeline":
         began = time.time()
-        counts = screening.run_models(store, C.read_run_config(a.config))
+        counts = screening.run_models(store, _config(store, a.config))
         if a.out:
-            run_manifest(f"{a.out}/run_manifest.json", {"counts": counts, "elapsed_ms": int(1000 * (time.time() - began)), "finished_at": screening.now()})
+            groups = store.read("model_runs").select("target_contaminant", "predictor_tier", "cv_mode").distinct().count()
+            run_manifest(f"{a.out}/run_manifest.json", {"pipeline_completed_at": screening.now(), "total_run_groups": groups, "elapsed_ms": int(1000 * (time.time() - began)), "targets": C.TARGETS, "tiers": tuple(C.TIERS), "cv_modes": C.CV_MODES, "counts": counts})
         print(counts)
     else:
         if not a.out:

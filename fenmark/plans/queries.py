@@ -64,9 +64,9 @@ def eav_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ingest.to_wide(cleaned(spark, sf_dir), ["click", "view", "purchase"]))
 
 
-@query(f"WITH {B.CLEAN_SQL} SELECT sample_id, variable_name, raw_value_text, round(cleaned_value_real, 6) AS cleaned_value_real, bdl_flag, bdl_rule, missing_flag, cleaning_note FROM cleaned")
+@query(f"WITH {B.CLEAN_SQL} SELECT sample_id, variable_name, raw_value_text, round(cleaned_value_real, 6) AS cleaned_value_real, unit, bdl_flag, bdl_rule, missing_flag, cleaning_note FROM cleaned")
 def bdl_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(cleaned(spark, sf_dir).drop("unit"))
+    return rounded(cleaned(spark, sf_dir))
 
 
 @query(f"WITH {B.CLEAN_SQL} SELECT * FROM detected")
@@ -113,12 +113,15 @@ def exceedance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(labelled(spark, sf_dir).withColumn("true_label", F.col("true_label").cast("double")))
 
 
+_NOTE = """CASE WHEN threshold_value IS NULL THEN 'Threshold not configured — cannot generate labels' WHEN n_positive < 3 THEN 'Only ' || n_positive || ' positive cases; insufficient for any ML'
+      WHEN n_positive < 5 THEN n_positive || ' positive cases < minimum 5 for standard CV' WHEN n_negative < 5 THEN 'Class distribution too extreme for reliable CV (n_pos=' || n_positive || ', n_neg=' || n_negative || ')'
+      ELSE n_positive || ' positive, ' || n_negative || ' negative — ML feasible' END AS eligibility_note"""
 _ELIGIBLE = "target_contaminant, n_samples, n_positive, n_negative, round(prevalence, 6) AS prevalence, cv_feasible, ml_status, CASE WHEN ml_status = 'modelled' THEN 'Main text' ELSE 'Supplement' END AS reporting_level"
 
 
-@query(f"WITH {B.ELIGIBLE_SQL} SELECT {_ELIGIBLE} FROM eligible")
+@query(f"WITH {B.ELIGIBLE_SQL} SELECT {_ELIGIBLE}, {_NOTE} FROM eligible")
 def target_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ingest.eligibility(labelled(spark, sf_dir)).drop("eligibility_note"))
+    return rounded(ingest.eligibility(labelled(spark, sf_dir)))
 
 
 @query(f"WITH {B.ELIGIBLE_SQL} SELECT {_ELIGIBLE}, e.threshold_value FROM eligible e ORDER BY target_contaminant")
@@ -153,6 +156,65 @@ def derived_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.round(e, 4 if n == "SAR" else 8).alias(n) for n, e in made.items()))
 
 
+_ANALYTES = "cells AS (SELECT l_orderkey || '-' || l_linenumber AS sample_id, l_extendedprice AS \"Na\", l_quantity AS \"Cl\", l_tax AS \"Mg\", l_discount AS \"Ca\", CAST(l_suppkey AS DOUBLE) AS \"HCO3\" FROM lineitem), analytes AS (SELECT sample_id, max(\"Na\") AS \"Na\", max(\"Cl\") AS \"Cl\", max(\"Mg\") AS \"Mg\", max(\"Ca\") AS \"Ca\", max(\"HCO3\") AS \"HCO3\" FROM cells GROUP BY sample_id)"
+_DERIVED = """derived AS (SELECT sample_id, "Na" / nullif("Cl", 0) AS "Na_Cl_ratio", "Mg" / nullif("Ca", 0) AS "Mg_Ca_ratio", "HCO3" / nullif("Cl", 0) AS "HCO3_Cl_ratio", ("Na" / 22.99) / nullif(sqrt(0.5 * ("Ca" / 20.04 + "Mg" / 12.155)), 0) AS "SAR", "Ca" / nullif("Mg", 0) AS "Ca_Mg_ratio" FROM analytes)"""
+
+
+def _analytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as measurements of the analytes that ratios are made of."""
+    sample = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("sample_id")
+    wide = B.table(spark, sf_dir, "lineitem").select(sample, *(F.col(c).cast("double").alias(v) for v, c in _RATIO_VARIABLES.items()))
+    return wide.unpivot("sample_id", list(_RATIO_VARIABLES), "variable_name", "cleaned_value_real")
+
+
+@query(f"""WITH {_ANALYTES}, {_DERIVED}, u AS (SELECT sample_id, variable_name, v FROM derived UNPIVOT (v FOR variable_name IN ("Na_Cl_ratio", "Mg_Ca_ratio", "HCO3_Cl_ratio", "SAR", "Ca_Mg_ratio")))
+    SELECT sample_id, variable_name, CASE variable_name WHEN 'Na_Cl_ratio' THEN 'Na/Cl' WHEN 'Mg_Ca_ratio' THEN 'Mg/Ca' WHEN 'HCO3_Cl_ratio' THEN 'HCO3/Cl' WHEN 'SAR' THEN 'Na/sqrt(0.5*(Ca+Mg))' ELSE 'Ca/Mg' END AS raw_value_text,
+      round(v, 7) AS cleaned_value_real, CASE variable_name WHEN 'SAR' THEN '(meq/L)^0.5' ELSE 'mg/L ratio' END AS unit, 0 AS bdl_flag, 0 AS missing_flag, 'Derived ratio computed post-ingestion' AS cleaning_note FROM u WHERE v IS NOT NULL""")
+def derived_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ingest.derived_rows(_analytes(spark, sf_dir)), 7)
+
+
+@query(f"""WITH {_ANALYTES}, {_DERIVED} SELECT sample_id, "Na", "Cl", round("SAR", 4) AS "SAR", round("Mg_Ca_ratio", 6) AS "Mg_Ca_ratio" FROM analytes JOIN derived USING (sample_id)""")
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.feature_matrix(_analytes(spark, sf_dir), ["Na", "Cl", "SAR", "Mg_Ca_ratio"]).withColumns({"SAR": F.round("SAR", 4), "Mg_Ca_ratio": F.round("Mg_Ca_ratio", 6)})
+
+
+_COLUMNS = ("SampleID", "Location", "Dx", "EC", "Na", "TDS", "SO4", "pH")
+_DICTIONARY = "dictionary AS (SELECT * FROM (VALUES ('SampleID', 'identifier', 'text'), ('Location', 'identifier', 'text'), ('Dx', 'coordinate', 'decimal_degrees_lon'), ('EC', 'field_parameter', 'µS/cm'), ('Na', 'target_contaminant', 'mg/L'), ('TDS', 'target_contaminant', 'mg/L'), ('SO4', 'laboratory_chemical', 'mg/L'), ('pH', 'field_parameter', 'dimensionless')) AS v(column_name, scientific_role, unit))"
+
+
+@query(f"WITH {_DICTIONARY} SELECT column_name, 'numeric' AS inferred_type, scientific_role, unit, CAST(scientific_role = 'coordinate' AS INTEGER) AS is_coordinate, CAST(scientific_role = 'target_contaminant' AS INTEGER) AS is_target_candidate, CAST(scientific_role = 'field_parameter' AS INTEGER) AS is_field_variable, CAST(scientific_role = 'laboratory_chemical' AS INTEGER) AS is_lab_variable, 0 AS is_derived_variable FROM dictionary")
+def column_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.column_dictionary(spark, _COLUMNS)
+
+
+@query(f"""WITH {_ANALYTES}, {_DICTIONARY}, u AS (SELECT sample_id, variable_name, v FROM cells UNPIVOT (v FOR variable_name IN ("Na", "Cl", "Mg", "Ca", "HCO3")))
+    SELECT variable_name, count(v) AS n_valid, 0::BIGINT AS n_bdl, 0::BIGINT AS n_missing, round(min(v), 3) AS min_value, round(max(v), 3) AS max_value, round(median(v), 3) AS median_value, any_value(scientific_role) AS scientific_role, any_value(unit) AS unit,
+      CASE variable_name WHEN 'Na' THEN 150.0::DOUBLE WHEN 'Cl' THEN 187.5 END AS threshold_value FROM u LEFT JOIN dictionary ON column_name = variable_name GROUP BY variable_name""")
+def dataset_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    defined = ingest.thresholds_frame(spark, C.STUDY_THRESHOLDS.targets)
+    t = {"column_dictionary": ingest.column_dictionary(spark, _COLUMNS), "target_definitions": defined}
+    return reports.dataset_summary(t, ingest.summary(_analytes(spark, sf_dir).withColumn("bdl_flag", F.lit(0))))
+
+
+@query("""SELECT coalesce(c.column_name, r.column_name) AS column_name, CAST(c.column_name IS NOT NULL AS INTEGER) AS present, CAST(r.column_name IS NOT NULL AS INTEGER) AS is_required, coalesce(n, 0)::BIGINT AS n_bdl_cells
+    FROM (SELECT 'SampleID' AS column_name, 0 AS n UNION ALL SELECT 'Na', count(*) FILTER (WHERE user_id % 5 = 0) FROM events UNION ALL SELECT 'Cl', 0) c FULL JOIN (VALUES ('SampleID'), ('Na'), ('Dx')) AS r(column_name) USING (column_name)""")
+def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").cast("string").alias("SampleID"), F.when(F.col("user_id") % 5 == 0, " BDL ").otherwise("1").alias("Na"), F.lit("2").alias("Cl"))
+    return ingest.validation(rows, ["SampleID", "Na", "Dx"])
+
+
+@query("""WITH o AS (SELECT CAST(c_custkey % 700 AS BIGINT) AS k, c_acctbal AS v FROM customer WHERE c_custkey <= 700), n AS (SELECT s_suppkey AS k, CASE WHEN s_acctbal > 3000 THEN s_acctbal END AS v FROM supplier UNION ALL SELECT s_suppkey + 1000000, CASE WHEN s_acctbal > 5000 THEN s_acctbal END FROM supplier)
+    SELECT coalesce(o.k, n.k) AS k, coalesce(n.v, o.v) AS v FROM o FULL JOIN n ON o.k = n.k""")
+def merge_keeps_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a value never take the place of one that is there."""
+    old = B.table(spark, sf_dir, "customer").where("c_custkey <= 700").select((F.col("c_custkey") % 700).alias("k"), F.col("c_acctbal").alias("v"))
+    s = B.table(spark, sf_dir, "supplier")
+    new = s.select(F.col("s_suppkey").alias("k"), F.when(F.col("s_acctbal") > 3000, F.col("s_acctbal")).alias("v")).unionByName(s.select((F.col("s_suppkey") + 1000000).alias("k"), F.when(F.col("s_acctbal") > 5000, F.col("s_acctbal")).alias("v")))
+    return upsert.merge(old, new, ["k"], F.col("v").isNull())
+
+
 @query("""SELECT o_orderkey, trim(x) AS raw, CASE WHEN regexp_full_match(trim(x), '(?i)[+-]?(inf(inity)?|nan|(\\d+\\.?\\d*|\\.\\d+)(e[+-]?\\d+)?)') THEN TRY_CAST(trim(x) AS DOUBLE) END AS value
     FROM (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '1d' WHEN 1 THEN '1_0' WHEN 2 THEN '.5' WHEN 3 THEN '2.' WHEN 4 THEN '1e-3 ' ELSE '0x1p3' END AS x FROM orders)""")
 def float_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,11 +482,12 @@ def best_per_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCREENING = "sample_id, target_contaminant, best_validated_run_id, round(median, 6) AS predicted_probability_median, round(lower, 6) AS predicted_probability_lower_ci, round(upper, 6) AS predicted_probability_upper_ci, class AS screening_priority_class"
+_REASON = "CASE class WHEN 'Very_High' THEN 'Urgent confirmatory laboratory testing recommended' WHEN 'High' THEN 'Confirmatory testing recommended' WHEN 'Moderate' THEN 'Monitor or retest seasonally' ELSE 'Lower immediate priority; routine monitoring' END AS priority_reason"
 
 
-@query(f"WITH {B.PRIORITY_SQL} SELECT {_SCREENING} FROM classed")
+@query(f"WITH {B.PRIORITY_SQL} SELECT {_SCREENING}, {_REASON} FROM classed")
 def screening_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.screening_priority(B.store(spark, sf_dir)).drop("priority_reason"))
+    return rounded(reports.screening_priority(B.store(spark, sf_dir)))
 
 
 def _prioritised(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -432,6 +495,19 @@ def _prioritised(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return t | {"screening_priority": reports.screening_priority(t)}
 
 
+_PLACED = "predicted_probability_median, predicted_probability_lower_ci, predicted_probability_upper_ci, screening_priority_class, priority_reason, best_validated_run_id"
+
+
+@query(f"WITH {B.PRIORITY_SQL}, s AS (SELECT {_SCREENING}, {_REASON} FROM classed) SELECT sample_id, target_contaminant, {_PLACED}, round(latitude, 6) AS latitude, longitude FROM s LEFT JOIN places USING (sample_id)")
+def priority_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.priority_table(_prioritised(spark, sf_dir)))
+
+
+@query(f"WITH {B.PRIORITY_SQL} SELECT sample_id, target_contaminant, class AS screening_priority_class, round(latitude, 6) AS latitude, longitude FROM classed JOIN places USING (sample_id)")
+def priority_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.priority_map(_prioritised(spark, sf_dir)))
+
+
 @query(f"""WITH {B.PRIORITY_SQL}, g AS (SELECT sample_id, string_agg(target_contaminant || ':' || coalesce(class, 'NA'), '|' ORDER BY target_contaminant) AS targets_classes, max(median) AS max_probability FROM classed GROUP BY 1)
     SELECT g.sample_id, longitude, round(latitude, 6) AS latitude, targets_classes, round(max_probability, 6) AS max_probability, {B._CLASS.format('max_probability')} AS overall_priority, location FROM g LEFT JOIN places USING (sample_id)""")
 def priority_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,6 +581,93 @@ def threshold_curves_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.select("run_id", "probability_cutoff", "sensitivity", "specificity", "f2_score").unpivot(["run_id", "probability_cutoff"], ["sensitivity", "specificity", "f2_score"], "metric", "value"))
 
 
+_RUN = "target_contaminant, predictor_tier, algorithm, cv_mode"
+
+
+@query(f"WITH {B.STORE_SQL} SELECT run_id, sample_id, {_RUN}, repeat_index, fold_index, y AS true_label, p AS predicted_probability FROM predictions")
+def out_of_fold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.out_of_fold(B.store(spark, sf_dir)).drop("l_tax", "l_linenumber", "l_orderkey")
+
+
+@query(f"WITH {B.STORE_SQL} SELECT run_id, sample_id, {_RUN}, repeat_index, fold_index, feature_name, round(shap_value, 6) AS shap_value, feature_cleaned_value FROM shap_values JOIN model_runs USING (run_id)")
+def attributions_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.attributions_long(B.store(spark, sf_dir)))
+
+
+_RULES = f"""chosen AS ({_rule("'max_F2'", 'f2_score')} UNION ALL {_rule("'sens_ge_0.90'", 'specificity', 'sensitivity >= 0.9')} UNION ALL {_rule("'best_sensitivity_available'", 'sensitivity', 'NOT ' + _ENOUGH)} UNION ALL {_rule("'youden_index'", '(sensitivity + specificity - 1)')}),
+    own AS (SELECT DISTINCT run_id, {_RUN} FROM predictions),
+    stored AS (SELECT own.*, threshold_rule AS threshold_selection_rule, c.probability_cutoff AS optimized_probability_cutoff, c.sensitivity AS resulting_sensitivity, c.specificity AS resulting_specificity, false_negatives_count, false_positives_count
+      FROM chosen c JOIN sweep s USING (run_id, probability_cutoff) JOIN own USING (run_id))"""
+
+
+def _with_thresholds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    keys = ["run_id", "cv_mode"]
+    sweep = metrics.threshold_sweep(B.predictions(spark, sf_dir), keys)
+    chosen = metrics.operational_thresholds(sweep, keys).join(sweep.select(*keys, "probability_cutoff", "false_negatives_count", "false_positives_count"), [*keys, "probability_cutoff"])
+    names = {"threshold_rule": "threshold_selection_rule", "probability_cutoff": "optimized_probability_cutoff", "sensitivity": "resulting_sensitivity", "specificity": "resulting_specificity"}
+    return B.store(spark, sf_dir) | {"threshold_sensitivity": sweep, "operational_thresholds": chosen.withColumnsRenamed(names)}
+
+
+@query(f"{_SWEEP}, {_RULES} SELECT run_id, {_RUN}, threshold_selection_rule, optimized_probability_cutoff, round(resulting_sensitivity, 6) AS resulting_sensitivity, round(resulting_specificity, 6) AS resulting_specificity, false_negatives_count, false_positives_count FROM stored")
+def operational_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.operational(_with_thresholds(spark, sf_dir)))
+
+
+@query(f"{_SWEEP}, {_RULES} SELECT target_contaminant, algorithm, cv_mode, threshold_selection_rule, round(optimized_probability_cutoff, 3) AS optimized_probability_cutoff, round(resulting_sensitivity, 3) AS resulting_sensitivity, round(resulting_specificity, 3) AS resulting_specificity, false_negatives_count, false_positives_count FROM stored")
+def operational_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.operational_rounded(_with_thresholds(spark, sf_dir))
+
+
+@query(f"{_SWEEP} SELECT run_id, target_contaminant, algorithm, cv_mode, probability_cutoff, {_R6}, false_negatives_count, false_positives_count FROM sweep JOIN (SELECT DISTINCT run_id, {_RUN} FROM predictions) USING (run_id)")
+def sensitivity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.sensitivity(_with_thresholds(spark, sf_dir)))
+
+
+@query(f"{_SWEEP} SELECT target_contaminant, algorithm, cv_mode, probability_cutoff, m AS metric, round(CASE m WHEN 'sensitivity' THEN sensitivity WHEN 'specificity' THEN specificity ELSE f2_score END, 6) AS value FROM sweep JOIN (SELECT DISTINCT run_id, {_RUN} FROM predictions) USING (run_id), unnest(['sensitivity', 'specificity', 'f2_score']) AS t(m)")
+def curves_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.curves_long(_with_thresholds(spark, sf_dir)))
+
+
+@query(f"""{_SWEEP}, {_RULES}, b AS (SELECT * FROM stored WHERE algorithm NOT ILIKE 'Dummy%' QUALIFY row_number() OVER (PARTITION BY target_contaminant ORDER BY false_negatives_count, false_positives_count, run_id, threshold_selection_rule) = 1),
+    w AS (SELECT target_contaminant, run_id, greatest(0, CAST(round(false_negatives_count / greatest(1 - resulting_sensitivity, 1e-6)) AS BIGINT) - false_negatives_count) AS tp,
+      greatest(0, CAST(round(false_positives_count / greatest(1 - resulting_specificity, 1e-6)) AS BIGINT) - false_positives_count) AS tn, false_positives_count AS fp, false_negatives_count AS fn FROM b)
+    SELECT target_contaminant, run_id, c AS cell, CAST(CASE c WHEN 'tp' THEN tp WHEN 'tn' THEN tn WHEN 'fp' THEN fp ELSE fn END AS BIGINT) AS n FROM w, unnest(['tp', 'tn', 'fp', 'fn']) AS t(c)""")
+def best_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.best_confusion(_with_thresholds(spark, sf_dir))
+
+
+@query(f"WITH {B.PERFORMANCE_SQL} SELECT run_id, {_RUN}, " + ", ".join(f"round({c}, 3) AS {c}" for c in _MEANS if c.startswith("mean_")) + ", n_folds FROM performance")
+def performance_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.performance_rounded(B.store(spark, sf_dir))
+
+
+@query(f"WITH {B.PERFORMANCE_SQL} SELECT target_contaminant, CAST(least(10, greatest(1, ceil(p * 10))) AS INTEGER) AS bin, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS observed, count(*) AS n, round(sqrt(avg(y) * (1 - avg(y)) / count(*)), 6) AS se FROM predictions SEMI JOIN best USING (run_id) GROUP BY ALL")
+def reliability_of_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.reliability_of_best(B.store(spark, sf_dir)))
+
+
+@query(f"WITH {B.PERFORMANCE_SQL}, g AS (SELECT target_contaminant, feature_name, avg(abs(shap_value)) AS mean_abs FROM shap_values JOIN best USING (run_id) GROUP BY ALL) SELECT target_contaminant, feature_name, round(mean_abs, 6) AS mean_abs, CAST(row_number() OVER w AS INTEGER) AS rank FROM g WINDOW w AS (PARTITION BY target_contaminant ORDER BY mean_abs DESC, feature_name) QUALIFY row_number() OVER w <= 6")
+def features_of_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.features_of_best(B.store(spark, sf_dir)))
+
+
+@query(f"WITH {B.STORE_SQL}, h AS (SELECT DISTINCT run_id, repeat_index, fold_index, 'C' AS hyperparameter_name, CASE WHEN pr_auc > 0.5 THEN '1' ELSE '0.1' END AS hyperparameter_value FROM fold_metrics) SELECT {_RUN}, hyperparameter_name, hyperparameter_value, count(*) AS n_folds FROM h JOIN model_runs USING (run_id) GROUP BY ALL")
+def hyperparameters_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = B.store(spark, sf_dir)
+    chosen = t["fold_metrics"].select("run_id", "repeat_index", "fold_index", F.lit("C").alias("hyperparameter_name"), F.when(F.col("pr_auc") > 0.5, "1").otherwise("0.1").alias("hyperparameter_value"))
+    return reports.hyperparameters(t | {"model_hyperparameters": chosen})
+
+
+@query(f"WITH {_leakage_sql()} SELECT target_contaminant, tier_name || coalesce('_' || variant, '') AS tier_name, feature_name, CASE WHEN reason IS NULL THEN 'included' ELSE 'excluded' END AS action, reason, 'leakage_rules' AS rule_source FROM audited WHERE variant IS NULL OR tier_name = 'Tier2_Reduced'")
+def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.leakage_audit({"leakage_rules_applied": leakage.stored(_audited(spark))})
+
+
+@query(f"WITH {_leakage_sql()} SELECT DISTINCT target_contaminant, tier_name || coalesce('_' || variant, '') AS tier_name, feature_name FROM audited WHERE reason IS NULL AND (variant IS NULL OR tier_name = 'Tier2_Reduced')")
+def retained_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.retained_features({"leakage_rules_applied": leakage.stored(_audited(spark))})
+
+
 _SPEARMAN = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 

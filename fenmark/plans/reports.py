@@ -257,3 +257,5 @@ def run_metrics(t: Tables) -> DataFrame:
 
 R_EXPORTS = {"target_prevalence_summary": prevalence, "leakage_audit_summary": leakage_audit, "model_performance_summary": performance, "fold_metrics_long": fold_metrics_long, "out_of_fold_predictions": out_of_fold, "shap_values_long": attributions_long, "calibration_inputs": calibration_inputs, "operational_thresholds": operational, "threshold_sensitivity": sensitivity, "screening_priority_table": priority_table}
 GIS_EXPORTS = {"well_screening_priority_points": priority_points, "target_specific_screening_probabilities": target_probabilities, "spatial_cluster_metadata": cluster_metadata}
+#: Exports that grow with predictions times features; the others are of a few rows a run, and go to one file.
+LARGE_EXPORTS = ("out_of_fold_predictions", "shap_values_long", "calibration_inputs")

@@ -6,7 +6,9 @@ aggregates, and only the kernels run as grouped-map tasks.
 
 from __future__ import annotations
 
+import logging
 import time
+import uuid
 from collections.abc import Sequence
 from datetime import UTC, datetime
 
@@ -21,33 +23,47 @@ from fenmark.sources import readers, sinks
 from fenmark.sources.store import TABLES, Store
 
 SCHEMA_VERSION = "1"
+LOG = logging.getLogger(__name__)
 
 
 def now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
+def register(store: Store, files: dict[str, str]) -> None:
+    """Keeps path, hash and size of files by role."""
+    at, hashed = now(), None
+    for role, path in files.items():
+        h = readers.file_hashes(store.spark, path).select(F.lit(role).alias("file_role"), "file_path", "sha256_hash", "file_size_bytes", F.lit(at).alias("imported_at"))
+        hashed = h if hashed is None else hashed.unionByName(h)
+    if hashed is not None:
+        store.replace("input_files", hashed, ["file_role"])
+
+
+def registered(store: Store, role: str) -> str:
+    """The path of a role's file."""
+    found = store.read("input_files").where(F.col("file_role") == role).first()
+    if found is None:
+        raise FileNotFoundError(f"no {role} is registered in the store")
+    return found.file_path
+
+
 def ingest_study(store: Store, csv: str, run: C.RunConfig, thresholds: C.ThresholdsConfig, outline: str | None = None, files: dict[str, str] | None = None) -> None:
     """Fills the input, target, feature and spatial tables from a study's CSV."""
     spark, at = store.spark, now()
     store.create_all()
     store.append("project_manifest", spark.createDataFrame([(run.name, run.version, at, run.version, SCHEMA_VERSION, None)], TABLES["project_manifest"]))
-    roles = {"input_csv": csv, **({"outline": outline} if outline else {}), **(files or {})}
-    hashed = None
-    for role, path in roles.items():
-        h = readers.file_hashes(spark, path).select(F.lit(role).alias("file_role"), "file_path", "sha256_hash", "file_size_bytes", F.lit(at).alias("imported_at"))
-        hashed = h if hashed is None else hashed.unionByName(h)
-    store.replace("input_files", hashed, ["file_role"])
+    register(store, {"raw_groundwater_csv": csv, **({"manuscript_outline": outline} if outline else {}), **(files or {})})
     if outline:
         text = readers.read_text(spark, outline)
         store.append("manuscript_outline", text.select(S.title(F.col("full_text")).alias("title_detected"), "full_text", F.lit(at).alias("imported_at"), F.sha2("full_text", 256).alias("sha256_hash")))
 
     rows = ingest.with_index(readers.read_csv(spark, csv))
-    source = store.read("input_files").where("file_role = 'input_csv'").select(F.col("sha256_hash").alias("input_file_hash"))
+    source = store.read("input_files").where("file_role = 'raw_groundwater_csv'").select(F.col("sha256_hash").alias("input_file_hash"))
     store.replace("raw_samples", ingest.raw_samples(rows).withColumn("imported_at", F.lit(at)).join(F.broadcast(source)), ["sample_id"])
     long = ingest.to_long(rows)
     c = thresholds.censoring
-    cleaned = store.replace("cleaned_measurements", ingest.clean(long, ingest.configured_limits(spark, c.detection_limits), c.method, c.use_min_detected_fallback), ["sample_id", "variable_name"])
+    cleaned = store.merge_cells(ingest.clean(long, ingest.configured_limits(spark, c.detection_limits), c.method, c.use_min_detected_fallback))
     columns = [x for x in rows.columns if x != "original_row_index"]
     store.insert_missing("column_dictionary", ingest.column_dictionary(spark, columns), ["column_name"])
     a = ingest.audit(long, cleaned, run.spatial.latitude_column, run.spatial.longitude_column)
@@ -63,8 +79,7 @@ def ingest_study(store: Store, csv: str, run: C.RunConfig, thresholds: C.Thresho
     store.insert_missing("predictor_tiers", tiers, ["tier_name"])
     kind = F.when(F.col("feature_name").isin(*C.DERIVED), "derived").otherwise("measured")
     store.insert_missing("candidate_features", leakage.candidates(spark).withColumn("feature_type", kind).withColumn("enabled", F.lit(1)).withColumn("source_variable", F.when(F.col("feature_type") == "measured", F.col("feature_name"))), ["feature_name", "tier_name"])
-    derived = ingest.derived_rows(cleaned).withColumn("bdl_flag", F.lit(0)).withColumn("missing_flag", F.lit(0)).withColumn("unit", F.lit("ratio")).withColumn("cleaning_note", F.lit("derived"))
-    store.replace("cleaned_measurements", derived, ["sample_id", "variable_name"])
+    store.merge_cells(ingest.derived_rows(cleaned))
     cluster(store, run.spatial)
 
 
@@ -81,10 +96,8 @@ def cluster(store: Store, known: C.SpatialConfig) -> None:
 
 
 def audit_leakage(store: Store, rules: C.LeakageRules) -> DataFrame:
-    """Applies the rules to all targets and tiers, and a target's variants to the middle tier (stored under the variant's name)."""
-    audited = leakage.audit(leakage.candidates(store.spark), leakage.rules_frame(store.spark, rules))
-    own = audited.where("variant is null or tier_name = 'Tier2_Reduced'").withColumn("tier_name", F.coalesce("variant", "tier_name"))
-    rows = own.select("target_contaminant", "tier_name", "feature_name", "action", "reason", F.lit("leakage_rules").alias("rule_source"))
+    """Applies the rules to all targets and tiers, and a target's variants to the middle tier (stored under the names of both)."""
+    rows = leakage.stored(leakage.audit(leakage.candidates(store.spark), leakage.rules_frame(store.spark, rules)))
     return store.replace("leakage_rules_applied", rows, ["target_contaminant", "tier_name", "feature_name"])
 
 
@@ -100,9 +113,11 @@ def task_table(store: Store, run: C.RunConfig, targets: Sequence[str], tiers: Se
         f = folds.spatial_groups(labelled, store.read("sample_spatial_assignment"), run.cv.spatial_outer_folds, ["target_contaminant"]).drop("spatial_cluster_id").withColumn("random_seed", F.lit(run.cv.random_seed).cast("long"))
         parts.append(folds.assignments(f, run.cv.spatial_outer_folds).withColumn("cv_mode", F.lit("Spatial_Group_CV")).withColumn("n_folds", F.lit(run.cv.spatial_outer_folds)))
     split = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
-    # Folds without both classes in train and test are left out, as a group of them would fail.
+    # Groups with a fold that lacks a class in train or test fail as a whole: that is told, and they are left out.
     classes = split.groupBy("target_contaminant", "cv_mode", "repeat_index", "fold_index", "split_role").agg(F.countDistinct("true_label").alias("c"))
     whole = classes.groupBy("target_contaminant", "cv_mode").agg((F.min("c") == 2).alias("ok")).where("ok").select("target_contaminant", "cv_mode")
+    for r in classes.groupBy("target_contaminant", "cv_mode").agg((F.min("c") == 2).alias("ok")).where("not ok").collect():  # targets times modes at most
+        LOG.error("FAILED %s / %s: a fold lacks a class in train or test", r.target_contaminant, r.cv_mode)
     features = store.read("leakage_rules_applied").where((F.col("action") == "included") & F.col("tier_name").isin(*tiers)).groupBy("target_contaminant", "tier_name").agg(F.array_sort(F.collect_set("feature_name")).alias("feature_names"))
     names = [f for t in C.TIERS["Tier3_Full"] for f in (t,)]
     wide = ingest.feature_matrix(store.read("cleaned_measurements"), names)
@@ -110,9 +125,9 @@ def task_table(store: Store, run: C.RunConfig, targets: Sequence[str], tiers: Se
     return split.join(whole, ["target_contaminant", "cv_mode"]).join(features, "target_contaminant").join(values, "sample_id").withColumn("is_train", (F.col("split_role") == "train").cast("int")).withColumn("features", F.transform("feature_names", lambda n: F.element_at(F.col("m"), n))).drop("m")
 
 
-def run_models(store: Store, run: C.RunConfig, targets: Sequence[str] = C.TARGETS, tiers: Sequence[str] = (*C.TIERS, "TDS_EC_inclusive", "TDS_EC_strict"), modes: Sequence[str] = C.CV_MODES, tuned: bool = True) -> dict[str, int]:
+def run_models(store: Store, run: C.RunConfig, targets: Sequence[str] = C.TARGETS, tiers: Sequence[str] = (*C.TIERS, *C.VARIANT_TIERS), modes: Sequence[str] = C.CV_MODES, tuned: bool = True) -> dict[str, int]:
     """Fits, scores and ranks; fills the run tables.  Returns row counts."""
-    for given, known in ((targets, C.TARGETS), (modes, C.CV_MODES), (tiers, (*C.TIERS, "TDS_EC_inclusive", "TDS_EC_strict"))):
+    for given, known in ((targets, C.TARGETS), (modes, C.CV_MODES), (tiers, (*C.TIERS, *C.VARIANT_TIERS))):
         if unknown := set(given) - set(known):
             raise ValueError(f"not known: {sorted(unknown)}")
     began, at = time.time(), now()
@@ -122,11 +137,18 @@ def run_models(store: Store, run: C.RunConfig, targets: Sequence[str] = C.TARGET
     tasks = tasks.withColumn("run_id", S.run_id(F.col("target_contaminant"), F.col("tier_name"), F.col("algorithm"), F.col("cv_mode"))).withColumnRenamed("tier_name", "predictor_tier")
     keys = ["run_id", "target_contaminant", "predictor_tier", "algorithm", "cv_mode", "repeat_index", "fold_index"]
     clusters = store.read("sample_spatial_assignment").select("sample_id", "spatial_cluster_id")
-    p = models.predictions(tasks, keys, run.cv.random_seed, tuned).join(clusters, "sample_id", "left").withColumnRenamed("predicted_label", "predicted_label_default_0_5")
-    store.replace("well_predictions", p, ["run_id"])
+    # Each task is tuned and fitted once; all that it gives is written, and read for each table.
+    fits = f"{store.root}/_fits/{uuid.uuid4().hex}"
+    models.fitted(tasks, keys, run.cv.random_seed, tuned, run.cv.inner_folds).write.parquet(fits)
+    fits = store.spark.read.parquet(fits)
+    store.replace("well_predictions", fits.join(clusters, "sample_id", "left").withColumnRenamed("predicted_label", "predicted_label_default_0_5"), ["run_id"])
     known = store.read("well_predictions")
     defs = store.read("target_definitions").select("target_contaminant", "threshold_value", "threshold_source")
     heads = tasks.groupBy("run_id", "target_contaminant", "predictor_tier", "algorithm", "cv_mode").agg(F.max(F.size("feature_names")).alias("n_features"), F.countDistinct("sample_id").alias("n_train_samples"), F.max("n_folds").alias("n_outer_folds"), (F.max("repeat_index") + 1).alias("n_repeats"))
+    defaults = fits.where("is_default").select("run_id").distinct().withColumn("skip_reason", F.lit("too few rows for the inner folds: default setting in some folds"))
+    hashes = {r.file_role: r.sha256_hash for r in store.read("input_files").select("file_role", "sha256_hash").collect()}  # one row a role
+    roles = {"input_data_hash": "raw_groundwater_csv", "outline_hash": "manuscript_outline", "leakage_rules_hash": "leakage_rules_yaml", "config_hash": "runtime_config_yaml"}
+    heads = heads.join(defaults, "run_id", "left").withColumns({c: F.lit(hashes.get(role, "")) for c, role in roles.items()}).withColumn("cpu_threads_used", F.lit(1))
     heads = heads.join(defs, "target_contaminant", "left").withColumn("timestamp", F.lit(at)).withColumn("random_seed", F.lit(run.cv.random_seed)).withColumn("run_status", F.lit("completed")).withColumn("total_execution_time_ms", F.lit(int(1000 * (time.time() - began))))
     store.replace("model_runs", heads, ["run_id"])
     store.replace("fold_assignments", base.select("cv_mode", "repeat_index", "fold_index", "sample_id", "split_role", "target_contaminant", "tier_name", "random_seed").distinct(), ["cv_mode", "target_contaminant", "tier_name"])
@@ -139,14 +161,16 @@ def run_models(store: Store, run: C.RunConfig, targets: Sequence[str] = C.TARGET
     stored = store.read("threshold_sensitivity").join(own, "run_id", "left_semi")
     chosen = metrics.operational_thresholds(stored, ["run_id", "cv_mode"]).join(stored.select("run_id", "cv_mode", "probability_cutoff", "false_negatives_count", "false_positives_count"), ["run_id", "cv_mode", "probability_cutoff"])
     store.replace("operational_thresholds", chosen.select("run_id", "cv_mode", F.col("threshold_rule").alias("threshold_selection_rule"), F.col("probability_cutoff").alias("optimized_probability_cutoff"), F.col("sensitivity").alias("resulting_sensitivity"), F.col("specificity").alias("resulting_specificity"), "false_negatives_count", "false_positives_count"), ["run_id"])
-    a = models.attributions(tasks.where(reports.not_dummy()), keys, run.cv.random_seed, tuned)
+    each = fits.where(reports.not_dummy()).withColumn("x", F.explode(F.arrays_zip("feature_names", "feature_values", "attributions")))
+    a = each.select(*keys, "sample_id", F.col("x.feature_names").alias("feature_name"), F.col("x.feature_values").alias("feature_value"), F.col("x.attributions").alias("attribution"), "base_value")
     store.replace("shap_values", a.select("run_id", "cv_mode", "repeat_index", "fold_index", "sample_id", "feature_name", F.col("attribution").alias("shap_value"), F.col("feature_value").alias("feature_raw_value"), F.col("feature_value").alias("feature_cleaned_value"), "base_value"), ["run_id"])
     tracked = store.read("shap_values").join(own, "run_id", "left_semi").groupBy("run_id", "cv_mode", "repeat_index", "fold_index", "feature_name").agg(F.avg(F.abs("shap_value")).alias("mean_absolute_shap")).withColumn("is_selected", F.lit(1))
     store.replace("fold_feature_tracking", tracked, ["run_id"])
     prevalence = tasks.where("is_train = 1").groupBy("run_id", "cv_mode", "repeat_index", "fold_index").agg(F.avg("true_label").alias("train_fold_prevalence"))
-    bases = a.groupBy("run_id", "cv_mode", "repeat_index", "fold_index").agg(F.first("base_value").alias("shap_base_value_logit"))
+    bases = fits.where(reports.not_dummy()).groupBy("run_id", "cv_mode", "repeat_index", "fold_index").agg(F.first("base_value").alias("shap_base_value_logit"))
     store.replace("fold_base_values", prevalence.join(bases, ["run_id", "cv_mode", "repeat_index", "fold_index"], "left").withColumn("shap_base_value_prob", S.sigmoid(F.col("shap_base_value_logit"))), ["run_id"])
-    settings = p.where("hyperparameters <> ''").select("run_id", "cv_mode", "repeat_index", "fold_index", F.lit("setting").alias("hyperparameter_name"), F.col("hyperparameters").alias("hyperparameter_value")).distinct()
+    name = F.element_at(F.create_map(*(F.lit(x) for kv in C.HYPERPARAMETERS.items() for x in kv)), F.col("algorithm"))
+    settings = fits.where("hyperparameters <> ''").select("run_id", "cv_mode", "repeat_index", "fold_index", name.alias("hyperparameter_name"), F.col("hyperparameters").alias("hyperparameter_value")).distinct()
     store.replace("model_hyperparameters", settings, ["run_id"])
     tables = {n: store.read(n) for n in TABLES}
     store.replace("screening_priority", reports.screening_priority(tables), ["sample_id", "target_contaminant"])
@@ -159,10 +183,10 @@ def export(store: Store, folder: str, kind: str = "r") -> dict[str, int]:
     known = reports.R_EXPORTS if kind == "r" else reports.GIS_EXPORTS
     counts = {}
     for name, report in known.items():
-        df = report(tables)
-        sinks.write_csv(df, f"{folder}/{name}")
-        counts[name] = df.count()
+        counts[name] = sinks.counted_csv(report(tables), f"{folder}/{name}", single=name not in reports.LARGE_EXPORTS)
     if kind != "r":
+        if not counts["well_screening_priority_points"]:
+            LOG.warning("the screening priority table is empty: the points are, too")
         m = sinks.export_manifest(store.spark, [(f"{folder}/{n}", "csv", c) for n, c in counts.items()], now())
         sinks.write_csv(store.append("gis_exports_manifest", m), f"{folder}/gis_exports_manifest")
     return counts

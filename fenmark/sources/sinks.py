@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fenmark.functions.scalars import fixed
@@ -18,9 +18,17 @@ def write_csv(df: DataFrame, path: str, single: bool = True, digits: dict[str, i
 
     Reports are small and ordered, so they go to one file; pass single=False for large ones.
     """
+    counted_csv(df, path, single, digits)
+    return path
+
+
+def counted_csv(df: DataFrame, path: str, single: bool = True, digits: dict[str, int] | None = None) -> int:
+    """write_csv, and how many rows it wrote, counted as they went."""
+    seen = Observation()
     shaped = df.select(*(fixed(F.col(c), digits[c]).alias(c) if digits and c in digits else F.col(c) for c in df.columns))
+    shaped = shaped.observe(seen, F.count(F.lit(1)).alias("n"))
     (shaped.coalesce(1) if single else shaped).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
-    return path
+    return seen.get["n"]
 
 
 def export_manifest(spark, files: Sequence[tuple[str, str, int]], created_at: str) -> DataFrame:

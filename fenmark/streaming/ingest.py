@@ -16,10 +16,11 @@ from fenmark.sources.store import Store
 def clean_into(stream: DataFrame, store: Store, limits: DataFrame, checkpoint: str, method: str = "limit_div_sqrt2") -> StreamingQuery:
     """Upserts cleaned cells of a stream (sample_id, original_row_index, variable_name, raw_value_text) to cleaned_measurements.
 
+    A later batch's cell replaces an earlier one, whatever its row index, unless it is blank: a blank only comes where nothing is stored.
     A micro-batch that is run again replaces the same keys with the same rows, so retries change nothing.
     """
 
     def upsert(batch: DataFrame, _: int) -> None:
-        store.replace("cleaned_measurements", ingest.clean(batch, limits, method, use_min_detected=False), ["sample_id", "variable_name"])
+        store.merge_cells(ingest.clean(batch, limits, method, use_min_detected=False))
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -64,9 +64,9 @@ def test_clean_blank_cells_do_not_replace_values(spark):
     rows = [("s", 0, "Na", "5"), ("s", 1, "Na", ""), ("s", 2, "Cl", ""), ("s", 3, "Cl", None), ("t", 0, "Na", "bdl"), ("t", 1, "F", "<dl"), ("t", 2, "pH", "x")]
     m = {(r.sample_id, r.variable_name): r for r in ingest.clean(spark.createDataFrame(rows, "sample_id string, original_row_index long, variable_name string, raw_value_text string"), ingest.configured_limits(spark, {"F": 1.0})).collect()}
     assert m["s", "Na"].cleaned_value_real == 5 and m["s", "Cl"].cleaning_note == "empty_value" and m["s", "Cl"].missing_flag == 1 and m["s", "Cl"].unit is None
-    assert m["t", "Na"].cleaned_value_real == pytest.approx(5 / math.sqrt(2)) and m["t", "Na"].cleaning_note == "bdl_substituted_min_detected"
+    assert m["t", "Na"].cleaned_value_real == pytest.approx(5 / math.sqrt(2)) and m["t", "Na"].cleaning_note == "bdl_substituted_using_min_detected_fallback"
     # A censored cell that starts with "<" gets the note of a reported limit, whatever limit it took.
-    assert m["t", "F"].cleaned_value_real == pytest.approx(1 / math.sqrt(2)) and m["t", "F"].cleaning_note == "bdl_substituted_reported_limit"
+    assert m["t", "F"].cleaned_value_real == pytest.approx(1 / math.sqrt(2)) and m["t", "F"].cleaning_note == "bdl_substituted_using_reported_detection_limit"
     assert m["t", "pH"].cleaning_note == "failed_numeric_parse" and m["t", "pH"].missing_flag == 1 and m["t", "pH"].unit == "dimensionless"
 
 
@@ -241,3 +241,19 @@ def test_bootstrap_draws_and_calibration(spark):
     ends = {r.metric: (r.median, r.lower_ci, r.upper_ci) for r in resample.calibration_intervals(drawn).collect()}
     for k, m in enumerate(("calibration_slope", "calibration_intercept")):
         assert ends[m] == pytest.approx(np.percentile([v[k] for v in got.values()], [50, 2.5, 97.5]))
+
+
+def test_one_fit_gives_all_of_a_task(spark):
+    from fenmark.operators import models
+    from fenmark.plans import bindings
+
+    keys = ["algorithm", "repeat_index", "fold_index"]
+    tasks = bindings.tasks(spark, "/root/testdata/sf0.001", "LogisticRegression", "DummyMajority").where("fold_index = 0").cache()
+    got = models.fitted(tasks, keys, tuned=True, inner_folds=2).cache()
+    own = lambda df: sorted((r.algorithm, r.sample_id, r.predicted_probability, r.hyperparameters) for r in df.collect())
+    assert own(models.fitted(tasks, keys)) == own(models.predictions(tasks, keys))
+    assert got.where("is_default").count() == 0 and got.where("algorithm = 'DummyMajority' and size(attributions) > 0").count() == 0
+    assert models.fitted(tasks, keys, tuned=True, inner_folds=500).where("is_default").select("algorithm").distinct().collect()[0][0] == "LogisticRegression"
+    a = {(r.sample_id, r.feature_name): r.attribution for r in models.attributions(tasks.where("algorithm <> 'DummyMajority'"), keys).collect()}
+    each = models.fitted(tasks, keys).where("algorithm <> 'DummyMajority'").collect()
+    assert a == {(r.sample_id, n): x for r in each for n, x in zip(r.feature_names, r.attributions, strict=True)}

@@ -59,7 +59,7 @@ def ran(spark, study):
         ["init-db", "--store", f"{s}/store"],
         ["ingest-inputs", "--store", f"{s}/store", "--csv", f"{s}/data.csv", "--config", f"{s}/config.yaml", "--thresholds", f"{s}/thresholds.yaml", "--outline", f"{s}/outline.txt"],
         ["audit-leakage", "--store", f"{s}/store", "--rules", f"{s}/rules.yaml"],
-        ["run-pipeline", "--store", f"{s}/store", "--config", f"{s}/config.yaml", "--out", f"{s}/reports"],
+        ["run-pipeline", "--store", f"{s}/store", "--out", f"{s}/reports"],
         ["export-r", "--store", f"{s}/store", "--out", f"{s}/r"],
         ["export-gis", "--store", f"{s}/store", "--out", f"{s}/gis"],
     ):
@@ -72,7 +72,7 @@ def test_ingest_tables(ran):
     a = ran.read("data_audit").first()
     assert (a.n_samples, a.duplicate_sample_count, a.missing_coordinate_count, a.failed_numeric_parse_count) == (48, 1, 0, 1)
     m = {(r.sample_id, r.variable_name): r for r in ran.read("cleaned_measurements").collect()}
-    assert m["W05", "SO4"].cleaning_note == "empty_value" and m["W00", "Cl"].cleaned_value_real == pytest.approx(0.5 / 2**0.5) and m["W00", "Cl"].cleaning_note == "bdl_substituted_configured_limit"
+    assert m["W05", "SO4"].cleaning_note == "empty_value" and m["W00", "Cl"].cleaned_value_real == pytest.approx(0.5 / 2**0.5) and m["W00", "Cl"].cleaning_note == "bdl_substituted_using_configured_detection_limit"
     assert m["W01", "Na"].raw_value_text == m["W02", "Na"].raw_value_text and ("W01", "SAR") in m and ("W00", "Location") not in m
     e = {r.target_contaminant: r for r in ran.read("target_eligibility").collect()}
     assert e["Na"].ml_status == "modelled" and e["Cl"].ml_status == "descriptive_only" and e["Na"].n_samples == 48
@@ -91,11 +91,18 @@ def test_models_and_priority(ran, study):
     m = ran.read("fold_metrics")
     again = reports.run_metrics({"well_predictions": ran.read("well_predictions")})
     assert m.count() == again.count() and m.agg(F.sum("roc_auc")).first()[0] == pytest.approx(again.agg(F.sum("roc_auc")).first()[0])
+    tuned = {(r.algorithm, r.hyperparameter_name) for r in ran.read("model_hyperparameters").join(runs, "run_id").select("algorithm", "hyperparameter_name").distinct().collect()}
+    assert tuned == {("LogisticRegression", "C")}
+    one = runs.first()
+    hashes = {r.file_role: r.sha256_hash for r in ran.read("input_files").collect()}
+    assert set(hashes) == set(C.FILE_ROLES) and (one.input_data_hash, one.leakage_rules_hash, one.config_hash) == (hashes["raw_groundwater_csv"], hashes["leakage_rules_yaml"], hashes["runtime_config_yaml"])
+    assert {r.tier_name for r in ran.read("leakage_rules_applied").where("target_contaminant = 'TDS'").select("tier_name").distinct().collect()} == {*C.TIERS, "Tier2_Reduced_TDS_EC_strict"}
     best = reports.best_run({n: ran.read(n) for n in TABLES}).collect()
     assert len(best) == 1 and best[0].mean_pr_auc > 0.9
     p = ran.read("screening_priority")
     assert p.count() == 48 and p.where("predicted_probability_lower_ci > predicted_probability_upper_ci").count() == 0
-    assert json.loads((study / "reports" / "run_manifest.json").read_text())["counts"]["screening_priority"] == 48
+    manifest = json.loads((study / "reports" / "run_manifest.json").read_text())
+    assert manifest["counts"]["screening_priority"] == 48 and manifest["total_run_groups"] == 6 and manifest["targets"] == list(C.TARGETS) and {"pipeline_completed_at", "elapsed_ms", "tiers", "cv_modes"} <= set(manifest)
 
 
 def test_exports_are_quoted_and_complete(spark, ran, study):
@@ -142,8 +149,9 @@ def test_streaming_ingest_upserts(spark, tmp_path):
     store = Store(spark, f"{tmp_path}/store")
     store.create_all()
     limits = ingest.configured_limits(spark, {"Na": 1.0})
-    for rows in ([("a", 0, "Na", "5"), ("b", 1, "Na", "bdl")], [("a", 2, "Na", "6")]):
+    # Blanks never take the place of a value, late rows of a smaller index do; a blank of a cell that is new is kept.
+    for rows in ([("a", 7, "Na", "5"), ("b", 1, "Na", "bdl")], [("a", 2, "Na", "6"), ("c", 4, "Na", "")], [("a", 9, "Na", " "), ("b", 8, "Na", "")]):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
         clean_into(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), store, limits, f"{tmp_path}/cp").awaitTermination()
     got = {r.sample_id: r.cleaned_value_real for r in store.read("cleaned_measurements").collect()}
-    assert got == {"a": 6.0, "b": pytest.approx(1 / 2**0.5)}
+    assert got == {"a": 6.0, "b": pytest.approx(1 / 2**0.5), "c": None}
