@@ -15,7 +15,7 @@ place, so they depend on neither partitioning nor retries.  A task takes ``LEVEL
 
 *Blocks.*  Within a shard and source, documents stand in a random order, their words are cut into
 blocks, and the quota's number of them is drawn by a permutation; words left over come from the first blocks not drawn.  However
-large a source is, no task gathers more than its part of a shard.
+large a source is, no task gathers more than a shard.
 
 Null texts have size 0 and are taken 0 times; rows that repeat a document are documents of
 their own, in the same shard; null doc_ids are allowed; an empty table gives an empty mix; texts of any length are one document of one shard.
@@ -159,7 +159,11 @@ def _quotas(cells: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 
 
 def _draw(group: pd.DataFrame) -> pd.DataFrame:
-    """What a shard takes of one source: per row the spans of words drawn (first << 32 | number)."""
+    """What a shard takes: per row the spans of words drawn (first << 32 | number)."""
+    return pd.concat([_draw_source(own) for _, own in group.groupby("source", sort=False, dropna=False)])
+
+
+def _draw_source(group: pd.DataFrame) -> pd.DataFrame:
     source = None if pd.isna(group["source"].iloc[0]) else group["source"].iloc[0]
     draw = rng("shard", source, int(group["shard"].iloc[0]))
     group = group.sort_values(["doc_id", "digest", "size", "row"], kind="stable", na_position="last").iloc[draw.permutation(len(group))]
@@ -198,7 +202,7 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     roots = held.join(known, held.source.eqNullSafe(known["_s"])).withColumn("quota", F.least("blocks", F.floor(F.col("rest") / BLOCK))).select("source", "quota", (F.col("rest") - F.col("quota") * BLOCK).alias("over"))
     q = _quotas(cells, roots, depth).withColumnsRenamed({"source": "_s", "node": "_n"})
     placed = written(placed.join(q, placed.source.eqNullSafe(q["_s"]) & (F.col("shard") == F.col("_n"))).drop("_s", "_n"), "placed")
-    drawn = placed.where("quota + over > 0 and size > 0").groupBy("source", "shard").applyInPandas(_draw, "row long, drawn long, spans array<long>")
+    drawn = placed.where("quota + over > 0 and size > 0").groupBy("shard").applyInPandas(_draw, "row long, drawn long, spans array<long>")
     return placed, drawn
 
 
