@@ -200,7 +200,7 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     cells = written(placed.groupBy("source", "shard").agg(F.sum("size").alias("words")).withColumn("blocks", F.floor(F.col("words") / BLOCK)), "cells")
     held = cells.groupBy("source").agg(F.sum("blocks").alias("blocks"))
     roots = held.join(known, held.source.eqNullSafe(known["_s"])).withColumn("quota", F.least("blocks", F.floor(F.col("rest") / BLOCK))).select("source", "quota", (F.col("rest") - F.col("quota") * BLOCK).alias("over"))
-    q = _quotas(cells, roots, depth).withColumnsRenamed({"source": "_s", "node": "_n"})
+    q = _quotas(cells, roots, depth).withColumnsRenamed({"source": "_s", "node": "_n"}).hint("merge")  # as many as cells, which grow with the documents
     placed = written(placed.join(q, placed.source.eqNullSafe(q["_s"]) & (F.col("shard") == F.col("_n"))).drop("_s", "_n"), "placed")
     drawn = placed.where("quota + over > 0 and size > 0").groupBy("shard").applyInPandas(_draw, "row long, drawn long, spans array<long>")
     return placed, drawn
