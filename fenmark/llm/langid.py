@@ -10,7 +10,8 @@ Profiles are learned from at most about ``PROFILE_DOCS`` documents of each langu
 hashes of doc_id), counted in Spark; rows that held_out() marks are never learned from.
 
 A text that is null or has no letter is ``und`` with score 0, as is any text if nothing could
-be learned.  Null doc_ids are not held out and not learned from; repeated rows are predicted alike.
+be learned.  Null doc_ids are not held out and not learned from; repeated rows are predicted alike; an empty table gives an empty result;
+texts of any length are ranked whole, a piece at a time.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fenmark.llm.runtime import core
 
-UNKNOWN, PROFILE, PROFILE_DOCS, LENGTHS = "und", 300, 2000, (1, 2, 3)
+UNKNOWN, PROFILE, PROFILE_DOCS, PIECE = "und", 300, 2000, 1 << 18
 _BOUNDARY = 1
 
 
@@ -36,28 +37,47 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
+def _symbols(text: str) -> Iterator[np.ndarray]:
+    """A text's letters, ``PIECE`` characters at a time, with one boundary for each run of others and at both ends."""
+    low, last = text.lower(), 0
+    for k in range(0, len(low), PIECE):
+        codes = np.frombuffer(low[k : k + PIECE].encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        own = np.where(_letters()[codes], codes, _BOUNDARY)
+        before = np.append(last, own[:-1])
+        last = own[-1]
+        own = own[(own != _BOUNDARY) | (before != _BOUNDARY)]
+        yield np.append(_BOUNDARY, own[int(own[0] == _BOUNDARY) :]) if not k and len(own) else own
+    if last and last != _BOUNDARY:
+        yield np.array([_BOUNDARY])
+
+
+def _grams(text: str) -> Iterator[np.ndarray]:
+    """The codes of a text's letter n-grams, piece by piece; 21 bits a letter, so n is seen from the code."""
+    held = np.zeros(0, np.int64)
+    for new in _symbols(text):
+        own = np.append(held, new)
+        three = own[:-2] << 42 | own[1:-1] << 21 | own[2:]
+        two = own[max(0, len(held) - 1) : -1] << 21 | own[max(1, len(held)) :]
+        yield np.concatenate([new[new != _BOUNDARY], two, three])
+        held = own[-2:]
+
+
 def ngrams(text: str) -> np.ndarray:
-    """The codes of a text's letter n-grams; 21 bits a letter, so n is seen from the code."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    letter = _letters()[codes]
-    if not letter.any():
-        return np.zeros(0, np.int64)
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]  # of a run of others, the first is a boundary
-    keep[: int(letter.argmax())] = False
-    keep[max(0, int(letter.argmax()) - 1)] = True
-    own = np.pad(np.where(letter, codes, _BOUNDARY)[keep], (int(letter[0]), int(letter[-1])), constant_values=_BOUNDARY)
-    one, two = own[own != _BOUNDARY], own[:-1] << 21 | own[1:]
-    return np.concatenate([one, two, two[:-1] << 21 | own[2:]])
+    """All n-grams of a text, each as often as it occurs; none of a text without letters."""
+    return np.concatenate([np.zeros(0, np.int64), *_grams(text)]) if any(map(str.isalpha, text)) else np.zeros(0, np.int64)
 
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams and their counts."""
-    grams = np.sort(ngrams(text))
-    new = np.ones(len(grams), bool)
-    new[1:] = grams[1:] != grams[:-1]
-    at = np.flatnonzero(new)
-    return grams[at], np.diff(np.append(at, len(grams)))
+    """Distinct n-grams and their counts.  Pieces are counted one after the other, so memory is bounded by a piece and the distinct n-grams."""
+    grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for piece in _grams(text):
+        own, n = np.unique(piece, return_counts=True)
+        if len(grams):
+            own, at = np.unique(np.append(grams, own), return_inverse=True)
+            n = np.bincount(at, np.append(counts, n)).astype(np.int64)
+        grams, counts = own, n
+    letters = (grams != _BOUNDARY) & (grams != _BOUNDARY << 21 | _BOUNDARY)
+    return grams[letters], counts[letters]
 
 
 def ranked(text: str, size: int = PROFILE) -> np.ndarray:

@@ -17,7 +17,8 @@ all such pairs do, so the components are the same, at a cost that is linear in t
 
 A null or empty text has no shingle and the fingerprint 0, linked like any
 other.  Repeated rows have one fingerprint; a null doc_id takes part, but
-names no component (unless all its members' are null).
+names no component (unless all its members' are null); an empty table gives an empty result;
+texts of any length are fingerprinted whole.
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, pair_limit: int = PAIR_LIMI
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), links (of its fingerprint in the reduced graph)."""
+    """Per row: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable).  The radius has to be even."""
     fps = written(fingerprints(docs, key, text, size), "fingerprints")
     vertices = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "vertices")
     roots = components(links(vertices, radius))

@@ -23,7 +23,8 @@ make up a third of the corpus meet in no single task.
 
 A null text is an empty one; rows of one doc_id and different texts are judged
 apart (neither comes before the other at the same position); repeated rows
-are each other's equals and lose the same words; a null doc_id comes last.
+are each other's equals and lose the same words; a null doc_id comes last; an empty table gives an empty result; texts
+and words of any length are taken whole.
 """
 
 from __future__ import annotations
