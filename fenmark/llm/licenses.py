@@ -67,6 +67,11 @@ def shingle_hashes(own: Column) -> Column:
     return F.transform(places, lambda i: F.xxhash64(*(F.element_at(own, i + k) for k in range(SHINGLE))))
 
 
+def part(own: str, first: Column, last: Column) -> Column:
+    """Items first to last of an array column, cut at its end.  (slice() would copy the whole array each time.)"""
+    return F.transform(F.sequence(first, F.least(last, F.size(own) - 1)), lambda i: F.get(F.col(own), i))
+
+
 def shingle_texts(own: Column) -> Column:
     places = F.sequence(F.lit(1), F.greatest(F.size(own) - (SHINGLE - 1), F.lit(1)))
     return F.array_distinct(F.transform(places, lambda i: F.concat_ws(" ", F.slice(own, i, SHINGLE))))
@@ -127,7 +132,7 @@ def matches(keyed: DataFrame, known: tuple = TEMPLATES) -> DataFrame:
         span = lambda x: F.sequence(F.greatest(F.lit(0), F.ceil((x["at"] - (n - 1)) / stride).cast("int")), F.floor(x["at"] / stride).cast("int"))
         starts = F.array_distinct(F.flatten(F.transform(mine, lambda x: F.transform(span(x), lambda w: w * stride))))
         low = lambda s: F.greatest(F.lit(0), s - stride)
-        return F.transform(starts, lambda s: F.struct(F.lit(n).alias("n"), s.alias("start"), F.slice("hashes", s + 1, F.lit(n)).alias("inner"), F.slice("own", low(s) + 1, s - low(s) + (n + stride + SHINGLE - 1)).alias("region")))
+        return F.transform(starts, lambda s: F.struct(F.lit(n).alias("n"), s.alias("start"), part("hashes", s, s + (n - 1)).alias("inner"), part("own", low(s), s + (n + stride + SHINGLE - 2)).alias("region")))
 
     window = hit.select("doc_id", "uid", F.explode(F.flatten(F.array(*(windows(n, stride, own) for (n, stride), own in sorted(classes.items()))))).alias("w")).select("doc_id", "uid", "w.*")
 
