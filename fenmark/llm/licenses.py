@@ -124,7 +124,8 @@ def matches(keyed: DataFrame, known: tuple = TEMPLATES) -> DataFrame:
     texts = keyed.where("text is not null").select("doc_id", "uid", words(F.col("text")).alias("own")).where(F.arrays_overlap("own", gates))
     cut = texts.withColumn("hashes", shingle_hashes(F.col("own")))
     hits = F.filter(F.transform("hashes", lambda h, i: F.struct(i.alias("at"), h.alias("hash"))), lambda x: x["hash"].isin(sorted({r.hash for r in found})))
-    hit = cut.select("doc_id", "uid", "own", "hashes", hits.alias("hits")).where(F.size("hits") > 0)
+    # No filter on the hits: it would be pushed below the arrays, which would then be made anew for each shingle.
+    hit = cut.select("doc_id", "uid", "own", "hashes", hits.alias("hits"))
 
     def windows(n: int, stride: int, own: list[int]) -> Column:
         """The windows of a class that hold one of its hits, each once, cut out of the document: no array of it is copied for a hit."""
