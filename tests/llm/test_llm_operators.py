@@ -720,3 +720,117 @@ def test_lines_of_texts_that_begin_or_end_with_newlines():
     f = quality.features(chunk)
     assert f["n_dup_lines"].tolist() == [plain_quality(t)[3] for t in texts] == [1, 0, 0, 1, 0, 0, 1, 0]
     assert f["n_lines"].tolist() == [2, 0, 1, 3, 0, 1, 2, 1]
+
+
+# Odd texts and plain versions of whole operators
+
+
+def test_base_counts_of_random_texts_equal_brute_force(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["a", "b", " ", "\n", "\n", "#", "é", "a b c d e f g h "]) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    texts += ["\nfoo\nfoo", "foo\nfoo\n\n", "x" * 5000 + "\n" + "x" * 5000 + " y", " ".join(thue_morse(8)), " ".join(thue_morse(6) * 3)]
+    got = by_id(quality.scored(frame(spark, [(i, t, "x", "a", 1) for i, t in enumerate(texts)])))
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_quality(t), repr(t)
+
+
+def test_kept_documents_are_those_of_a_plain_fit(spark, docs, texts):
+    """Votes, expectation-maximisation and posteriors document by document, without patterns or counts."""
+    ids = sorted(texts)
+    votes = []
+    for i in ids:
+        (chunk,) = kernels.chunks(__import__("pyarrow").array([texts[i]]), limit=1 << 30)
+        f = quality.features(chunk)
+        votes.append([int(rule.vote(f)[0]) for rule in quality.RULES])
+    votes, n = np.array(votes), len(ids)
+    good = np.array([[0.95, 0.5, 0.05][min(2, int((v == quality.BAD).sum()))] for v in votes])
+    odds = None
+    for _ in range(300):
+        mass = np.array([good.sum() / n, 1 - good.sum() / n])
+        chance = np.array([[[(good[votes[:, k] == v].sum() / n + 0.03 * quality.PRIOR_CHANCE[v][0]) / (mass[0] + 0.03), ((1 - good)[votes[:, k] == v].sum() / n + 0.03 * quality.PRIOR_CHANCE[v][1]) / (mass[1] + 0.03)] for v in range(3)] for k in range(votes.shape[1])])
+        before, odds = odds, np.log(chance[:, :, 0] / chance[:, :, 1])
+        odds[:, quality.GOOD], odds[:, quality.BAD], odds[:, quality.ABSTAIN] = np.maximum(odds[:, quality.GOOD], 0), np.minimum(odds[:, quality.BAD], 0), 0
+        total = np.log((mass[0] + 0.03) / (mass[1] + 0.03)) + np.array([sum(odds[k, v] for k, v in enumerate(own)) for own in votes])
+        good = 1 / (1 + np.exp(-np.clip(total, -60, 60)))
+        if before is not None and np.abs(odds - before).max() < 1e-7:
+            break
+    want = {i: bool(g >= 0.5 and not plain_quality(texts[i])[5]) for i, g in zip(ids, good, strict=True)}
+    assert {i: r.kept for i, r in by_id(quality.scored(docs)).items()} == want
+
+
+def plain_grams(text):
+    own = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    if not own:
+        return Counter()
+    line = " " + " ".join(own) + " "
+    return Counter(g for n in (1, 2, 3) for k in range(len(line) - n + 1) if (g := line[k : k + n]) != " ")
+
+
+def plain_order(grams, size=300):
+    """Most frequent first; ties by n and by code points, a word boundary before any letter."""
+    return [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], len(x[0]), [1 if c == " " else ord(c) for c in x[0]]))][:size]
+
+
+def test_languages_equal_plain_rank_order_profiles(spark, docs, texts):
+    import zlib
+
+    lang = {r[0]: r[2] for r in corpus()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    learned = defaultdict(Counter)
+    for i, t in texts.items():
+        if not held(i):
+            learned[lang[i]] += plain_grams(t)
+    profiles = {k: plain_order(v) for k, v in sorted(learned.items())}
+    got = by_id(langid.identified(docs))
+    for i, t in texts.items():
+        own = plain_order(plain_grams(t))
+        if not own:
+            want = ("und", 0.0)
+        else:
+            far = {k: sum(abs(p.index(g) - at) if g in p else 300 for at, g in enumerate(own)) for k, p in profiles.items()}
+            best = min(far, key=lambda k: (far[k], k))
+            want = (best, max(0.0, 1 - far[best] / (300 * len(own))))
+        assert (got[i].lang_pred, got[i].score) == (want[0], pytest.approx(want[1])) and got[i].held_out == held(i), i
+
+
+def test_equal_distances_go_to_the_first_language():
+    grams = np.array([5, 7, 9])
+    assert langid.predict("zzz", [("a", np.sort(grams), np.argsort(grams)), ("b", np.sort(grams), np.argsort(grams))])[0] == "a"
+
+
+def test_spans_equal_plain_ownership(spark):
+    rng = random.Random(3)
+    value = lambda: "ghp_" + "".join(rng.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNP23456789") for _ in range(24))
+    shared = {value(): n for n in (1, 3, 5, 6, 24, 25, 40)}
+    rows = [(100 * k + j, f"é {v} token: {v[4:]}", "x", f"o{j % (1 if k % 2 else 4)}", 1) for k, (v, n) in enumerate(shared.items()) for j in range(n)]
+    rng.shuffle(rows)
+    repos, owners = defaultdict(set), defaultdict(set)
+    for i, t, _, o, _ in rows:
+        repos[t.split(" ")[1]].add(i)
+        owners[t.split(" ")[1]].add(o)
+    got = by_id(secrets.scanned(frame(spark, rows)))
+    for i, t, _, _, _ in rows:
+        v = t.split(" ")[1]
+        copied = len(repos[v]) > 24 or (len(owners[v]) > 2 and len(repos[v]) > 4)
+        assert got[i].spans.startswith(f"github:2:{2 + len(v)}") != copied and "assign:" in got[i].spans, (len(repos[v]), len(owners[v]))
+
+
+def test_long_texts_with_many_hits_take_seconds(spark):
+    import time
+
+    rng = random.Random(5)
+    text = " ".join("token=%032x" % rng.getrandbits(128) + " ghp_%024x" % rng.getrandbits(96) for _ in range(10_000))
+    began = time.time()
+    assert len(secrets.find(text)) >= 20_000 and time.time() - began < 20
+    many = "Licensed under the Apache License, Version 2.0. " + " ".join(f"w{k}" for k in range(26)) + " "
+    rows = [(1, many * 10_000, "x", "a", 1)]
+    began = time.time()
+    assert by_id(licenses.scanned(frame(spark, rows)))[1].licenses == "Apache-2.0" and time.time() - began < 120
+
+
+def test_warc_of_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>"), (2, "v", "<p>"), (3, None, None)], "page_id long, url string, html string")
+    clash = pages.select("*", *(F.lit("x").alias(c) for c in ("sha", "last", "_sha", "payload", "row", "revisit", "refers_to", "doc_id", "text")), F.lit(1).alias("Page_ID"), F.lit(2).alias("HTML"))
+    assert sorted(warc.round_trip(clash).collect(), key=str) == sorted(warc.round_trip(pages).collect(), key=str)
+    assert warc.round_trip(pages.limit(0)).collect() == [] and warc.archives(pages.limit(0)).collect() == []

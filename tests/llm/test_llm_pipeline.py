@@ -4,13 +4,14 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from fenmark.llm.queries import QUERIES, SQL
 from fenmark.llm.runtime import table, written
 
-from test_llm_operators import plain_hits, plain_lines, plain_similar, sha
+from test_llm_operators import ODD, frame, plain_hits, plain_lines, plain_similar, sha
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +61,17 @@ def test_stages_take_effect_in_turn(spark):
 def test_run_writes_each_stage(spark):
     rows = corpus_pipeline.run(spark, SF).groupBy("doc_id", "pass").count()
     assert rows.where("count > 1").count() == 0 and rows.count() > 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_of_odd_empty_and_clashing_tables(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    df = frame(spark, ODD)
+    got = stage(spark, df, SF).collect()
+    assert stage(spark, df.limit(0), SF).collect() == []
+    clash = df.select("*", *(F.lit("x").alias(c) for c in ("uid", "row", "v", "key", "shard", "found", "_failed", "_pattern", "c0")), F.lit(1).alias("Doc_ID"), F.lit(2).alias("TEXT"))
+    other = stage(spark, clash, SF)
+    if name != "mixture":
+        assert other.columns == clash.columns
+    at = [other.columns.index(c) for c in stage(spark, df, SF).columns]
+    assert sorted(repr([r[k] for k in at]) for r in other.collect()) == sorted(repr(list(r)) for r in got)
