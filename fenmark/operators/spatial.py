@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,47 +25,59 @@ def kmeans(points: DataFrame, k: int, max_iter: int = 200) -> tuple[DataFrame, C
     centroids move if no point changes.  Each round is one aggregate over the points; only its
     k sums reach the driver.
     """
+    found, inertia = _kmeans(points, [k], max_iter)
+    assigned = points.withColumn("spatial_cluster_id", _nearest(found[k])["cluster"] if found[k] else F.lit(0))
+    return assigned, found[k], inertia[k]
+
+
+def _kmeans(points: DataFrame, ks: Sequence[int], max_iter: int) -> tuple[dict[int, Centroids], dict[int, float]]:
+    """Centroids and inertia for each of several k.  A round is one job for all that haven't settled, and computes each distance once.
+
+    A cluster's members are compared with those of the round before by their number and the exclusive or of their ids' hashes.
+    """
     own = not points.is_cached
     points = points.cache()
     try:
-        return _kmeans(points, k, max_iter)
+        n = points.count()
+        if not n:
+            return {k: [] for k in ks}, {k: 0.0 for k in ks}
+        first = {k: [(i * (n // min(k, n))) % n for i in range(min(k, n))] for k in ks}
+        rows = {r.original_row_index: (r.lat, r.lon) for r in points.where(F.col("original_row_index").isin(*{i for x in first.values() for i in x})).collect()}
+        centroids = {k: [rows[i] for i in x] for k, x in first.items()}
+        start = {c: x[2:] for c, x in _members(points.withColumn("c", F.lit(0)), ["c"]).items()}  # all in cluster 0
+        members, going = {k: start for k in ks}, list(ks)
+        for _ in range(max_iter):
+            placed = points.select("sample_id", "lat", "lon", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _nearest(centroids[k])["cluster"].alias("c")) for k in going))).alias("x")).select("sample_id", "lat", "lon", "x.k", "x.c")
+            found = _members(placed, ["k", "c"])
+            for k in list(going):
+                mine = {c: x for (at, c), x in found.items() if at == k}
+                before, members[k] = members[k], {c: x[2:] for c, x in mine.items()}
+                if before == members[k]:
+                    going.remove(k)
+                    continue
+                centroids[k] = [mine[i][:2] if i in mine else c for i, c in enumerate(centroids[k])]
+            if not going:
+                break
+        total = points.agg(*(F.sum(F.pow(_nearest(centroids[k])["km"], F.lit(2.0))).alias(f"k{k}") for k in ks)).first()
+        return centroids, {k: total[f"k{k}"] or 0.0 for k in ks}
     finally:
         if own:
             points.unpersist()
 
 
-def _kmeans(points: DataFrame, k: int, max_iter: int) -> tuple[DataFrame, Centroids, float]:
-    n = points.count()
-    k = min(k, n)
-    if not k:
-        return points.withColumn("spatial_cluster_id", F.lit(0)), [], 0.0
-    first = {(i * (n // k)) % n for i in range(k)}
-    rows = {r.original_row_index: (r.lat, r.lon) for r in points.where(F.col("original_row_index").isin(*first)).collect()}
-    centroids = [rows[(i * (n // k)) % n] for i in range(k)]
-    before: Centroids | None = None
-    for _ in range(max_iter):
-        # A point has changed if the last two rounds' centroids place it differently; all start in cluster 0.
-        old = _nearest(before)["cluster"] if before else F.lit(0)
-        g = points.select("lat", "lon", _nearest(centroids)["cluster"].alias("c"), old.alias("o")).groupBy("c").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.sum((F.col("c") != F.col("o")).cast("long")).alias("changed")).collect()
-        if not sum(r.changed for r in g):
-            break
-        moved = {r.c: (r.lat, r.lon) for r in g}
-        before, centroids = centroids, [moved.get(i, c) for i, c in enumerate(centroids)]
-    near = _nearest(centroids)
-    assigned = points.withColumn("spatial_cluster_id", near["cluster"])
-    inertia = points.agg(F.sum(F.pow(near["km"], F.lit(2.0)))).first()[0] or 0.0
-    return assigned, centroids, inertia
+def _members(placed: DataFrame, keys: Sequence[str]) -> dict:
+    """Per key: mean lat and lon, number of points and exclusive or of their ids' hashes."""
+    g = placed.groupBy(*keys).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("sample_id")).alias("h")).collect()
+    return {(r[0] if len(keys) == 1 else tuple(r[: len(keys)])): (r.lat, r.lon, r.n, r.h) for r in g}
 
 
 def choose_k(points: DataFrame, max_k: int = 8, max_iter: int = 100) -> int:
     """The elbow: the first k whose next cluster lowers inertia by under a tenth of the whole range."""
-    points = points.cache()
     n = points.count()
     if n <= 3:
         return min(2, n)
     max_k = max(2, min(max_k, n // 2))
-    inertia = {k: kmeans(points, k, max_iter)[2] for k in range(2, max_k + 1)}
-    points.unpersist()
+    _, inertia = _kmeans(points, range(2, max_k + 1), max_iter)
     span = inertia[2] - inertia[max_k]
     if span < 1e-6:
         return 3

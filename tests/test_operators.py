@@ -169,6 +169,31 @@ def test_kmeans_and_diameters(spark):
     assert spatial.choose_k(df, 5, 20) in (2, 3, 4) and spatial.choose_k(df.limit(3), 5) == 2
 
 
+def test_kmeans_equals_plain_rounds(spark):
+    rng = np.random.default_rng(9)
+    at = rng.uniform(-40, 40, (300, 2))
+    df = spark.createDataFrame([(f"p{i}", float(a), float(b), i) for i, (a, b) in enumerate(at)], "sample_id string, lat double, lon double, original_row_index long").repartition(5)
+
+    def far(p, c):
+        a, b = np.radians(p[:, None, :]), np.radians(c[None])
+        h = np.sin((b[..., 0] - a[..., 0]) / 2) ** 2 + np.cos(a[..., 0]) * np.cos(b[..., 0]) * np.sin((b[..., 1] - a[..., 1]) / 2) ** 2
+        return 6371 * 2 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+
+    inertia = {}
+    for k in (2, 3, 5):
+        c, old = at[[(i * (300 // k)) % 300 for i in range(k)]], np.zeros(300, int)
+        for _ in range(200):
+            own = far(at, c).argmin(1)
+            if (own == old).all():
+                break
+            old, c = own, np.array([at[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
+        inertia[k] = (far(at, c).min(1) ** 2).sum()
+        assigned, found, spread = spatial.kmeans(df, k)
+        assert {r.sample_id: r.spatial_cluster_id for r in assigned.collect()} == {f"p{i}": int(x) for i, x in enumerate(far(at, c).argmin(1))}
+        assert np.allclose(found, c) and spread == pytest.approx(inertia[k])
+    assert spatial._kmeans(df, [2, 3, 5], 200)[1] == pytest.approx(inertia)
+
+
 def test_kernels_learn_and_are_deterministic():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(120, 5))
@@ -214,7 +239,7 @@ def test_choose_k_query_tries_all_clusters_until_they_converge(spark, monkeypatc
     from fenmark.plans import queries
 
     tried = []
-    monkeypatch.setattr(spatial, "kmeans", lambda points, k, max_iter: tried.append((k, max_iter)) or (points, [], 10.0 - k))
+    monkeypatch.setattr(spatial, "_kmeans", lambda points, ks, max_iter: tried.extend((k, max_iter) for k in ks) or ({}, {k: 10.0 - k for k in ks}))
     assert queries.QUERIES["choose_k"](spark, "/root/testdata/sf0.001").first().k == 8
     assert tried == [(k, 100) for k in range(2, 9)]
 
