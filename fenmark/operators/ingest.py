@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fenmark import config as C
@@ -22,13 +22,10 @@ def with_index(df: DataFrame, id_col: str = "SampleID") -> DataFrame:
 
     df is a scan: its partitions are the same each time, which those of a shuffle need not be.
     """
-    out = df.withColumn("_at", F.monotonically_increasing_id())
-    sizes = out.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
-    before, total = {}, 0
-    for r in sizes:
-        before[r["_part"]], total = total, total + r["n"]
-    offset = F.element_at(F.create_map(*(x for k, v in before.items() for x in (F.lit(k), F.lit(v)))), F.shiftright("_at", 33)) if before else F.lit(0)
-    out = out.withColumn("original_row_index", offset + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
+    out = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over the input's partitions
+    before = out.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    out = out.join(before, "_part").withColumn("original_row_index", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
     return out if id_col in df.columns else out.withColumn(id_col, F.format_string("ROW_%04d", F.col("original_row_index") + 1))
 
 

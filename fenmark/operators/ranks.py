@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Hexadecimal digits of a hash that make a bucket: 4096 buckets a group.
 BUCKET_DIGITS = 3
+#: Ranges that a number's rows are cut to.
+BUCKETS = 512
 
 
 def hash_position(df: DataFrame, groups: Sequence[str], hash_hex: Column, tie: str, name: str = "position") -> DataFrame:
@@ -25,14 +28,22 @@ def hash_position(df: DataFrame, groups: Sequence[str], hash_hex: Column, tie: s
     return keyed.withColumn("_inside", inside).join(offsets, [*groups, "_bucket"]).withColumn(name, F.col("_inside") + F.col("_before")).drop("_hash", "_bucket", "_inside", "_before")
 
 
-def number_position(df: DataFrame, by: str, name: str = "position", buckets: int = 4096) -> DataFrame:
-    """0-based positions of rows in the order of a distinct, fairly even number such as a row's index.
+def _bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
+    """df with ``_bucket``: ranges of about equally many rows, cut at approximate quantiles, so that outliers don't gather the others in one."""
+    numbers = df.withColumn("_by", F.col(by).cast("double"))
+    cuts = sorted(set(numbers.approxQuantile("_by", [k / buckets for k in range(1, buckets)], 1 / (4 * buckets))))
+    splits = [float("-inf"), *(c for c in cuts if abs(c) != float("inf")), float("inf")]
+    if len(splits) < 3:
+        return numbers.drop("_by").withColumn("_bucket", F.lit(0.0))
+    return Bucketizer(splits=splits, inputCol="_by", outputCol="_bucket", handleInvalid="keep").transform(numbers).drop("_by")
 
-    As hash_position, with the number's range cut to equal buckets.
+
+def number_position(df: DataFrame, by: str, name: str = "position", buckets: int = BUCKETS) -> DataFrame:
+    """0-based positions of rows in the order of a distinct number such as a row's index.
+
+    As hash_position, with buckets cut at quantiles of the number.
     """
-    low, high = df.agg(F.min(by), F.max(by)).first()
-    width = max(1, ((high or 0) - (low or 0)) // buckets + 1)
-    keyed = df.withColumn("_bucket", F.floor((F.col(by) - F.lit(low or 0)) / width))
+    keyed = _bucketed(df, by, buckets)
     totals = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over the few buckets
     offsets = totals.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -40,14 +51,12 @@ def number_position(df: DataFrame, by: str, name: str = "position", buckets: int
     return keyed.withColumn("_inside", inside).join(offsets, "_bucket").withColumn(name, F.col("_inside") + F.col("_before")).drop("_bucket", "_inside", "_before")
 
 
-def average_ranks(df: DataFrame, column: str, name: str = "rank", buckets: int = 4096) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, name: str = "rank", buckets: int = BUCKETS) -> DataFrame:
     """(column, name): each distinct number's average 1-based rank.
 
-    Distinct values are counted, cut to equal ranges, and numbered within these; no task sorts the whole column.
+    Distinct values are counted, cut at their quantiles, and numbered within these ranges; no task sorts the whole column.
     """
-    low, high = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
-    width = ((high or 0.0) - (low or 0.0)) / buckets or 1.0
-    counts = df.groupBy(column).agg(F.count("*").alias("_c")).withColumn("_bucket", F.floor((F.col(column) - F.lit(low or 0.0)) / width))
+    counts = _bucketed(df.groupBy(column).agg(F.count("*").alias("_c")), column, buckets)
     first = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over the few buckets
     offsets = counts.groupBy("_bucket").agg(F.sum("_c").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(first), F.lit(0)).alias("_before"))
     inside = F.coalesce(F.sum("_c").over(Window.partitionBy("_bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
