@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fenmark.llm import kernels as K
-from fenmark.llm.runtime import core, identity, numbered, place, written
+from fenmark.llm.runtime import core, discard, identity, numbered, place, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys of a filter, and documents of a shard's most frequent key for each salt.
@@ -293,12 +293,19 @@ def _rebuilt(min_chars: int):
     return run
 
 
+def _lost(index: LineIndex) -> DataFrame:
+    """dropped() of an index that isn't kept."""
+    out = written(index.dropped(), "lost")
+    discard(index.postings, index.references, index.filters)
+    return out
+
+
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs, all columns, with their repeated lines gone; a text without any stays as it is (a null text too)."""
     own, at, names = numbered(docs), place(docs, text), docs.columns
     known, uid = identity(own, place(docs, key), at)
     keyed = known.select(F.col(place(docs, key)).cast("long").alias("doc_id"), F.col(uid).alias("uid"), F.col(at).cast("string").alias("text"))
-    lost = written(LineIndex.of(keyed, min_chars, min_docs).dropped(), "lost").select(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), F.col("keys").alias("_keys")).hint("merge")  # grows with the documents: never broadcast
+    lost = _lost(LineIndex.of(keyed, min_chars, min_docs)).select(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), F.col("keys").alias("_keys")).hint("merge")  # grows with the documents: never broadcast
     match = F.col(place(docs, key)).cast("long").eqNullSafe(F.col("_d")) & (F.col(uid) == F.col("_u"))
     with_keys = known.join(lost, match, "left").select(*own.columns, "_keys")
 
@@ -325,6 +332,6 @@ def keyed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Per row: doc_id, n_lines, n_dropped, kept_sha256, kept_text (the lines that stay, joined by newlines)."""
     keyed = keyed_rows(docs, key, text)
-    lost = written(LineIndex.of(keyed, min_chars, min_docs).dropped(), "lost").select(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), "keys").hint("merge")  # grows with the documents: never broadcast
+    lost = _lost(LineIndex.of(keyed, min_chars, min_docs)).select(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), "keys").hint("merge")  # grows with the documents: never broadcast
     with_keys = keyed.join(lost, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("uid") == F.col("_u")), "left").select("doc_id", "uid", "text", "keys")
     return with_keys.mapInArrow(_rebuilt(min_chars), "doc_id long, uid long, n_lines long, n_dropped long, kept_sha256 string, kept_text string").drop("uid")
