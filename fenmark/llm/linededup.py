@@ -300,8 +300,11 @@ def _lost(index: LineIndex) -> DataFrame:
     return out
 
 
-def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs, all columns, with their repeated lines gone; a text without any stays as it is (a null text too)."""
+def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, length: str | None = None) -> DataFrame:
+    """docs, all columns, with their repeated lines gone; a text without any stays as it is (a null text too).
+
+    length names a column that takes the number of characters that each text has afterwards.
+    """
     own, at, names = numbered(docs), place(docs, text), docs.columns
     known, uid = identity(own, place(docs, key), at)
     keyed = known.select(F.col(place(docs, key)).cast("long").alias("doc_id"), F.col(uid).alias("uid"), F.col(at).cast("string").alias("text"))
@@ -321,7 +324,10 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars:
             kept = [c for c in batch.schema.names if c != "_keys"]
             yield pa.RecordBatch.from_arrays([pa.array(new, old.type) if c == at else batch.column(c) for c in kept], kept)
 
-    return with_keys.mapInArrow(run, own.schema).toDF(*names)
+    left = with_keys.mapInArrow(run, own.schema)
+    if length is not None:
+        left = left.withColumn(place(docs, length), F.length(at).cast(own.schema[place(docs, length)].dataType))
+    return left.toDF(*names)
 
 
 def keyed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
