@@ -205,13 +205,13 @@ def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.validation(rows, ["SampleID", "Na", "Dx"])
 
 
-@query("""WITH o AS (SELECT CAST(c_custkey % 700 AS BIGINT) AS k, c_acctbal AS v FROM customer WHERE c_custkey <= 700), n AS (SELECT s_suppkey AS k, CASE WHEN s_acctbal > 3000 THEN s_acctbal END AS v FROM supplier UNION ALL SELECT s_suppkey + 1000000, CASE WHEN s_acctbal > 5000 THEN s_acctbal END FROM supplier)
+@query("""WITH o AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer), n AS (SELECT s_suppkey AS k, CASE WHEN s_acctbal > 3000 THEN s_acctbal END AS v FROM supplier UNION ALL SELECT s_suppkey + 100000000, CASE WHEN s_acctbal > 5000 THEN s_acctbal END FROM supplier)
     SELECT coalesce(o.k, n.k) AS k, coalesce(n.v, o.v) AS v FROM o FULL JOIN n ON o.k = n.k""")
 def merge_keeps_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without a value never take the place of one that is there."""
-    old = B.table(spark, sf_dir, "customer").where("c_custkey <= 700").select((F.col("c_custkey") % 700).alias("k"), F.col("c_acctbal").alias("v"))
+    old = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
     s = B.table(spark, sf_dir, "supplier")
-    new = s.select(F.col("s_suppkey").alias("k"), F.when(F.col("s_acctbal") > 3000, F.col("s_acctbal")).alias("v")).unionByName(s.select((F.col("s_suppkey") + 1000000).alias("k"), F.when(F.col("s_acctbal") > 5000, F.col("s_acctbal")).alias("v")))
+    new = s.select(F.col("s_suppkey").alias("k"), F.when(F.col("s_acctbal") > 3000, F.col("s_acctbal")).alias("v")).unionByName(s.select((F.col("s_suppkey") + 100000000).alias("k"), F.when(F.col("s_acctbal") > 5000, F.col("s_acctbal")).alias("v")))
     return upsert.merge(old, new, ["k"], F.col("v").isNull())
 
 
