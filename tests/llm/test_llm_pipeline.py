@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     found = entry.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)} and set(QUERIES) <= set(found) and "pipeline" in found
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)} and set(QUERIES) <= set(found) and "pipeline" in found
     assert set(SQL) <= set(entry.oracle_sql())
 
 
