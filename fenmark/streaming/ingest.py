@@ -17,10 +17,15 @@ def clean_into(stream: DataFrame, store: Store, limits: DataFrame, checkpoint: s
     """Upserts cleaned cells of a stream (sample_id, original_row_index, variable_name, raw_value_text) to cleaned_measurements.
 
     A later batch's cell replaces an earlier one, whatever its row index, unless it is blank: a blank only comes where nothing is stored.
-    A micro-batch that is run again replaces the same keys with the same rows, so retries change nothing.
+    A batch's cells and its number become one version of the store, so a micro-batch that is run again after a failure is known and left out.
+    Only the buckets that its cells fall in are read, and only the files with a cell that it replaces are written anew.
     """
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        store.merge_cells(ingest.clean(batch, limits, method, use_min_detected=False))
+    def upsert(batch: DataFrame, number: int) -> None:
+        if number <= store.done(checkpoint):
+            return
+        with store.transaction():
+            store.merge_cells(ingest.clean(batch, limits, method, use_min_detected=False))
+            store.mark(checkpoint, number)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
