@@ -1,126 +1,352 @@
-"""Fitting and scoring: one grouped-map task per (run, repeat, fold); folds are independent of each other.
+"""Fitting, tuning, scoring and attribution of all tasks (run, repeat, fold) at once.
 
-A task holds one fold's matrix, which is what a model of this kind has to see whole.  For data beyond that,
-``scalable_logistic`` fits with MLlib (the same objective, but converged and not stepped).
+*Fitting.*  Training rows are dealt to blocks of at most about ``BLOCK_CELLS`` numbers by a hash of the sample.  Tasks of one block run their learner's steps (``learn``) where that block is; all others
+together take one job a step: each batch of rows gives its part of the sums, Spark adds them up by task, learner and key, and a group
+of one learner's sums makes its next state, which is as large as a model and not as the data.
+
+*Models are a relation*: a row for each task, setting and held-out inner fold, with its imputation and scaling, its weights or its trees (arrays of nodes, numbered as in
+a heap).  Probabilities, inner scores for tuning, importances and path contributions are DataFrame expressions over rows joined with it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fenmark.operators import kernels
+from fenmark.functions.scalars import clamp, finite, sigmoid
+from fenmark.operators import learn, metrics, preprocess
+from fenmark.operators.ranks import hash_position
+from fenmark.sources.scratch import discard, written
 
 SEED_STEP = 31337
+INNER_FOLDS = 3
+#: Numbers of a block: 64 MB of features.
+BLOCK_CELLS = 1 << 23
+NODE = "struct<feature:int,threshold:double,value:double,n:double,n_pos:double>"
+MODEL = f"task int, setting int, held int, med array<double>, mean array<double>, sd array<double>, weights array<double>, bias double, base double, rate double, trees array<array<{NODE}>>"
+DUMMIES = ("DummyMajority", "DummyStratified")
 
 
-def _matrix(rows: pd.DataFrame) -> np.ndarray:
-    return np.vstack(rows["features"].to_numpy()).astype(float) if len(rows) else np.zeros((0, 0))
+# Tasks
 
 
-def prepared(x: np.ndarray, train: np.ndarray) -> np.ndarray:
-    """Imputed by training medians (0 without any) and scaled by training means and deviations."""
-    x = np.where(np.isfinite(x), x, np.nan)
-    known = ~np.isnan(x[train])
-    with np.errstate(all="ignore"):
-        med = np.array([np.median(x[train][known[:, j], j]) if known[:, j].any() else 0.0 for j in range(x.shape[1])])
-    x = np.where(np.isnan(x), med, x)
-    mean = x[train].mean(0)
-    sd = np.sqrt(((x[train] - mean) ** 2).sum(0) / max(train.sum() - 1, 1))
-    return (x - mean) / np.maximum(sd, 1e-8)
+def class_weight(p: int, n: int) -> float:
+    """The weight of each of p positives beside n negatives."""
+    return max(n / p, 1.0) if p and n else 1.0
 
 
-def class_weight(y: np.ndarray) -> float:
-    p, n = (y == 1).sum(), (y == 0).sum()
-    return max(n / p, 1.0) if p and n else 1.0
+def prepared(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's features imputed by medians (0 without any) and scaled, and the medians, means and deviations."""
+    x = np.where(np.isfinite(x), x, np.nan)
+    known = ~np.isnan(x)
+    med = np.array([np.median(x[known[:, j], j]) if known[:, j].any() else 0.0 for j in range(x.shape[1])])
+    x = np.where(known, x, med)
+    mean = x.mean(0)
+    sd = np.maximum(np.sqrt(((x - mean) ** 2).sum(0) / max(len(x) - 1, 1)), preprocess.MIN_SD)
+    return (x - mean) / sd, med, mean, sd
+
+
+class Tasks:
+    """Tasks numbered, and their rows: (task, sample_id, y, is_train, h, x)."""
+
+    def __init__(self, tasks: DataFrame, keys: Sequence[str], seed: int) -> None:
+        own, self.keys, self.seed = tasks.where(~F.col("algorithm").isin(*DUMMIES)), list(keys), seed
+        train = F.col("is_train") == 1
+        heads = own.groupBy(*keys).agg(F.first("feature_names").alias("names"), F.count_if(train).alias("n"), F.count_if(train & (F.col("true_label") == 1)).alias("n_pos"), F.max(F.size("features")).alias("d"))
+        self.heads = sorted(heads.collect(), key=lambda r: repr([r[k] for k in keys]))  # a row a task
+        spark = tasks.sparkSession
+        kinds = dict(tasks.dtypes)
+        schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", task int, names array<string>"
+        self.table = spark.createDataFrame([(*(r[k] for k in keys), i, list(r.names)) for i, r in enumerate(self.heads)], schema)
+        numbered = own.join(F.broadcast(self.table.select(*keys, "task")), list(keys))
+        self.rows = written(numbered.select("task", "sample_id", F.col("true_label").cast("int").alias("y"), "is_train", F.xxhash64("sample_id").alias("h"), F.col("features").alias("x")), "rows")
+
+    def own_seed(self, i: int) -> int:
+        r = self.heads[i].asDict()
+        return (self.seed + int(r.get("repeat_index", 0)) * SEED_STEP + int(r.get("fold_index", 0))) % (1 << 63)
+
+    def column(self, i: int) -> int | None:
+        names = list(self.heads[i].names)
+        return names.index("EC") if "EC" in names else None
+
+    def train(self, inner_folds: int | None) -> DataFrame:
+        """Training rows with their inner fold (-1 without): within a task and class dealt round robin in the order of md5(seed:sample_id)."""
+        rows = self.rows.where("is_train = 1")
+        if inner_folds is None:
+            return rows.withColumn("inner", F.lit(-1))
+        seeds = F.element_at(F.array(*(F.lit(self.own_seed(i)) for i in range(len(self.heads)))), F.col("task") + 1) if self.heads else F.lit(0)
+        placed = hash_position(rows, ["task", "y"], F.md5(F.concat_ws(":", seeds.cast("string"), F.col("sample_id").cast("string"))), "sample_id")
+        return placed.withColumn("inner", (F.col("position") % inner_folds).cast("int")).drop("position")
+
+
+# Fitting
+
+
+def fit(train: DataFrame, tasks: Tasks, wanted: dict[int, learn.Wanted], block_cells: int | None = None) -> DataFrame:
+    """The models (MODEL) that are wanted of tasks, from training rows (task, sample_id, y, h, inner, x)."""
+    block_cells = block_cells or BLOCK_CELLS
+    own = train.where(F.col("task").isin(*wanted)) if wanted else train.limit(0)
+    wide = [i for i in wanted if tasks.heads[i].n * tasks.heads[i].d > block_cells]
+    narrow = {i: w for i, w in wanted.items() if i not in set(wide)}
+
+    def local(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("sample_id", kind="stable")
+        w, y = narrow[int(rows["task"].iloc[0])], rows["y"].to_numpy(float)
+        x, med, mean, sd = prepared(np.vstack(rows["x"].to_numpy()).astype(float))
+        block = learn.Block(x, y, rows["inner"].to_numpy(), rows["h"].to_numpy().view(np.uint64))
+        cuts = [learn.Cuts.of(x[:, j]) for j in range(x.shape[1])] if w.algorithm in ("RandomForest", "GradientBoostedTrees") else None
+        out = []
+        for names, learner in w.learners(x.shape[1], class_weight(int((y == 1).sum()), int((y == 0).sum())), cuts):
+            learn.run(learner, block)
+            out += learn.model_rows(names, learner)
+        return pd.DataFrame(out).assign(task=rows["task"].iloc[0], med=[med.tolist()] * len(out), mean=[mean.tolist()] * len(out), sd=[sd.tolist()] * len(out))[[c.split()[0] for c in MODEL.split(", ")]]
+
+    found = own.where(F.col("task").isin(*narrow)).groupBy("task").applyInPandas(local, MODEL) if narrow else train.sparkSession.createDataFrame([], MODEL)
+    if wide:
+        found = found.unionByName(_fit_in_steps(own.where(F.col("task").isin(*wide)), tasks, {i: wanted[i] for i in wide}))
+    return found
+
+
+def _statistics(train: DataFrame) -> tuple[dict[int, dict[str, np.ndarray]], dict[tuple[int, int], learn.Cuts]]:
+    """Each task's medians, means and deviations, and the cuts of its scaled features, by aggregates over (task, feature).  What reaches the driver is as large as the models."""
+    long = train.select("task", F.posexplode("x").alias("feature", "value"), F.lit(1).alias("is_train"))
+    filled = written(preprocess.imputed(long, ["task"]), "filled")
+    stats = preprocess.medians(long, ["task"]).join(preprocess.scaling(filled, ["task"]), ["task", "feature"])
+    found: dict[int, dict[str, np.ndarray]] = {}
+    rows = stats.orderBy("task", "feature").collect()
+    for r in rows:
+        found.setdefault(r.task, {"med": [], "mean": [], "sd": []})
+        for c in ("med", "mean", "sd"):
+            found[r.task][c].append(r["median" if c == "med" else c])
+    found = {k: {c: np.array(v) for c, v in s.items()} for k, s in found.items()}
+    steps = F.array(*(F.lit(k / (2 * learn.BINS)) for k in range(2 * learn.BINS + 1)))
+    few = filled.groupBy("task", "feature").agg(F.percentile_approx("value", steps, 10_000).alias("at"), F.approx_count_distinct("value", 0.02).alias("n"))
+    exact = filled.join(few.where(F.col("n") <= 2 * learn.BINS).select("task", "feature"), ["task", "feature"]).groupBy("task", "feature").agg(F.collect_set("value").alias("values"))  # few distinct values
+    cuts = {}
+    for r in few.join(exact, ["task", "feature"], "left").select("task", "feature", F.coalesce("values", "at").alias("values")).collect():
+        cuts[r.task, r.feature] = learn.Cuts.of((np.array(r["values"]) - found[r.task]["mean"][r.feature]) / found[r.task]["sd"][r.feature])
+    discard(filled)
+    return found, cuts
+
+
+def _fit_in_steps(train: DataFrame, tasks: Tasks, wanted: dict[int, learn.Wanted]) -> DataFrame:
+    """Learners of tasks that are more than a block, a job a step for all of them together."""
+    spark = train.sparkSession
+    rows = written(train.select("task", "y", "inner", "h", "x"), "train")
+    stats, cuts = _statistics(rows)
+    learners, names = {}, {}
+    for i, w in wanted.items():
+        head = tasks.heads[i]
+        for j, (own, learner) in enumerate(w.learners(head.d, class_weight(head.n_pos, head.n - head.n_pos), [cuts[i, f] for f in range(head.d)])):
+            learners[i, j], names[i, j] = learner, own
+    while going := {k: v for k, v in learners.items() if not v.done}:
+        now = spark.sparkContext.broadcast((pickle.dumps(going), stats))
+        summed = rows.where(F.col("task").isin(*{i for i, _ in going})).mapInArrow(_parts(now), "task int, learner int, key long, a double, b double").groupBy("task", "learner", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        for r in summed.groupBy("task", "learner").applyInPandas(_advance(now), "task int, learner int, state binary").collect():  # states, as large as models
+            learners[r.task, r.learner] = pickle.loads(r.state)
+        for k in going:  # a learner without any row in a step
+            if learners[k] is going[k]:
+                learners[k].advance(np.zeros(0, np.int64), np.zeros((0, 2)))
+        now.destroy()
+    discard(rows)
+    out = [{"task": i, **row, **{c: v.tolist() for c, v in stats[i].items()}} for (i, j), learner in learners.items() for row in learn.model_rows(names[i, j], learner)]
+    return spark.createDataFrame(out, MODEL)
+
+
+def _parts(now):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states, stats = now.value
+        states = pickle.loads(states)
+        for batch in batches:
+            task = batch.column("task").to_numpy()
+            for i in np.unique(task).tolist():
+                part = batch.filter(pa.array(task == i))
+                s, lists = stats[i], part.column("x")
+                x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(part), -1)
+                x = (np.where(np.isfinite(x), x, s["med"]) - s["mean"]) / s["sd"]
+                block = learn.Block(x, part.column("y").to_numpy().astype(float), part.column("inner").to_numpy(), part.column("h").to_numpy().view(np.uint64))
+                for (own, j), learner in states.items():
+                    if own == i:
+                        keys, numbers = learner.sums(block)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(np.full(len(keys), j, np.int32)), pa.array(keys.astype(np.int64)), pa.array(numbers[:, 0].astype(float)), pa.array(numbers[:, 1].astype(float))], ["task", "learner", "key", "a", "b"])
+
+    return run
+
+
+def _advance(now):
+    def run(sums: pd.DataFrame) -> pd.DataFrame:
+        sums = sums.sort_values("key")
+        i, j = int(sums["task"].iloc[0]), int(sums["learner"].iloc[0])
+        learner = pickle.loads(now.value[0])[i, j]
+        learner.advance(sums["key"].to_numpy(), sums[["a", "b"]].to_numpy())
+        return pd.DataFrame({"task": [i], "learner": [j], "state": [pickle.dumps(learner)]})
+
+    return run
+
+
+# Scoring
+
+
+def _scaled(x: Column, med: Column, mean: Column, sd: Column) -> Column:
+    filled = F.zip_with(x, med, lambda v, m: F.coalesce(finite(v), m))
+    return F.zip_with(F.zip_with(filled, mean, lambda v, m: v - m), sd, lambda v, s: v / s)
+
+
+def _leaf(tree: Column, x: Column) -> Column:
+    """The number of the node that x ends in."""
+    depth = F.ceil(F.log2(F.size(tree) + 1)).cast("int")
+
+    def step(at: Column, _: Column) -> Column:
+        node = F.element_at(tree, at)
+        return F.when(node["feature"] < 0, at).otherwise(2 * at + (F.element_at(x, F.greatest(node["feature"], F.lit(0)) + 1) > node["threshold"]).cast("int"))
+
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(depth, F.lit(2))), F.lit(1), step)
+
+
+def probability(x: str = "x") -> Column:
+    """The probability of scaled features under the model (MODEL's columns) beside them."""
+    line = F.aggregate(F.zip_with(x, "weights", lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v) + F.col("bias")
+    values = F.transform("trees", lambda tree: F.element_at(tree, _leaf(tree, F.col(x)))["value"])
+    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    forest = clamp(total / F.size("trees"), 1e-10, 1 - 1e-10)
+    boosted = clamp(sigmoid(F.col("base") + F.col("rate") * total), 1e-10, 1 - 1e-10)
+    return F.when(F.col("trees").isNull(), F.when(F.col("weights").isNull(), F.lit(0.5)).otherwise(sigmoid(line))).when(F.col("rate").isNull(), forest).otherwise(boosted)
+
+
+def scored(rows: DataFrame, found: DataFrame, on: Sequence[str] = ("task",)) -> DataFrame:
+    """rows with their models' columns, x scaled and p."""
+    joined = rows.join(found, list(on)).withColumn("x", _scaled(F.col("x"), F.col("med"), F.col("mean"), F.col("sd")))
+    return joined.withColumn("p", probability()).drop("med", "mean", "sd")
+
+
+def _steps(tree: Column, x: Column) -> Column:
+    """(feature, by how much) of each split on the way of x: how far the child's value is from the mean of both children by count."""
+
+    def step(child: Column) -> Column:
+        a, b = F.element_at(tree, child - child % 2), F.element_at(tree, child - child % 2 + 1)
+        mean = (a["n"] * a["value"] + b["n"] * b["value"]) / (a["n"] + b["n"])
+        return F.struct(F.element_at(tree, F.floor(child / 2).cast("int"))["feature"].alias("feature"), (F.element_at(tree, child)["value"] - mean).alias("by"))
+
+    leaf = _leaf(tree, x)
+    level = F.floor(F.log2(leaf.cast("double") + 0.5)).cast("int")
+    way = F.transform(F.sequence(F.lit(0), level), lambda k: F.floor(leaf / F.pow(F.lit(2.0), k)).cast("int"))  # the leaf, its parent, ... the root
+    return F.transform(F.filter(way, lambda node: node > 1), step)
+
+
+def importances(found: DataFrame) -> DataFrame:
+    """(task, setting, held, feature, importance): a linear model's shares of absolute weights, trees' mean shares of the gain in Gini impurity by counts; features without any are left out."""
+    keys = ["task", "setting", "held"]
+    linear = found.where(F.col("weights").isNotNull()).select(*keys, F.posexplode(F.transform("weights", F.abs)).alias("feature", "importance"))
+    total = linear.groupBy(*keys).agg(F.sum("importance").alias("total"))
+    linear = linear.join(total, keys).select(*keys, "feature", (F.col("importance") / F.col("total")).alias("importance")).where("importance > 0")
+    nodes = found.where(F.col("trees").isNotNull()).select(*keys, F.size("trees").alias("size"), F.posexplode("trees").alias("tree", "nodes"))
+    nodes = nodes.select(*keys, "size", "tree", "nodes", F.posexplode("nodes").alias("at", "node")).where("node.feature >= 0")
+    child = lambda k: F.element_at("nodes", 2 * (F.col("at") + 1) + k)
+    impurity = lambda c: F.coalesce(c["n"] * 2 * F.try_divide(c["n_pos"], c["n"]) * (1 - F.try_divide(c["n_pos"], c["n"])), F.lit(0.0))
+    gains = nodes.select(*keys, "size", "tree", F.col("node.feature").alias("feature"), (impurity(F.col("node")) - impurity(child(0)) - impurity(child(1))).alias("gain"))
+    each = gains.groupBy(*keys, "size", "tree", "feature").agg(F.sum("gain").alias("gain"))
+    whole = each.groupBy(*keys, "tree").agg(F.sum("gain").alias("whole")).where("whole > 0")
+    shares = each.join(whole, [*keys, "tree"]).groupBy(*keys, "feature").agg(F.sum(F.col("gain") / F.col("whole") / F.col("size")).alias("importance"))
+    return linear.unionByName(shares)
 
 
-INNER_FOLDS = 3
+def _attributed(test: DataFrame, ec: Column) -> DataFrame:
+    """Scored test rows with attributions (an array as long as x): path contributions of trees, else importance times the distance from the test rows' mean."""
+    middle = test.where("trees is null").select("task", F.posexplode("x").alias("k", "v")).groupBy("task", "k").agg(F.avg("v").alias("v"))
+    middle = middle.groupBy("task").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("middle"))  # an array a task
+    share = F.aggregate(F.transform("weights", F.abs), F.lit(0.0), lambda s, v: s + v)
+    weight = F.when(ec.isNotNull(), F.transform("x", lambda v, k: (k == ec).cast("double"))).otherwise(F.transform("weights", lambda w: F.when(share > 0, F.abs(w) / share).otherwise(F.lit(0.0))))
+    linear = F.zip_with(weight, F.zip_with("x", "middle", lambda v, m: v - m), lambda w, v: w * v)
+    zero = F.transform("x", lambda v: F.lit(0.0))
+    steps = F.flatten(F.transform("trees", lambda tree: _steps(tree, F.col("x"))))
+    factor = F.when(F.col("rate").isNull(), 1 / F.size("trees")).otherwise(F.col("rate"))
+    by_trees = F.transform("x", lambda v, k: factor * F.aggregate(F.filter(F.col("_steps"), lambda s: s["feature"] == k), F.lit(0.0), lambda t, s: t + s["by"]))
+    out = test.join(middle, "task", "left").withColumn("_steps", steps)
+    return out.withColumn("attributions", F.when(F.col("trees").isNotNull(), by_trees).when(F.col("weights").isNull(), zero).otherwise(linear)).drop("_steps", "middle")
 
 
-def _task(rows: pd.DataFrame, keys: Sequence[str], seed: int, tuned: bool, inner_folds: int = INNER_FOLDS):
-    rows = rows.sort_values("sample_id", kind="stable").reset_index(drop=True)
-    first = rows.iloc[0]
-    train = (rows["is_train"] == 1).to_numpy()
-    x, y = prepared(_matrix(rows), train), rows["true_label"].to_numpy(float)
-    own = (seed + int(first.get("repeat_index", 0)) * SEED_STEP + int(first.get("fold_index", 0))) % (1 << 63)
-    positive = class_weight(y[train])
-    algorithm = first["algorithm"]
-    setting = kernels.tune(algorithm, x[train], y[train], positive, own, inner_folds) if tuned else None
-    names = list(first["feature_names"])
-    ec = names.index("EC") if "EC" in names else None
-    model = kernels.fit(algorithm, x[train], y[train], positive, own, setting, ec)
-    return {k: first[k] for k in keys}, rows, train, x, y, model, setting
+# All together
 
 
 def _setting(x) -> str:
     return "" if x is None else "_".join(f"{v:g}" for v in (x if isinstance(x, tuple) else (x,)))
 
 
-def fitted(tasks: DataFrame, keys: Sequence[str], seed: int = 20260531, tuned: bool = False, inner_folds: int = INNER_FOLDS) -> DataFrame:
-    """All that one fit of each task gives, a row a test row: what predictions() and attributions() give, these as arrays, and is_default (too few rows to tune)."""
-    kinds = dict(tasks.dtypes)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        head, rows, train, x, y, model, setting = _task(rows, keys, seed, tuned, inner_folds)
-        algorithm, names, test = rows.iloc[0]["algorithm"], list(rows.iloc[0]["feature_names"]), x[~train]
-        p, dummy = model.predict(test), algorithm.startswith("Dummy")
-        out = pd.DataFrame({**head, "sample_id": rows["sample_id"][~train], "true_label": y[~train].astype(int), "predicted_probability": p, "predicted_label": (p >= 0.5).astype(int), "hyperparameters": _setting(setting)})
-        a = np.zeros((len(test), 0)) if dummy else kernels.attributions(model, test)
-        return out.assign(is_default=tuned and not kernels.tunable(algorithm, int(train.sum()), inner_folds), base_value=None if dummy else float(model.base), feature_names=[[] if dummy else names] * len(test), feature_values=list(test), attributions=list(a))
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", sample_id {kinds['sample_id']}, true_label int, predicted_probability double, predicted_label int, hyperparameters string, is_default boolean, base_value double, feature_names array<string>, feature_values array<double>, attributions array<double>"
-    return tasks.groupBy(*keys).applyInPandas(run, schema)
+def tuned_settings(train: DataFrame, tasks: Tasks, tunable: Sequence[int], inner_folds: int) -> dict[int, int]:
+    """The setting of the best mean inner area of each task, the first of equally good ones; scaling and weight are the outer fold's.
 
-
-def predictions(tasks: DataFrame, keys: Sequence[str], seed: int = 20260531, tuned: bool = False) -> DataFrame:
-    """Test rows of each task: keys.., sample_id, true_label, predicted_probability, predicted_label, hyperparameters.
+    All settings and inner folds of all tasks are fitted together, and scored by one plan.
+    """
+    wanted = {i: learn.Wanted(tasks.heads[i].algorithm, tasks.own_seed(i), learn.GRIDS[tasks.heads[i].algorithm], tuple(range(inner_folds))) for i in tunable}
+    found = written(fit(train, tasks, wanted), "inner")
+    tests = train.where(F.col("task").isin(*tunable)).withColumnRenamed("inner", "held")
+    areas = metrics.pr_auc(scored(tests, found, ("task", "held")).select("task", "setting", "held", "y", "p"), ["task", "setting", "held"])
+    means = areas.groupBy("task", "setting").agg((F.sum("pr_auc") / inner_folds).alias("score"))
+    # Equal but for rounding counts as equal, so the first setting is the same whatever the order of sums.
+    best = {r.task: r.setting for r in means.groupBy("task").agg(F.max_by("setting", F.struct(F.round("score", 12), -F.col("setting"))).alias("setting")).collect()}  # a row a task
+    discard(found)
+    return best
+
+
+def _fitted(tasks: DataFrame, keys: Sequence[str], seed: int, tuned: bool, inner_folds: int) -> tuple[Tasks, DataFrame]:
+    """Numbered tasks, and their models with hyperparameters and is_default."""
+    own = Tasks(tasks, keys, seed)
+    tunable = [i for i, h in enumerate(own.heads) if tuned and h.algorithm in learn.GRIDS and h.n >= 2 * inner_folds]
+    train = own.train(inner_folds if tunable else None)
+    best = tuned_settings(train, own, tunable, inner_folds) if tunable else {}
+    chosen = {i: (learn.GRIDS[h.algorithm][best[i]] if i in best else learn.DEFAULTS.get(h.algorithm)) for i, h in enumerate(own.heads)}
+    wanted = {i: learn.Wanted(h.algorithm, own.own_seed(i), (chosen[i],), column=own.column(i) if h.algorithm == "EcOnlyLogistic" else None) for i, h in enumerate(own.heads) if h.n and not (h.algorithm == "EcOnlyLogistic" and own.column(i) is None)}
+    told = [(i, _setting(chosen[i]) if i in best or (tuned and h.algorithm in learn.GRIDS) else "", bool(tuned and h.algorithm in learn.GRIDS and i not in best)) for i, h in enumerate(own.heads)]
+    found = written(fit(train, own, wanted), "models")
+    return own, found.join(F.broadcast(tasks.sparkSession.createDataFrame(told, "task int, hyperparameters string, is_default boolean")), "task", "right")
+
+
+def fitted(tasks: DataFrame, keys: Sequence[str], seed: int = 20260531, tuned: bool = False, inner_folds: int = INNER_FOLDS, attributed: bool = True) -> DataFrame:
+    """All that one fit of each task gives, a row a test row: keys.., sample_id, true_label, predicted_probability, predicted_label, hyperparameters, is_default (too few rows to tune), base_value, feature_names, feature_values (scaled) and attributions.
 
     tasks: keys.. (with algorithm, repeat_index and fold_index), sample_id, true_label, is_train, feature_names and features (arrays).
     """
-    kinds = dict(tasks.dtypes)
+    keys = list(keys)
+    own, found = _fitted(tasks, keys, seed, tuned, inner_folds)
+    dummy = dummies(tasks.where(F.col("algorithm").isin(*DUMMIES)), keys)
+    constant = tasks.where(F.col("algorithm").isin(*DUMMIES) & (F.col("is_train") != 1)).join(dummy, keys).withColumn("p", F.when(F.col("algorithm") == "DummyMajority", F.col("p_majority")).otherwise(F.coalesce("p_stratified", F.lit(0.0))))
+    none = F.array().cast("array<double>")
+    constant = constant.select(*keys, "sample_id", F.col("true_label").cast("int").alias("true_label"), "p", F.lit("").alias("hyperparameters"), F.lit(False).alias("is_default"), F.lit(None).cast("double").alias("base_value"), F.array().cast("array<string>").alias("feature_names"), none.alias("feature_values"), none.alias("attributions"))
+    test = scored(own.rows.where("is_train <> 1"), found)
+    ecs = [(i, own.column(i)) for i, h in enumerate(own.heads) if h.algorithm == "EcOnlyLogistic" and own.column(i) is not None]
+    ec = F.element_at(F.create_map(*(F.lit(v) for pair in ecs for v in pair)), F.col("task")) if ecs else F.lit(None).cast("int")
+    if attributed:
+        test = _attributed(test, ec)
+    names = F.broadcast(own.table)
+    made = test.join(names, "task").select(*keys, "sample_id", F.col("y").alias("true_label"), "p", "hyperparameters", "is_default", F.coalesce("base", F.lit(0.0)).alias("base_value"), F.col("names").alias("feature_names"), F.col("x").alias("feature_values"), *([F.col("attributions")] if attributed else [none.alias("attributions")]))
+    out = made.unionByName(constant).withColumn("predicted_probability", F.col("p")).withColumn("predicted_label", (F.col("p") >= 0.5).cast("int"))
+    return out.select(*keys, "sample_id", "true_label", "predicted_probability", "predicted_label", "hyperparameters", "is_default", "base_value", "feature_names", "feature_values", "attributions")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        head, rows, train, x, y, model, setting = _task(rows, keys, seed, tuned)
-        p = model.predict(x[~train])
-        return pd.DataFrame({**head, "sample_id": rows["sample_id"][~train], "true_label": y[~train].astype(int), "predicted_probability": p, "predicted_label": (p >= 0.5).astype(int), "hyperparameters": _setting(setting)})
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", sample_id {kinds['sample_id']}, true_label int, predicted_probability double, predicted_label int, hyperparameters string"
-    return tasks.groupBy(*keys).applyInPandas(run, schema)
+def predictions(tasks: DataFrame, keys: Sequence[str], seed: int = 20260531, tuned: bool = False) -> DataFrame:
+    """Test rows of each task: keys.., sample_id, true_label, predicted_probability, predicted_label, hyperparameters."""
+    return fitted(tasks, keys, seed, tuned, attributed=False).select(*keys, "sample_id", "true_label", "predicted_probability", "predicted_label", "hyperparameters")
 
 
 def attributions(tasks: DataFrame, keys: Sequence[str], seed: int = 20260531, tuned: bool = False) -> DataFrame:
     """shap_values: keys.., sample_id, feature_name, feature_value (scaled), attribution, base_value of each test row."""
-    kinds = dict(tasks.dtypes)
+    each = fitted(tasks, keys, seed, tuned).withColumn("a", F.explode(F.arrays_zip("feature_names", "feature_values", "attributions")))
+    return each.select(*keys, "sample_id", F.col("a.feature_names").alias("feature_name"), F.col("a.feature_values").alias("feature_value"), F.col("a.attributions").alias("attribution"), "base_value")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        head, rows, train, x, y, model, _ = _task(rows, keys, seed, tuned)
-        names = list(rows.iloc[0]["feature_names"])
-        a, n = kernels.attributions(model, x[~train]), int((~train).sum())
-        return pd.DataFrame({**head, "sample_id": np.repeat(rows["sample_id"][~train].to_numpy(), len(names)), "feature_name": names * n, "feature_value": x[~train].ravel(), "attribution": a.ravel(), "base_value": model.base})
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", sample_id {kinds['sample_id']}, feature_name string, feature_value double, attribution double, base_value double"
-    return tasks.groupBy(*keys).applyInPandas(run, schema)
+def feature_importances(tasks: DataFrame, keys: Sequence[str], seed: int = 20260531, tuned: bool = False, inner_folds: int = INNER_FOLDS) -> DataFrame:
+    """(keys.., feature_name, importance) of each task's model; features that it doesn't use are left out."""
+    own, found = _fitted(tasks, keys, seed, tuned, inner_folds)
+    return importances(found).join(F.broadcast(own.table), "task").select(*keys, F.element_at("names", F.col("feature") + 1).alias("feature_name"), "importance")
 
 
 def dummies(tasks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Both dummies' probabilities by one aggregate: keys.., p_majority, p_stratified."""
     y = F.when(F.col("is_train") == 1, F.col("true_label"))
     return tasks.groupBy(*keys).agg(F.when(F.sum(1 - y) >= F.sum(y), F.lit(0.0)).otherwise(F.lit(1.0)).alias("p_majority"), F.avg(y).alias("p_stratified"))
-
-
-def mean_attribution(values: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return values.groupBy(*keys, "feature_name").agg(F.avg(F.abs("attribution")).alias("mean_abs_attribution"))
-
-
-def scalable_logistic(train: DataFrame, c: float = 1.0, weight: str | None = None):
-    """MLlib's logistic regression of (features as a vector, label) with the same penalty, 1 / (C n)."""
-    from pyspark.ml.classification import LogisticRegression
-
-    n = max(train.count(), 1)
-    lr = LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9)
-    return (lr.setWeightCol(weight) if weight else lr).fit(train)

@@ -1,7 +1,4 @@
-"""NumPy classifiers: pure functions of (x, y, weight, seed), so the same task gives the same model anywhere.
-
-Trees are flat arrays; candidate splits of a feature are scored together by cumulative sums.
-"""
+"""Plain NumPy classifiers that the tests compare the library's models with: exact trees, one model at a time."""
 
 from __future__ import annotations
 

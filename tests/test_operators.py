@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from fenmark import config as C
 from fenmark.functions import scalars as S
-from fenmark.operators import folds, ingest, kernels, leakage, metrics, models, preprocess, ranks, spatial, upsert
+from fenmark.operators import folds, ingest, leakage, metrics, models, preprocess, ranks, spatial, upsert
+
+import plain_models
 
 Y, P = [1, 0, 1, 1, 0, 0], [0.9, 0.8, 0.8, 0.4, 0.4, 0.1]
 
@@ -97,7 +99,7 @@ def test_rank_metrics_equal_plain_loops(spark, seed):
     df = frame(spark, y, p)
     wins = sum((a > b) + 0.5 * (a == b) for a in p[y == 1] for b in p[y == 0]) / ((y == 1).sum() * (y == 0).sum())
     assert metrics.roc_auc(df, ["k"]).first().roc_auc == pytest.approx(wins)
-    assert metrics.pr_auc(df, ["k"]).first().pr_auc == pytest.approx(kernels.average_area(y, p))
+    assert metrics.pr_auc(df, ["k"]).first().pr_auc == pytest.approx(plain_models.average_area(y, p))
     sweep = {round(r.probability_cutoff, 2): r for r in metrics.threshold_sweep(df, ["k"]).collect()}
     for c in range(1, 100):
         assert sweep[c / 100].false_positives_count == ((p >= c / 100) & (y == 0)).sum() and sweep[c / 100].false_negatives_count == ((p < c / 100) & (y == 1)).sum()
@@ -105,7 +107,7 @@ def test_rank_metrics_equal_plain_loops(spark, seed):
     q = np.clip(p, 1e-6, 1 - 1e-6)
     x = np.log(q / (1 - q))
     for _ in range(1000):
-        e = kernels.sigmoid(slope * x + intercept) - y
+        e = plain_models.sigmoid(slope * x + intercept) - y
         slope, intercept = slope - 0.05 * (e * x).mean(), intercept - 0.05 * e.mean()
     got = metrics.calibration(df, ["k"]).first()
     assert (got.calibration_slope, got.calibration_intercept) == (pytest.approx(slope, abs=1e-8), pytest.approx(intercept, abs=1e-8))
@@ -194,24 +196,24 @@ def test_kmeans_equals_plain_rounds(spark):
     assert spatial._kmeans(df, [2, 3, 5], 200)[1] == pytest.approx(inertia)
 
 
-def test_kernels_learn_and_are_deterministic():
+def test_plain_models_learn_and_are_deterministic():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(120, 5))
     y = (x[:, 0] + 0.5 * x[:, 1] > 0).astype(float)
     for name in C.ALGORITHMS:
-        a, b = (kernels.fit(name, x, y, 1.0, 5, ec=0) for _ in range(2))
+        a, b = (plain_models.fit(name, x, y, 1.0, 5, ec=0) for _ in range(2))
         p = a.predict(x)
         assert (p == b.predict(x)).all() and ((p >= 0) & (p <= 1)).all()
         if not name.startswith("Dummy"):
-            assert kernels.average_area(y, p) > 0.75
-            assert kernels.attributions(a, x).shape == x.shape
-    assert kernels.tune("LogisticRegression", x, y, 1.0, 5) in kernels.LOGISTIC_GRID
-    assert kernels.tune("RandomForest", x[:5], y[:5], 1.0, 5) == kernels.DEFAULTS["RandomForest"]
+            assert plain_models.average_area(y, p) > 0.75
+            assert plain_models.attributions(a, x).shape == x.shape
+    assert plain_models.tune("LogisticRegression", x, y, 1.0, 5) in plain_models.LOGISTIC_GRID
+    assert plain_models.tune("RandomForest", x[:5], y[:5], 1.0, 5) == plain_models.DEFAULTS["RandomForest"]
 
 
 def test_tree_splits_at_the_best_midpoint():
     x = np.array([[1.0], [2.0], [3.0], [10.0], [11.0], [12.0]])
-    t = kernels.classification_tree(x, np.array([0, 0, 0, 1, 1, 1.0]), np.ones(6), 1, np.array([0]))
+    t = plain_models.classification_tree(x, np.array([0, 0, 0, 1, 1, 1.0]), np.ones(6), 1, np.array([0]))
     assert t.threshold[0] == 6.5 and t.predict(np.array([[6.5], [6.6]])).tolist() == [0.0, 1.0]
     assert t.contributions(np.array([[0.0], [20.0]])).ravel().tolist() == [-0.5, 0.5]
 
