@@ -86,6 +86,14 @@ def test_alignment_equals_plain_walk(spark, monkeypatch, plain_tokens, small):
     assert sum(x[0] == 0 for x in plain_tokens[0]) >= 4 and max(x[3] for x in plain_tokens[0]) > 1000
 
 
+def test_quick_encoding_equals_the_tokenizer():
+    e, rng = align.Encoders(align.Files.read()), random.Random(6)
+    letters = "".join(map(chr, range(128))) + "".join(map(chr, range(0xC0, 0x260))) + " '  \n\t" * 9 + "sdmtlvre" * 9
+    texts = [" " + "".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) for _ in range(6000)]
+    texts += [" " + " ".join("".join(rng.choice("abcdeghijklmnoprstuvz'\u00e9\u00fc\u00df") for _ in range(rng.randint(1, 14))) for _ in range(8)) for _ in range(500)]
+    assert e.encode(texts)[0] == [x.ids for x in e.a.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_pair_counts_are_sorted_shards(spark, plain_tokens):
     counts = align.pair_counts(table(spark, TOKEN_TEXTS))
     got = [tuple(r) for r in counts.frame(spark).collect()]
