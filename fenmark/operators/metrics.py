@@ -1,7 +1,7 @@
 """Classification metrics over (keys.., y, p), for all keys at once.
 
-Rank metrics work on counts of equal probabilities, which partial aggregation gives, so what
-a window sorts is distinct probabilities and not predictions.
+Rank metrics work on counts of equal probabilities, which partial aggregation gives, and on sums of these counts by
+ranges of probabilities (``ranks.running``), so a run of any number of distinct probabilities is dealt over tasks, and a tie of any size costs the same.
 """
 
 from __future__ import annotations
@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fenmark.functions.scalars import clamp, sigmoid
+from fenmark.operators.ranks import running, same
 
 CUTOFFS = 99
 
@@ -22,30 +23,41 @@ def _ties(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys, "p").agg(F.sum("y").cast("long").alias("tp"), F.sum(1 - F.col("y")).cast("long").alias("fp"))
 
 
-def _before(keys: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
-
-
 def roc_auc(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys.., roc_auc): trapezoids over groups of equal probabilities; 0.5 if a class is missing."""
-    t = _ties(df, keys).withColumn("_tp0", F.coalesce(F.sum("tp").over(_before(keys)), F.lit(0)))
+    t = running(_ties(df, keys), keys, "p", {"_tp0": "tp"}, descending=True)
     area = F.sum(F.col("fp") * (F.col("_tp0") + F.col("tp") / 2))
     p, n = F.sum("tp"), F.sum("fp")
     return t.groupBy(*keys).agg(F.when((p > 0) & (n > 0), area / (p * n)).otherwise(F.lit(0.5)).alias("roc_auc"))
 
 
+#: Numbers whose reciprocals are added one by one; beyond, differences of harmonic numbers are taken from their expansion.
+FEW = 32
+
+
+def harmonic_between(low: Column, n: Column) -> Column:
+    """1 / (low + 1) + ... + 1 / (low + n), in a time that doesn't grow with n."""
+    start = F.greatest(F.lit(FEW), low)  # from here on by the expansion
+    some = F.least(n, F.greatest(start - low, F.lit(0)))
+    added = F.aggregate(F.when(some > 0, F.sequence(F.lit(1).cast("long"), F.greatest(some, F.lit(1)).cast("long"))).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, k: s + 1 / (low + k))
+    x, m = start.cast("double"), (low + n - start).cast("double")
+    y = x + m
+    power = lambda k: 1 / F.pow(x, F.lit(float(k))) - 1 / F.pow(y, F.lit(float(k)))
+    rest = F.log1p(m / x) - m / (2 * x * y) + power(2) / 12 - power(4) / 120 + power(6) / 252
+    return added + F.when(m > 0, rest).otherwise(F.lit(0.0))
+
+
 def pr_auc(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys.., pr_auc): trapezoids from recall 0 and precision 1; of equal probabilities negatives come first; 0 without positives.
 
     Within a group of m positives after a true and f false ones the k-th adds half the sum of the precisions
-    before and after it, per positive of all.
+    before and after it, per positive of all.  The precisions after them, 1 - f / (a + f + k), add up to m less f times a difference of harmonic numbers.
     """
-    w = _before(keys)
-    t = _ties(df, keys).withColumn("_a", F.coalesce(F.sum("tp").over(w), F.lit(0))).withColumn("_f", F.coalesce(F.sum("fp").over(w), F.lit(0)) + F.col("fp"))
+    t = running(_ties(df, keys), keys, "p", {"_a": "tp", "_b": "fp"}, descending=True).withColumn("_f", F.col("_b") + F.col("fp"))
     a, f, m = F.col("_a"), F.col("_f"), F.col("tp")
     precision = lambda k: F.when(a + k + f > 0, (a + k) / (a + k + f)).otherwise(F.lit(1.0))
-    steps = F.aggregate(F.when(m > 0, F.sequence(F.lit(1).cast("long"), F.greatest(m, F.lit(1).cast("long")))).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, k: s + (precision(k) + precision(k - 1)) / 2)
-    return t.withColumn("_area", steps).groupBy(*keys).agg(F.when(F.sum("tp") > 0, F.sum("_area") / F.sum("tp")).otherwise(F.lit(0.0)).alias("pr_auc"))
+    steps = m - f * harmonic_between(a + f, m) + (precision(F.lit(0)) - precision(m)) / 2
+    return t.withColumn("_area", F.when(m > 0, steps).otherwise(F.lit(0.0))).groupBy(*keys).agg(F.when(F.sum("tp") > 0, F.sum("_area") / F.sum("tp")).otherwise(F.lit(0.0)).alias("pr_auc"))
 
 
 def _share(num: Column, den: Column) -> Column:
@@ -114,9 +126,10 @@ def hosmer_lemeshow(df: DataFrame, keys: Sequence[str], bins: int = 10) -> DataF
     Bins are cut from the counts of (p, y), so no task sorts predictions: a count that
     spans a cut is shared out.
     """
-    cells = df.groupBy(*keys, "p", "y").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy("p", "y")
-    placed = cells.withColumn("_end", F.sum("c").over(w)).withColumn("_n", F.sum("c").over(Window.partitionBy(*keys)))
+    ties = running(_ties(df, keys).withColumn("c", F.col("tp") + F.col("fp")), keys, "p", {"_start": "c"})
+    each = F.explode(F.array(F.struct(F.lit(0).alias("y"), F.col("fp").alias("c"), (F.col("_start") + F.col("fp")).alias("_end")), F.struct(F.lit(1).alias("y"), F.col("tp").alias("c"), (F.col("_start") + F.col("c")).alias("_end"))))
+    cells = ties.select(*keys, "p", each.alias("x")).select(*keys, "p", "x.*").where("c > 0")
+    placed = same(cells, cells.groupBy(*keys).agg(F.sum("c").alias("_n")), list(keys))
     size = F.greatest(F.floor(F.col("_n") / bins), F.lit(1))
     low = F.col("_end") - F.col("c")
     first, last = F.least(F.lit(bins - 1), F.floor(low / size)), F.least(F.lit(bins - 1), F.floor((F.col("_end") - 1) / size))

@@ -225,15 +225,14 @@ def scored(rows: DataFrame, found: DataFrame, on: Sequence[str] = ("task",)) ->
     return joined.withColumn("p", probability()).drop("med", "mean", "sd")
 
 
-def _steps(tree: Column, x: Column) -> Column:
-    """(feature, by how much) of each split on the way of x: how far the child's value is from the mean of both children by count."""
+def _steps(tree: Column, leaf: Column) -> Column:
+    """(feature, by how much) of each split on the way to a leaf: how far the child's value is from the mean of both children by count."""
 
     def step(child: Column) -> Column:
         a, b = F.element_at(tree, child - child % 2), F.element_at(tree, child - child % 2 + 1)
         mean = (a["n"] * a["value"] + b["n"] * b["value"]) / (a["n"] + b["n"])
         return F.struct(F.element_at(tree, F.floor(child / 2).cast("int"))["feature"].alias("feature"), (F.element_at(tree, child)["value"] - mean).alias("by"))
 
-    leaf = _leaf(tree, x)
     level = F.floor(F.log2(leaf.cast("double") + 0.5)).cast("int")
     way = F.transform(F.sequence(F.lit(0), level), lambda k: F.floor(leaf / F.pow(F.lit(2.0), k)).cast("int"))  # the leaf, its parent, ... the root
     return F.transform(F.filter(way, lambda node: node > 1), step)
@@ -264,11 +263,13 @@ def _attributed(test: DataFrame, ec: Column) -> DataFrame:
     weight = F.when(ec.isNotNull(), F.transform("x", lambda v, k: (k == ec).cast("double"))).otherwise(F.transform("weights", lambda w: F.when(share > 0, F.abs(w) / share).otherwise(F.lit(0.0))))
     linear = F.zip_with(weight, F.zip_with("x", "middle", lambda v, m: v - m), lambda w, v: w * v)
     zero = F.transform("x", lambda v: F.lit(0.0))
-    steps = F.flatten(F.transform("trees", lambda tree: _steps(tree, F.col("x"))))
+    leaves = F.transform("trees", lambda tree: _leaf(tree, F.col("x")))
+    steps = test.where("trees is not null").withColumn("_leaves", leaves).select("task", "sample_id", F.explode(F.flatten(F.zip_with("trees", "_leaves", _steps))).alias("s"))
+    by_feature = steps.groupBy("task", "sample_id", "s.feature").agg(F.sum("s.by").alias("by")).groupBy("task", "sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "by"))).alias("by"))  # a map of features a row
     factor = F.when(F.col("rate").isNull(), 1 / F.size("trees")).otherwise(F.col("rate"))
-    by_trees = F.transform("x", lambda v, k: factor * F.aggregate(F.filter(F.col("_steps"), lambda s: s["feature"] == k), F.lit(0.0), lambda t, s: t + s["by"]))
-    out = test.join(middle, "task", "left").withColumn("_steps", steps)
-    return out.withColumn("attributions", F.when(F.col("trees").isNotNull(), by_trees).when(F.col("weights").isNull(), zero).otherwise(linear)).drop("_steps", "middle")
+    by_trees = F.transform("x", lambda v, k: factor * F.coalesce(F.element_at("by", k), F.lit(0.0)))
+    out = test.join(middle, "task", "left").join(by_feature, ["task", "sample_id"], "left").withColumn("by", F.coalesce("by", F.create_map().cast("map<int,double>")))
+    return out.withColumn("attributions", F.when(F.col("trees").isNotNull(), by_trees).when(F.col("weights").isNull(), zero).otherwise(linear)).drop("by", "middle")
 
 
 # All together
@@ -310,7 +311,7 @@ def _fitted(tasks: DataFrame, keys: Sequence[str], seed: int, tuned: bool, inner
 def fitted(tasks: DataFrame, keys: Sequence[str], seed: int = 20260531, tuned: bool = False, inner_folds: int = INNER_FOLDS, attributed: bool = True) -> DataFrame:
     """All that one fit of each task gives, a row a test row: keys.., sample_id, true_label, predicted_probability, predicted_label, hyperparameters, is_default (too few rows to tune), base_value, feature_names, feature_values (scaled) and attributions.
 
-    tasks: keys.. (with algorithm, repeat_index and fold_index), sample_id, true_label, is_train, feature_names and features (arrays).
+    tasks: keys.. (with algorithm, repeat_index and fold_index), sample_id (once a task), true_label, is_train, feature_names and features (arrays).
     """
     keys = list(keys)
     own, found = _fitted(tasks, keys, seed, tuned, inner_folds)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BUCKET_DIGITS = 3
 #: Ranges that a number's rows are cut to.
 BUCKETS = 512
+#: Rows of a group that one task may sort; groups of more are cut at quantiles.
+SMALL = 1 << 16
 
 
 def hash_position(df: DataFrame, groups: Sequence[str], hash_hex: Column, tie: str, name: str = "position") -> DataFrame:
@@ -63,15 +65,43 @@ def average_ranks(df: DataFrame, column: str, name: str = "rank", buckets: int =
     return counts.withColumn("_inside", inside).join(offsets, "_bucket").select(column, (F.col("_before") + F.col("_inside") + (F.col("_c") + 1) / 2).alias(name))
 
 
+def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """left with the columns of right that aren't keys, joined by keys, null ones too."""
+    own = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in right.columns if c not in keys))
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & left[k].eqNullSafe(own[f"_k{i}"])
+    return left.join(own, match).drop(*(f"_k{i}" for i in range(len(keys))))
+
+
+def running(df: DataFrame, keys: Sequence[str], by: str, totals: dict[str, str], descending: bool = False, buckets: int = 256) -> DataFrame:
+    """df with, for each name of totals, the sum of its column over the rows of the same keys that come before in the order of by.
+
+    by is a number that isn't null, and distinct within keys.  Keys of more than SMALL rows are cut at approximate quantiles of by: rows are summed up
+    within a range, and what comes before a range is a running sum over its key's few ranges.  So the rows of a key, however many, are many tasks' work.
+    """
+    keys, small, kind = list(keys), SMALL, dict(df.dtypes)[by]
+    cuts = df.groupBy(*keys).agg(F.when(F.count("*") > small, F.percentile_approx(by, F.array(*(F.lit(k / buckets) for k in range(1, buckets))), 10_000)).otherwise(F.array().cast(f"array<{kind}>")).alias("_cuts"))
+    before = lambda c: c > F.col(by) if descending else c < F.col(by)
+    placed = same(df, cuts, keys).withColumn("_range", F.size(F.filter("_cuts", before))).drop("_cuts")
+    w = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over a key's few ranges
+    sums = placed.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_sum_{n}") for n, c in totals.items()))
+    offsets = sums.select(*keys, "_range", *(F.coalesce(F.sum(f"_sum_{n}").over(w), F.lit(0)).alias(f"_off_{n}") for n in totals))
+    inside = Window.partitionBy(*keys, "_range").orderBy(F.desc(by) if descending else F.asc(by)).rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumns({f"_in_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in totals.items()})
+    out = same(summed, offsets, [*keys, "_range"])
+    return out.select(*df.columns, *((F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in totals))
+
+
 def quantiles(df: DataFrame, groups: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
     """(groups.., names): exact quantiles with linear interpolation, of values that aren't null.
 
-    Values are counted first; what is then sorted within a group can spill, which the values inside an aggregate can't.
+    Values are counted, and counts summed up by ranges (``running``), so no task sorts a large group.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*groups)
-    placed = counts.withColumn("_end", F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
-    here = lambda i: F.max(F.when((F.col("_end") > i) & (F.col("_end") - F.col("_c") <= i), F.col("_v")))
+    sizes = counts.groupBy(*groups).agg(F.sum("_c").alias("_n"))
+    placed = same(running(counts, groups, "_v", {"_start": "_c"}), sizes, list(groups))
+    here = lambda i: F.max(F.when((F.col("_start") + F.col("_c") > i) & (F.col("_start") <= i), F.col("_v")))
     parts = []
     for name, q in at.items():
         h = (F.col("_n") - 1) * q

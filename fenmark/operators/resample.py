@@ -8,8 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from fenmark.operators import metrics
+from fenmark.operators.ranks import running, same
+from fenmark.sources.scratch import written
 
 DRAWS = 2000
 PENALTY_C = 1e6
@@ -20,34 +23,45 @@ def pick(draw: Column, slot: Column, n: Column, salt: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), draw.cast("string"), slot.cast("string"))), 1, 8), 16, 10).cast("long") % n
 
 
-def bootstrap(predictions: DataFrame, draws: int = DRAWS) -> DataFrame:
-    """(draw, slot, sample_id, y, p): resampled wells, one of a well's repeats at random for each slot.
+def bootstrap(predictions: DataFrame, draws: int = DRAWS, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys.., draw, slot, sample_id, y, p): resampled wells of each selection, one of a well's repeats at random for each slot.
 
-    predictions: sample_id, repeat_index, y, p.  Draws come from hashes: reruns and partitionings agree.
+    predictions: keys.. (such as target, tier and algorithm), sample_id, repeat_index, y, p.  A selection of n wells has n slots a draw, so every
+    well gives one slot to each of the draws, and each slot picks a well by a hash: reruns and partitionings agree.  Wells are numbered in the order of their
+    ids (of their ids' hashes if these are no numbers) by running sums over ranges, so no task holds a selection.
     """
-    wells = predictions.groupBy("sample_id").agg(F.count("*").alias("repeats"), F.max("y").alias("y"))
-    indexed = wells.withColumn("at", F.row_number().over(Window.orderBy("sample_id")) - 1)  # wells: the study's, not the corpus's
-    n = wells.agg(F.count("*").alias("n"))
-    slots = predictions.sparkSession.range(draws).select(F.col("id").alias("draw")).join(F.broadcast(n)).where("n > 0").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    drawn = slots.withColumn("at", pick(F.col("draw"), F.col("slot"), F.col("n"), "well")).join(indexed, "at").withColumn("place", pick(F.col("draw"), F.col("slot"), F.col("repeats"), "repeat"))
-    placed = predictions.withColumn("place", F.row_number().over(Window.partitionBy("sample_id").orderBy("repeat_index")) - 1).select("sample_id", "place", "p")
-    return drawn.join(placed, ["sample_id", "place"]).select("draw", "slot", "sample_id", "y", "p")
-
-
-def average_precision(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys.., average_precision): the step-wise sum of recall gains times precision at each distinct probability."""
-    t = metrics._ties(df, keys)
-    upto = Window.partitionBy(*keys).orderBy(F.desc("p"))
-    t = t.withColumn("_a", F.sum("tp").over(upto)).withColumn("_f", F.sum("fp").over(upto))
-    return t.groupBy(*keys).agg(F.when(F.sum("tp") > 0, F.sum(F.col("tp") * F.col("_a") / (F.col("_a") + F.col("_f"))) / F.sum("tp")).otherwise(F.lit(0.0)).alias("average_precision"))
-
-
-def intervals(drawn: DataFrame, cutoff: float = 0.5) -> DataFrame:
-    """(metric, median, lower_ci, upper_ci) over draws that hold both classes."""
-    both = drawn.groupBy("draw").agg(F.min("y").alias("a"), F.max("y").alias("b")).where("a < b").select("draw")
-    ok = drawn.join(both, "draw", "left_semi")
-    per = average_precision(ok, ["draw"]).join(metrics.roc_auc(ok, ["draw"]), "draw").join(metrics.point_metrics(ok, ["draw"], cutoff), "draw").join(metrics.brier(ok, ["draw"]), "draw")
-    return _summed_up(per.select("draw", "average_precision", "roc_auc", F.col("sensitivity").alias("recall"), "f2_score", "brier_score"))
+    keys = list(keys)
+    wells = predictions.groupBy(*keys, "sample_id").agg(F.count("*").alias("repeats"), F.max("y").alias("y"))
+    number = isinstance(wells.schema["sample_id"].dataType, NumericType)
+    order = wells.withColumn("_order", F.col("sample_id") if number else F.xxhash64("sample_id")).withColumn("_one", F.lit(1).cast("long"))
+    indexed = running(order, keys, "_order", {"at": "_one"}).drop("_order", "_one")
+    sizes = indexed.groupBy(*keys).agg(F.count("*").alias("n"))
+    slots = same(indexed.select(*keys, F.col("at").alias("slot")), sizes, keys).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    picked = slots.withColumn("at", pick(F.col("draw"), F.col("slot"), F.col("n"), "well")).drop("n")
+    drawn = same(picked, indexed, [*keys, "at"]).withColumn("place", pick(F.col("draw"), F.col("slot"), F.col("repeats"), "repeat"))
+    placed = predictions.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "sample_id").orderBy("repeat_index")) - 1).select(*keys, "sample_id", F.col("place").cast("long").alias("place"), "p")  # over a well's few repeats
+    return same(drawn, placed, [*keys, "sample_id", "place"]).select(*keys, "draw", "slot", "sample_id", "y", "p")
+
+
+def intervals(drawn: DataFrame, cutoff: float = 0.5, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys.., metric, median, lower_ci, upper_ci) over each selection's draws that hold both classes.
+
+    Draws are counted by probability once, in a table of their own; average precision (the step-wise sum of recall gains
+    times precision), area, recall, F2 and Brier score are one aggregate over these counts.
+    """
+    own = [*keys, "draw"]
+    cells = written(metrics._ties(drawn, own), "draws")
+    t = running(cells, own, "p", {"_a": "tp", "_f": "fp"}, descending=True)
+    tp, fp, a, f, p = (F.col(c) for c in ("tp", "fp", "_a", "_f", "p"))
+    pos, neg = F.sum(tp), F.sum(fp)
+    hit, false = F.sum(F.when(p >= cutoff, tp).otherwise(F.lit(0))), F.sum(F.when(p >= cutoff, fp).otherwise(F.lit(0)))
+    per = t.groupBy(*own).agg(
+        (F.sum(tp * (a + tp) / (a + tp + f + fp)) / pos).alias("average_precision"), (F.sum(fp * (a + tp / 2)) / (pos * neg)).alias("roc_auc"), hit.alias("tp"), false.alias("fp"), (pos - hit).alias("fn"), (neg - false).alias("tn"),
+        (F.sum(tp * F.pow(1 - p, F.lit(2.0)) + fp * F.pow(p, F.lit(2.0))) / (pos + neg)).alias("brier_score"),
+    )
+    per = per.where("tp + fn > 0 and fp + tn > 0")
+    rates = metrics.rates()
+    return _summed_up(per.select(*own, "average_precision", "roc_auc", rates["sensitivity"].alias("recall"), rates["f2_score"].alias("f2_score"), "brier_score"), keys)
 
 
 def logistic_line(x: np.ndarray, n: np.ndarray, s: np.ndarray, c: float = PENALTY_C) -> tuple[float, float]:
@@ -68,28 +82,31 @@ def logistic_line(x: np.ndarray, n: np.ndarray, s: np.ndarray, c: float = PENALT
     return float(b[0]), float(b[1])
 
 
-def calibration_lines(drawn: DataFrame) -> DataFrame:
-    """(draw, calibration_slope, calibration_intercept) of the draws that hold both classes, each fitted until it converges (unlike ``metrics.calibration``)."""
+def calibration_lines(drawn: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys.., draw, calibration_slope, calibration_intercept) of the draws that hold both classes, each fitted until it converges (unlike ``metrics.calibration``)."""
+    own, kinds = [*keys, "draw"], dict(drawn.dtypes)
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         n, s, p = g["n"].to_numpy(float), g["s"].to_numpy(float), np.clip(g["p"].to_numpy(float), 1e-6, 1 - 1e-6)
-        lines = [(g["draw"].iloc[0], *logistic_line(np.log(p / (1 - p)), n, s))] if 0 < s.sum() < n.sum() else []
-        return pd.DataFrame(lines, columns=["draw", "calibration_slope", "calibration_intercept"])
+        lines = [(*(g[k].iloc[0] for k in own), *logistic_line(np.log(p / (1 - p)), n, s))] if 0 < s.sum() < n.sum() else []
+        return pd.DataFrame(lines, columns=[*own, "calibration_slope", "calibration_intercept"])
 
-    cells = drawn.groupBy("draw", "p").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
-    return cells.groupBy("draw").applyInPandas(fit, "draw long, calibration_slope double, calibration_intercept double")
+    cells = drawn.groupBy(*own, "p").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+    schema = ", ".join(f"{k} {kinds[k]}" for k in own) + ", calibration_slope double, calibration_intercept double"
+    return cells.groupBy(*own).applyInPandas(fit, schema)
 
 
-def calibration_intervals(drawn: DataFrame) -> DataFrame:
-    """(metric, median, lower_ci, upper_ci) of calibration slope and intercept over draws that hold both classes."""
-    return _summed_up(calibration_lines(drawn))
+def calibration_intervals(drawn: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys.., metric, median, lower_ci, upper_ci) of calibration slope and intercept over each selection's draws that hold both classes."""
+    return _summed_up(calibration_lines(drawn, keys), keys)
 
 
-def _summed_up(per: DataFrame) -> DataFrame:
-    """The intervals of every column of per but draw."""
-    long = per.unpivot("draw", [c for c in per.columns if c != "draw"], "metric", "value")
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975)))
-    return long.groupBy("metric").agg(q.alias("q")).select("metric", F.col("q")[0].alias("median"), F.col("q")[1].alias("lower_ci"), F.col("q")[2].alias("upper_ci"))
+def _summed_up(per: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The intervals of every column of per but keys and draw."""
+    own = [*keys, "draw"]
+    long = per.unpivot(own, [c for c in per.columns if c not in own], "metric", "value")
+    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975)))  # a value a draw
+    return long.groupBy(*keys, "metric").agg(q.alias("q")).select(*keys, "metric", F.col("q")[0].alias("median"), F.col("q")[1].alias("lower_ci"), F.col("q")[2].alias("upper_ci"))
 
 
 def k_sensitivity(scores: DataFrame, ks: Sequence[int] = (3, 4, 5, 6, 7, 8)) -> DataFrame:

@@ -36,6 +36,9 @@ def parser() -> argparse.ArgumentParser:
     command("run-pipeline", "config", "out")
     command("export-r", "out")
     command("export-gis", "out")
+    vacuum = command("vacuum")
+    vacuum.add_argument("--keep", type=int, default=1, help="versions that stay")
+    vacuum.add_argument("--grace", type=float, default=86400.0, help="seconds for which files that no version names stay")
     return p
 
 
@@ -67,6 +70,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             groups = store.read("model_runs").select("target_contaminant", "predictor_tier", "cv_mode").distinct().count()
             run_manifest(f"{a.out}/run_manifest.json", {"pipeline_completed_at": screening.now(), "total_run_groups": groups, "elapsed_ms": int(1000 * (time.time() - began)), "targets": C.TARGETS, "tiers": tuple(C.TIERS), "cv_modes": C.CV_MODES, "counts": counts})
         print(counts)
+    elif a.command == "vacuum":
+        print(len(store.vacuum(a.keep, a.grace)))
     else:
         if not a.out:
             raise SystemExit("--out is needed")

@@ -12,6 +12,8 @@ from fenmark.functions import scalars as S
 from fenmark.operators import folds, ingest, leakage, metrics, models, preprocess, ranks, resample, spatial, upsert
 from fenmark.plans import bindings as B
 from fenmark.plans import reports
+from fenmark.sources.scratch import new_folder
+from fenmark.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -215,6 +217,50 @@ def merge_keeps_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.merge(old, new, ["k"], F.col("v").isNull())
 
 
+def _stored(spark: SparkSession, old: DataFrame, write: Callable[[Store], DataFrame]) -> DataFrame:
+    """What a store of one keyed table (k, g, v) reads after write, having held old."""
+    store = Store(spark, new_folder(spark, "store"), tables={"t": "k long, g int, v double"}, keys={"t": ("k",)})
+    store.append("t", old)
+    return write(store)
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("int").alias("g"), F.col("c_acctbal").alias("v"))
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = B.table(spark, sf_dir, "supplier")
+    v = F.when(F.col("s_acctbal") > 3000, F.col("s_acctbal"))
+    return s.select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("int").alias("g"), v.alias("v")).unionByName(s.select((F.col("s_suppkey") + 100000000).alias("k"), F.col("s_nationkey").cast("int").alias("g"), v.alias("v")))
+
+
+_HELD = "o AS (SELECT c_custkey AS k, c_nationkey AS g, c_acctbal AS v FROM customer), n AS (SELECT s_suppkey + d AS k, s_nationkey AS g, CASE WHEN s_acctbal > 3000 THEN s_acctbal END AS v FROM supplier, (VALUES (0), (100000000)) AS t(d))"
+
+
+@query(f"WITH {_HELD} SELECT coalesce(o.k, n.k) AS k, CASE WHEN n.v IS NOT NULL OR o.k IS NULL THEN n.g ELSE o.g END AS g, coalesce(n.v, o.v) AS v FROM o FULL JOIN n ON o.k = n.k")
+def stored_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As merge_keeps_values, through the buckets of a store."""
+    return _stored(spark, _customers(spark, sf_dir), lambda s: s.merge("t", _suppliers(spark, sf_dir), ["k"], F.col("v").isNull()))
+
+
+@query(f"WITH {_HELD} SELECT * FROM o WHERE k NOT IN (SELECT k FROM n) UNION ALL SELECT * FROM n")
+def stored_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of new keys take the place of old ones, in a store whose files without such a row stay."""
+    return _stored(spark, _customers(spark, sf_dir), lambda s: s.replace("t", _suppliers(spark, sf_dir), ["k"]))
+
+
+@query(f"WITH {_HELD} SELECT * FROM o WHERE g NOT IN (SELECT g FROM n WHERE v > 5000) UNION ALL SELECT * FROM n WHERE v > 5000")
+def stored_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete-then-insert of whole groups, which lie in all buckets."""
+    return _stored(spark, _customers(spark, sf_dir), lambda s: s.replace("t", _suppliers(spark, sf_dir).where("v > 5000"), ["g"]))
+
+
+@query(f"WITH {_HELD} SELECT * FROM o UNION ALL SELECT * FROM n WHERE k NOT IN (SELECT k FROM o)")
+def stored_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only keys that are not stored yet come in."""
+    return _stored(spark, _customers(spark, sf_dir), lambda s: s.insert_missing("t", _suppliers(spark, sf_dir), ["k"]))
+
+
 @query("""SELECT o_orderkey, trim(x) AS raw, CASE WHEN regexp_full_match(trim(x), '(?i)[+-]?(inf(inity)?|nan|(\\d+\\.?\\d*|\\.\\d+)(e[+-]?\\d+)?)') THEN TRY_CAST(trim(x) AS DOUBLE) END AS value
     FROM (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '1d' WHEN 1 THEN '1_0' WHEN 2 THEN '.5' WHEN 3 THEN '2.' WHEN 4 THEN '1e-3 ' ELSE '0x1p3' END AS x FROM orders)""")
 def float_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -730,9 +776,24 @@ def choose_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODEL_KEYS = ["algorithm", "repeat_index", "fold_index"]
 
 
-@query()
+# All columns of the vectors, scaled by fold, with a constant at the end; a step of the descent is one aggregate over (fold, column).
+_D = B.FEATURES
+_LR = f"""long AS (SELECT CAST(f AS INTEGER) AS fold_index, CAST(vec_id AS VARCHAR) AS sample_id, CAST(label = 0 AS INTEGER) AS y, vec_id % 3 <> f AS train, j, CAST(embedding[j] AS DOUBLE) AS raw FROM embeddings, range(3) AS t(f), range(1, {_D + 1}) AS u(j)),
+    st AS (SELECT fold_index, j, avg(raw) FILTER (WHERE train) AS mean, greatest(stddev_samp(raw) FILTER (WHERE train), 1e-8) AS sd FROM long GROUP BY ALL),
+    wt AS (SELECT fold_index, count(*)::DOUBLE AS n, greatest(count(*) FILTER (WHERE y = 0) / count(*) FILTER (WHERE y = 1), 1) AS pos FROM long WHERE train AND j = 1 GROUP BY 1),
+    z AS (SELECT fold_index, sample_id, any_value(y) AS y, any_value(train) AS train, list_append(list((raw - mean) / sd ORDER BY j), 1.0) AS x FROM long JOIN st USING (fold_index, j) GROUP BY fold_index, sample_id),
+    zw AS (SELECT z.*, n, CASE WHEN y = 1 THEN pos ELSE 1 END AS w, sum(CASE WHEN y = 1 THEN pos ELSE 1 END) FILTER (WHERE train) OVER (PARTITION BY fold_index) AS total FROM z JOIN wt USING (fold_index)),
+    d AS (SELECT 0 AS step, fold_index, [0.0::DOUBLE FOR j IN range({_D + 1})] AS beta FROM wt
+      UNION ALL SELECT step + 1, fold_index, list(b ORDER BY j) FROM (
+        SELECT any_value(step) AS step, fold_index, j, any_value(beta[j]) - 0.05 * (sum(e * x[j]) / any_value(total) + CASE WHEN j <= {_D} THEN any_value(beta[j]) / any_value(n) ELSE 0 END) AS b
+        FROM (SELECT step, d.fold_index, beta, x, total, n, w * ({_SIGMOID.format('list_dot_product(x, beta)')} - y) AS e FROM d JOIN zw ON zw.fold_index = d.fold_index AND zw.train WHERE step < 1000), range(1, {_D + 2}) AS t(j) GROUP BY fold_index, j)
+      GROUP BY step, fold_index),
+    fitted AS (SELECT zw.fold_index, sample_id, y, {_SIGMOID.format('list_dot_product(x, beta)')} AS p FROM zw JOIN d USING (fold_index) WHERE step = 1000 AND NOT train)"""
+
+
+@query(f"WITH RECURSIVE {_LR} SELECT 'LogisticRegression' AS algorithm, 0 AS repeat_index, fold_index, sample_id, y AS true_label, round(p, 5) AS predicted_probability, CAST(p >= 0.5 AS INTEGER) AS predicted_label, '' AS hyperparameters FROM fitted")
 def logistic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.predictions(B.tasks(spark, sf_dir, "LogisticRegression"), MODEL_KEYS)
+    return rounded(models.predictions(B.tasks(spark, sf_dir, "LogisticRegression"), MODEL_KEYS), 5)
 
 
 _EC = """x AS (SELECT CAST(f AS INTEGER) AS fold_index, CAST(vec_id AS VARCHAR) AS sample_id, CAST(label = 0 AS INTEGER) AS y, vec_id % 3 <> f AS train, CAST(embedding[1] AS DOUBLE) AS raw FROM embeddings, range(3) AS t(f)),
@@ -766,7 +827,12 @@ def tuned_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.attributions(B.tasks(spark, sf_dir, "LogisticRegression", "RandomForest", "GradientBoostedTrees"), MODEL_KEYS)
+    return rounded(models.attributions(B.tasks(spark, sf_dir, "LogisticRegression", "RandomForest", "GradientBoostedTrees"), MODEL_KEYS), 9)
+
+
+@query()
+def feature_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.feature_importances(B.tasks(spark, sf_dir, "LogisticRegression", "RandomForest", "GradientBoostedTrees"), MODEL_KEYS), 9)
 
 
 @query()
@@ -778,32 +844,34 @@ def pooled_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Resampling: the draws are hashes, so SQL can draw the same.
 
 
-DRAWS = resample.DRAWS
-_BOOT = f"""WITH pr AS (SELECT doc_id AS sample_id, CAST(r AS INTEGER) AS repeat_index, quality AS y, ((doc_id * 37 + r * 11) % 101) / 101 AS p FROM labels, range(2) AS t(r)),
-    wells AS (SELECT sample_id, count(*) AS repeats, max(y) AS y, row_number() OVER (ORDER BY sample_id) - 1 AS pos FROM pr GROUP BY sample_id), n AS (SELECT count(*) AS n FROM wells),
-    slots AS (SELECT draw, slot, ('0x' || substr(md5('well:' || draw || ':' || slot), 1, 8))::BIGINT % n AS pos FROM n, range({DRAWS}) AS t(draw), (SELECT unnest(range((SELECT n FROM n))) AS slot)),
-    drawn AS (SELECT draw, slot, w.sample_id, w.y, ('0x' || substr(md5('repeat:' || draw || ':' || slot), 1, 8))::BIGINT % repeats AS repeat_index FROM slots JOIN wells w USING (pos)),
-    d AS (SELECT draw, drawn.y, p FROM drawn JOIN pr USING (sample_id, repeat_index)), ok AS (SELECT * FROM d WHERE draw IN (SELECT draw FROM d GROUP BY 1 HAVING min(y) < max(y))),
-    t AS (SELECT draw, p, sum(y) AS tp, sum(1 - y) AS fp FROM ok GROUP BY ALL), u AS (SELECT *, sum(tp) OVER (PARTITION BY draw ORDER BY p DESC) AS a, sum(fp) OVER (PARTITION BY draw ORDER BY p DESC) AS f FROM t),
-    ap AS (SELECT draw, sum(tp * a / (a + f)) / sum(tp) AS average_precision, sum(fp * (a - tp + tp / 2)) / (sum(tp) * sum(fp)) AS roc_auc FROM u GROUP BY 1),
-    cm AS (SELECT draw, count(*) FILTER (WHERE p >= 0.5 AND y = 1) / count(*) FILTER (WHERE y = 1) AS recall, count(*) FILTER (WHERE p >= 0.5 AND y = 1) / greatest(1, count(*) FILTER (WHERE p >= 0.5)) AS prec, avg((y - p) * (y - p)) AS brier_score FROM ok GROUP BY 1),
-    v AS (SELECT draw, average_precision, roc_auc, recall, CASE WHEN 4 * prec + recall > 0 THEN 5 * prec * recall / (4 * prec + recall) ELSE 0 END AS f2_score, brier_score FROM ap JOIN cm USING (draw))"""
+DRAWS, SELECTION = resample.DRAWS, ["target", "tier", "algorithm"]
+_BOOT = f"""WITH pr AS (SELECT 'quality' AS target, CASE WHEN doc_id % 3 = 0 THEN 'Tier1_Field' ELSE 'Tier2_Reduced' END AS tier, CASE WHEN doc_id % 2 = 0 THEN 'LogisticRegression' ELSE 'RandomForest' END AS algorithm,
+      doc_id AS sample_id, CAST(r AS INTEGER) AS repeat_index, quality AS y, ((doc_id * 37 + r * 11) % 101) / 101 AS p FROM labels, range(2) AS t(r)),
+    wells AS (SELECT target, tier, algorithm, sample_id, count(*) AS repeats, max(y) AS y, row_number() OVER (PARTITION BY target, tier, algorithm ORDER BY sample_id) - 1 AS pos, count(*) OVER (PARTITION BY target, tier, algorithm) AS n FROM pr GROUP BY target, tier, algorithm, sample_id),
+    slots AS (SELECT target, tier, algorithm, draw, pos AS slot, ('0x' || substr(md5('well:' || draw || ':' || pos), 1, 8))::BIGINT % n AS at FROM wells, range({DRAWS}) AS t(draw)),
+    drawn AS (SELECT s.target, s.tier, s.algorithm, draw, slot, w.sample_id, w.y, ('0x' || substr(md5('repeat:' || draw || ':' || slot), 1, 8))::BIGINT % repeats AS repeat_index FROM slots s JOIN wells w ON (s.target, s.tier, s.algorithm, s.at) = (w.target, w.tier, w.algorithm, w.pos)),
+    d AS (SELECT drawn.target, drawn.tier, drawn.algorithm, draw, drawn.y, p FROM drawn JOIN pr USING (sample_id, repeat_index)), ok AS (SELECT * FROM d WHERE (target, tier, algorithm, draw) IN (SELECT (target, tier, algorithm, draw) FROM d GROUP BY target, tier, algorithm, draw HAVING min(y) < max(y))),
+    t AS (SELECT target, tier, algorithm, draw, p, sum(y) AS tp, sum(1 - y) AS fp FROM ok GROUP BY ALL), u AS (SELECT *, sum(tp) OVER w AS a, sum(fp) OVER w AS f FROM t WINDOW w AS (PARTITION BY target, tier, algorithm, draw ORDER BY p DESC)),
+    ap AS (SELECT target, tier, algorithm, draw, sum(tp * a / (a + f)) / sum(tp) AS average_precision, sum(fp * (a - tp + tp / 2)) / (sum(tp) * sum(fp)) AS roc_auc FROM u GROUP BY ALL),
+    cm AS (SELECT target, tier, algorithm, draw, count(*) FILTER (WHERE p >= 0.5 AND y = 1) / count(*) FILTER (WHERE y = 1) AS recall, count(*) FILTER (WHERE p >= 0.5 AND y = 1) / greatest(1, count(*) FILTER (WHERE p >= 0.5)) AS prec, avg((y - p) * (y - p)) AS brier_score FROM ok GROUP BY ALL),
+    v AS (SELECT target, tier, algorithm, draw, average_precision, roc_auc, recall, CASE WHEN 4 * prec + recall > 0 THEN 5 * prec * recall / (4 * prec + recall) ELSE 0 END AS f2_score, brier_score FROM ap JOIN cm USING (target, tier, algorithm, draw))"""
 
 
-@query(f"{_BOOT} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(quantile_cont({m}, 0.5), 6) AS median, round(quantile_cont({m}, 0.025), 6) AS lower_ci, round(quantile_cont({m}, 0.975), 6) AS upper_ci FROM v" for m in ("average_precision", "roc_auc", "recall", "f2_score", "brier_score")))
+@query(f"{_BOOT} " + " UNION ALL ".join(f"SELECT target, tier, algorithm, '{m}' AS metric, round(quantile_cont({m}, 0.5), 6) AS median, round(quantile_cont({m}, 0.025), 6) AS lower_ci, round(quantile_cont({m}, 0.975), 6) AS upper_ci FROM v GROUP BY target, tier, algorithm" for m in ("average_precision", "roc_auc", "recall", "f2_score", "brier_score")))
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All draws of the method; the wells are all labelled documents.  The calibration metrics of the same draws are ``bootstrap_calibration``."""
-    return rounded(resample.intervals(resample.bootstrap(_labelled_predictions(spark, sf_dir), DRAWS)))
+    """All draws of the method, for each selection; the wells are all labelled documents.  The calibration metrics of the same draws are ``bootstrap_calibration``."""
+    return rounded(resample.intervals(resample.bootstrap(_labelled_predictions(spark, sf_dir), DRAWS, SELECTION), keys=SELECTION))
 
 
 @query()
 def bootstrap_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(resample.calibration_intervals(resample.bootstrap(_labelled_predictions(spark, sf_dir), DRAWS)))
+    return rounded(resample.calibration_intervals(resample.bootstrap(_labelled_predictions(spark, sf_dir), DRAWS, SELECTION), SELECTION))
 
 
 def _labelled_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = B.table(spark, sf_dir, "labels")
-    return lab.withColumn("repeat_index", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.col("doc_id").alias("sample_id"), "repeat_index", F.col("quality").alias("y"), (((F.col("doc_id") * 37 + F.col("repeat_index") * 11) % 101) / 101).alias("p"))
+    tier, algorithm = F.when(F.col("doc_id") % 3 == 0, "Tier1_Field").otherwise("Tier2_Reduced"), F.when(F.col("doc_id") % 2 == 0, "LogisticRegression").otherwise("RandomForest")
+    return lab.withColumn("repeat_index", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.lit("quality").alias("target"), tier.alias("tier"), algorithm.alias("algorithm"), F.col("doc_id").alias("sample_id"), "repeat_index", F.col("quality").alias("y"), (((F.col("doc_id") * 37 + F.col("repeat_index") * 11) % 101) / 101).alias("p"))
 
 
 # Joins and the like on plain tables.

@@ -1,14 +1,13 @@
 """The screening study end to end: ingest, leakage audit, fitting and scoring, thresholds, priority, exports.
 
 All targets, tiers, modes, algorithms, repeats and folds of a run are one task table; statistics over it are joins and
-aggregates, and only the kernels run as grouped-map tasks.
+aggregates, and models are fitted by blocks of rows (``operators.models``).
 """
 
 from __future__ import annotations
 
 import logging
 import time
-import uuid
 from collections.abc import Sequence
 from datetime import UTC, datetime
 
@@ -20,6 +19,7 @@ from fenmark.functions import scalars as S
 from fenmark.operators import folds, ingest, leakage, metrics, models, ranks, spatial
 from fenmark.plans import reports
 from fenmark.sources import readers, sinks
+from fenmark.sources.scratch import discard, written
 from fenmark.sources.store import TABLES, Store
 
 SCHEMA_VERSION = "1"
@@ -49,7 +49,12 @@ def registered(store: Store, role: str) -> str:
 
 
 def ingest_study(store: Store, csv: str, run: C.RunConfig, thresholds: C.ThresholdsConfig, outline: str | None = None, files: dict[str, str] | None = None) -> None:
-    """Fills the input, target, feature and spatial tables from a study's CSV."""
+    """Fills the input, target, feature and spatial tables from a study's CSV; all of them become one version of the store."""
+    with store.transaction():
+        _ingest(store, csv, run, thresholds, outline, files)
+
+
+def _ingest(store: Store, csv: str, run: C.RunConfig, thresholds: C.ThresholdsConfig, outline: str | None, files: dict[str, str] | None) -> None:
     spark, at = store.spark, now()
     store.create_all()
     store.append("project_manifest", spark.createDataFrame([(run.name, run.version, at, run.version, SCHEMA_VERSION, None)], TABLES["project_manifest"]))
@@ -126,10 +131,15 @@ def task_table(store: Store, run: C.RunConfig, targets: Sequence[str], tiers: Se
 
 
 def run_models(store: Store, run: C.RunConfig, targets: Sequence[str] = C.TARGETS, tiers: Sequence[str] = (*C.TIERS, *C.VARIANT_TIERS), modes: Sequence[str] = C.CV_MODES, tuned: bool = True) -> dict[str, int]:
-    """Fits, scores and ranks; fills the run tables.  Returns row counts."""
+    """Fits, scores and ranks; fills the run tables, which become one version of the store.  Returns row counts."""
     for given, known in ((targets, C.TARGETS), (modes, C.CV_MODES), (tiers, (*C.TIERS, *C.VARIANT_TIERS))):
         if unknown := set(given) - set(known):
             raise ValueError(f"not known: {sorted(unknown)}")
+    with store.transaction():
+        return _run_models(store, run, targets, tiers, modes, tuned)
+
+
+def _run_models(store: Store, run: C.RunConfig, targets: Sequence[str], tiers: Sequence[str], modes: Sequence[str], tuned: bool) -> dict[str, int]:
     began, at = time.time(), now()
     base = task_table(store, run, targets, tiers, modes)
     algorithms = F.array(*(F.lit(a) for a in run.algorithms()))
@@ -138,9 +148,7 @@ def run_models(store: Store, run: C.RunConfig, targets: Sequence[str] = C.TARGET
     keys = ["run_id", "target_contaminant", "predictor_tier", "algorithm", "cv_mode", "repeat_index", "fold_index"]
     clusters = store.read("sample_spatial_assignment").select("sample_id", "spatial_cluster_id")
     # Each task is tuned and fitted once; all that it gives is written, and read for each table.
-    fits = f"{store.root}/_fits/{uuid.uuid4().hex}"
-    models.fitted(tasks, keys, run.cv.random_seed, tuned, run.cv.inner_folds).write.parquet(fits)
-    fits = store.spark.read.parquet(fits)
+    fits = written(models.fitted(tasks, keys, run.cv.random_seed, tuned, run.cv.inner_folds), "fits")
     store.replace("well_predictions", fits.join(clusters, "sample_id", "left").withColumnRenamed("predicted_label", "predicted_label_default_0_5"), ["run_id"])
     known = store.read("well_predictions")
     defs = store.read("target_definitions").select("target_contaminant", "threshold_value", "threshold_source")
@@ -174,6 +182,7 @@ def run_models(store: Store, run: C.RunConfig, targets: Sequence[str] = C.TARGET
     store.replace("model_hyperparameters", settings, ["run_id"])
     tables = {n: store.read(n) for n in TABLES}
     store.replace("screening_priority", reports.screening_priority(tables), ["sample_id", "target_contaminant"])
+    discard(fits)
     return {n: store.read(n).count() for n in ("model_runs", "well_predictions", "fold_metrics", "screening_priority")}
 
 

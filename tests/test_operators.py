@@ -113,6 +113,47 @@ def test_rank_metrics_equal_plain_loops(spark, seed):
     assert (got.calibration_slope, got.calibration_intercept) == (pytest.approx(slope, abs=1e-8), pytest.approx(intercept, abs=1e-8))
 
 
+@pytest.mark.parametrize("small", [3, 1 << 16])
+def test_metrics_and_quantiles_of_cut_groups_equal_plain_ones(spark, monkeypatch, small):
+    monkeypatch.setattr(ranks, "SMALL", small)  # 3: every group is cut at quantiles
+    rng = np.random.default_rng(9)
+    groups = {"skewed": np.exp(rng.normal(0, 3, 400)), "ties": rng.integers(0, 5, 300) / 7, "constant": np.full(50, 2.5), None: rng.random(200), "one": np.array([4.0])}
+    rows = [(g, float(v), int(rng.random() < 0.4)) for g, x in groups.items() for v in x]
+    df = spark.createDataFrame([*rows, ("nulls", None, 0)], "g string, v double, y int")
+    got = {r.g: (r.low, r.mid, r.high) for r in ranks.quantiles(df, ["g"], "v", {"low": 0.025, "mid": 0.5, "high": 0.9}).collect()}
+    assert got == {g: pytest.approx(tuple(np.quantile(x, [0.025, 0.5, 0.9]))) for g, x in groups.items()}
+    summed = ranks.running(df.where("v is not null").groupBy("g", "v").agg(F.sum("y").alias("n")), ["g"], "v", {"before": "n"}, descending=True).collect()
+    for r in summed:
+        assert r.before == sum(y for g, v, y in rows if g == r.g and v > r.v)
+    scores = spark.createDataFrame([(g or "none", y, v) for g, v, y in rows], "k string, y int, p double")
+    area = {r.k: r.pr_auc for r in metrics.pr_auc(scores, ["k"]).collect()}
+    for k in ("skewed", "ties", "none"):
+        own = [(y, v) for g, v, y in rows if (g or "none") == k]
+        assert area[k] == pytest.approx(plain_models.average_area(np.array([y for y, _ in own]), np.array([v for _, v in own])))
+
+
+def test_large_runs_and_ties_are_many_tasks_work(spark):
+    run = spark.range(400_000).select(F.lit("r").alias("k"), (F.col("id") / 400_000).alias("p"), (F.xxhash64("id") % 2 == 0).cast("int").alias("y"))
+    placed = ranks.running(run, ["k"], "p", {"before": "y"}, descending=True)
+    assert placed.where("p = 0").first().before == run.where("p > 0").agg(F.sum("y")).first()[0]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small ranges aren't put together
+    try:
+        tasks = placed.select(F.spark_partition_id().alias("task"), "p").groupBy("task").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 200_000
+
+
+def test_harmonic_differences(spark):
+    exact = lambda low, n: math.fsum(1 / (low + k) for k in range(1, n + 1))
+    cases = [(0, 1), (0, 40), (5, 10), (31, 1), (31, 2), (32, 100_000), (10**9, 3), (10**6, 10**5), (0, 0), (7, 500)]
+    df = spark.createDataFrame(cases, "low long, n long")
+    for r in df.withColumn("h", metrics.harmonic_between(F.col("low"), F.col("n"))).collect():
+        assert r.h == pytest.approx(exact(r.low, r.n), rel=1e-12, abs=1e-15)
+    big = spark.createDataFrame([(0, 10**12)], "low long, n long").select(metrics.harmonic_between(F.col("low"), F.col("n"))).first()[0]
+    assert big == pytest.approx(math.log(10**12) + 0.5772156649015329, rel=1e-12)
+
+
 def test_folds_partition_and_balance(spark):
     df = spark.createDataFrame([(f"s{i}", int(i % 4 == 0)) for i in range(83)], "sample_id string, true_label int")
     f = folds.repeated_stratified(df, 5, 3, 7)
@@ -260,6 +301,7 @@ def test_bootstrap_draws_and_calibration(spark):
     own = {d: np.array(v) for d, v in own.items() if len({y for y, _ in v}) == 2}
     got = {r.draw: (r.calibration_slope, r.calibration_intercept) for r in resample.calibration_lines(drawn).collect()}
     assert set(got) == set(own) and len(own) > 20
+    assert {len(v) for v in own.values()} == {12}
     for d, v in own.items():
         y, q = v[:, 0], np.clip(v[:, 1], 1e-6, 1 - 1e-6)
         x = np.log(q / (1 - q))
@@ -270,6 +312,23 @@ def test_bootstrap_draws_and_calibration(spark):
         assert ends[m] == pytest.approx(np.percentile([v[k] for v in got.values()], [50, 2.5, 97.5]))
 
 
+def test_selections_are_drawn_by_themselves(spark):
+    from fenmark.operators import resample
+
+    rng = np.random.default_rng(8)
+    rows = [(t, f"s{i:02d}", 0, int(rng.random() < 0.4), float(rng.random())) for t, n in (("a", 30), ("b", 11)) for i in range(n)]
+    df = spark.createDataFrame(rows, "target string, sample_id string, repeat_index int, y int, p double")
+    drawn = resample.bootstrap(df, 200, ["target"])
+    sizes = {(r.target, r["count"]) for r in drawn.groupBy("target", "draw").count().collect()}
+    assert sizes == {("a", 30), ("b", 11)}
+    # Each well is as likely as another: chi-square of 30 counts of 200 each, 29 degrees of freedom.
+    counts = np.array([r["count"] for r in drawn.where("target = 'a'").groupBy("sample_id").count().collect()])
+    assert len(counts) == 30 and ((counts - 200) ** 2 / 200).sum() < 58
+    both = {(r.target, r.metric): (r.median, r.lower_ci, r.upper_ci) for r in resample.intervals(drawn, keys=["target"]).collect()}
+    alone = {r.metric: (r.median, r.lower_ci, r.upper_ci) for r in resample.intervals(resample.bootstrap(df.where("target = 'b'").drop("target"), 200)).collect()}
+    assert len(both) == 10 and {m: both["b", m] for m in alone} == {m: pytest.approx(v) for m, v in alone.items()}
+
+
 def test_one_fit_gives_all_of_a_task(spark):
     from fenmark.operators import models
     from fenmark.plans import bindings
