@@ -41,6 +41,8 @@ TOKENIZERS = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Partial counts that a partition holds before it lets them go; pieces, and bytes of them, that a worker remembers.
 HELD, PIECES, PIECE_BYTES = 1 << 22, 1 << 19, 1 << 25
+#: Bytes of the texts that are encoded together; a longer text is by itself.
+TEXT_BYTES = 1 << 22
 # Fixed value: how the byte-level tokenizer cuts a text to pre-tokens.
 PRE_TOKENS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Groups with up to so many links are spelled out pair by pair, larger ones through their distinct ids.
@@ -232,10 +234,13 @@ def encoded(column: pa.Array, pieces: Pieces) -> Iterator[tuple[slice, np.ndarra
     sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
     row = 0
     while row < len(texts):
-        end = max(row + 1, min(len(texts), row + int(np.searchsorted(np.cumsum(sizes[row:]), K.CHUNK_BYTES, "right"))))
-        own = [b" " + t if t else b"" for t in texts[row:end].cast(pa.large_binary()).to_pylist()]
-        data = np.frombuffer(b"".join(own), np.uint8)
-        at = np.append(0, np.cumsum(np.fromiter(map(len, own), np.int64, len(own))))
+        end = max(row + 1, min(len(texts), row + int(np.searchsorted(np.cumsum(sizes[row:]), TEXT_BYTES, "right"))))
+        some = texts.slice(row, end - row)
+        own = pc.if_else(pc.equal(some, ""), some, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), some, pa.scalar(" ", pa.large_string())))
+        at = np.append(0, np.cumsum(sizes[row:end] + (sizes[row:end] > 0)))
+        _, offsets, buffer = own.buffers()
+        low = int(np.frombuffer(offsets, np.int64)[own.offset])
+        data = np.frombuffer(buffer, np.uint8)[low : low + at[-1]] if at[-1] else np.zeros(0, np.uint8)
         marks = piece_starts(data) if pieces.encoders.cuts else np.zeros(len(data), bool)
         marks[at[:-1][at[:-1] < len(data)]] = True
         starts = np.flatnonzero(marks)
