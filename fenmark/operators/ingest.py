@@ -175,13 +175,24 @@ def audit(long: DataFrame, measurements: DataFrame, lat: str = "Dy", lon: str =
     return a.join(v).join(m).withColumn("audit_status", F.when(F.col("n_parse_errors") > max_errors, "WARNING").otherwise("OK"))
 
 
+def described(names: DataFrame) -> DataFrame:
+    """The column dictionary of names (column_name): role, unit and flags."""
+    name = F.col("column_name")
+    roles = {"identifier": C.IDENTIFIERS, "coordinate": C.COORDINATES, "field_parameter": C.FIELD_VARIABLES, "target_contaminant": C.TARGETS}
+    role = F
+    for r, own in roles.items():
+        role = role.when(name.isin(*own), F.lit(r))
+    role = role.otherwise(F.lit("laboratory_chemical"))
+    units = {**{c: "text" for c in C.IDENTIFIERS}, **{c: C.dictionary_unit(c) for c in C.SPECIAL_UNITS}}
+    unit = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in units.items() for x in pair)), name), F.lit(C.dictionary_unit("")))
+    flags = {"is_coordinate": "coordinate", "is_target_candidate": "target_contaminant", "is_field_variable": "field_parameter", "is_lab_variable": "laboratory_chemical"}
+    out = names.select(name, F.lit("numeric").alias("inferred_type"), role.alias("scientific_role"), unit.alias("unit"))
+    return out.select("*", *((F.col("scientific_role") == r).cast("int").alias(c) for c, r in flags.items()), F.lit(0).alias("is_derived_variable"))
+
+
 def column_dictionary(spark: SparkSession, columns: Sequence[str]) -> DataFrame:
-    rows = []
-    for c in columns:
-        role = "identifier" if c in C.IDENTIFIERS else "coordinate" if c in C.COORDINATES else "field_parameter" if c in C.FIELD_VARIABLES else "target_contaminant" if c in C.TARGETS else "laboratory_chemical"
-        flags = [int(role == r) for r in ("coordinate", "target_contaminant", "field_parameter", "laboratory_chemical")]
-        rows.append((c, "numeric", role, C.dictionary_unit(c), *flags, 0))
-    return spark.createDataFrame(rows, "column_name string, inferred_type string, scientific_role string, unit string, is_coordinate int, is_target_candidate int, is_field_variable int, is_lab_variable int, is_derived_variable int")
+    """The dictionary of a file's columns."""
+    return described(spark.createDataFrame([(c,) for c in columns], "column_name string"))
 
 
 def validation(rows: DataFrame, required: Sequence[str]) -> DataFrame:

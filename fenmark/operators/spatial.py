@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,8 +86,85 @@ def choose_k(points: DataFrame, max_k: int = 8, max_iter: int = 100) -> int:
     return next((k for k in range(2, max_k) if (inertia[k] - inertia[k + 1]) / span < 0.1), max_k)
 
 
-def diameters(assigned: DataFrame, cells: int = 24) -> DataFrame:
-    """(spatial_cluster_id, max_km): exact greatest distance between two points of a cluster.
+#: Least cosine to the middle: no two points of a cluster are then a quarter of a great circle apart.
+NARROW = 0.75
+#: Points that a piece of a cluster holds before its hull is taken, and pieces whose hulls become one.
+PIECE, TOGETHER = 4096, 16
+
+
+def _ring(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Which points can be an end of the farthest pair of a narrow cluster: the corners of their hull on the sphere.
+
+    Seen from the sphere's middle great circles are straight lines, so the hull is that of a plane (central projection).  Along a great circle whose
+    points are all within a quarter of it from some point, the distance from that point is greatest at an end; so of a hull's points a corner is farthest.
+    """
+    a, o = np.radians(lat), np.radians(lon)
+    v = np.column_stack([np.cos(a) * np.cos(o), np.cos(a) * np.sin(o), np.sin(a)])
+    middle = v.mean(0)
+    size = np.linalg.norm(middle)
+    if len(v) < 4 or size < NARROW:
+        return np.arange(len(v))
+    middle = middle / size
+    east = np.cross(middle, [0.0, 0.0, 1.0] if abs(middle[2]) < 0.9 else [1.0, 0.0, 0.0])
+    east /= np.linalg.norm(east)
+    flat = np.column_stack([v @ east, v @ np.cross(middle, east)]) / (v @ middle)[:, None]
+    order = np.lexsort((flat[:, 1], flat[:, 0]))
+
+    def half(rows: np.ndarray) -> list[int]:
+        out: list[int] = []
+        for i in rows.tolist():
+            # Keep what turns left, and, as rounding may hide a corner, what is nearly straight.
+            while len(out) > 1 and (flat[out[-1], 0] - flat[out[-2], 0]) * (flat[i, 1] - flat[out[-2], 1]) - (flat[out[-1], 1] - flat[out[-2], 1]) * (flat[i, 0] - flat[out[-2], 0]) < -1e-15:
+                out.pop()
+            out.append(i)
+        return out
+
+    return np.unique(half(order) + half(order[::-1]))
+
+
+def hulls(points: DataFrame, pieces: int) -> DataFrame:
+    """(spatial_cluster_id, lat, lon): of narrow clusters the points that can be an end of the farthest pair.
+
+    Clusters are cut to so many pieces by a hash; each piece leaves the corners of its hull, and corners of ``TOGETHER`` pieces meet
+    in the next round, until a cluster is one piece.  So no task holds a cluster, and a round's rows are its hulls' corners.
+    """
+    now = points.select("spatial_cluster_id", "lat", "lon").distinct()
+    kind = now.schema["spatial_cluster_id"].dataType.simpleString()
+
+    def corners(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.iloc[_ring(rows["lat"].to_numpy(), rows["lon"].to_numpy())][["spatial_cluster_id", "lat", "lon"]]
+
+    while True:
+        dealt = now.withColumn("_piece", F.pmod(F.xxhash64("lat", "lon"), F.lit(pieces)))
+        now = dealt.groupBy("spatial_cluster_id", "_piece").applyInPandas(corners, f"spatial_cluster_id {kind}, lat double, lon double")
+        if pieces == 1:
+            return now
+        pieces = -(-pieces // TOGETHER)
+
+
+def diameters(assigned: DataFrame) -> DataFrame:
+    """(spatial_cluster_id, max_km): exact greatest distance between two points of a cluster, 0 of a single one.
+
+    Of clusters within 41 degrees of their middle, pairs of hull corners alone are compared; wider ones are cut to cells (``_by_cells``).
+    """
+    a, o = F.radians("lat"), F.radians("lon")
+    axes = {"x": F.cos(a) * F.cos(o), "y": F.cos(a) * F.sin(o), "z": F.sin(a)}
+    middle = assigned.groupBy("spatial_cluster_id").agg(*(F.avg(e).alias(f"_{n}") for n, e in axes.items()))
+    length = F.sqrt(sum((F.col(f"_{n}") * F.col(f"_{n}") for n in axes), F.lit(0.0)))
+    dot = sum((e * F.col(f"_{n}") for n, e in axes.items()), F.lit(0.0)) / length
+    placed = assigned.join(middle, "spatial_cluster_id")
+    narrow = placed.groupBy("spatial_cluster_id").agg(F.coalesce(F.min(F.when(length > 0, dot)) > NARROW, F.lit(False)).alias("narrow"), F.countDistinct("lat", "lon").alias("n"))
+    told = {r.spatial_cluster_id: (r.narrow, r.n) for r in narrow.collect()}  # a row a cluster
+    own = F.col("spatial_cluster_id").isin(*(c for c, (is_narrow, _) in told.items() if is_narrow))
+    rim = hulls(assigned.where(own), -(-max([1, *(n for is_narrow, n in told.values() if is_narrow)]) // PIECE))
+    far = rim.select("spatial_cluster_id", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    found = rim.join(far, "spatial_cluster_id").groupBy("spatial_cluster_id").agg(F.max(haversine_km(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b"))).alias("max_km"))
+    found = found.withColumn("max_km", F.coalesce("max_km", F.lit(0.0)))
+    return found if all(is_narrow for is_narrow, _ in told.values()) else found.unionByName(_by_cells(assigned.where(~own)))
+
+
+def _by_cells(assigned: DataFrame, cells: int = 24) -> DataFrame:
+    """(spatial_cluster_id, max_km) of clusters of any width.
 
     A cluster's box is cut to cells; the distance of two cells' points is at most that of their
     middles plus both radii.  Only pairs of cells that could beat the best distance between two cells' sampled

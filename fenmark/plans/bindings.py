@@ -163,3 +163,20 @@ def tasks(spark: SparkSession, sf_dir: str, *algorithms: str) -> DataFrame:
     rows = e.select(F.col("vec_id").cast("string").alias("sample_id"), (F.col("label") == 0).cast("int").alias("true_label"), (F.col("vec_id") % 3).cast("int").alias("own"), F.slice("embedding", 1, FEATURES).cast("array<double>").alias("features"), names.alias("feature_names"), F.lit(0).alias("repeat_index"))
     each = rows.withColumn("fold_index", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("is_train", (F.col("own") != F.col("fold_index")).cast("int")).drop("own")
     return each.withColumn("algorithm", F.explode(F.array(*map(F.lit, algorithms))))
+
+
+# Candidate features: the study's own names, whole or inside longer ones, for each kind of part; half of the parts spell them in capitals.
+STUDY_FEATURES = ("pH", "EC", "Na", "Cl", "Na_Cl_ratio", "SAR", "NO3", "HCO3", "F_label", "TDS", "Mg_Ca_ratio", "exceedance")
+FEATURE_TIERS = ("Tier1_Field", "Tier2_Reduced", "Tier3_Full")
+CANDIDATES_SQL = f"""cand AS (SELECT DISTINCT {list(FEATURE_TIERS)}[CAST(p_size % 3 AS INTEGER) + 1] AS tier_name,
+    CASE p_partkey % 4 WHEN 0 THEN n WHEN 1 THEN n || '_' || replace(p_name, ' ', '_') WHEN 2 THEN lower(p_type) || '_' || n ELSE upper(p_type || '_' || n) END AS feature_name
+    FROM (SELECT *, {list(STUDY_FEATURES)}[CAST(p_partkey // 4 % {len(STUDY_FEATURES)} AS INTEGER) + 1] AS n FROM part))"""
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tier_name, feature_name) of candidate features made of parts."""
+    part = table(spark, sf_dir, "part")
+    at = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    n, kind = at(STUDY_FEATURES, F.floor(F.col("p_partkey") / 4)), F.col("p_partkey") % 4
+    name = F.when(kind == 0, n).when(kind == 1, F.concat_ws("_", n, F.replace("p_name", F.lit(" "), F.lit("_")))).when(kind == 2, F.concat_ws("_", F.lower("p_type"), n)).otherwise(F.upper(F.concat_ws("_", "p_type", n)))
+    return part.select(at(FEATURE_TIERS, F.col("p_size")).alias("tier_name"), name.alias("feature_name")).distinct()

@@ -185,9 +185,16 @@ _COLUMNS = ("SampleID", "Location", "Dx", "EC", "Na", "TDS", "SO4", "pH")
 _DICTIONARY = "dictionary AS (SELECT * FROM (VALUES ('SampleID', 'identifier', 'text'), ('Location', 'identifier', 'text'), ('Dx', 'coordinate', 'decimal_degrees_lon'), ('EC', 'field_parameter', 'µS/cm'), ('Na', 'target_contaminant', 'mg/L'), ('TDS', 'target_contaminant', 'mg/L'), ('SO4', 'laboratory_chemical', 'mg/L'), ('pH', 'field_parameter', 'dimensionless')) AS v(column_name, scientific_role, unit))"
 
 
-@query(f"WITH {_DICTIONARY} SELECT column_name, 'numeric' AS inferred_type, scientific_role, unit, CAST(scientific_role = 'coordinate' AS INTEGER) AS is_coordinate, CAST(scientific_role = 'target_contaminant' AS INTEGER) AS is_target_candidate, CAST(scientific_role = 'field_parameter' AS INTEGER) AS is_field_variable, CAST(scientific_role = 'laboratory_chemical' AS INTEGER) AS is_lab_variable, 0 AS is_derived_variable FROM dictionary")
+_ROLE = "CASE WHEN column_name IN ('SampleID', 'Location') THEN 'identifier' WHEN column_name IN ('Dx', 'Dy') THEN 'coordinate' WHEN column_name IN ('pH', 'Temp.', 'EC') THEN 'field_parameter' WHEN column_name IN ('Na', 'Cl', 'TDS', 'B', 'F', 'NO3') THEN 'target_contaminant' ELSE 'laboratory_chemical' END"
+_UNIT = "CASE column_name WHEN 'SampleID' THEN 'text' WHEN 'Location' THEN 'text' WHEN 'pH' THEN 'dimensionless' WHEN 'EC' THEN 'µS/cm' ELSE 'mg/L' END"
+
+
+@query(f"""WITH {B.CANDIDATES_SQL}, named AS (SELECT DISTINCT feature_name AS column_name FROM cand UNION SELECT 'SampleID' UNION SELECT 'Location')
+    SELECT column_name, 'numeric' AS inferred_type, {_ROLE} AS scientific_role, {_UNIT} AS unit, CAST({_ROLE} = 'coordinate' AS INTEGER) AS is_coordinate, CAST({_ROLE} = 'target_contaminant' AS INTEGER) AS is_target_candidate,
+      CAST({_ROLE} = 'field_parameter' AS INTEGER) AS is_field_variable, CAST({_ROLE} = 'laboratory_chemical' AS INTEGER) AS is_lab_variable, 0 AS is_derived_variable FROM named""")
 def column_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.column_dictionary(spark, _COLUMNS)
+    names = B.candidates(spark, sf_dir).select(F.col("feature_name").alias("column_name")).unionByName(spark.createDataFrame([("SampleID",), ("Location",)], "column_name string")).distinct()
+    return ingest.described(names)
 
 
 @query(f"""WITH {_ANALYTES}, {_DICTIONARY}, u AS (SELECT sample_id, variable_name, v FROM cells UNPIVOT (v FOR variable_name IN ("Na", "Cl", "Mg", "Ca", "HCO3")))
@@ -277,8 +284,8 @@ def title_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Leakage
 
 
-def _audited(spark: SparkSession) -> DataFrame:
-    return leakage.audit(leakage.candidates(spark), leakage.rules_frame(spark, C.STUDY_RULES))
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.audit(B.candidates(spark, sf_dir), leakage.rules_frame(spark, C.STUDY_RULES))
 
 
 def _leakage_sql() -> str:
@@ -288,8 +295,7 @@ def _leakage_sql() -> str:
     for name, r in C.STUDY_RULES.targets.items():
         for variant, (_, exact) in [(None, ((), ())), *r.variants.items()]:
             rules.append(f"({quote(name)}, {quote(variant)}::VARCHAR, {arr(r.forbidden_exact)}, {arr(r.forbidden_contains)}, {arr(exact)})")
-    features = ", ".join(f"({quote(t)}, {quote(f)})" for t, fs in C.TIERS.items() for f in fs)
-    return f"""rules AS (SELECT * FROM (VALUES {', '.join(rules)}) AS v(target_contaminant, variant, ex, inside, vex)), cand AS (SELECT * FROM (VALUES {features}) AS v(tier_name, feature_name)),
+    return f"""rules AS (SELECT * FROM (VALUES {', '.join(rules)}) AS v(target_contaminant, variant, ex, inside, vex)), {B.CANDIDATES_SQL},
     audited AS (SELECT target_contaminant, variant, tier_name, feature_name,
       CASE WHEN list_bool_or([contains(lower(feature_name), lower(p)) FOR p IN {arr(C.STUDY_RULES.global_forbidden_patterns)}]) THEN 'global_pattern' WHEN list_contains(ex, feature_name) THEN 'exact_name'
            WHEN list_bool_or([contains(lower(feature_name), lower(p)) FOR p IN inside]) THEN 'name_pattern' WHEN list_contains(vex, feature_name) THEN 'variant_exclusion' END AS reason FROM rules CROSS JOIN cand)"""
@@ -297,17 +303,17 @@ def _leakage_sql() -> str:
 
 @query(f"WITH {_leakage_sql()} SELECT target_contaminant, variant, tier_name, feature_name, CASE WHEN reason IS NULL THEN 'included' ELSE 'excluded' END AS action, reason FROM audited")
 def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audited(spark)
+    return _audited(spark, sf_dir)
 
 
 @query(f"WITH {_leakage_sql()} SELECT target_contaminant, variant, tier_name, count(DISTINCT feature_name) AS n_features FROM audited WHERE reason IS NULL GROUP BY ALL")
 def leakage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.counts(_audited(spark))
+    return leakage.counts(_audited(spark, sf_dir))
 
 
 @query(f"WITH {_leakage_sql()} SELECT target_contaminant, tier_name, count(DISTINCT CASE WHEN reason IS NULL THEN feature_name END) AS n_included, count(DISTINCT CASE WHEN reason IS NOT NULL THEN feature_name END) AS n_excluded, string_agg(CASE WHEN reason IS NOT NULL THEN feature_name END, ', ' ORDER BY feature_name) AS excluded FROM audited WHERE variant IS NULL GROUP BY ALL ORDER BY 1, 2")
 def leakage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.leakage_matrix({"leakage_rules_applied": _audited(spark).where("variant is null")})
+    return reports.leakage_matrix({"leakage_rules_applied": _audited(spark, sf_dir).where("variant is null")})
 
 
 # Folds
@@ -706,12 +712,12 @@ def hyperparameters_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_leakage_sql()} SELECT target_contaminant, tier_name || coalesce('_' || variant, '') AS tier_name, feature_name, CASE WHEN reason IS NULL THEN 'included' ELSE 'excluded' END AS action, reason, 'leakage_rules' AS rule_source FROM audited WHERE variant IS NULL OR tier_name = 'Tier2_Reduced'")
 def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.leakage_audit({"leakage_rules_applied": leakage.stored(_audited(spark))})
+    return reports.leakage_audit({"leakage_rules_applied": leakage.stored(_audited(spark, sf_dir))})
 
 
 @query(f"WITH {_leakage_sql()} SELECT DISTINCT target_contaminant, tier_name || coalesce('_' || variant, '') AS tier_name, feature_name FROM audited WHERE reason IS NULL AND (variant IS NULL OR tier_name = 'Tier2_Reduced')")
 def retained_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.retained_features({"leakage_rules_applied": leakage.stored(_audited(spark))})
+    return reports.retained_features({"leakage_rules_applied": leakage.stored(_audited(spark, sf_dir))})
 
 
 _SPEARMAN = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +35,38 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("full_text"))
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, sha256_hash, file_size_bytes) of files, hashed where they are read."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("sha256_hash"), F.col("length").alias("file_size_bytes"))
+#: Bytes that a hash takes in at a time.
+CHUNK = 1 << 22
+
+
+def opened(path: str):
+    """A file by Spark's name of it (file:/.., hdfs://.., s3://..), as a stream that is read a chunk at a time."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+    system, at = fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
+    return system.open_input_stream(at)
+
+
+def file_hashes(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(file_path, sha256_hash, file_size_bytes) of files, such as have names like pattern.
+
+    Spark lists the files and deals them to tasks by size; a task streams its files through the hash, so a file of any size takes a chunk of memory.
+    """
+    reader = spark.read.format("binaryFile")
+    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "length")  # the content isn't read here
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name in batch["path"]:
+                digest = hashlib.sha256()
+                with opened(name) as stream:
+                    while part := stream.read(CHUNK):
+                        digest.update(part)
+                out.append(digest.hexdigest())
+            yield pd.DataFrame({"file_path": batch["path"], "sha256_hash": out, "file_size_bytes": batch["length"]})
+
+    return files.mapInPandas(hashed, "file_path string, sha256_hash string, file_size_bytes long")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fenmark.functions.scalars import fixed
+from fenmark.sources.readers import file_hashes
 
 
 def write_csv(df: DataFrame, path: str, single: bool = True, digits: dict[str, int] | None = None) -> str:
@@ -35,7 +36,7 @@ def export_manifest(spark, files: Sequence[tuple[str, str, int]], created_at: st
     """gis_exports_manifest rows of (folder, type, row count): the hash is that of the folder's part files, in order of their names."""
     rows = []
     for folder, kind, n in files:
-        parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", F.sha2("content", 256).alias("h"))
+        parts = file_hashes(spark, folder, "part-*").select(F.col("file_path").alias("path"), F.col("sha256_hash").alias("h"))
         one = parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda x: x["h"]), ""), 256)).first()[0]
         rows.append((folder, kind, created_at, None, n, one))
     return spark.createDataFrame(rows, "export_file string, export_type string, created_at string, source_query string, row_count long, sha256_hash string")

@@ -196,6 +196,27 @@ def test_preprocessing_uses_training_rows_alone(spark):
     assert scaled["f", "a"] == pytest.approx(-1 / math.sqrt(2)) and scaled["f", "c"] == pytest.approx(998 / math.sqrt(2))
 
 
+@pytest.mark.parametrize("pieces", [4096, 40])
+def test_diameters_equal_all_pairs(spark, monkeypatch, pieces):
+    monkeypatch.setattr(spatial, "PIECE", pieces)  # 40: many pieces, two rounds
+    rng = np.random.default_rng(2)
+    circle = np.linspace(0, 2 * np.pi, 60)
+    groups = [
+        rng.normal([5, -3], [2, 4], (900, 2)), rng.uniform([60, 170], [75, 190], (500, 2)), np.column_stack([10 + 5 * np.cos(circle), 5 * np.sin(circle)]), np.array([[1.0, 2.0]] * 5), np.array([[0.0, 179.9], [0.1, -179.9]]),
+        np.column_stack([np.full(50, 20.0), np.linspace(0, 3, 50)]), rng.uniform([-80, -170], [80, 170], (300, 2)), rng.normal([89, 0], [0.5, 90], (200, 2)).clip(-90, 90), np.repeat(rng.normal([40, 10], 1, (30, 2)), 7, axis=0),
+    ]
+    rows = [(g, float(a), float(o)) for g, x in enumerate(groups) for a, o in x]
+    df = spark.createDataFrame(rows, "spatial_cluster_id int, lat double, lon double").repartition(3)
+    got = {r.spatial_cluster_id: r.max_km for r in spatial.diameters(df).collect()}
+    for g, x in enumerate(groups):
+        a, o = np.radians(x[:, 0]), np.radians(x[:, 1])
+        h = np.sin((a[:, None] - a) / 2) ** 2 + np.cos(a)[:, None] * np.cos(a) * np.sin((o[:, None] - o) / 2) ** 2
+        assert got[g] == pytest.approx(float((S.EARTH_KM * 2 * np.arcsin(np.sqrt(np.clip(h, 0, 1)))).max()), abs=1e-6), g
+    # Corners are far fewer than points, and grow slower: those of a normal cloud with the root of the logarithm.
+    few = spatial.hulls(df.where("spatial_cluster_id = 0"), 1).count()
+    assert 3 <= few <= 40
+
+
 def test_kmeans_and_diameters(spark):
     rng = np.random.default_rng(3)
     pts = [(f"p{i}", float(5 * (i % 3) + rng.normal(0, 0.3)), float(10 * (i % 3) + rng.normal(0, 0.3)), i) for i in range(90)]

@@ -131,6 +131,21 @@ def test_csv_refuses_ragged_rows(spark, tmp_path):
     assert readers.read_csv(spark, str(tmp_path / "y.csv")).first().asDict() == {"a": "1", "b": "2"}
 
 
+def test_files_beyond_a_binary_cell_are_hashed(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a file.txt").write_bytes(b"abc")
+    with open(tmp_path / "big.bin", "wb") as f:
+        f.truncate((1 << 31) + 12_345)
+    want, zeros = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(1 << 11):
+        want.update(zeros)
+    want.update(bytes(12_345))
+    got = {r.file_path.rsplit("/", 1)[1]: (r.sha256_hash, r.file_size_bytes) for r in readers.file_hashes(spark, str(tmp_path)).collect()}
+    assert got["big.bin"] == (want.hexdigest(), (1 << 31) + 12_345) and [v for k, v in got.items() if k != "big.bin"] == [(hashlib.sha256(b"abc").hexdigest(), 3)]
+    assert readers.file_hashes(spark, str(tmp_path), "*.txt").count() == 1
+
+
 def test_rows_without_ids_are_numbered(spark):
     rows = ingest.with_index(spark.createDataFrame([("x",), ("y",)], "Na string").coalesce(1))
     assert sorted(r.SampleID for r in rows.collect()) == ["ROW_0001", "ROW_0002"]
