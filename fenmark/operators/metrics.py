@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fenmark.functions.scalars import clamp, sigmoid
 from fenmark.operators.ranks import running, same
+from fenmark.sources.scratch import written
 
 CUTOFFS = 99
 
@@ -88,10 +89,18 @@ def brier(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.coalesce(F.avg(F.pow(F.col("y") - F.col("p"), F.lit(2.0))), F.lit(1.0)).alias("brier_score"))
 
 
+#: Distinct scores of a key that one row may hold; keys of more are fitted by a job a step, all of them together.
+CELLS = 1 << 14
+
+
 def _descend(df: DataFrame, keys: Sequence[str], x: Column, steps: int, rate: float, start: tuple[float, float]) -> DataFrame:
-    """Gradient descent of mean log loss for sigmoid(slope * x + intercept), over weighted distinct (x, y)."""
-    cells = df.withColumn("_x", x).groupBy(*keys, "_x").agg(F.count("*").cast("double").alias("w"), F.sum("y").cast("double").alias("s"))
-    g = cells.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_x").alias("x"), "w", "s")).alias("cells"), F.sum("w").alias("n"))
+    """(keys.., n, slope, intercept): gradient descent of mean log loss for sigmoid(slope * x + intercept), over weighted distinct x."""
+    keys, small = list(keys), CELLS
+    cells = written(df.withColumn("_x", x).groupBy(*keys, "_x").agg(F.count("*").cast("double").alias("w"), F.sum("y").cast("double").alias("s")), "cells")
+    sizes = cells.groupBy(*keys).agg(F.count("*").alias("_many"), F.sum("w").alias("n"))
+    wide = sizes.where(F.col("_many") > small).select(*keys, "n").collect()  # a row a key with very many scores
+    few = same(cells, sizes, keys).where(F.col("_many") <= small)
+    g = few.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_x").alias("x"), "w", "s")).alias("cells"), F.first("n").alias("n"))
 
     def step(state: Column, _: Column) -> Column:
         zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
@@ -104,7 +113,20 @@ def _descend(df: DataFrame, keys: Sequence[str], x: Column, steps: int, rate: fl
         return F.struct((state["slope"] - rate * d["a"] / F.col("n")).alias("slope"), (state["intercept"] - rate * d["b"] / F.col("n")).alias("intercept"))
 
     first = F.struct(F.lit(start[0]).alias("slope"), F.lit(start[1]).alias("intercept"))
-    return g.withColumn("_fit", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step)).select(*keys, "n", F.col("_fit.slope").alias("slope"), F.col("_fit.intercept").alias("intercept"))
+    found = g.withColumn("_fit", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step)).select(*keys, "n", F.col("_fit.slope").alias("slope"), F.col("_fit.intercept").alias("intercept"))
+    return found.unionByName(_descend_in_steps(cells, keys, wide, found.schema, steps, rate, start)) if wide else found
+
+
+def _descend_in_steps(cells: DataFrame, keys: list[str], wide: list, schema, steps: int, rate: float, start: tuple[float, float]) -> DataFrame:
+    """The lines of the keys of wide: every step is one aggregate over their cells, joined with the few lines so far."""
+    spark = cells.sparkSession
+    lines = [(*(r[k] for k in keys), r.n, *start) for r in wide]
+    for _ in range(steps):
+        now = F.broadcast(spark.createDataFrame(lines, schema))
+        e = F.col("w") * sigmoid(F.col("slope") * F.col("_x") + F.col("intercept")) - F.col("s")
+        sums = same(cells, now, keys).groupBy(*keys, "n", "slope", "intercept").agg(F.sum(e * F.col("_x")).alias("a"), F.sum(e).alias("b")).collect()
+        lines = [(*(r[k] for k in keys), r.n, r.slope - rate * r.a / r.n, r.intercept - rate * r.b / r.n) for r in sums]
+    return spark.createDataFrame(lines, schema)
 
 
 def calibration(df: DataFrame, keys: Sequence[str], steps: int = 1000, rate: float = 0.05) -> DataFrame:

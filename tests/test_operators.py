@@ -144,6 +144,16 @@ def test_large_runs_and_ties_are_many_tasks_work(spark):
     assert len(tasks) == 4 and max(r["count"] for r in tasks) < 200_000
 
 
+def test_lines_of_many_scores_are_fitted_in_steps_alike(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(k, int(rng.random() < p), p) for k, n in (("a", 90), (None, 40), ("b", 3)) for p in rng.random(n).round(3).tolist()]
+    df = spark.createDataFrame(rows, "k string, y int, p double")
+    whole = {r.k: tuple(r)[1:] for r in metrics.calibration(df, ["k"], 25).collect()}
+    monkeypatch.setattr(metrics, "CELLS", 10)
+    cut = {r.k: tuple(r)[1:] for r in metrics.calibration(df, ["k"], 25).collect()}
+    assert set(cut) == {"a", "b", None} and cut == {k: pytest.approx(v, abs=1e-12) for k, v in whole.items()} and whole["b"] == (1.0, 0.0) != whole["a"]
+
+
 def test_harmonic_differences(spark):
     exact = lambda low, n: math.fsum(1 / (low + k) for k in range(1, n + 1))
     cases = [(0, 1), (0, 40), (5, 10), (31, 1), (31, 2), (32, 100_000), (10**9, 3), (10**6, 10**5), (0, 0), (7, 500)]
