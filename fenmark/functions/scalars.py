@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import math
 
 from pyspark.sql import Column
@@ -146,3 +148,14 @@ def title(text: Column) -> Column:
     """The first line after the first that isn't blank, trimmed."""
     lines = F.transform(F.split(text, "\r?\n"), lambda x: trimmed(x))
     return F.get(F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), lambda x: x != ""), F.lit(0))
+
+
+def model_class(algorithm: Column) -> Column:
+    """Baseline for the dummies, else Model."""
+    return F.when(algorithm.rlike("^Dummy"), F.lit("Baseline")).otherwise(F.lit("Model"))
+
+
+def level(value: Column, levels: Sequence[str]) -> Column:
+    """The place of a value among ordered levels, from 1; null for what is none of them."""
+    at = F.array_position(F.array(*map(F.lit, levels)), value)
+    return F.when(at > 0, at.cast("int"))

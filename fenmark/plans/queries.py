@@ -523,6 +523,25 @@ def calibration_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.calibration_inputs(B.store(spark, sf_dir))
 
 
+_LEVEL = lambda c, names: f"nullif(list_position({list(names)}, {c}), 0)::INTEGER"
+
+
+@query(f"WITH {B.PERFORMANCE_SQL} SELECT {_PERF}, CASE WHEN regexp_matches(algorithm, '^Dummy') THEN 'Baseline' ELSE 'Model' END AS model_class, {_LEVEL('target_contaminant', C.TARGETS)} AS target_level, {_LEVEL('predictor_tier', (*C.TIERS, *C.VARIANT_TIERS))} AS tier_level, {_LEVEL('cv_mode', C.CV_MODES)} AS cv_level FROM performance")
+def performance_figure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.performance_figure(B.store(spark, sf_dir)))
+
+
+@query("SELECT l_returnflag, l_linestatus, l_shipdate < TIMESTAMP '1992-01-03' AS early, round(CASE WHEN count(*) < 2 OR abs(regr_sxx(l_extendedprice, l_quantity)) < 1e-10 THEN 1 ELSE regr_slope(l_extendedprice, l_quantity) END, 4) AS slope, round(CASE WHEN count(*) < 2 OR abs(regr_sxx(l_extendedprice, l_quantity)) < 1e-10 THEN 0 ELSE regr_intercept(l_extendedprice, l_quantity) END, 3) AS intercept FROM lineitem GROUP BY ALL")
+def regression_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = B.table(spark, sf_dir, "lineitem").withColumn("early", F.col("l_shipdate") < F.lit("1992-01-03").cast("timestamp"))
+    return reports.regression_lines(li, ["l_returnflag", "l_linestatus", "early"], "l_quantity", "l_extendedprice").withColumns({"slope": F.round("slope", 4), "intercept": F.round("intercept", 3)})
+
+
+@query(f"SELECT doc_id, t AS target_contaminant FROM documents, unnest({list(C.TARGETS)}) AS u(t) WHERE contains(text, t)")
+def outline_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.outline_targets(B.table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query(f"WITH {B.PERFORMANCE_SQL} SELECT {_PERF} FROM best")
 def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.best_run(B.store(spark, sf_dir)))

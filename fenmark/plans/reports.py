@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fenmark import config as C
 from fenmark.functions import scalars as S
 from fenmark.operators import metrics
 from fenmark.operators.ranks import average_ranks, top_k
@@ -259,3 +260,22 @@ R_EXPORTS = {"target_prevalence_summary": prevalence, "leakage_audit_summary": l
 GIS_EXPORTS = {"well_screening_priority_points": priority_points, "target_specific_screening_probabilities": target_probabilities, "spatial_cluster_metadata": cluster_metadata}
 #: Exports that grow with predictions times features; the others are of a few rows a run, and go to one file.
 LARGE_EXPORTS = ("out_of_fold_predictions", "shap_values_long", "calibration_inputs")
+
+
+def performance_figure(t: Tables) -> DataFrame:
+    """The performance summary as figures take it: whether a run is a baseline, and the orders of targets, tiers and modes; sorted by these."""
+    tiers = (*C.TIERS, *C.VARIANT_TIERS)
+    p = performance(t).withColumns({"model_class": S.model_class(F.col("algorithm")), "target_level": S.level(F.col("target_contaminant"), C.TARGETS), "tier_level": S.level(F.col("predictor_tier"), tiers), "cv_level": S.level(F.col("cv_mode"), C.CV_MODES)})
+    return p.orderBy("target_level", "tier_level", "cv_level", "run_id")
+
+
+def regression_lines(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """(keys.., slope, intercept) of least squares; (1, 0) for fewer than two rows and for x that don't differ."""
+    flat = (F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)) < 2) | (F.abs(F.regr_sxx(y, x)) < 1e-10)
+    return df.groupBy(*keys).agg(F.when(flat, F.lit(1.0)).otherwise(F.regr_slope(y, x)).alias("slope"), F.when(flat, F.lit(0.0)).otherwise(F.regr_intercept(y, x)).alias("intercept"))
+
+
+def outline_targets(texts: DataFrame, key: str, text: str, targets: Sequence[str] = C.TARGETS) -> DataFrame:
+    """(key, target_contaminant): the targets whose names a text holds."""
+    held = F.filter(F.array(*map(F.lit, targets)), lambda name: F.contains(F.col(text), name))
+    return texts.select(key, F.explode(held).alias("target_contaminant"))

@@ -169,9 +169,17 @@ def _run_models(store: Store, run: C.RunConfig, targets: Sequence[str], tiers: S
     stored = store.read("threshold_sensitivity").join(own, "run_id", "left_semi")
     chosen = metrics.operational_thresholds(stored, ["run_id", "cv_mode"]).join(stored.select("run_id", "cv_mode", "probability_cutoff", "false_negatives_count", "false_positives_count"), ["run_id", "cv_mode", "probability_cutoff"])
     store.replace("operational_thresholds", chosen.select("run_id", "cv_mode", F.col("threshold_rule").alias("threshold_selection_rule"), F.col("probability_cutoff").alias("optimized_probability_cutoff"), F.col("sensitivity").alias("resulting_sensitivity"), F.col("specificity").alias("resulting_specificity"), "false_negatives_count", "false_positives_count"), ["run_id"])
+    began_attributions = time.time()
     each = fits.where(reports.not_dummy()).withColumn("x", F.explode(F.arrays_zip("feature_names", "feature_values", "attributions")))
     a = each.select(*keys, "sample_id", F.col("x.feature_names").alias("feature_name"), F.col("x.feature_values").alias("feature_value"), F.col("x.attributions").alias("attribution"), "base_value")
     store.replace("shap_values", a.select("run_id", "cv_mode", "repeat_index", "fold_index", "sample_id", "feature_name", F.col("attribution").alias("shap_value"), F.col("feature_value").alias("feature_raw_value"), F.col("feature_value").alias("feature_cleaned_value"), "base_value"), ["run_id"])
+    # Attributions of all folds are one job: each fold is given its even share of the time.
+    spent = 1000 * (time.time() - began_attributions)
+    timed = store.read("fold_metrics").join(own, "run_id", "left_semi")
+    dummy = store.read("model_runs").where(~reports.not_dummy()).select("run_id")
+    share = F.lit(int(spent / max(1, timed.join(dummy, "run_id", "left_anti").count()))).cast("long")
+    timed = timed.join(dummy.withColumn("_none", F.lit(True)), "run_id", "left").withColumn("shap_computation_time_ms", F.when(F.col("_none").isNull(), share)).drop("_none")
+    store.replace("fold_metrics", timed, ["run_id"])
     tracked = store.read("shap_values").join(own, "run_id", "left_semi").groupBy("run_id", "cv_mode", "repeat_index", "fold_index", "feature_name").agg(F.avg(F.abs("shap_value")).alias("mean_absolute_shap")).withColumn("is_selected", F.lit(1))
     store.replace("fold_feature_tracking", tracked, ["run_id"])
     prevalence = tasks.where("is_train = 1").groupBy("run_id", "cv_mode", "repeat_index", "fold_index").agg(F.avg("true_label").alias("train_fold_prevalence"))

@@ -89,6 +89,8 @@ def test_models_and_priority(ran, study):
     per = ran.read("well_predictions").where("cv_mode = 'Stratified_Nested_CV'").groupBy("run_id", "repeat_index").agg(F.count_distinct("sample_id").alias("n"), F.count("*").alias("c")).collect()
     assert per and all(r.n == r.c == 48 for r in per)
     m = ran.read("fold_metrics")
+    timed = m.join(runs.select("run_id", "algorithm"), "run_id").groupBy("algorithm").agg(F.count("shap_computation_time_ms").alias("n"), F.count("*").alias("all")).collect()
+    assert all(r.n == (0 if r.algorithm.startswith("Dummy") else r.all) for r in timed)
     again = reports.run_metrics({"well_predictions": ran.read("well_predictions")})
     assert m.count() == again.count() and m.agg(F.sum("roc_auc")).first()[0] == pytest.approx(again.agg(F.sum("roc_auc")).first()[0])
     tuned = {(r.algorithm, r.hyperparameter_name) for r in ran.read("model_hyperparameters").join(runs, "run_id").select("algorithm", "hyperparameter_name").distinct().collect()}
