@@ -40,9 +40,9 @@ from fenmark.llm.runtime import core, shared_dir, written
 TOKENIZERS = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Partial counts that a partition holds before it lets them go; pieces, and bytes of them, that a worker remembers.
-HELD, PIECES, PIECE_BYTES = 1 << 22, 1 << 19, 1 << 25
+HELD, PIECES, PIECE_BYTES = 1 << 22, 1 << 18, 1 << 25
 #: Bytes of the texts that are encoded together; a longer text is by itself.
-TEXT_BYTES = 1 << 22
+TEXT_BYTES = 1 << 21
 # Fixed value: how the byte-level tokenizer cuts a text to pre-tokens.
 PRE_TOKENS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Groups with up to so many links are spelled out pair by pair, larger ones through their distinct ids.
