@@ -8,6 +8,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fenmark.sources.scratch import discard, written
+
 #: Hexadecimal digits of a hash that make a bucket: 4096 buckets a group.
 BUCKET_DIGITS = 3
 #: Ranges that a number's rows are cut to.
@@ -93,6 +95,18 @@ def running(df: DataFrame, keys: Sequence[str], by: str, totals: dict[str, str],
     return out.select(*df.columns, *((F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in totals))
 
 
+def value_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(k, v, rank): the average 1-based rank of each distinct number v of the k-th column, as a double; no column may hold nulls.
+
+    The values of all columns are counted by one aggregate, and summed up by ranges (``running``).
+    """
+    cells = F.array(*(F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns)))
+    counts = written(df.select(F.explode(cells).alias("x")).groupBy("x.k", "x.v").agg(F.count("*").alias("c")), "counts")
+    ranks = written(running(counts, ["k"], "v", {"before": "c"}).select("k", "v", (F.col("before") + (F.col("c") + 1) / 2).alias("rank")), "ranks")
+    discard(counts)
+    return ranks
+
+
 def quantiles(df: DataFrame, groups: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
     """(groups.., names): exact quantiles with linear interpolation, of values that aren't null.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fenmark import config as C
 from fenmark.functions import scalars as S
 from fenmark.operators import metrics
-from fenmark.operators.ranks import average_ranks, top_k
+from fenmark.operators.ranks import top_k, value_ranks
 
 Tables = Mapping[str, DataFrame]
 RUN = ("run_id", "target_contaminant", "predictor_tier", "algorithm", "cv_mode")
@@ -136,17 +136,27 @@ def top_features(values: DataFrame, keys: Sequence[str], k: int = 10, ties: bool
     return top_k(g, keys, [F.desc("mean_abs")] if ties else [F.desc("mean_abs"), F.col("feature_name")], k, ties)
 
 
+#: A column's ranks are broadcast if it has at most this many distinct values (24 bytes each), else joined by value.
+RANKS_BROADCAST = 1 << 18
+
+
 def spearman(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, rho) over rows that have all columns: the correlation of average ranks.
+    """(a, b, rho) over rows that have all columns: the correlation of average ranks, values compared as doubles; null if a or b has one value only, or there are no rows.
 
-    Ranks come from counts of distinct values.
+    A column of few distinct values, whose join would deal its rows to few tasks, has a small table of ranks, which goes to the rows.
+    The rows are shuffled once for each column of many distinct values.
     """
     full = wide.dropna("any", subset=list(columns)).select(*columns)
+    ranks = value_ranks(full, columns)
+    sizes = {r.k: r.n for r in ranks.groupBy("k").agg(F.count("*").alias("n")).collect()}  # a row a column
     ranked = full
-    for c in columns:
-        ranked = ranked.join(average_ranks(full, c, f"_r_{c}"), c)
+    for k, c in enumerate(columns):
+        own = ranks.where(F.col("k") == k).select(F.col("v").alias(f"_v_{c}"), F.col("rank").alias(f"_r_{c}"))
+        own = F.broadcast(own) if sizes.get(k, 0) <= RANKS_BROADCAST else own.hint("merge")
+        ranked = ranked.join(own, F.col(c).cast("double") == F.col(f"_v_{c}"))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one = ranked.agg(*(F.corr(f"_r_{a}", f"_r_{b}").alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
+    rho = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))  # noqa: E731  corr() fails on constant columns
+    one = ranked.agg(*(rho(f"_r_{a}", f"_r_{b}").alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
     rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("rho")) for k, (a, b) in enumerate(pairs)))
     return one.select(F.explode(rows).alias("x")).select("x.*")
 

@@ -3,12 +3,14 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fenmark import config as C
 from fenmark.functions import scalars as S
 from fenmark.operators import folds, ingest, leakage, metrics, models, preprocess, ranks, spatial, upsert
+from fenmark.plans import reports
 
 import plain_models
 
@@ -374,3 +376,18 @@ def test_one_fit_gives_all_of_a_task(spark):
     a = {(r.sample_id, r.feature_name): r.attribution for r in models.attributions(tasks.where("algorithm <> 'DummyMajority'"), keys).collect()}
     each = models.fitted(tasks, keys).where("algorithm <> 'DummyMajority'").collect()
     assert a == {(r.sample_id, n): x for r in each for n, x in zip(r.feature_names, r.attributions, strict=True)}
+
+
+@pytest.mark.parametrize("most", [0, 1 << 18])
+def test_spearman_equals_ranked_correlations(spark, monkeypatch, most):
+    monkeypatch.setattr(reports, "RANKS_BROADCAST", most)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=400)
+    wide = pd.DataFrame({"many": x, "few": np.round(x + rng.normal(size=400)), "same": 3.0, "tied": rng.integers(0, 3, 400).astype(float)})
+    wide.loc[::50, "few"] = None
+    got = {(r.a, r.b): r.rho for r in reports.spearman(spark.createDataFrame(wide).repartition(5), list(wide.columns)).collect()}
+    want = wide.dropna().rank().corr()
+    assert len(got) == 10
+    for (a, b), rho in got.items():
+        assert (rho is None or np.isnan(rho)) if "same" in (a, b) else rho == pytest.approx(want.loc[a, b])
+    assert reports.spearman(spark.createDataFrame(wide).limit(0), ["many", "few"]).count() == 3
