@@ -40,14 +40,14 @@ CHUNK = 1 << 22
 
 
 def opened(path: str):
-    """A file by Spark's name of it (file:/.., hdfs://.., s3://..), as a stream that is read a chunk at a time."""
+    """A file by Spark's name of it (file:/.., hdfs://.., s3://..), as a stream of its bytes as they are (compressed ones too), read a chunk at a time."""
     from pyarrow import fs
 
     scheme, _, rest = path.partition(":")
     if scheme == "file":
-        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"), compression=None)
     system, at = fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
-    return system.open_input_stream(at)
+    return system.open_input_stream(at, compression=None)
 
 
 def file_hashes(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Golden cases and invariants of the relational operators."""
 
+import gzip
+import hashlib
 import math
 
 import numpy as np
@@ -11,6 +13,7 @@ from fenmark import config as C
 from fenmark.functions import scalars as S
 from fenmark.operators import folds, ingest, leakage, metrics, models, preprocess, ranks, spatial, upsert
 from fenmark.plans import reports
+from fenmark.sources import readers
 
 import plain_models
 
@@ -391,3 +394,10 @@ def test_spearman_equals_ranked_correlations(spark, monkeypatch, most):
     for (a, b), rho in got.items():
         assert (rho is None or np.isnan(rho)) if "same" in (a, b) else rho == pytest.approx(want.loc[a, b])
     assert reports.spearman(spark.createDataFrame(wide).limit(0), ["many", "few"]).count() == 3
+
+
+def test_hashes_of_compressed_files_are_those_of_their_bytes(spark, tmp_path):
+    (tmp_path / "a.csv.gz").write_bytes(gzip.compress(b"some,cells\n" * 1000))
+    (tmp_path / "b.gz").write_bytes(b"not compressed, whatever its name says")
+    got = {r.file_path.rsplit("/", 1)[1]: r.sha256_hash for r in readers.file_hashes(spark, f"file://{tmp_path}").collect()}
+    assert got == {f.name: hashlib.sha256(f.read_bytes()).hexdigest() for f in tmp_path.iterdir()}
