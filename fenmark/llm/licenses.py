@@ -14,6 +14,7 @@ the hash of a shingle they share.  So windows that hold none of the shingles at
 collide with no band; only the others get signatures.  Likewise only texts with a word of
 such a shingle are cut to shingles.  Neither loses a collision.
 
+A tag whose id is one word (MIT, ISC) has four words and no shingle: it isn't found, unlike these licenses' notices.
 A null or empty text, or one of fewer than five words, matches nothing; an empty table gives an empty result; texts of any length are scanned
 whole, at a cost that grows with their words and hits; repeated rows match alike;
 rows of one doc_id and different texts are kept apart; a document may match several templates, and
@@ -53,8 +54,32 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "noncommercial", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "noncommercial", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("Unlicense", "public-domain", "This is free and unencumbered software released into the public domain."),
+    ("BSL-1.0", "permissive", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "permissive", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("BSD-2-Clause", "permissive", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "permissive", "Licensed under the BSD 3-Clause License."),
+    ("Zlib", "permissive", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("GPL-2.0-only", "copyleft", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("EPL-2.0", "copyleft", "made available under the terms of the Eclipse Public License 2.0"),
+    ("CC0-1.0", "public-domain", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 
+# SPDX ids of two words or more, by which one-line tags name a license.
+SPDX = (
+    ("permissive", "Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0"),
+    ("copyleft", "AGPL-3.0-only AGPL-3.0-or-later CC-BY-SA-4.0 EPL-2.0 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MPL-2.0"),
+    ("noncommercial", "CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0"),
+    ("public-domain", "CC0-1.0"),
+)
+# The Creative Commons terms and versions that short notices name.
+CREATIVE = (("BY", "permissive"), ("BY-SA", "copyleft"), ("BY-ND", "no-derivatives"), ("BY-NC", "noncommercial"), ("BY-NC-SA", "noncommercial"), ("BY-NC-ND", "noncommercial"))
+CREATIVE_VERSIONS = ("3.0", "4.0")
+
+_TAGS = tuple((i, c, f"SPDX-License-Identifier: {i}") for c, ids in SPDX for i in ids.split())
+_SHORT = tuple((f"CC-{k}-{v}", c, f"Licensed under CC {k} {v}.") for k, c in CREATIVE for v in CREATIVE_VERSIONS)
+#: All that is sought: notices, and tags and short forms made of the ids above.
+KNOWN = TEMPLATES + _TAGS + tuple(t for t in _SHORT if t not in TEMPLATES)
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
@@ -89,7 +114,7 @@ def bands(hashes: str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(*(least(b * ROWS + k) for k in range(ROWS))).alias("key")))
 
 
-def templates(spark: SparkSession, known: tuple = TEMPLATES) -> DataFrame:
+def templates(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
     """(template, license, category, own, hashes, n, stride); known is a fixed list in the code, so its size is bounded."""
     rows = F.array(*(F.struct(F.lit(k).alias("template"), F.lit(i).alias("license"), F.lit(c).alias("category"), F.lit(t).alias("text")) for k, (i, c, t) in enumerate(known)))
     t = spark.range(1).select(F.explode(rows).alias("t")).select("t.*").withColumn("own", words(F.col("text")))
@@ -109,7 +134,7 @@ def attained(t: DataFrame) -> DataFrame:
     return each.select("template", "n", "stride", "hash", longest.alias("gate"))
 
 
-def matches(keyed: DataFrame, known: tuple = TEMPLATES) -> DataFrame:
+def matches(keyed: DataFrame, known: tuple = KNOWN) -> DataFrame:
     """(doc_id, uid, template, license, category, start, containment) of keyed (doc_id, uid, text)."""
     spark = keyed.sparkSession
     t = templates(spark, known)
@@ -148,7 +173,7 @@ def matches(keyed: DataFrame, known: tuple = TEMPLATES) -> DataFrame:
     return best.select("doc_id", "uid", "template", "license", "category", (-F.col("best.before")).alias("start"), F.col("best.containment").alias("containment"))
 
 
-def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", known: tuple = TEMPLATES) -> DataFrame:
+def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", known: tuple = KNOWN) -> DataFrame:
     """Per row: doc_id, n_templates, licenses and categories (sorted, comma-joined), best_containment (0 if none), found (template, license, start, containment)."""
     keyed, uid = identity(core(docs, key, text), "doc_id", "text")
     keyed = keyed.select("doc_id", F.col(uid).alias("uid"), "text")

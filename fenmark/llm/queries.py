@@ -90,7 +90,7 @@ def _quoted(value: str) -> str:
 
 
 #: Licenses by brute force: each template's shingles in every window that starts at a stride.
-_TEMPLATES = ", ".join(f"({k}, {_quoted(i)}, {_quoted(c)}, {_quoted(t)})" for k, (i, c, t) in enumerate(licenses.TEMPLATES))
+_TEMPLATES = ", ".join(f"({k}, {_quoted(i)}, {_quoted(c)}, {_quoted(t)})" for k, (i, c, t) in enumerate(licenses.KNOWN))
 _WORDS = "[x FOR x IN string_split_regex(lower(text), '[^a-z0-9]+') IF x <> '']"
 
 #: The 160 bits of a SHA-1 in 32 groups of five, as base 32.

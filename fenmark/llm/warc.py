@@ -5,7 +5,7 @@ equal payloads (SHA-1) the one with the largest id is a ``response``; the others
 ``revisit`` records, which name it and hold no payload.  Members are appended to archives of about
 ``ARCHIVE_BYTES``; archives are rows (archive, content) of a table, so a retried
 or speculative task can't leave half an archive behind, and any store that Spark writes to will
-do.  ``export`` writes them out as .warc.gz files.
+do.  ``export`` writes them out as .warc.gz files, which ``read_files`` streams back.
 
 *Reading.*  The archive is read member after member through an incremental
 decompressor; the header block ends at the first empty line; Content-Length frames the
@@ -22,17 +22,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fenmark.llm.runtime import core, written
+from fenmark.sources.readers import opened
 
 ARCHIVE_BYTES, READ_BYTES = 8 << 20, 64 << 10
 VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -76,20 +79,19 @@ def member(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return zip_.compress(text.encode() + block + b"\r\n\r\n") + zip_.flush()
 
 
-def members(content: bytes, step: int = READ_BYTES) -> Iterator[bytes]:
-    """The gzip members of an archive, decompressed a step at a time."""
-    at, view = 0, memoryview(content)
-    while at < len(content):
+def members(archive: bytes | BinaryIO, step: int = READ_BYTES) -> Iterator[bytes]:
+    """The gzip members of an archive (its bytes, or a stream), read and decompressed a step at a time."""
+    stream, held = io.BytesIO(archive) if isinstance(archive, bytes) else archive, b""
+    while held or (held := stream.read(step)):
         unzip, parts = zlib.decompressobj(31), []
         while not unzip.eof:
-            if at >= len(content):
+            if not held and not (held := stream.read(step)):
                 raise WarcError("the archive ends within a member")
-            piece = view[at : at + step]
             try:
-                parts.append(unzip.decompress(piece))
+                parts.append(unzip.decompress(held))
             except zlib.error as e:
                 raise WarcError(f"not a gzip member: {e}") from e
-            at += len(piece) - len(unzip.unused_data)
+            held = unzip.unused_data
         yield b"".join(parts)
 
 
@@ -170,26 +172,52 @@ def archives(pages: DataFrame, key: str = "page_id", url: str = "url", payload:
 _RECORDS = pa.schema([("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64())])
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content in batch.column("content"):
+def _record_batches(archive: bytes | BinaryIO) -> Iterator[pa.RecordBatch]:
+    """The verified records of an archive, about ARCHIVE_BYTES of them at a time."""
+    out, size = [], 0
+    for data in members(archive):
+        head, block = record(data)
+        body = verified(head, block)
+        number = lambda name, h=head: int(h[name]) if h.get(name) else None
+        out.append({"record_type": head.get("warc-type"), "page_id": number("x-page-id"), "url": head.get("warc-target-uri"), "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or sha1(body or b""), "refers_to": number("x-refers-to-page"), "payload": body, "payload_bytes": None if body is None else len(body)})
+        size += len(data)
+        if size > ARCHIVE_BYTES:
+            yield pa.RecordBatch.from_pylist(out, _RECORDS)
             out, size = [], 0
-            for data in members(content.as_buffer().to_pybytes() if content.is_valid else b""):
-                head, block = record(data)
-                body = verified(head, block)
-                number = lambda name, h=head: int(h[name]) if h.get(name) else None
-                out.append({"record_type": head.get("warc-type"), "page_id": number("x-page-id"), "url": head.get("warc-target-uri"), "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or sha1(body or b""), "refers_to": number("x-refers-to-page"), "payload": body, "payload_bytes": None if body is None else len(body)})
-                size += len(data)
-                if size > ARCHIVE_BYTES:
-                    yield pa.RecordBatch.from_pylist(out, _RECORDS)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_pylist(out, _RECORDS)
+    if out:
+        yield pa.RecordBatch.from_pylist(out, _RECORDS)
+
+
+_READ = "record_type string, page_id long, url string, payload_digest string, refers_to long, payload binary, payload_bytes long"
 
 
 def read(archives: DataFrame) -> DataFrame:
     """The records of archives (content): record_type, page_id, url, payload_digest, refers_to, payload, payload_bytes (both null for a revisit)."""
-    return archives.select("content").mapInArrow(_records, "record_type string, page_id long, url string, payload_digest string, refers_to long, payload binary, payload_bytes long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                yield from _record_batches(content.as_buffer().to_pybytes() if content.is_valid else b"")
+
+    return archives.select("content").mapInArrow(run, _READ)
+
+
+def read_files(spark: SparkSession, path: str, pattern: str = "*.warc.gz") -> DataFrame:
+    """read() of archive files of any size under a path, with a column ``file``.
+
+    A gzip stream can't be entered in its middle, so a file is one task's work; it is read READ_BYTES at a time, and no more than a batch of its
+    records is in memory.  Spark lists the files and deals them to tasks by their sizes; an empty file has no record.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                with opened(name) as stream:
+                    for found in _record_batches(stream):
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * found.num_rows), *found.columns], ["file", *found.schema.names])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")  # the content isn't read here
+    return files.mapInArrow(run, f"file string, {_READ}")
 
 
 def resolved(records: DataFrame) -> DataFrame:

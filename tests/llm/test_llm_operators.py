@@ -167,6 +167,29 @@ def test_license_matches_equal_brute_force(spark, docs, texts):
         assert (got[i].licenses == "Apache-2.0") == want, i
 
 
+def test_tags_and_short_forms_are_named(spark):
+    boost = next(t for i, _, t in licenses.KNOWN if i == "BSL-1.0" and len(t) > 100)
+    says = {
+        "Licensed under CC BY 4.0.": "CC-BY-4.0", "This work is licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "licensed under cc by-nc-nd 3.0": "CC-BY-NC-ND-3.0", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "# SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0-only", "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later", boost: "BSL-1.0", "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "CC BY 4.0": "", "see the SPDX license identifier": "",
+    }
+    rows = [(i, f"some words before. {t}\nand after", "x", "a", 1) for i, t in enumerate(says)]
+    got = by_id(licenses.scanned(frame(spark, rows)))
+    assert [got[i].licenses for i in range(len(rows))] == list(says.values())
+
+
+def test_license_matches_of_all_templates_equal_containment(spark):
+    """Every template, whole and with a word changed, by plain shingle containment of the whole text (texts hold one notice, so a window's neighbourhood is all of it)."""
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    cut = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    texts = [t for _, _, t in licenses.KNOWN] + [" ".join(["changed", *words(t)[1:]]) for _, _, t in licenses.KNOWN]
+    got = by_id(licenses.scanned(frame(spark, [(i, t, "x", "a", 1) for i, t in enumerate(texts)])))
+    for i, t in enumerate(texts):
+        held = cut(words(t))
+        want = {k for k, (_, _, x) in enumerate(licenses.KNOWN) if len(cut(words(x)) & held) >= 0.8 * len(cut(words(x)))}
+        assert {r.template for r in got[i].found or []} == want, t
+
+
 def test_license_plan_has_no_python(docs):
     plan = licenses.scanned(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -301,6 +324,19 @@ def test_warc_export(spark, tmp_path):
     files = warc.export(warc.archives(df), f"file://{tmp_path}/out").collect()
     again = spark.read.format("binaryFile").load(f"{tmp_path}/out").where("path like '%.warc.gz'")
     assert len(files) == again.count() and warc.read(again).count() == 2
+    # As streams: many members a read, members of many reads, several files, one that is empty, one cut short.
+    random.seed(5)
+    long = spark.createDataFrame([(i, "u", "".join(random.choice("abcdef") for _ in range(400_000 if i == 7 else 9))) for i in range(30)], "page_id long, url string, html string").repartition(3)
+    warc.export(warc.archives(long), f"file://{tmp_path}/out").count()
+    (tmp_path / "out" / "empty.warc.gz").touch()
+    got = warc.read_files(spark, f"file://{tmp_path}/out").where("page_id is not null")
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in got.collect()) == sorted([(r.page_id, r.html) for r in long.collect()] + [(1, "a"), (2, "b")])
+    assert got.select("file").distinct().count() == len(list((tmp_path / "out").glob("*.warc.gz"))) - 1
+    whole = next(f for f in (tmp_path / "out").glob("*.warc.gz") if f.stat().st_size > 100_000)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.warc.gz").write_bytes(whole.read_bytes()[:-9])
+    with pytest.raises(Exception, match="ends within a member"):
+        warc.read_files(spark, f"file://{tmp_path}/bad").collect()
 
 
 # 5 SimHash
@@ -712,6 +748,16 @@ def test_near_dedup_stage_finds_copies_with_changed_words(spark):
     assert sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == ["1", "4", "5", "6", "6", "7", "8", "9", "None"]
 
 
+def test_one_row_of_a_component_stays_where_ids_repeat(spark):
+    from fenmark.llm import neardup
+
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    near = a + " more"
+    rows = [(3, b, "x", "a", 1), (5, a, "x", "a", 1), (5, b, "x", "a", 1), (5, near, "x", "a", 1), (5, a, "y", "a", 2), (None, a, "x", "a", 1), (None, "alone in the world of texts", "x", "a", 1)]
+    got = [(r.doc_id, r.text) for r in neardup.first_of_each(frame(spark, rows)).collect()]
+    assert len(got) == 3 and set(got) > {(3, b), (None, "alone in the world of texts")} and {i for i, t in got if t in (a, near)} == {5}
+
+
 def test_lines_of_texts_that_begin_or_end_with_newlines():
     import pyarrow as pa
 
