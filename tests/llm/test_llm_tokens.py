@@ -232,6 +232,27 @@ def test_held_out_labels_and_other_columns_are_never_learned_from(spark, toxic):
     assert a.scores(column).tolist() == b.scores(column).tolist() and set(a.thresholds) >= {None, "x", "y"}
 
 
+def test_all_labelled_documents_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 2000)
+    rng = np.random.default_rng(4)
+    plain, bad = [f"w{k}" for k in range(300)], [f"{a}{b}{k}" for k, (a, b) in enumerate((a, b) for a in "bcdfghklmn" for b in "aiou")]
+    rows, labels = [], []
+    for i in range(4000):
+        y = i % 4 == 0
+        words = rng.choice(plain, 30).tolist() + [bad[i // 4 % len(bad)]] * y
+        rows.append((i, " ".join(rng.permutation(words).tolist()), "x", "a", 1))
+        labels.append((i, 1, int(y)))
+    docs, told = frame(spark, rows), spark.createDataFrame(labels, LABELS)
+    # Of 40 toxic words a start on 10 documents of each class meets 10 at most.
+    known = toxicity.fit(docs, told, train_docs=10)
+    got = toxicity.scored(docs, classifier=known).where("held_out").collect()
+    caught = [r.predicted for r in got if r.doc_id % 4 == 0]
+    assert sum(caught) >= 0.8 * len(caught) and sum(r.predicted for r in got if r.doc_id % 4) <= 0.05 * len(got)
+    again = toxicity.fit(docs.repartition(7), told.repartition(3), train_docs=10, profiles=known.profiles)
+    column = pa.array([" ".join(plain[k : k + 9]) + " " + bad[k] for k in range(40)])
+    assert again.scores(column).tolist() == known.scores(column).tolist()
+
+
 def test_thresholds_lie_in_the_widest_best_gap():
     raw, y = np.array([5.0, 4.0, 1.0, 0.0, -3.0]), np.array([1, 1, 0, 0, 0])
     assert toxicity.best_threshold(raw, y, np.ones(5)) == 2.5
