@@ -885,12 +885,12 @@ _BOOT = f"""WITH pr AS (SELECT 'quality' AS target, CASE WHEN doc_id % 3 = 0 THE
 @query(f"{_BOOT} " + " UNION ALL ".join(f"SELECT target, tier, algorithm, '{m}' AS metric, round(quantile_cont({m}, 0.5), 6) AS median, round(quantile_cont({m}, 0.025), 6) AS lower_ci, round(quantile_cont({m}, 0.975), 6) AS upper_ci FROM v GROUP BY target, tier, algorithm" for m in ("average_precision", "roc_auc", "recall", "f2_score", "brier_score")))
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All draws of the method, for each selection; the wells are all labelled documents.  The calibration metrics of the same draws are ``bootstrap_calibration``."""
-    return rounded(resample.intervals(resample.bootstrap(_labelled_predictions(spark, sf_dir), DRAWS, SELECTION), keys=SELECTION))
+    return rounded(resample.intervals(resample.draw_counts(_labelled_predictions(spark, sf_dir), DRAWS, SELECTION), keys=SELECTION))
 
 
 @query()
 def bootstrap_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(resample.calibration_intervals(resample.bootstrap(_labelled_predictions(spark, sf_dir), DRAWS, SELECTION), SELECTION))
+    return rounded(resample.calibration_intervals(resample.draw_counts(_labelled_predictions(spark, sf_dir), DRAWS, SELECTION), SELECTION))
 
 
 def _labelled_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -348,6 +348,22 @@ def test_bootstrap_draws_and_calibration(spark):
         assert ends[m] == pytest.approx(np.percentile([v[k] for v in got.values()], [50, 2.5, 97.5]))
 
 
+def test_counts_of_draws_are_those_of_drawn_wells(spark, monkeypatch):
+    from fenmark.operators import resample
+
+    for low, high in ((0, 10), (97, 100), (1234567, 1234600)):
+        want = [int(hashlib.md5(f"well:1999:{k}".encode()).hexdigest()[:8], 16) for k in range(low, high)]
+        assert resample.md5_heads("well:1999:", low, high).tolist() == want
+    rng = np.random.default_rng(3)
+    rows = [(t, i, r, int(i % 3 == 0), float(rng.integers(0, 9) / 8)) for t, n in (("a", 130), ("b", 11), (None, 5)) for i in range(n) for r in range(1 + i % 3)]
+    df = spark.createDataFrame(rows, "target string, sample_id long, repeat_index int, y int, p double")
+    for piece, pieces in ((4096, 1024), (8, 2)):  # one block, and several
+        monkeypatch.setattr(resample, "PIECE", piece)
+        monkeypatch.setattr(resample, "PIECES", pieces)
+        got = {tuple(r) for r in resample.draw_counts(df, 40, ["target"]).collect()}
+        assert got == {tuple(r) for r in resample.metrics._ties(resample.bootstrap(df, 40, ["target"]), ["target", "draw"]).collect()}
+
+
 def test_selections_are_drawn_by_themselves(spark):
     from fenmark.operators import resample
 
