@@ -6,9 +6,12 @@ ranges of probabilities (``ranks.running``), so a run of any number of distinct
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,32 +92,66 @@ def brier(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.coalesce(F.avg(F.pow(F.col("y") - F.col("p"), F.lit(2.0))), F.lit(1.0)).alias("brier_score"))
 
 
-#: Distinct scores of a key that one row may hold; keys of more are fitted by a job a step, all of them together.
+#: Least width of a bin of scores is 1 / BINS; terms of the series in a bin, and how far slope times half a bin may go for its rest to be below rounding.
+BINS, TERMS, FAR = 64, 12, 0.15
+#: Bins that a key may have; keys of more (scores of a very wide range) and lines that get too steep are fitted by a job a step.
 CELLS = 1 << 14
 
 
+def _sigmoid_series() -> np.ndarray:
+    """Row k: coefficients, in powers of s = sigmoid(z), of its k-th derivative over k!."""
+    out, now = np.zeros((TERMS, TERMS + 2)), np.polynomial.Polynomial([0.0, 1.0])
+    for k in range(TERMS):
+        out[k, : len(now.coef)] = now.coef / math.factorial(k)
+        now = now.deriv() * np.polynomial.Polynomial([0.0, 1.0, -1.0])
+    return out
+
+
+_SERIES = _sigmoid_series()
+
+
+def _line(middle: np.ndarray, moments: np.ndarray, s0: float, s1: float, n: float, steps: int, rate: float, start: tuple[float, float]) -> tuple[float, float] | None:
+    """The line after all steps of descent, from moments (bin, power of the distance from the bin's middle) of weights; None if it gets too steep for the series."""
+    slope, intercept = start
+    far = middle[:, None] * moments[:, :-1] + moments[:, 1:]
+    for _ in range(steps):
+        if abs(slope) / (2 * BINS) > FAR:
+            return None
+        s = 1 / (1 + np.exp(-np.clip(slope * middle + intercept, -700, 700)))
+        terms = np.vander(s, TERMS + 2, increasing=True) @ _SERIES.T * slope ** np.arange(TERMS)
+        a, b = (terms * far).sum() - s1, (terms * moments[:, :-1]).sum() - s0
+        slope, intercept = slope - rate * a / n, intercept - rate * b / n
+    return float(slope), float(intercept)
+
+
 def _descend(df: DataFrame, keys: Sequence[str], x: Column, steps: int, rate: float, start: tuple[float, float]) -> DataFrame:
-    """(keys.., n, slope, intercept): gradient descent of mean log loss for sigmoid(slope * x + intercept), over weighted distinct x."""
-    keys, small = list(keys), CELLS
-    cells = written(df.withColumn("_x", x).groupBy(*keys, "_x").agg(F.count("*").cast("double").alias("w"), F.sum("y").cast("double").alias("s")), "cells")
-    sizes = cells.groupBy(*keys).agg(F.count("*").alias("_many"), F.sum("w").alias("n"))
-    wide = sizes.where(F.col("_many") > small).select(*keys, "n").collect()  # a row a key with very many scores
-    few = same(cells, sizes, keys).where(F.col("_many") <= small)
-    g = few.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_x").alias("x"), "w", "s")).alias("cells"), F.first("n").alias("n"))
-
-    def step(state: Column, _: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-
-        def add(total: Column, c: Column) -> Column:
-            e = c["w"] * sigmoid(state["slope"] * c["x"] + state["intercept"]) - c["s"]
-            return F.struct((total["a"] + e * c["x"]).alias("a"), (total["b"] + e).alias("b"))
-
-        d = F.aggregate("cells", zero, add)
-        return F.struct((state["slope"] - rate * d["a"] / F.col("n")).alias("slope"), (state["intercept"] - rate * d["b"] / F.col("n")).alias("intercept"))
-
-    first = F.struct(F.lit(start[0]).alias("slope"), F.lit(start[1]).alias("intercept"))
-    found = g.withColumn("_fit", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step)).select(*keys, "n", F.col("_fit.slope").alias("slope"), F.col("_fit.intercept").alias("intercept"))
-    return found.unionByName(_descend_in_steps(cells, keys, wide, found.schema, steps, rate, start)) if wide else found
+    """(keys.., n, slope, intercept): gradient descent of mean log loss for sigmoid(slope * x + intercept) over all rows.
+
+    Rows are read once: scores are cut to bins of 1 / BINS, and each bin keeps the sums of its scores' distances from its middle to the powers 0 .. TERMS.  Within
+    a bin the sigmoid is its series at the middle, whose rest is below rounding, so a step needs no row.
+    """
+    keys = list(keys)
+    own = df.withColumn("_x", x).withColumn("_y", F.col("y").cast("double")).withColumn("_bin", F.floor(F.col("_x") * BINS)).withColumn("_d", F.col("_x") - (F.col("_bin") + 0.5) / BINS)
+    power = lambda k: F.lit(1.0) if k == 0 else reduce(lambda p, q: p * q, [F.col("_d")] * k)
+    bins = written(own.groupBy(*keys, "_bin").agg(F.array(*(F.sum(power(k)) for k in range(TERMS + 1))).alias("m"), F.sum("_y").alias("s0"), F.sum(F.col("_y") * F.col("_x")).alias("s1")), "bins")
+    kinds = dict(df.dtypes)
+    sizes = bins.groupBy(*keys).agg(F.count("*").alias("_many"), F.sum(F.col("m")[0]).alias("n"))
+    few = same(bins, sizes, keys).where(F.col("_many") <= CELLS)
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_bin")
+        n = float(g["n"].iloc[0])
+        line = _line((g["_bin"].to_numpy(float) + 0.5) / BINS, np.vstack(g["m"].to_numpy()).astype(float), g["s0"].sum(), g["s1"].sum(), n, steps, rate, start)
+        return pd.DataFrame([(*(g[k].iloc[0] for k in keys), n, *(line or (None, None)), line is not None)], columns=[*keys, "n", "slope", "intercept", "done"])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + (", " if keys else "") + "n double, slope double, intercept double, done boolean"
+    lines = written(few.groupBy(*keys).applyInPandas(fit, schema), "lines")
+    found = lines.where("done").drop("done")
+    wide = sizes.where(F.col("_many") > CELLS).select(*keys, "n").unionByName(lines.where("not done").select(*keys, "n")).collect()  # a row a key with a very wide range or a very steep line
+    if not wide:
+        return found
+    cells = written(own.groupBy(*keys, "_x").agg(F.count("*").cast("double").alias("w"), F.sum("_y").alias("s")), "cells")
+    return found.unionByName(_descend_in_steps(cells, keys, wide, found.schema, steps, rate, start))
 
 
 def _descend_in_steps(cells: DataFrame, keys: list[str], wide: list, schema, steps: int, rate: float, start: tuple[float, float]) -> DataFrame:

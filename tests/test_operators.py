@@ -348,6 +348,19 @@ def test_bootstrap_draws_and_calibration(spark):
         assert ends[m] == pytest.approx(np.percentile([v[k] for v in got.values()], [50, 2.5, 97.5]))
 
 
+def test_calibration_reads_many_distinct_scores_once(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "_descend_in_steps", lambda *a: pytest.fail("a job a step"))
+    rng = np.random.default_rng(9)
+    p = rng.random(20_000)
+    y = (rng.random(20_000) < p**2).astype(int)
+    got = metrics.calibration(spark.createDataFrame(pd.DataFrame({"k": "a", "y": y, "p": p})), ["k"], steps=300).first()
+    x, slope, intercept = np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6))), 1.0, 0.0
+    for _ in range(300):
+        e = 1 / (1 + np.exp(-(slope * x + intercept))) - y
+        slope, intercept = slope - 0.05 * (e * x).mean(), intercept - 0.05 * e.mean()
+    assert got.calibration_slope == pytest.approx(slope, abs=1e-11) and got.calibration_intercept == pytest.approx(intercept, abs=1e-11)
+
+
 def test_counts_of_draws_are_those_of_drawn_wells(spark, monkeypatch):
     from fenmark.operators import resample
 
