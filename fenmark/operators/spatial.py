@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ def _kmeans(points: DataFrame, ks: Sequence[int], max_iter: int) -> tuple[dict[i
     """
     own = not points.is_cached
     points = points.cache()
+    held = points.select(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.xxhash64("sample_id").alias("h"))
     try:
         n = points.count()
         if not n:
@@ -49,8 +51,7 @@ def _kmeans(points: DataFrame, ks: Sequence[int], max_iter: int) -> tuple[dict[i
         start = {c: x[2:] for c, x in _members(points.withColumn("c", F.lit(0)), ["c"]).items()}  # all in cluster 0
         members, going = {k: start for k in ks}, list(ks)
         for _ in range(max_iter):
-            placed = points.select("sample_id", "lat", "lon", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _nearest(centroids[k])["cluster"].alias("c")) for k in going))).alias("x")).select("sample_id", "lat", "lon", "x.k", "x.c")
-            found = _members(placed, ["k", "c"])
+            found = _sums(held, {k: centroids[k] for k in going})
             for k in list(going):
                 mine = {c: x for (at, c), x in found.items() if at == k}
                 before, members[k] = members[k], {c: x[2:] for c, x in mine.items()}
@@ -67,6 +68,50 @@ def _kmeans(points: DataFrame, ks: Sequence[int], max_iter: int) -> tuple[dict[i
             points.unpersist()
 
 
+def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Points of the sphere, a column each."""
+    a, o = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(a) * np.cos(o), np.cos(a) * np.sin(o), np.sin(a)])
+
+
+def nearest_of(lat: np.ndarray, lon: np.ndarray, centroids: Centroids) -> np.ndarray:
+    """The number of each point's nearest centroid: that of the least chord; where two are equal but for rounding, that of the least haversine, the lowest of equals."""
+    v, c = _unit(lat, lon), _unit(*np.array(centroids).T)
+    chords = np.stack([((v - c[:, i : i + 1]) ** 2).sum(0) for i in range(c.shape[1])])
+    best = chords.argmin(0)
+    if len(chords) > 1:
+        two = np.partition(chords, 1, axis=0)[:2]
+        close = np.flatnonzero(two[1] - two[0] <= 1e-9 * two[1] + 1e-14)
+        a, o = np.radians(lat[close]), np.radians(lon[close])
+        at = np.radians(np.array(centroids))
+        best[close] = np.stack([np.sin((x - a) / 2) ** 2 + np.cos(a) * np.cos(x) * np.sin((y - o) / 2) ** 2 for x, y in at]).argmin(0)
+    return best
+
+
+def _sums(held: DataFrame, centroids: dict[int, Centroids]) -> dict:
+    """_members() by (k, nearest of k's centroids) of points (lat, lon, h): each task gives a row for each of its clusters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {k: np.zeros((len(x), 5)) for k, x in centroids.items()}
+        hashes = {k: np.zeros(len(x), np.int64) for k, x in centroids.items()}
+        for batch in batches:
+            lat, lon, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lat", "lon", "h"))
+            for k, x in centroids.items():
+                at = nearest_of(lat, lon, x)
+                for j, w in enumerate((np.nan_to_num(lat), np.nan_to_num(lon), ~np.isnan(lat), ~np.isnan(lon), np.ones(len(at)))):
+                    total[k][:, j] += np.bincount(at, w, len(x))
+                for c in range(len(x)):
+                    hashes[k][c] ^= np.bitwise_xor.reduce(h[at == c])
+        rows = [(k, c, *total[k][c].tolist(), int(hashes[k][c])) for k, x in centroids.items() for c in range(len(x)) if total[k][c, 4]]
+        kinds = (pa.int32(), pa.int32(), *[pa.float64()] * 5, pa.int64())
+        names = ["k", "c", "lat", "lon", "n_lat", "n_lon", "n", "h"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
+    parts = held.mapInArrow(run, "k int, c int, lat double, lon double, n_lat double, n_lon double, n double, h long")
+    g = parts.groupBy("k", "c").agg(F.try_divide(F.sum("lat"), F.sum("n_lat")).alias("lat"), F.try_divide(F.sum("lon"), F.sum("n_lon")).alias("lon"), F.sum("n").cast("long").alias("n"), F.bit_xor("h").alias("h")).collect()  # a row a cluster
+    return {(r.k, r.c): (r.lat, r.lon, r.n, r.h) for r in g}
+
+
 def _members(placed: DataFrame, keys: Sequence[str]) -> dict:
     """Per key: mean lat and lon, number of points and exclusive or of their ids' hashes."""
     g = placed.groupBy(*keys).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("sample_id")).alias("h")).collect()

@@ -314,6 +314,15 @@ def test_feature_queries_bind_whole_vectors(spark):
     assert B.long_rows(spark, sf).select("feature").distinct().count() == 64
 
 
+def test_nearest_centroids_are_those_of_the_least_haversine():
+    rng = np.random.default_rng(2)
+    lat, lon = rng.uniform(-80, 80, 3000), rng.uniform(-179, 179, 3000)
+    centroids = [*zip(lat[:6].tolist(), lon[:6].tolist(), strict=True), (float(lat[0]), float(lon[0])), (float(lat[1]) + 1e-9, float(lon[1]))]
+    a, o = np.radians(lat), np.radians(lon)
+    km = np.stack([np.sin((np.radians(x) - a) / 2) ** 2 + np.cos(a) * np.cos(np.radians(x)) * np.sin((np.radians(y) - o) / 2) ** 2 for x, y in centroids])
+    assert (spatial.nearest_of(lat, lon, centroids) == km.argmin(0)).all()
+
+
 def test_choose_k_query_tries_all_clusters_until_they_converge(spark, monkeypatch):
     from fenmark.plans import queries
 
