@@ -5,7 +5,7 @@ together take one job a step: each batch of rows gives its part of the sums, Spa
 of one learner's sums makes its next state, which is as large as a model and not as the data.
 
 *Models are a relation*: a row for each task, setting and held-out inner fold, with its imputation and scaling, its weights or its trees (arrays of nodes, numbered as in
-a heap).  Probabilities, inner scores for tuning, importances and path contributions are DataFrame expressions over rows joined with it.
+a heap).  Rows meet their task's models in chunks, in Arrow tables; probabilities, inner scores for tuning and importances are DataFrame expressions over what comes of it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from fenmark.functions.scalars import clamp, finite, sigmoid
 from fenmark.operators import learn, metrics, preprocess
@@ -28,6 +30,8 @@ SEED_STEP = 31337
 INNER_FOLDS = 3
 #: Numbers of a block: 64 MB of features.
 BLOCK_CELLS = 1 << 23
+#: Numbers of a chunk of rows that is scored at once: 8 MB of features.
+CHUNK_CELLS = 1 << 20
 NODE = "struct<feature:int,threshold:double,value:double,n:double,n_pos:double>"
 MODEL = f"task int, setting int, held int, med array<double>, mean array<double>, sd array<double>, weights array<double>, bias double, base double, rate double, trees array<array<{NODE}>>"
 DUMMIES = ("DummyMajority", "DummyStratified")
@@ -58,7 +62,7 @@ class Tasks:
     def __init__(self, tasks: DataFrame, keys: Sequence[str], seed: int) -> None:
         own, self.keys, self.seed = tasks.where(~F.col("algorithm").isin(*DUMMIES)), list(keys), seed
         train = F.col("is_train") == 1
-        heads = own.groupBy(*keys).agg(F.first("feature_names").alias("names"), F.count_if(train).alias("n"), F.count_if(train & (F.col("true_label") == 1)).alias("n_pos"), F.max(F.size("features")).alias("d"))
+        heads = own.groupBy(*keys).agg(F.first("feature_names").alias("names"), F.count_if(train).alias("n"), F.count_if(train & (F.col("true_label") == 1)).alias("n_pos"), F.max(F.size("features")).alias("d"), F.count("*").alias("rows"))
         self.heads = sorted(heads.collect(), key=lambda r: repr([r[k] for k in keys]))  # a row a task
         spark = tasks.sparkSession
         kinds = dict(tasks.dtypes)
@@ -198,44 +202,93 @@ def _scaled(x: Column, med: Column, mean: Column, sd: Column) -> Column:
     return F.zip_with(F.zip_with(filled, mean, lambda v, m: v - m), sd, lambda v, s: v / s)
 
 
-def _leaf(tree: Column, x: Column) -> Column:
-    """The number of the node that x ends in."""
-    depth = F.ceil(F.log2(F.size(tree) + 1)).cast("int")
-
-    def step(at: Column, _: Column) -> Column:
-        node = F.element_at(tree, at)
-        return F.when(node["feature"] < 0, at).otherwise(2 * at + (F.element_at(x, F.greatest(node["feature"], F.lit(0)) + 1) > node["threshold"]).cast("int"))
-
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(depth, F.lit(2))), F.lit(1), step)
-
-
-def probability(x: str = "x") -> Column:
-    """The probability of scaled features under the model (MODEL's columns) beside them."""
-    line = F.aggregate(F.zip_with(x, "weights", lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v) + F.col("bias")
-    values = F.transform("trees", lambda tree: F.element_at(tree, _leaf(tree, F.col(x)))["value"])
-    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-    forest = clamp(total / F.size("trees"), 1e-10, 1 - 1e-10)
-    boosted = clamp(sigmoid(F.col("base") + F.col("rate") * total), 1e-10, 1 - 1e-10)
-    return F.when(F.col("trees").isNull(), F.when(F.col("weights").isNull(), F.lit(0.5)).otherwise(sigmoid(line))).when(F.col("rate").isNull(), forest).otherwise(boosted)
-
-
-def scored(rows: DataFrame, found: DataFrame, on: Sequence[str] = ("task",)) -> DataFrame:
-    """rows with their models' columns, x scaled and p."""
-    joined = rows.join(found, list(on)).withColumn("x", _scaled(F.col("x"), F.col("med"), F.col("mean"), F.col("sd")))
-    return joined.withColumn("p", probability()).drop("med", "mean", "sd")
+def _by_trees(trees: pa.ListArray, x: np.ndarray, attributed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the trees' values for scaled features, and of what each feature adds on the way: how far a child's value is from the mean of both children by count."""
+    nodes, of_tree = trees.flatten(), trees.offsets.to_numpy()
+    heaps = [nodes.field(c).to_numpy(zero_copy_only=False) for c in ("feature", "threshold", "value", "n")]
+    total, by = np.zeros(len(x)), np.zeros(x.shape if attributed else (0, 0))
+    for a, b in zip(of_tree[:-1] - of_tree[0], of_tree[1:] - of_tree[0], strict=True):
+        feature, threshold, value, n = (h[a:b] for h in heaps)
+        pair = np.arange(1, len(value) - 1, 2)[:, None] + np.arange(2)
+        with np.errstate(all="ignore"):
+            change = np.append(0.0, value[pair] - ((n[pair] * value[pair]).sum(1) / n[pair].sum(1))[:, None])
+        at = np.zeros(len(x), np.int64)
+        while len(own := np.flatnonzero(feature[at] >= 0)):
+            here = at[own]
+            f = feature[here]
+            at[own] = here = 2 * here + 1 + (x[own, f] > threshold[here])
+            if attributed:
+                by[own, f] += change[here]
+        total += value[at]
+    return total, by
+
+
+def _rows_by_models(attributed: bool | None, schema: pa.Schema):
+    """A chunk of a task's rows and the task's models to a row for each pair: their sum s, and (unless attributed is None) scaled features and attributions."""
+
+    def lists(values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        parts, n = [], len(rows)
+        raw = np.array(rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(n, -1) if n else None
+        for i in range(len(found) if n else 0):
+            m = {c: found.column(c)[i] for c in found.column_names}
+            fitted, s, x, by = m["mean"].is_valid, np.zeros(n), None, None
+            if fitted:
+                med, mean, sd = (np.array(m[c].as_py(), float) for c in ("med", "mean", "sd"))
+                x = (np.where(np.isfinite(raw), raw, med) - mean) / sd
+                by = np.zeros(x.shape)
+            if m["trees"].is_valid:
+                s, ways = _by_trees(m["trees"].values, x, bool(attributed))
+                by = ways * (m["rate"].as_py() if m["rate"].is_valid else 1 / len(m["trees"].values)) if attributed else by
+            elif m["weights"].is_valid:
+                w = np.array(m["weights"].as_py(), float)
+                for j in range(len(w)):  # in the features' order, so that a row's sum doesn't hang on the rows beside it
+                    s += x[:, j] * w[j]
+                s += m["bias"].as_py()
+                if attributed:
+                    share = np.abs(w).sum()
+                    by = (np.arange(len(w)) == m["ec"].as_py() if m["ec"].is_valid else np.abs(w) / share if share > 0 else 0 * w) * (x - np.array(m["middle"].as_py()))
+            made = {c: rows.column(c) for c in ("task", "sample_id", "y")}
+            made |= {c: pa.array([m[c].as_py()] * n) for c in ("setting", "held", "base", "rate")}
+            made |= {"weighted": pa.array([m["weights"].is_valid] * n), "size": pa.array([len(m["trees"].values) if m["trees"].is_valid else None] * n), "s": pa.array(s)}
+            if attributed is not None:
+                made |= {"x": lists(x) if fitted else pa.nulls(n, pa.list_(pa.float64())), "attributions": lists(by) if fitted and attributed else pa.nulls(n, pa.list_(pa.float64()))}
+            parts.append(pa.table({f.name: made[f.name].cast(f.type) for f in schema}))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
 
+    return run
 
-def _steps(tree: Column, leaf: Column) -> Column:
-    """(feature, by how much) of each split on the way to a leaf: how far the child's value is from the mean of both children by count."""
 
-    def step(child: Column) -> Column:
-        a, b = F.element_at(tree, child - child % 2), F.element_at(tree, child - child % 2 + 1)
-        mean = (a["n"] * a["value"] + b["n"] * b["value"]) / (a["n"] + b["n"])
-        return F.struct(F.element_at(tree, F.floor(child / 2).cast("int"))["feature"].alias("feature"), (F.element_at(tree, child)["value"] - mean).alias("by"))
+def scored(rows: DataFrame, found: DataFrame, tasks: Tasks, on: Sequence[str] = ("task",), attributed: bool | None = None) -> DataFrame:
+    """Rows (task, sample_id, y, h, x) by the models of the same task (and what else is in on): task, sample_id, y, setting, held, base and p; unless attributed is None, also x scaled and attributions.
 
-    level = F.floor(F.log2(leaf.cast("double") + 0.5)).cast("int")
-    way = F.transform(F.sequence(F.lit(0), level), lambda k: F.floor(leaf / F.pow(F.lit(2.0), k)).cast("int"))  # the leaf, its parent, ... the root
-    return F.transform(F.filter(way, lambda node: node > 1), step)
+    Attributions are path contributions of trees, else importance (or the own column) times the distance from the middle, which found then holds beside the own column (``middle``, ``ec``).
+    A task's rows are dealt to chunks of about ``CHUNK_CELLS`` numbers, and its models go to each of them: neither is repeated for each row.
+    """
+    kinds = dict(rows.dtypes)
+    more = "" if attributed is None else ", x array<double>, attributions array<double>"
+    ddl = f"task int, sample_id {kinds['sample_id']}, y int, setting int, held int, base double, rate double, weighted boolean, size int, s double{more}"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    chunks = F.element_at(F.array(*(F.lit(max(1, -(-h.rows * max(h.d, 1) // CHUNK_CELLS))) for h in tasks.heads)), F.col("task") + 1) if tasks.heads else F.lit(1)
+    dealt = rows.withColumn("chunk", F.pmod("h", chunks).cast("int"))
+    models = found.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    keys = [*on, "chunk"]
+    out = dealt.groupBy(*keys).cogroup(models.groupBy(*keys)).applyInArrow(_rows_by_models(attributed, schema), ddl)
+    forest = clamp(F.col("s") / F.col("size"), 1e-10, 1 - 1e-10)
+    boosted = clamp(sigmoid(F.col("base") + F.col("rate") * F.col("s")), 1e-10, 1 - 1e-10)
+    p = F.when(F.col("size").isNull(), F.when(F.col("weighted"), sigmoid(F.col("s"))).otherwise(F.lit(0.5))).when(F.col("rate").isNull(), forest).otherwise(boosted)
+    return out.withColumn("p", p).drop("s", "size", "rate", "weighted")
+
+
+def _with_middles(found: DataFrame, test: DataFrame, ecs: dict[int, int]) -> DataFrame:
+    """Models with the mean of their task's scaled test rows (linear ones) and the own column of those that have one."""
+    linear = F.broadcast(found.where("weights is not null").select("task", "med", "mean", "sd"))  # a row a task
+    x = test.join(linear, "task").select("task", F.posexplode(_scaled(F.col("x"), F.col("med"), F.col("mean"), F.col("sd"))).alias("k", "v"))
+    middle = x.groupBy("task", "k").agg(F.avg("v").alias("v")).groupBy("task").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("middle"))
+    ec = F.element_at(F.create_map(*(F.lit(v) for pair in ecs.items() for v in pair)), F.col("task")) if ecs else F.lit(None).cast("int")
+    return found.join(F.broadcast(middle), "task", "left").withColumn("ec", ec)
 
 
 def importances(found: DataFrame) -> DataFrame:
@@ -287,7 +340,7 @@ def tuned_settings(train: DataFrame, tasks: Tasks, tunable: Sequence[int], inner
     wanted = {i: learn.Wanted(tasks.heads[i].algorithm, tasks.own_seed(i), learn.GRIDS[tasks.heads[i].algorithm], tuple(range(inner_folds))) for i in tunable}
     found = written(fit(train, tasks, wanted), "inner")
     tests = train.where(F.col("task").isin(*tunable)).withColumnRenamed("inner", "held")
-    areas = metrics.pr_auc(scored(tests, found, ("task", "held")).select("task", "setting", "held", "y", "p"), ["task", "setting", "held"])
+    areas = metrics.pr_auc(scored(tests, found, tasks, ("task", "held")).select("task", "setting", "held", "y", "p"), ["task", "setting", "held"])
     means = areas.groupBy("task", "setting").agg((F.sum("pr_auc") / inner_folds).alias("score"))
     # Equal but for rounding counts as equal, so the first setting is the same whatever the order of sums.
     best = {r.task: r.setting for r in means.groupBy("task").agg(F.max_by("setting", F.struct(F.round("score", 12), -F.col("setting"))).alias("setting")).collect()}  # a row a task
@@ -319,13 +372,12 @@ def fitted(tasks: DataFrame, keys: Sequence[str], seed: int = 20260531, tuned: b
     constant = tasks.where(F.col("algorithm").isin(*DUMMIES) & (F.col("is_train") != 1)).join(dummy, keys).withColumn("p", F.when(F.col("algorithm") == "DummyMajority", F.col("p_majority")).otherwise(F.coalesce("p_stratified", F.lit(0.0))))
     none = F.array().cast("array<double>")
     constant = constant.select(*keys, "sample_id", F.col("true_label").cast("int").alias("true_label"), "p", F.lit("").alias("hyperparameters"), F.lit(False).alias("is_default"), F.lit(None).cast("double").alias("base_value"), F.array().cast("array<string>").alias("feature_names"), none.alias("feature_values"), none.alias("attributions"))
-    test = scored(own.rows.where("is_train <> 1"), found)
-    ecs = [(i, own.column(i)) for i, h in enumerate(own.heads) if h.algorithm == "EcOnlyLogistic" and own.column(i) is not None]
-    ec = F.element_at(F.create_map(*(F.lit(v) for pair in ecs for v in pair)), F.col("task")) if ecs else F.lit(None).cast("int")
-    if attributed:
-        test = _attributed(test, ec)
+    test = own.rows.where("is_train <> 1")
+    ecs = {i: own.column(i) for i, h in enumerate(own.heads) if h.algorithm == "EcOnlyLogistic" and own.column(i) is not None}
+    told = F.broadcast(found.select("task", "hyperparameters", "is_default"))
+    test = scored(test, _with_middles(found, test, ecs) if attributed else found, own, attributed=attributed).join(told, "task")
     names = F.broadcast(own.table)
-    made = test.join(names, "task").select(*keys, "sample_id", F.col("y").alias("true_label"), "p", "hyperparameters", "is_default", F.coalesce("base", F.lit(0.0)).alias("base_value"), F.col("names").alias("feature_names"), F.col("x").alias("feature_values"), *([F.col("attributions")] if attributed else [none.alias("attributions")]))
+    made = test.join(names, "task").select(*keys, "sample_id", F.col("y").alias("true_label"), "p", "hyperparameters", "is_default", F.coalesce("base", F.lit(0.0)).alias("base_value"), F.col("names").alias("feature_names"), F.col("x").alias("feature_values"), F.col("attributions") if attributed else none.alias("attributions"))
     out = made.unionByName(constant).withColumn("predicted_probability", F.col("p")).withColumn("predicted_label", (F.col("p") >= 0.5).cast("int"))
     return out.select(*keys, "sample_id", "true_label", "predicted_probability", "predicted_label", "hyperparameters", "is_default", "base_value", "feature_names", "feature_values", "attributions")
 

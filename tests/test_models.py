@@ -210,3 +210,17 @@ def test_many_distinct_values_are_binned_at_quantiles():
     learn.run(forest, learn.Block(x, y, np.full(400, -1), np.arange(400, dtype=np.uint64)))
     p = np.mean([forest.value[t, forest.places(t, learn.Block(x, y, y, y).bins(forest.cuts))] for t in range(30)], axis=0)
     assert plain.average_area(y, p) > 0.97
+
+
+@pytest.mark.parametrize("name", ["RandomForest", "GradientBoostedTrees", "LogisticRegression"])
+def test_rows_are_scored_in_chunks_and_carry_no_model(spark, monkeypatch, name):
+    x, y = data()
+    for key, small in {"RandomForest": (5, 3), "GradientBoostedTrees": (4, 0.2)}.items():
+        monkeypatch.setitem(learn.DEFAULTS, key, small)
+    tasks = frame(spark, x, y, name, folds=(0,))
+    want = {(r.sample_id, r.feature_name): r.attribution for r in models.attributions(tasks, KEYS).collect()}
+    monkeypatch.setattr(models, "CHUNK_CELLS", 50)  # 90 rows of 5: 9 chunks
+    got = models.attributions(tasks, KEYS)
+    assert {(r.sample_id, r.feature_name): r.attribution for r in got.collect()} == pytest.approx(want, abs=1e-12) and len(want) == 30 * 5
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "transform(trees" not in plan  # trees weren't walked by an expression for each row
