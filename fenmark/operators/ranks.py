@@ -16,6 +16,8 @@ BUCKET_DIGITS = 3
 BUCKETS = 512
 #: Rows of a group that one task may sort; groups of more are cut at quantiles.
 SMALL = 1 << 16
+#: Cuts of a block that is looked through at once.
+STRIDE = 16
 
 
 def hash_position(df: DataFrame, groups: Sequence[str], hash_hex: Column, tie: str, name: str = "position") -> DataFrame:
@@ -67,13 +69,19 @@ def average_ranks(df: DataFrame, column: str, name: str = "rank", buckets: int =
     return counts.withColumn("_inside", inside).join(offsets, "_bucket").select(column, (F.col("_before") + F.col("_inside") + (F.col("_c") + 1) / 2).alias(name))
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """left with the columns of right that aren't keys, joined by keys, null ones too."""
     own = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in right.columns if c not in keys))
     match = F.lit(True)
     for i, k in enumerate(keys):
         match = match & left[k].eqNullSafe(own[f"_k{i}"])
-    return left.join(own, match).drop(*(f"_k{i}" for i in range(len(keys))))
+    return left.join(own, match, how).drop(*(f"_k{i}" for i in range(len(keys))))
+
+
+def _blocks(descending: bool) -> dict[str, Column]:
+    """``_cuts`` in the order of rows, and ``_ends``, each STRIDE-th of them: a row looks at these and at one block, not at all cuts."""
+    ordered = F.reverse("_cuts") if descending else F.col("_cuts")
+    return {"_cuts": ordered, "_ends": F.filter(ordered, lambda c, i: (i + 1) % STRIDE == 0)}
 
 
 def running(df: DataFrame, keys: Sequence[str], by: str, totals: dict[str, str], descending: bool = False, buckets: int = 256) -> DataFrame:
@@ -82,10 +90,13 @@ def running(df: DataFrame, keys: Sequence[str], by: str, totals: dict[str, str],
     by is a number that isn't null, and distinct within keys.  Keys of more than SMALL rows are cut at approximate quantiles of by: rows are summed up
     within a range, and what comes before a range is a running sum over its key's few ranges.  So the rows of a key, however many, are many tasks' work.
     """
-    keys, small, kind = list(keys), SMALL, dict(df.dtypes)[by]
-    cuts = df.groupBy(*keys).agg(F.when(F.count("*") > small, F.percentile_approx(by, F.array(*(F.lit(k / buckets) for k in range(1, buckets))), 10_000)).otherwise(F.array().cast(f"array<{kind}>")).alias("_cuts"))
+    keys, small = list(keys), SMALL
+    # Only keys of more than SMALL rows have cuts: few enough to be broadcast, so that no key's rows are gathered to meet them.
+    cuts = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.when(F.count("*") > small, F.percentile_approx(by, F.array(*(F.lit(k / buckets) for k in range(1, buckets))), 10_000)).alias("_cuts")).where(F.col("_n") > small).drop("_n")
     before = lambda c: c > F.col(by) if descending else c < F.col(by)
-    placed = same(df, cuts, keys).withColumn("_range", F.size(F.filter("_cuts", before))).drop("_cuts")
+    placed = same(df, F.broadcast(cuts.withColumns(_blocks(descending))), keys, "left").withColumn("_full", STRIDE * F.size(F.filter("_ends", before)))
+    inside = F.size(F.filter(F.slice("_cuts", F.col("_full") + 1, F.lit(STRIDE)), before))
+    placed = placed.withColumn("_range", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.col("_full") + inside)).drop("_cuts", "_ends", "_full")
     w = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over a key's few ranges
     sums = placed.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_sum_{n}") for n, c in totals.items()))
     offsets = sums.select(*keys, "_range", *(F.coalesce(F.sum(f"_sum_{n}").over(w), F.lit(0)).alias(f"_off_{n}") for n in totals))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,28 +139,45 @@ def top_features(values: DataFrame, keys: Sequence[str], k: int = 10, ties: bool
 
 
 #: A column's ranks are broadcast if it has at most this many distinct values (24 bytes each), else joined by value.
-RANKS_BROADCAST = 1 << 18
+RANKS_BROADCAST = 1 << 21
 
 
 def spearman(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, rho) over rows that have all columns: the correlation of average ranks, values compared as doubles; null if a or b has one value only, or there are no rows.
 
-    A column of few distinct values, whose join would deal its rows to few tasks, has a small table of ranks, which goes to the rows.
-    The rows are shuffled once for each column of many distinct values.
+    Columns of up to RANKS_BROADCAST distinct values have their ranks looked up in sorted arrays where the rows are, and each task sums up products; no row is shuffled for them.
+    The rows are shuffled once for each column of more distinct values.
     """
-    full = wide.dropna("any", subset=list(columns)).select(*columns)
-    ranks = value_ranks(full, columns)
-    sizes = {r.k: r.n for r in ranks.groupBy("k").agg(F.count("*").alias("n")).collect()}  # a row a column
-    ranked = full
-    for k, c in enumerate(columns):
-        own = ranks.where(F.col("k") == k).select(F.col("v").alias(f"_v_{c}"), F.col("rank").alias(f"_r_{c}"))
-        own = F.broadcast(own) if sizes.get(k, 0) <= RANKS_BROADCAST else own.hint("merge")
-        ranked = ranked.join(own, F.col(c).cast("double") == F.col(f"_v_{c}"))
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    rho = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))  # noqa: E731  corr() fails on constant columns
-    one = ranked.agg(*(rho(f"_r_{a}", f"_r_{b}").alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
-    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("rho")) for k, (a, b) in enumerate(pairs)))
-    return one.select(F.explode(rows).alias("x")).select("x.*")
+    full = wide.dropna("any", subset=list(columns)).select(*(F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)))
+    ranks = value_ranks(full, full.columns)
+    sizes = {r.k: r for r in ranks.groupBy("k").agg(F.count("*").alias("n"), F.max("rank").alias("top")).collect()}  # a row a column
+    ranked, held = full, {}
+    for k, r in sizes.items():
+        own = ranks.where(F.col("k") == k)
+        if r.n <= RANKS_BROADCAST:
+            found = own.select("v", "rank").orderBy("v").toPandas()
+            held[k] = found["v"].to_numpy(), found["rank"].to_numpy()
+        else:
+            own = own.select(F.col("v").alias(f"_v{k}"), F.col("rank").alias(f"_r{k}")).hint("merge")
+            ranked = ranked.join(own, F.col(f"c{k}") == F.col(f"_v{k}")).withColumn(f"c{k}", F.col(f"_r{k}")).select(*full.columns)
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    middle = [sizes[k].top / 2 if k in sizes else 0.0 for k in range(len(columns))]  # near enough to the mean for the sums to keep their digits
+    known = wide.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, products = 0, np.zeros(len(columns)), np.zeros((len(columns), len(columns)))
+        for batch in batches:
+            x = [v.to_numpy(zero_copy_only=False) for v in batch.columns]
+            x = np.column_stack([(known.value[k][1][np.searchsorted(known.value[k][0], v)] if k in known.value else v) - middle[k] for k, v in enumerate(x)])
+            n, sums, products = n + len(x), sums + x.sum(0), products + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tolist()]), pa.array([[products[i, j] for i, j in pairs]])], ["n", "s", "p"])
+
+    total = ranked.mapInArrow(run, "n long, s array<double>, p array<double>")
+    total = total.agg(F.sum("n").alias("n"), *(F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(len(columns))), *(F.sum(F.col("p")[i]).alias(f"p{a}_{b}") for i, (a, b) in enumerate(pairs)))
+    covariance = lambda a, b: F.try_divide(F.col(f"p{a}_{b}"), F.col("n")) - F.try_divide(F.col(f"s{a}"), F.col("n")) * F.try_divide(F.col(f"s{b}"), F.col("n"))
+    rho = lambda a, b: F.try_divide(covariance(a, b), F.sqrt(covariance(a, a)) * F.sqrt(covariance(b, b))) if all(k in sizes and sizes[k].n > 1 for k in (a, b)) else F.lit(None).cast("double")
+    rows = F.array(*(F.struct(F.lit(columns[a]).alias("a"), F.lit(columns[b]).alias("b"), rho(a, b).alias("rho")) for a, b in pairs))
+    return total.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def curves_long(t: Tables) -> DataFrame:

@@ -439,3 +439,19 @@ def test_hashes_of_compressed_files_are_those_of_their_bytes(spark, tmp_path):
     (tmp_path / "b.gz").write_bytes(b"not compressed, whatever its name says")
     got = {r.file_path.rsplit("/", 1)[1]: r.sha256_hash for r in readers.file_hashes(spark, f"file://{tmp_path}").collect()}
     assert got == {f.name: hashlib.sha256(f.read_bytes()).hexdigest() for f in tmp_path.iterdir()}
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums_gather_no_key_to_meet_its_cuts(spark, monkeypatch, descending):
+    monkeypatch.setattr(ranks, "SMALL", 50)
+    monkeypatch.setattr(ranks, "STRIDE", 4)
+    rng = np.random.default_rng(9)
+    key = [None if k == 2 else int(k) for k in np.repeat([0, 1, 2], [700, 30, 90])]
+    by = np.concatenate([rng.permutation(n) for n in (700, 30, 90)]).astype(float)
+    df = spark.createDataFrame([(k, float(v), int(v) % 5 + 1) for k, v in zip(key, by, strict=True)], "k int, v double, c long")
+    got = ranks.running(df, ["k"], "v", {"before": "c"}, descending, buckets=30)
+    for k in (0, 1, None):
+        own = sorted(((r.v, r.c, r.before) for r in got.collect() if r.k == k), reverse=descending)
+        assert len(own) == key.count(k) and [b for *_, b in own] == [sum(c for _, c, _ in own[:i]) for i in range(len(own))]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan  # the cuts of large keys go to the rows
