@@ -23,9 +23,18 @@ def runs(t: Tables) -> DataFrame:
 
 
 def with_run(t: Tables, table: str) -> DataFrame:
-    """A table joined to its runs' attributes; the runs' side is one row a run."""
+    """A table joined to its runs' attributes; the runs' side is one row a run, and goes to the rows, so that no run's rows are gathered."""
     own = t[table]
-    return own.drop(*(c for c in RUN if c != "run_id" and c in own.columns)).join(runs(t), "run_id")
+    return own.drop(*(c for c in RUN if c != "run_id" and c in own.columns)).join(F.broadcast(runs(t)), "run_id")
+
+
+#: Rows that a task of a report sorts.
+ORDER_ROWS = 1 << 19
+
+
+def in_order(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df of about so many rows sorted as a whole, in ranges of about ORDER_ROWS: a task sorts as many however large df is, and however well its rows were packed for the shuffle."""
+    return df.repartitionByRange(max(1, -(-rows // ORDER_ROWS)), *by).sortWithinPartitions(*by)
 
 
 def not_dummy(c: str = "algorithm") -> Column:
@@ -57,11 +66,12 @@ def fold_metrics_long(t: Tables) -> DataFrame:
 
 
 def out_of_fold(t: Tables) -> DataFrame:
-    return t["well_predictions"].orderBy("target_contaminant", "algorithm", "sample_id", "repeat_index", "fold_index", "run_id")
+    return in_order(t["well_predictions"], t["well_predictions"].count(), "target_contaminant", "algorithm", "sample_id", "repeat_index", "fold_index", "run_id")
 
 
 def attributions_long(t: Tables) -> DataFrame:
-    return with_run(t, "shap_values").select("run_id", "sample_id", "target_contaminant", "predictor_tier", "algorithm", "cv_mode", "repeat_index", "fold_index", "feature_name", "shap_value", "feature_cleaned_value").orderBy("target_contaminant", "algorithm", "sample_id", "feature_name", "run_id")
+    long = with_run(t, "shap_values").select("run_id", "sample_id", "target_contaminant", "predictor_tier", "algorithm", "cv_mode", "repeat_index", "fold_index", "feature_name", "shap_value", "feature_cleaned_value")
+    return in_order(long, t["shap_values"].count(), "target_contaminant", "algorithm", "sample_id", "feature_name", "run_id")
 
 
 def calibration_inputs(t: Tables) -> DataFrame:

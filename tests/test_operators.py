@@ -455,3 +455,13 @@ def test_running_sums_gather_no_key_to_meet_its_cuts(spark, monkeypatch, descend
         assert len(own) == key.count(k) and [b for *_, b in own] == [sum(c for _, c, _ in own[:i]) for i in range(len(own))]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in plan  # the cuts of large keys go to the rows
+
+
+def test_attributions_are_sorted_in_ranges_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(reports, "ORDER_ROWS", 100)
+    shap = spark.range(1000).select(F.concat(F.lit("r"), F.col("id") % 4).alias("run_id"), F.concat(F.lit("s"), F.col("id") % 50).alias("sample_id"), F.lit(0).alias("repeat_index"), F.lit(0).alias("fold_index"), F.concat(F.lit("f"), F.col("id")).alias("feature_name"), F.col("id").cast("double").alias("shap_value"), F.lit(1.0).alias("feature_cleaned_value"))
+    runs = spark.createDataFrame([(f"r{k}", f"T{k % 2}", "Tier1_Field", "RandomForest", "Stratified_Nested_CV") for k in range(4)], list(reports.RUN))
+    out = reports.attributions_long({"shap_values": shap, "model_runs": runs})
+    got = [(r.target_contaminant, r.algorithm, r.sample_id, r.feature_name, r.run_id) for r in out.collect()]
+    assert len(got) == 1000 and got == sorted(got)
+    assert out.rdd.getNumPartitions() == 10  # a task sorts about ORDER_ROWS, 1 task before
