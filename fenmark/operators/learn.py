@@ -27,7 +27,10 @@ BINS = 128
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 30, 1 - 1e-15, np.where(x < -30, 1e-15, 1 / (1 + np.exp(-np.clip(x, -30, 30)))))
+    p = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    if np.size(x) and np.max(np.abs(x)) > 30:
+        p = np.where(x > 30, 1 - 1e-15, np.where(x < -30, 1e-15, p))
+    return p
 
 
 def log_odds(p: float) -> float:
@@ -105,14 +108,17 @@ class Descent:
 
     def sums(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
         """Gradients, then weights and rows; after the last step, probabilities and rows."""
-        on = (b.inner[:, None] != self.held) | (self.held < 0)
+        if (id(self), "on") not in b.kept:  # the same in all steps
+            on = (b.inner[:, None] != self.held) | (self.held < 0)
+            w = on * np.where(b.y == 1, self.positive, 1.0)[:, None]
+            b.kept[id(self), "on"] = on, w, w.sum(0), on.sum(0)
+        on, w, weight, n = b.kept[id(self), "on"]
         p = sigmoid(b.x @ self.beta + self.bias)
         if self.step == self.steps:
-            out = np.stack([(on * p).sum(0), on.sum(0)])
+            out = np.stack([(on * p).sum(0), n])
         else:
-            w = on * np.where(b.y == 1, self.positive, 1.0)[:, None]
             e = w * (p - b.y[:, None])
-            out = np.concatenate([b.x.T @ e, [e.sum(0), w.sum(0), on.sum(0)]])
+            out = np.concatenate([b.x.T @ e, [e.sum(0), weight, n]])
         return np.arange(out.size), np.column_stack([out.ravel(), np.zeros(out.size)])
 
     def advance(self, keys: np.ndarray, numbers: np.ndarray) -> None:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -98,10 +99,12 @@ def fit(train: DataFrame, tasks: Tasks, wanted: dict[int, learn.Wanted], block_c
     own = train.where(F.col("task").isin(*wanted)) if wanted else train.limit(0)
     wide = [i for i in wanted if tasks.heads[i].n * tasks.heads[i].d > block_cells]
     narrow = {i: w for i, w in wanted.items() if i not in set(wide)}
+    parts = max((len(w.held) for w in narrow.values()), default=1)  # models that leave out different inner folds are fitted apart, each over a copy of the block
 
     def local(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("sample_id", kind="stable")
         w, y = narrow[int(rows["task"].iloc[0])], rows["y"].to_numpy(float)
+        w = replace(w, held=w.held[(part := int(rows["part"].iloc[0])) : part + 1])
         x, med, mean, sd = prepared(np.vstack(rows["x"].to_numpy()).astype(float))
         block = learn.Block(x, y, rows["inner"].to_numpy(), rows["h"].to_numpy().view(np.uint64))
         cuts = [learn.Cuts.of(x[:, j]) for j in range(x.shape[1])] if w.algorithm in ("RandomForest", "GradientBoostedTrees") else None
@@ -109,9 +112,10 @@ def fit(train: DataFrame, tasks: Tasks, wanted: dict[int, learn.Wanted], block_c
         for names, learner in w.learners(x.shape[1], class_weight(int((y == 1).sum()), int((y == 0).sum())), cuts):
             learn.run(learner, block)
             out += learn.model_rows(names, learner)
-        return pd.DataFrame(out).assign(task=rows["task"].iloc[0], med=[med.tolist()] * len(out), mean=[mean.tolist()] * len(out), sd=[sd.tolist()] * len(out))[[c.split()[0] for c in MODEL.split(", ")]]
+        return pd.DataFrame(out, columns=None if out else ["setting", "held", "weights", "bias", "base", "rate", "trees"]).assign(task=rows["task"].iloc[0], med=[med.tolist()] * len(out), mean=[mean.tolist()] * len(out), sd=[sd.tolist()] * len(out))[[c.split()[0] for c in MODEL.split(", ")]]
 
-    found = own.where(F.col("task").isin(*narrow)).groupBy("task").applyInPandas(local, MODEL) if narrow else train.sparkSession.createDataFrame([], MODEL)
+    dealt = own.where(F.col("task").isin(*narrow)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    found = dealt.groupBy("task", "part").applyInPandas(local, MODEL) if narrow else train.sparkSession.createDataFrame([], MODEL)
     if wide:
         found = found.unionByName(_fit_in_steps(own.where(F.col("task").isin(*wide)), tasks, {i: wanted[i] for i in wide}))
     return found
@@ -352,7 +356,7 @@ def _fitted(tasks: DataFrame, keys: Sequence[str], seed: int, tuned: bool, inner
     """Numbered tasks, and their models with hyperparameters and is_default."""
     own = Tasks(tasks, keys, seed)
     tunable = [i for i, h in enumerate(own.heads) if tuned and h.algorithm in learn.GRIDS and h.n >= 2 * inner_folds]
-    train = own.train(inner_folds if tunable else None)
+    train = written(own.train(inner_folds), "train") if tunable else own.train(None)
     best = tuned_settings(train, own, tunable, inner_folds) if tunable else {}
     chosen = {i: (learn.GRIDS[h.algorithm][best[i]] if i in best else learn.DEFAULTS.get(h.algorithm)) for i, h in enumerate(own.heads)}
     wanted = {i: learn.Wanted(h.algorithm, own.own_seed(i), (chosen[i],), column=own.column(i) if h.algorithm == "EcOnlyLogistic" else None) for i, h in enumerate(own.heads) if h.n and not (h.algorithm == "EcOnlyLogistic" and own.column(i) is None)}

@@ -224,3 +224,12 @@ def test_rows_are_scored_in_chunks_and_carry_no_model(spark, monkeypatch, name):
     assert {(r.sample_id, r.feature_name): r.attribution for r in got.collect()} == pytest.approx(want, abs=1e-12) and len(want) == 30 * 5
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "transform(trees" not in plan  # trees weren't walked by an expression for each row
+
+
+def test_tuning_fits_inner_folds_apart(spark):
+    x, y = data()
+    own = models.Tasks(frame(spark, x, y, "LogisticRegression", folds=(0,)), KEYS, SEED)
+    found = models.fit(own.train(3), own, {0: learn.Wanted("LogisticRegression", SEED, (0.1, 1.0), (0, 1, 2))})
+    assert sorted((r.setting, r.held) for r in found.collect()) == [(s, k) for s in (0, 1) for k in (0, 1, 2)]
+    node = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "FlatMapGroupsInPandas" in line)
+    assert "part" in node  # a group held all inner folds of a task
