@@ -20,9 +20,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = _state(now)
     while True:
-        after = written(_small_star(_large_star(now)), "links")
+        large, least = _large_star(now)
+        small, lesser = _small_star(large)
+        after = written(small, "links")
         reached = _state(after)
-        discard(now)
+        discard(now, least, lesser)
         if reached == state:
             break
         now, state = after, reached
@@ -35,16 +37,15 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(h)).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Links each larger neighbour of a node to the least of the node and its neighbours."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links each larger neighbour of a node to the least of the node and its neighbours; and the table that this reads."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(written(least, "least"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Links each smaller neighbour of a node, and the node, to the least of them; edges are (larger, smaller)."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    least = written(least, "least")
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links each smaller neighbour of a node, and the node, to the least of them; edges are (larger, smaller).  And the table that this reads."""
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), least

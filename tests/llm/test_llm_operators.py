@@ -758,6 +758,32 @@ def test_one_row_of_a_component_stays_where_ids_repeat(spark):
     assert len(got) == 3 and set(got) > {(3, b), (None, "alone in the world of texts")} and {i for i, t in got if t in (a, near)} == {5}
 
 
+def test_tables_of_near_dedup_are_small_beside_the_texts_and_go(spark, monkeypatch):
+    from pathlib import Path
+
+    from fenmark.llm import components, neardup, runtime
+
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(90000)}" for _ in range(800)) for _ in range(300)]
+    texts += [t + " more" for t in texts[:20]] + texts[20:40]
+    before, most, plain = set(runtime._WRITTEN), [0], runtime.written
+
+    def standing():
+        return {p: sum(f.stat().st_size for f in Path(p.removeprefix("file://")).rglob("*.parquet")) for p in set(runtime._WRITTEN) - before}
+
+    def noted(df, name):
+        out = plain(df, name)
+        most[0] = max(most[0], sum(standing().values()))
+        return out
+
+    for module in (neardup, components):
+        monkeypatch.setattr(module, "written", noted)
+    out = neardup.classes(frame(spark, [(i, t, "x", "a", 1) for i, t in enumerate(texts)]))
+    assert out.where("stands").count() == 300
+    assert most[0] < 0.4 * sum(map(len, texts))
+    assert {p.rsplit("-", 1)[1] for p in standing()} <= {"classes", "links"}
+
+
 def test_lines_of_texts_that_begin_or_end_with_newlines():
     import pyarrow as pa
 
