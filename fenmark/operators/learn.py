@@ -10,6 +10,7 @@ Values are binned at the distinct values of a feature, or at ``BINS`` quantiles
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +22,7 @@ LOGISTIC_GRID = (0.001, 0.01, 0.1, 0.5, 1.0, 5.0, 10.0, 50.0)
 FOREST_GRID = ((50, 3), (100, 4), (100, 5), (200, 4))
 BOOSTING_GRID = ((50, 0.1), (100, 0.1), (100, 0.05), (50, 0.2))
 GRIDS = {"LogisticRegression": LOGISTIC_GRID, "RandomForest": FOREST_GRID, "GradientBoostedTrees": BOOSTING_GRID}
+TREES = ("RandomForest", "GradientBoostedTrees")
 DEFAULTS = {"LogisticRegression": 1.0, "RandomForest": (100, 4), "GradientBoostedTrees": (100, 0.1), "EcOnlyLogistic": 1.0}
 #: Most bins of a feature.
 BINS = 128
@@ -37,6 +39,18 @@ def log_odds(p: float) -> float:
     return float(np.log(p / (1 - p))) if 0 < p < 1 else 0.0
 
 
+def sum_parts(values: np.ndarray) -> list[float]:
+    """Three numbers that make up the sum of the values, so that ``math.fsum`` of all blocks' parts is the same however rows are dealt."""
+    rest, out = values.tolist(), []
+    try:
+        for _ in range(3):
+            out.append(math.fsum(rest))
+            rest.append(-out[-1])
+    except (OverflowError, ValueError):  # beyond the range of doubles
+        out = [float(np.sum(values)), 0.0, 0.0]
+    return out
+
+
 def uniform(h: np.ndarray, seed: int) -> np.ndarray:
     """Numbers in [0, 1) of rows' hashes, independent for each seed."""
     with np.errstate(over="ignore"):
@@ -88,7 +102,7 @@ class Block:
 
     def bins(self, cuts: list[Cuts]) -> np.ndarray:
         if "bins" not in self.kept:
-            self.kept["bins"] = np.column_stack([np.searchsorted(c.edges, self.x[:, j]) for j, c in enumerate(cuts)]).astype(np.int64) if len(cuts) else np.zeros((len(self.y), 0), np.int64)
+            self.kept["bins"] = np.column_stack([np.searchsorted(c.edges, self.x[:, j]) for j, c in enumerate(cuts)]).astype(np.uint8) if len(cuts) else np.zeros((len(self.y), 0), np.uint8)
         return self.kept["bins"]
 
 
@@ -175,7 +189,7 @@ class Trees:
             return np.zeros(0, np.int64), np.zeros((0, 2))
         subset = self.subsets[t]
         m, width = len(subset), 1 << self.level
-        key = (((at[own] - width)[:, None] * m + np.arange(m)) * (BINS + 1) + bins[own][:, subset]).ravel()
+        key = (((at[own] - width)[:, None] * m + np.arange(m)) * (BINS + 1) + bins[np.ix_(own, subset)]).ravel()
         size = width * m * (BINS + 1)
         a, b = (np.bincount(key, np.repeat(v[own], m), size) for v in (first, second))
         some = np.flatnonzero(a)

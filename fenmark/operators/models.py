@@ -1,8 +1,9 @@
 """Fitting, tuning, scoring and attribution of all tasks (run, repeat, fold) at once.
 
-*Fitting.*  Training rows are dealt to blocks of at most about ``BLOCK_CELLS`` numbers by a hash of the sample.  Tasks of one block run their learner's steps (``learn``) where that block is; all others
-together take one job a step: each batch of rows gives its part of the sums, Spark adds them up by task, learner and key, and a group
-of one learner's sums makes its next state, which is as large as a model and not as the data.
+*Fitting.*  Tasks of at most ``BLOCK_CELLS`` training numbers are one block, and run their learner's steps (``learn``) where that block is.  The rows of all others are dealt to the workers and stay there while one job
+takes all steps of descents and boosting (``together``).  Forests, whose sums are large and whose steps few, take one aggregate a level: pieces of rows give their part of the sums, Spark adds them up by task, learner and key, and a group
+of one learner's sums makes its next state, which is as large as a model and not as the data.  Where no job can keep rows in their workers (executors that come and go), all learners take such an aggregate a step.
+Tasks of equal rows, which differ by their algorithm alone, share them.
 
 *Models are a relation*: a row for each task, setting and held-out inner fold, with its imputation and scaling, its weights or its trees (arrays of nodes, numbered as in
 a heap).  Rows meet their task's models in chunks, in Arrow tables; probabilities, inner scores for tuning and importances are DataFrame expressions over what comes of it.
@@ -23,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from fenmark.functions.scalars import clamp, finite, sigmoid
-from fenmark.operators import learn, metrics, preprocess
+from fenmark.operators import learn, metrics, preprocess, together
 from fenmark.operators.ranks import hash_position
 from fenmark.sources.scratch import discard, written
 
@@ -33,6 +34,8 @@ INNER_FOLDS = 3
 BLOCK_CELLS = 1 << 23
 #: Numbers of a chunk of rows that is scored at once: 8 MB of features.
 CHUNK_CELLS = 1 << 20
+#: Numbers of a piece of rows that takes a step of all learners at once: 32 MB of features.
+LEVEL_CELLS = 1 << 22
 NODE = "struct<feature:int,threshold:double,value:double,n:double,n_pos:double>"
 MODEL = f"task int, setting int, held int, med array<double>, mean array<double>, sd array<double>, weights array<double>, bias double, base double, rate double, trees array<array<{NODE}>>"
 DUMMIES = ("DummyMajority", "DummyStratified")
@@ -52,8 +55,9 @@ def prepared(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     known = ~np.isnan(x)
     med = np.array([np.median(x[known[:, j], j]) if known[:, j].any() else 0.0 for j in range(x.shape[1])])
     x = np.where(known, x, med)
-    mean = x.mean(0)
-    sd = np.maximum(np.sqrt(((x - mean) ** 2).sum(0) / max(len(x) - 1, 1)), preprocess.MIN_SD)
+    summed = lambda x: np.array([learn.sum_parts(x[:, j])[0] for j in range(x.shape[1])])
+    mean = summed(x) / len(x)
+    sd = np.maximum(np.sqrt(summed((x - mean) ** 2) / max(len(x) - 1, 1)), preprocess.MIN_SD)
     return (x - mean) / sd, med, mean, sd
 
 
@@ -107,7 +111,7 @@ def fit(train: DataFrame, tasks: Tasks, wanted: dict[int, learn.Wanted], block_c
         w = replace(w, held=w.held[(part := int(rows["part"].iloc[0])) : part + 1])
         x, med, mean, sd = prepared(np.vstack(rows["x"].to_numpy()).astype(float))
         block = learn.Block(x, y, rows["inner"].to_numpy(), rows["h"].to_numpy().view(np.uint64))
-        cuts = [learn.Cuts.of(x[:, j]) for j in range(x.shape[1])] if w.algorithm in ("RandomForest", "GradientBoostedTrees") else None
+        cuts = [learn.Cuts.of(x[:, j]) for j in range(x.shape[1])] if w.algorithm in learn.TREES else None
         out = []
         for names, learner in w.learners(x.shape[1], class_weight(int((y == 1).sum()), int((y == 0).sum())), cuts):
             learn.run(learner, block)
@@ -143,19 +147,33 @@ def _statistics(train: DataFrame) -> tuple[dict[int, dict[str, np.ndarray]], dic
     return found, cuts
 
 
+def _alike(train: DataFrame) -> dict[int, int]:
+    """Each task's first one of equal rows, by two sums of hashes of 64 bits."""
+    sums = [F.sum(F.xxhash64(F.lit(k), "sample_id", "y", "inner", "x").cast("decimal(38,0)")).alias(f"h{k}") for k in range(2)]
+    first: dict[tuple, int] = {}
+    return {r.task: first.setdefault((r.n, r.h0, r.h1), r.task) for r in train.groupBy("task").agg(F.count("*").alias("n"), *sums).orderBy("task").collect()}  # a row a task
+
+
 def _fit_in_steps(train: DataFrame, tasks: Tasks, wanted: dict[int, learn.Wanted]) -> DataFrame:
-    """Learners of tasks that are more than a block, a job a step for all of them together."""
+    """Learners of tasks that are more than a block: forests a job a level, the others in one job if rows can stay in their workers, else a job a step for all of them together."""
     spark = train.sparkSession
-    rows = written(train.select("task", "y", "inner", "h", "x"), "train")
-    stats, cuts = _statistics(rows)
+    first = _alike(train)
+    d = {k: tasks.heads[k].d for k in set(first.values())}
+    rows = written(train.where(F.col("task").isin(*d)).select("task", "y", "inner", "h", "x"), "train")
+    positive = {i: class_weight(tasks.heads[i].n_pos, tasks.heads[i].n - tasks.heads[i].n_pos) for i in wanted}
     learners, names = {}, {}
     for i, w in wanted.items():
-        head = tasks.heads[i]
-        for j, (own, learner) in enumerate(w.learners(head.d, class_weight(head.n_pos, head.n - head.n_pos), [cuts[i, f] for f in range(head.d)])):
+        for j, (own, learner) in enumerate(w.learners(d[first[i]], positive[i], [None] * d[first[i]])):  # cuts are not known yet
             learners[i, j], names[i, j] = learner, own
+    if workers := together.workers(spark, sum(tasks.heads[k].n * n for k, n in d.items())):
+        stats, cuts, done = together.fit(rows, workers, first, d, learners)
+        learners |= done
+    else:
+        stats, cuts = _statistics(rows)
+    together.with_cuts(learners, cuts, first)
     while going := {k: v for k, v in learners.items() if not v.done}:
-        now = spark.sparkContext.broadcast((pickle.dumps(going), stats))
-        summed = rows.where(F.col("task").isin(*{i for i, _ in going})).mapInArrow(_parts(now), "task int, learner int, key long, a double, b double").groupBy("task", "learner", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        now = spark.sparkContext.broadcast((pickle.dumps(going), stats, first))
+        summed = rows.where(F.col("task").isin(*{first[i] for i, _ in going})).mapInArrow(_parts(now), "task int, learner int, key long, a double, b double").groupBy("task", "learner", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         for r in summed.groupBy("task", "learner").applyInPandas(_advance(now), "task int, learner int, state binary").collect():  # states, as large as models
             learners[r.task, r.learner] = pickle.loads(r.state)
         for k in going:  # a learner without any row in a step
@@ -163,26 +181,22 @@ def _fit_in_steps(train: DataFrame, tasks: Tasks, wanted: dict[int, learn.Wanted
                 learners[k].advance(np.zeros(0, np.int64), np.zeros((0, 2)))
         now.destroy()
     discard(rows)
-    out = [{"task": i, **row, **{c: v.tolist() for c, v in stats[i].items()}} for (i, j), learner in learners.items() for row in learn.model_rows(names[i, j], learner)]
+    out = [{"task": i, **row, **{c: v.tolist() for c, v in stats[first[i]].items()}} for (i, j), learner in learners.items() for row in learn.model_rows(names[i, j], learner)]
     return spark.createDataFrame(out, MODEL)
 
 
 def _parts(now):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states, stats = now.value
-        states = pickle.loads(states)
-        for batch in batches:
-            task = batch.column("task").to_numpy()
-            for i in np.unique(task).tolist():
-                part = batch.filter(pa.array(task == i))
-                s, lists = stats[i], part.column("x")
-                x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(part), -1)
-                x = (np.where(np.isfinite(x), x, s["med"]) - s["mean"]) / s["sd"]
-                block = learn.Block(x, part.column("y").to_numpy().astype(float), part.column("inner").to_numpy(), part.column("h").to_numpy().view(np.uint64))
-                for (own, j), learner in states.items():
-                    if own == i:
-                        keys, numbers = learner.sums(block)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(np.full(len(keys), j, np.int32)), pa.array(keys.astype(np.int64)), pa.array(numbers[:, 0].astype(float)), pa.array(numbers[:, 1].astype(float))], ["task", "learner", "key", "a", "b"])
+        states, stats, first = now.value
+        states, sums = pickle.loads(states), {}
+        for k, x, *more in together.pieces(batches, LEVEL_CELLS):
+            s = stats[k]
+            block = learn.Block((np.where(np.isnan(x), s["med"], x) - s["mean"]) / s["sd"], *more)
+            for own, learner in states.items():
+                if first[own[0]] == k:
+                    sums[own] = together.total([*([sums[own]] if own in sums else []), learner.sums(block)])
+        for (i, j), (keys, numbers) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(np.full(len(keys), j, np.int32)), pa.array(keys.astype(np.int64)), pa.array(numbers[:, 0].astype(float)), pa.array(numbers[:, 1].astype(float))], ["task", "learner", "key", "a", "b"])
 
     return run
 

@@ -36,6 +36,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Removes the tables behind frames of written()."""
     for f in frames:
-        jvm = f.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f._written_at)
-        at.getFileSystem(f.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        remove(f.sparkSession, f._written_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,10 +1,12 @@
 """Block learners and scoring plans against plain models: one at a time, exact trees, loops."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fenmark.operators import learn, models
+from fenmark.operators import learn, models, together
 
 import plain_models as plain
 
@@ -233,3 +235,69 @@ def test_tuning_fits_inner_folds_apart(spark):
     assert sorted((r.setting, r.held) for r in found.collect()) == [(s, k) for s in (0, 1) for k in (0, 1, 2)]
     node = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "FlatMapGroupsInPandas" in line)
     assert "part" in node  # a group held all inner folds of a task
+
+
+def test_rows_stay_in_their_workers_for_all_steps(spark, monkeypatch):
+    """Tasks of several blocks: a few jobs, not one a step; the same models as by a job a step."""
+    x, y = data(6)
+    own = models.Tasks(frame(spark, x, y, "LogisticRegression", "GradientBoostedTrees", "RandomForest", folds=(0,)), KEYS, SEED)
+    train = own.train(None).cache()
+    settings = {"LogisticRegression": 1.0, "GradientBoostedTrees": (6, 0.2), "RandomForest": (4, 2)}
+    monkeypatch.setattr(learn.Descent.__init__, "__defaults__", (None, 25))
+    wanted = {i: learn.Wanted(h.algorithm, SEED, (settings[h.algorithm],)) for i, h in enumerate(own.heads)}
+    assert len(set(models._alike(train).values())) == 1
+
+    def fitted(group):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            rows = models.fit(train, own, wanted, 20).collect()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return sorted(rows, key=lambda r: r.task), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    got, jobs = fitted("together")
+    assert jobs < 25  # a descent of 25 steps, and six trees of three levels
+    monkeypatch.setattr(together, "workers", lambda *_: 0)
+    want, _ = fitted("steps")
+    for r, s in zip(got, want, strict=True):
+        assert r.weights == (s.weights and pytest.approx(s.weights, abs=1e-12)) and r.mean == pytest.approx(s.mean, abs=1e-12)
+        nodes = lambda m: [(n.feature, round(n.threshold, 9), n.n) for tree in m.trees or [] for n in tree]
+        assert nodes(r) == nodes(s)
+
+
+def test_statistics_of_parts_are_those_of_the_whole():
+    """Medians, scaling and cuts of rows dealt to workers, one of them without any: exact, and the same bits however they are dealt."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1501, 4)) * [1, 1e-8, 1e6, 0] + [0, 1e4, -5, 7]
+    x[:, 2] = np.round(x[:, 2], -5)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 1][:1400] = np.nan
+    held = []
+    for part in (x[:10], x[:0], x[10:900], x[900:]):
+        held.append(together.Held(4))
+        held[-1].add(part, np.zeros(len(part)), np.zeros(len(part), np.int32), np.zeros(len(part), np.uint64))
+        held[-1].close()
+    meet, box, out = threading.Barrier(len(held), timeout=60), [None] * len(held), [None] * len(held)
+
+    def work(k):
+        def told(own):
+            box[k] = own
+            meet.wait()
+            found = list(box)
+            meet.wait()
+            return found
+
+        out[k] = together.statistics({0: held[k]}, told, {0})
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(len(held))]
+    [t.start() for t in threads], [t.join() for t in threads]
+    scaled, med, mean, sd = models.prepared(x)
+    for stats, cuts in out:
+        assert (stats[0]["med"] == med).all() and (stats[0]["mean"] == mean).all() and (stats[0]["sd"] == sd).all()
+        for j in range(4):
+            filled = np.sort(np.where(np.isnan(x[:, j]), med[j], x[:, j]))
+            few = np.unique(filled)
+            at = filled if len(few) > 2 * learn.BINS else few
+            at = at[np.maximum(np.ceil(np.arange(257) * len(at) / 256).astype(int) - 1, 0)] if len(few) > 2 * learn.BINS else few
+            assert (cuts[0, j].edges == learn.Cuts.of((at - mean[j]) / sd[j]).edges).all()
+    assert len(out[0][1][0, 0].edges) == learn.BINS - 1 and len(out[0][1][0, 3].edges) == 0
