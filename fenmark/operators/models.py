@@ -264,13 +264,13 @@ def _rows_by_models(attributed: bool | None, schema: pa.Schema):
                 w = np.array(m["weights"].as_py(), float)
                 for j in range(len(w)):  # in the features' order, so that a row's sum doesn't hang on the rows beside it
                     s += x[:, j] * w[j]
-                s += m["bias"].as_py()
+                s += m["bias"].as_py() if m["bias"].is_valid else np.nan  # a descent that ran off has none, and gives no probability
                 if attributed:
                     share = np.abs(w).sum()
                     by = (np.arange(len(w)) == m["ec"].as_py() if m["ec"].is_valid else np.abs(w) / share if share > 0 else 0 * w) * (x - np.array(m["middle"].as_py()))
             made = {c: rows.column(c) for c in ("task", "sample_id", "y")}
             made |= {c: pa.array([m[c].as_py()] * n) for c in ("setting", "held", "base", "rate")}
-            made |= {"weighted": pa.array([m["weights"].is_valid] * n), "size": pa.array([len(m["trees"].values) if m["trees"].is_valid else None] * n), "s": pa.array(s)}
+            made |= {"weighted": pa.array([m["weights"].is_valid] * n), "size": pa.array([len(m["trees"].values) if m["trees"].is_valid else None] * n), "s": pa.array(s, from_pandas=True)}
             if attributed is not None:
                 made |= {"x": lists(x) if fitted else pa.nulls(n, pa.list_(pa.float64())), "attributions": lists(by) if fitted and attributed else pa.nulls(n, pa.list_(pa.float64()))}
             parts.append(pa.table({f.name: made[f.name].cast(f.type) for f in schema}))

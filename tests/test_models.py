@@ -301,3 +301,17 @@ def test_statistics_of_parts_are_those_of_the_whole():
             at = at[np.maximum(np.ceil(np.arange(257) * len(at) / 256).astype(int) - 1, 0)] if len(few) > 2 * learn.BINS else few
             assert (cuts[0, j].edges == learn.Cuts.of((at - mean[j]) / sd[j]).edges).all()
     assert len(out[0][1][0, 0].edges) == learn.BINS - 1 and len(out[0][1][0, 3].edges) == 0
+
+
+def test_a_descent_that_runs_off_gives_no_probability_and_is_not_chosen(spark, monkeypatch):
+    """A strong penalty on few rows: steps grow beyond all bounds."""
+    x, y = data(8, 18)
+    monkeypatch.setitem(learn.GRIDS, "LogisticRegression", (0.0001, 1.0))
+    tasks = frame(spark, x, y, "LogisticRegression", folds=(0,))
+    own = models.Tasks(tasks, KEYS, SEED)
+    train = own.train(3).cache()
+    found = models.fit(train, own, {0: learn.Wanted("LogisticRegression", SEED, (0.0001, 1.0), (0, 1, 2))}).cache()
+    assert {r.setting: r.n for r in found.where("bias is not null").groupBy("setting").agg(F.count("*").alias("n")).collect()} == {1: 3}
+    got = models.scored(train.withColumnRenamed("inner", "held"), found, own, ("task", "held")).groupBy("setting").agg(F.count("*").alias("n"), F.count("p").alias("known")).collect()
+    assert {(r.setting, r.n, r.known) for r in got} == {(0, 12, 0), (1, 12, 12)}
+    assert models.tuned_settings(train, own, [0], 3) == {0: 1}
